@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import native_queries
+from foliant.llm import native_queries, text_queries
 
-_MODULES = (native_queries,)
+_MODULES = (native_queries, text_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
