@@ -53,6 +53,11 @@ def _winner(key: Column, parent: Column | None, weights: Column, children: int)
     return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(children - 1)), draw))["at"]
 
 
+def _bind(value: Column, body) -> Column:
+    """``body`` of a lambda variable that holds ``value``: computed once, wherever it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def place(df: DataFrame, key: Column, topology: Topology, out: str) -> DataFrame:
     """Add ``out``: the shard of each key, numbered depth first from 0."""
     racks, width = max(map(len, topology)), max(len(rack) for region in topology for rack in region)
@@ -64,13 +69,19 @@ def place(df: DataFrame, key: Column, topology: Topology, out: str) -> DataFrame
             starts.append(base)
             base += len(rack)
         first.append(starts + [0] * (racks - len(starts)))
-    text = F.coalesce(key.cast("string"), F.lit("null"))
     literal = lambda rows: F.array(*[literal(r) if isinstance(r, list) else F.lit(r) for r in rows])
-    region, rack, shard = f"_{out}_region", f"_{out}_rack", f"_{out}_shard"
-    df = df.withColumn(region, _winner(text, None, literal([float(sum(map(sum, r))) for r in padded]), len(topology)))
-    df = df.withColumn(rack, _winner(text, F.col(region).cast("string"), literal([[sum(r) for r in region_] for region_ in padded])[F.col(region)], racks))
-    df = df.withColumn(shard, _winner(text, F.concat(F.col(region), F.lit("/"), F.col(rack)), literal(padded)[F.col(region)][F.col(rack)], width))
-    return df.withColumn(out, (literal(first)[F.col(region)][F.col(rack)] + F.col(shard)).cast("int")).drop(region, rack, shard)
+    weights = literal(padded)
+    region_weights = literal([float(sum(map(sum, r))) for r in padded])
+    rack_weights = literal([[sum(r) for r in region] for region in padded])
+
+    def within(text: Column, region: Column, rack: Column) -> Column:
+        parent = F.concat(region.cast("string"), F.lit("/"), rack.cast("string"))
+        return literal(first)[region][rack] + _bind(weights[region][rack], lambda w: _bind(parent, lambda p: _winner(text, p, w, width)))
+
+    def descend(text: Column) -> Column:
+        return _bind(_winner(text, None, region_weights, len(topology)), lambda region: _bind(_bind(rack_weights[region], lambda w: _winner(text, region.cast("string"), w, racks)), lambda rack: within(text, region, rack)))
+
+    return df.withColumn(out, _bind(F.coalesce(key.cast("string"), F.lit("null")), descend).cast("int"))
 
 
 def assign_shards(docs: DataFrame, topology: Topology = FORTY_SHARDS, key: str = "doc_id", text: str = "text", buckets: int = SLOT_BUCKETS) -> DataFrame:

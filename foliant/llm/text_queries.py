@@ -8,6 +8,8 @@ from foliant.llm.jaccard_join import similarity_classes
 from foliant.llm.packing import pack
 from foliant.llm.substring_dedup import remove_repeats
 from foliant.llm.token_counts import count_tokens
+from foliant.llm.toxicity import score_documents
+from foliant.llm.url_filter import judge_urls
 from foliant.sources import table
 
 
@@ -16,6 +18,17 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("repeat_n_words").alias("n_words"), F.col("repeat_n_removed").alias("n_removed"), F.sha2("repeat_kept_text", 256).alias("kept_sha256"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id", "lang"])
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    predicted = F.when(F.col("toxicity_score") >= 0.5, 1).otherwise(0)
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity_score").alias("score"), predicted.alias("predicted"), F.col("toxicity_flag").alias("flagged"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -31,6 +44,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, None),
+    "op4_url_filter": (op4_url_filter, None),
+    "op5_toxicity": (op5_toxicity, None),
     "op7_token_counts": (op7_token_counts, None),
     "op8_jaccard_join": (op8_jaccard_join, None),
     "op9_packing": (op9_packing, None),
