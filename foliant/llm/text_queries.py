@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foliant.llm.jaccard_join import similarity_classes
+from foliant.llm.neighbours import nearest
 from foliant.llm.packing import pack
 from foliant.llm.substring_dedup import remove_repeats
 from foliant.llm.token_counts import count_tokens
@@ -29,6 +30,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity_score").alias("score"), predicted.alias("predicted"), F.col("toxicity_flag").alias("flagged"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, None),
     "op4_url_filter": (op4_url_filter, None),
     "op5_toxicity": (op5_toxicity, None),
+    "op6_neighbours": (op6_neighbours, None),
     "op7_token_counts": (op7_token_counts, None),
     "op8_jaccard_join": (op8_jaccard_join, None),
     "op9_packing": (op9_packing, None),
