@@ -7,6 +7,7 @@ retry and never the result.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,8 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back."""
+    """Write ``df`` once as Parquet in the shared folder and read it back.
+
+    Nothing needs the shuffles behind ``df`` afterwards. Spark removes their files when the driver
+    collects its garbage, so that is asked for here: executors' disks then hold one step's files only.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
