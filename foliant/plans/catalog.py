@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import profile_queries
+from foliant.plans import join_queries, profile_queries
 
 FLAGSHIP = "docs_topn_source_share"
-_MODULES = (profile_queries,)
+_MODULES = (profile_queries, join_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
