@@ -185,6 +185,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     held = anchors.select("anchor", "doc_id").join(recurring, "anchor").groupBy("doc_id").agg(
         F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("calm"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("frequent")
     )
+    held = materialize(held, "substring-anchors")
     held = held.join(copies.groupBy("doc_id").agg(F.collect_set("mark").alias("settled")), "doc_id", "left")
     fragments = texts.join(held, "doc_id").where(~F.coalesce(F.array_contains("settled", F.col("mark")), F.lit(False))).select("doc_id", "mark", "text", "calm", "frequent")
     fragments = map_arrow(fragments, _emit_fragments(window, anchor), "doc_id long, mark long, route long, start int, fragment string")
@@ -194,6 +195,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     mine = F.transform(F.filter(F.arrays_zip("starts", "firsts"), lambda x: x["firsts"] < F.col("doc_id")), lambda x: x["starts"] + F.col("start"))
     hits = fragments.select("doc_id", "mark", "route", "digest", "start").join(located, ["route", "digest"]).select("doc_id", "mark", mine.alias("windows")).where(F.size("windows") > 0)
     windows = hits.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("windows")).alias("windows"), F.lit(False).alias("copy"))
+    windows = materialize(windows, "substring-windows")
     return windows.unionByName(copies.select("doc_id", "mark", F.array().cast("array<int>").alias("windows"), F.lit(True).alias("copy")))
 
 
