@@ -33,3 +33,60 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     else:
         raise RuntimeError("components did not settle")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+def bipartite_edges(df: DataFrame, key: str, items: str) -> DataFrame:
+    """One edge per distinct (key, item); rows without items have none."""
+    return df.where(F.size(items) > 0).select(F.col(key), F.explode(F.array_distinct(F.col(items))).alias("item")).where(F.col("item").isNotNull()).distinct()
+
+
+def degrees(edges: DataFrame, side: str) -> DataFrame:
+    return edges.groupBy(side).agg(F.count(F.lit(1)).alias("degree"))
+
+
+def graph_stats(edges: DataFrame, left: str, right: str) -> DataFrame:
+    """Edges, nodes of each side, nodes and mean degree with two digits, half to even."""
+    counts = edges.agg(F.count(F.lit(1)).alias("n_edges"), F.count_distinct(left).alias("n_left"), F.count_distinct(right).alias("n_right"))
+    nodes = F.col("n_left") + F.col("n_right")
+    return counts.withColumns({"n_nodes": nodes, "mean_degree": F.bround(F.coalesce(F.try_divide(2.0 * F.col("n_edges"), nodes), F.lit(0.0)), 2)})
+
+
+def two_hop(edges: DataFrame, start: DataFrame, left: str, right: str) -> DataFrame:
+    """All edges of the left nodes that a start right node touches."""
+    reached = edges.join(start.select(right).distinct(), right, "left_semi").select(left).distinct()
+    return edges.join(reached, left, "left_semi")
+
+
+def induced(edges: DataFrame, nodes: DataFrame, left: str, right: str, node: str = "node") -> DataFrame:
+    """Edges with both ends among ``nodes``."""
+    return edges.join(nodes.select(F.col(node).alias(left)), left, "left_semi").join(nodes.select(F.col(node).alias(right)), right, "left_semi")
+
+
+def giant_component(edges: DataFrame, left: str, right: str) -> DataFrame:
+    """Edges of the largest component (ties: the smallest id); node ids must be numbers of one space."""
+    parts = materialize(connected_components(edges, left, right), "giant")
+    largest = parts.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "component").limit(1)
+    nodes = parts.join(F.broadcast(largest), "component", "left_semi").select(F.col("node").alias(left))  # one row
+    return edges.join(nodes, left, "left_semi")
+
+
+def node_indices(nodes: DataFrame, node: str, buckets: int = 256) -> DataFrame:
+    """Contiguous indices from 0 without a window over all nodes: bucket offsets plus places in buckets."""
+    from pyspark.sql import Window
+
+    dealt = nodes.select(node).distinct().withColumn("_b", F.pmod(F.xxhash64(node), F.lit(buckets)))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    at = F.row_number().over(Window.partitionBy("_b").orderBy(node))
+    return dealt.withColumn("_at", at).join(F.broadcast(offsets), "_b").select(node, (F.col("_o") + F.col("_at") - 1).alias("index"))
+
+
+def label_propagation(edges: DataFrame, left: str, right: str, rounds: int = 5) -> DataFrame:
+    """``node, label``: communities by most frequent neighbour label, ties to the smallest label."""
+    both = edges.select(F.col(left).cast("long").alias("u"), F.col(right).cast("long").alias("v"))
+    both = materialize(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "label-edges")
+    labels = both.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node"))
+    for _ in range(rounds):
+        votes = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u", "label").agg(F.count(F.lit(1)).alias("n"))
+        labels = materialize(votes.groupBy("u").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label")).withColumnRenamed("u", "node"), "labels")
+    return labels
