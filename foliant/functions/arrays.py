@@ -33,7 +33,7 @@ def strings_of(value: Column, is_list: bool) -> Column:
 
 def split_list(value: Column) -> Column:
     """Items of a text separated by commas or semicolons, trimmed, blanks dropped; null gives an empty list."""
-    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), "[,;]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def without_placeholders(values: Column, placeholders: Sequence[str] = ("don't know", "data not available")) -> Column:
