@@ -11,7 +11,8 @@ a source with a third of all rows is spread over many groups.
 
 Defined cases: null or empty text has size 0 and nothing is taken of it; a null source is a source
 of its own, last in order; repeated rows are rows of their own; equal hashes are ordered by id and
-size; an empty table gives no rows; further columns are carried along unchanged.
+size; an empty table gives no rows; further columns are carried along unchanged, but for those
+named like a result.
 """
 
 from __future__ import annotations
@@ -79,6 +80,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     ``mix_passes`` (whole passes), ``mix_partial`` (words of one more, cut pass), ``mix_position`` (of
     the first pass, null where nothing is taken) and ``mix_second_position``.
     """
+    docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_passes", "mix_partial", "mix_position", "mix_second_position")
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     key = F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))), 1, 13), 16, 10).cast("long")
     rows = docs.withColumns({"mix_size": size, "_mix_key": key, "_mix_bucket": F.shiftright(key, _HASH_BITS - BUCKET_BITS), "_mix_source": F.col(source)})

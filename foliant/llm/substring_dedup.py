@@ -19,7 +19,8 @@ Each document meets only the automata that can match it, so work grows with the
 
 Defined cases: null or empty texts have no words and stay empty; a row without id is kept whole and
 removes nothing from others; rows with one id never remove words from each other; repeated rows get
-equal results; an empty table gives no rows; further columns are carried along.
+equal results; an empty table gives no rows; further columns are carried along,
+but for those named like a result.
 """
 
 from __future__ import annotations
@@ -236,6 +237,7 @@ def _cut(window: int):
 def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """Every row of ``docs`` with ``repeat_n_words``, ``repeat_n_removed``, ``repeat_spans`` (removed runs
     of words) and ``repeat_kept_text`` (words that stay, joined by one space)."""
+    docs = docs.drop("repeat_n_words", "repeat_n_removed", "repeat_spans", "repeat_kept_text")
     found = repeated_windows(docs, window, doc_id=doc_id, text=text, **settings)
     found = found.select(F.col("doc_id").alias("_repeat_id"), F.col("mark").alias("_repeat_mark"), F.col("windows").alias("_repeat_windows"), F.col("copy").alias("_repeat_copy"))
     columns = docs.columns
