@@ -52,3 +52,13 @@ def same_date(a: Column, b: Column) -> Column:
     """1 when equal (both null too) or when both name one date, else 0."""
     both = parsed(a).cast("date") == parsed(b).cast("date")
     return F.when(a.eqNullSafe(b) | F.coalesce(both, F.lit(False)), 1.0).otherwise(0.0)
+
+
+def end_of_window(days: int = 14, zone: str = ZONE) -> Column:
+    """Today's date in ``zone``, some days back."""
+    return F.date_sub(F.to_date(F.from_utc_timestamp(F.current_timestamp(), zone)), days)
+
+
+def leading_date(text: Column) -> Column:
+    """The date before the first space, or null."""
+    return F.try_to_timestamp(F.split_part(text, F.lit(" "), F.lit(1)), F.lit("yyyy-MM-dd")).cast("date")

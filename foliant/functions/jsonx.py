@@ -41,3 +41,26 @@ def as_text(value: Column, kind: str) -> Column:
 def json_or_array(text: Column) -> Column:
     """A text that is JSON stays; any other becomes an array of one string."""
     return F.when(F.try_parse_json(text).isNotNull(), text).otherwise(F.to_json(F.array(text)))
+
+
+def has_any_value(text: Column) -> Column:
+    """Whether a JSON object has a value that is not null."""
+    values = F.map_values(F.from_json(text, "map<string,string>"))
+    return F.coalesce(F.exists(values, lambda v: v.isNotNull()), F.lit(False))
+
+
+def null_if_all_falsy(record: Column, fields: list[str]) -> Column:
+    """The struct, or null if all its text fields are null or empty."""
+    some = F.lit(False)
+    for name in fields:
+        some = some | F.coalesce(record[name].cast("string") != "", F.lit(False))
+    return F.when(some, record)
+
+
+def unwrapped(text: Column, key: str) -> Column:
+    """A list from ``{key: value}`` or ``{key: [values]}`` in JSON text; null stays null, several keys raise."""
+    keys = F.json_object_keys(text)
+    listed = F.from_json(F.get_json_object(text, f"$.{key}"), "array<string>")
+    one = F.get_json_object(text, f"$.{key}")
+    value = F.when(one.startswith("["), listed).when(one.isNotNull(), F.array(one))
+    return F.when(F.size(keys) > 1, F.raise_error(F.lit("more than one key")).cast("array<string>")).otherwise(value)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.functions import arrays as A, dates as D, jsonx as J, text as T, vectors as V
-from foliant.operators import chunking as C, evaluate as E, graph as G, mapping as M, parsing as X, search as S, validation as L
+from foliant.operators import chunking as C, evaluate as E, graph as G, mapping as M, models, parsing as X, search as S, validation as L
 from foliant.sources import table
 
 QUERIES: dict = {}
@@ -348,3 +348,29 @@ def validation_report(spark, sf_dir):
 @query("""SELECT event_id, json_keys(props)[1] AS key, json_extract(props, '$.k')::INT AS k FROM events""")
 def json_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", J.keys_of(F.col("props"))[0].alias("key"), F.try_variant_get(J.parsed_object(F.col("props")), "$.k", "int").alias("k"))
+
+
+@query("""SELECT c_custkey, c_custkey AS kept FROM customer WHERE c_custkey % 3 <> 0""")
+def json_any_value(spark, sf_dir):
+    """Records whose every field is null are dropped."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey")).alias("kept"))
+    record = F.to_json(F.struct(F.col("kept").alias("a"), F.lit(None).cast("string").alias("b")), {"ignoreNullFields": "false"})
+    return c.where(J.has_any_value(record))
+
+
+@query("SELECT c_custkey, regexp_replace(c_name, '[^#]*#0*', '') AS number, CASE WHEN c_mktsegment = 'BUILDING' THEN 'b' WHEN c_mktsegment = 'MACHINERY' THEN 'm' ELSE 'other' END AS kind FROM customer")
+def rewrite_and_map(spark, sf_dir):
+    number = T.regex_rewritten(F.col("c_name"), [("[^#]*#0*", "")])
+    kind = T.mapped(F.col("c_mktsegment"), {"building": "b", "MACHINERY": "m"}, F.lit("other"), any_case=True)
+    return table(spark, sf_dir, "customer").select("c_custkey", number.alias("number"), kind.alias("kind"))
+
+
+@query(f"SELECT sum(n)::BIGINT AS input_tokens, round(sum(n) * 0.00015, 6) AS cost FROM (SELECT len({_WORDS.format('text')}) AS n FROM conversations) c")
+def token_cost(spark, sf_dir):
+    tokens = table(spark, sf_dir, "conversations").select(F.size(T.tokens(F.col("text"))).cast("long").alias("input_tokens"))
+    return models.cost(tokens, {"input_tokens": 0.15}).withColumn("cost", F.round("cost", 6))
+
+
+@query("SELECT o_orderkey, o_orderdate::DATE AS day FROM orders")
+def leading_dates(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", D.leading_date(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("day"))

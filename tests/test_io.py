@@ -46,3 +46,32 @@ def test_ingestion_resumes(spark, tmp_path):
     assert (stats.total, stats.successful, stats.failed) == (3, 3, 0)
     assert spark.read.parquet(f"{target}/chunks").where("document_id = 'a'").count() == n
     assert I.without_matching(I.tracker(spark, target), "B").count() == 2
+
+
+def test_sources(spark, tmp_path):
+    from foliant.sources import files
+
+    (tmp_path / "train.json").write_text('[{"x": 1}, {"x": 2}]')
+    (tmp_path / "test.json").write_text('[{"x": 3}]')
+    df = files.read_splits(spark, str(tmp_path), ["train", "test"])
+    assert sorted(map(tuple, df.select("split", "x").collect())) == [("test", 3), ("train", 1), ("train", 2)]
+    with pytest.raises(ValueError):
+        files.read_splits(spark, str(tmp_path), ["dev"])
+    assert [len(b) for b in files.batches(spark.range(5), 2)] == [2, 2, 1] and list(files.batches(spark.range(0), 2)) == [[]]
+    calls = []
+    make = lambda: calls.append(1) or spark.range(3)
+    assert [files.cached(spark, f"{tmp_path}/c", make).count() for _ in range(2)] == [3, 3] and len(calls) == 1
+    pages = spark.createDataFrame([("d1", ["a"]), ("d1", ["b", "c"]), ("d2", ["x"])], "day string, ids array<string>")
+    reported = spark.createDataFrame([("d1", 3), ("d2", 2), ("d3", 0)], "day string, n int")
+    assert {r.day: r.agrees for r in files.reconciled(pages, reported, "day", "ids", "n").collect()} == {"d1": True, "d2": False, "d3": True}
+
+
+def test_model_contracts(spark):
+    from foliant.operators import models
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "idx int, t string")
+    assert [list(r.embedding) for r in models.embed(df, "t", lambda ts: [[len(t), 1.0] for t in ts], 2).orderBy("idx").collect()] == [[1.0, 1.0], [0.0, 1.0]]
+    assert [list(r.embedding) for r in models.embed(df, "t", lambda ts: 1 / 0, 2).collect()] == [[0.0, 0.0]] * 2
+    assert {r.error for r in models.generate(df, "t", lambda ts: 1 / 0).collect()} == {"ZeroDivisionError: division by zero"}
+    request = json.loads(models.judge_requests(df.where("idx = 1"), "Judge {t}", ["t"], "m").first().request)
+    assert request["custom_id"] == "1" and request["body"]["messages"][0]["content"] == "Judge a"
