@@ -108,16 +108,29 @@ def configured(df: DataFrame, fields: Sequence[Mapping]) -> DataFrame:
     return df.select(*nest(flat), F.array_compact(F.array(*missing, F.lit(None).cast("string"))).alias("rejected"))
 
 
+#: Court service fields and their unified names (fixed values).
+JUDGMENT_FIELDS = {
+    "id": "judgment_id", "signature": "docket_number", "date": "judgment_date", "publicationDate": "publication_date", "lastUpdate": "last_update",
+    "courtId": "court_id", "departmentId": "department_id", "type": "judgment_type", "excerpt": "excerpt", "content": "content", "chairman": "presiding_judge",
+    "decision": "decision", "judges": "judges", "legalBases": "legal_bases", "publisher": "publisher", "recorder": "recorder", "reviser": "reviser",
+    "themePhrases": "keywords", "num_pages": "num_pages", "text": "full_text", "vol_number": "volume_number", "vol_type": "volume_type",
+    "court_name": "court_name", "department_name": "department_name", "text_legal_bases": "text_legal_bases", "thesis": "thesis",
+}
+
+
 def unified_judgment(df: DataFrame, source: str = "pl-court") -> DataFrame:
-    """Court API fields under the unified names; unmapped ones are dropped."""
-    names = {
-        "id": "judgment_id", "signature": "docket_number", "date": "judgment_date", "publicationDate": "publication_date", "lastUpdate": "last_update",
-        "courtId": "court_id", "departmentId": "department_id", "type": "judgment_type", "excerpt": "excerpt", "content": "xml_content", "chairman": "presiding_judge",
-        "decision": "decision", "judges": "judges", "themePhrases": "keywords", "legalBases": "legal_bases", "publisher": "publisher", "editor": "recorder", "reviser": "reviser",
-    }
-    return strict(df, names).withColumn("source", F.lit(source))
+    """Court service fields under their unified names; unmapped ones are dropped."""
+    return strict(df, JUDGMENT_FIELDS).withColumn("source", F.lit(source))
+
+
+#: Fields of each kind of source under the names of a unified document (fixed values).
+DOCUMENT_FIELDS = {
+    "judgment": {"judgment_id": "document_id", "docket_number": "document_number", "judgment_date": "date_issued"},
+    "tax_interpretation": {"id": "document_id"},
+    "legal_act": {"id": "document_id", "title": "title", "document_number": "document_number", "enactment_date": "date_issued"},
+}
 
 
-def legal_document(df: DataFrame, kind: str, names: Mapping[str, str]) -> DataFrame:
+def legal_document(df: DataFrame, kind: str, names: Mapping[str, str] | None = None) -> DataFrame:
     """A source's rows as unified documents of one kind."""
-    return strict(df, names).withColumn("document_type", F.lit(kind))
+    return strict(df, names or DOCUMENT_FIELDS[kind]).withColumn("document_type", F.lit(kind))

@@ -124,11 +124,11 @@ def test_judgment_page(spark):
       <tr class="niezaznaczona"><td class="lista-label">Sygn. powiązane</td><td class="info-list-value"><span class="powiazane"><a href="/doc/A1">II OSK 1/06 - Wyrok NSA z 2006-01-02</a></span></td></tr></table>
       <div class="lista-label">Uzasadnienie</div><span class="info-list-value-uzasadnienie"><p>One </p><p>Two</p></span><a href="/doc/B2">x</a>"""
     row = X.with_judgment_page(spark.createDataFrame([(html,)], "html string"), "html").first()
-    assert (row.docket_number, row.judgment_type, row.judgment_date, row.finality) == ("II SA/Op 8/05", "Wyrok WSA w Opolu", "2005-10-13", "orzeczenie prawomocne")
+    assert (row.docket_number, row.judgment_type, str(row.judgment_date), row.finality) == ("II SA/Op 8/05", "Wyrok WSA w Opolu", "2005-10-12 22:00:00", "orzeczenie prawomocne")
     assert (row.judges, row.presiding_judge, row.judge_rapporteur) == (["Jan A", "Ewa B", "Ola C"], "Jan A", "Ewa B")
-    assert [(b.law, b.journal, b.article, b.link) for b in row.extracted_legal_bases] == [("Ustawa X", "Dz.U. 1", "art. 2", "/l1"), (None, "Dz.U. 3", None, "/l2")]
-    assert [(r.id, r.docket_number, r.judgment_type, r.judgment_date) for r in row.related_docket_numbers] == [("/doc/A1", "II OSK 1/06", "Wyrok NSA", "2006-01-02")]
-    assert row.reasons == "One\n\nTwo" and X.page_links(html) == ["/doc/B2"]
+    assert [(b.law, b.journal, b.article, b.link) for b in row.text_legal_bases] == [("Ustawa X", "Dz.U. 1", "art. 2", "/l1"), (None, "Dz.U. 3", None, "/l2")]
+    assert [(r.judgment_id, r.docket_number, r.judgment_type, str(r.judgment_date)) for r in row.related_docket_numbers] == [("/doc/A1", "II OSK 1/06", "Wyrok NSA", "2006-01-01 23:00:00")]
+    assert row.reasons_for_judgment == "One\n\nTwo" and X.page_links(html) == ["/doc/B2"]
 
 
 def test_graph(spark):
