@@ -8,6 +8,7 @@ from foliant.llm.jaccard_join import similarity_classes
 from foliant.llm.neighbours import nearest
 from foliant.llm.packing import pack
 from foliant.llm.substring_dedup import remove_repeats
+from foliant.llm.text_oracles import OP1_SQL, OP8_SQL
 from foliant.llm.token_counts import count_tokens
 from foliant.llm.toxicity import score_documents
 from foliant.llm.url_filter import judge_urls
@@ -48,11 +49,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_substring_dedup": (op1_substring_dedup, None),
+    "op1_substring_dedup": (op1_substring_dedup, OP1_SQL),
     "op4_url_filter": (op4_url_filter, None),
     "op5_toxicity": (op5_toxicity, None),
     "op6_neighbours": (op6_neighbours, None),
     "op7_token_counts": (op7_token_counts, None),
-    "op8_jaccard_join": (op8_jaccard_join, None),
+    "op8_jaccard_join": (op8_jaccard_join, OP8_SQL),
     "op9_packing": (op9_packing, None),
 }
