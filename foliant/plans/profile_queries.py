@@ -42,12 +42,12 @@ def doc_count_by_lang_source(spark, sf_dir):
 
 
 @query("""SELECT unnest(['text', 'lang', 'source', 'quality', 'toxic']) AS "column", unnest([a, b, c, d, e]) AS n_null,
-  round(unnest([a, b, c, d, e])::DOUBLE / n, 2) AS null_ratio FROM (
+  round(unnest([a, b, c, d, e])::DOUBLE / n, 4) AS null_ratio FROM (
   SELECT count(*) AS n, count(*) - count(text) AS a, count(*) - count(lang) AS b, count(*) - count(source) AS c, count(*) - count(quality) AS d, count(*) - count(toxic) AS e
   FROM documents LEFT JOIN labels USING (doc_id)) x""")
 def docs_null_profile(spark, sf_dir):
     joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return P.null_profile(joined, ["text", "lang", "source", "quality", "toxic"])
+    return P.null_profile(joined, ["text", "lang", "source", "quality", "toxic"], digits=4)
 
 
 @query("""SELECT lang, round(avg((quality IS NULL)::INT), 6) AS missing_rate, round(avg(quality), 6) AS quality_mean, count(*) AS n
