@@ -1,29 +1,34 @@
 """URL filter by the ratio of two character language models.
 
 Rules decide first: a rule names a host, with all its subdomains, and how a path begins; of the rules
-that fit, the longest wins. URLs that a rule accepts and URLs that a rule rejects train one Markov model
-each: characters under contexts of up to five, every order smoothed with the shorter one by its number
-of distinct successors. A URL without a rule is judged by the difference of its log-likelihoods under
-both models, divided by its length; the cut between allow and block is calibrated on URLs that were not
-trained on.
+that fit, the longest wins. URLs that a rule accepts and URLs that a rule rejects make one Markov model
+each. A model counts the runs of up to six bytes of all its URLs; the probability of a byte is
+interpolated over contexts of nought to five bytes, each order smoothed with the shorter one, so a
+context that was never seen leaves the shorter one's answer. Counts of all URLs are summed over the
+cluster into a table of fixed size by hash, the only thing that is sent to every executor.
+
+A URL without a rule is judged by the difference of its log-likelihoods under both models, divided by
+its length. The cut between allow and block has the smallest balanced error on the fifth of ruled URLs
+that is not counted.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and no rule; null counts as
-an empty URL for the models; without URLs of both kinds all others are allowed; repeated rows get equal
-results; an empty table gives no rows; further columns are left out.
+an empty URL for the models; without URLs of both kinds all others are allowed; repeated rows count each
+and get equal results; an empty table gives no rows; further columns are left out.
 """
 
 from __future__ import annotations
 
 import string
-from collections import Counter
 from collections.abc import Iterator, Sequence
-from math import log
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from foliant.llm.textops import scramble, text_chunks
 from foliant.shipping import map_arrow
+from foliant.storage import materialize
 
 #: (host, path, verdict)
 RULES = (
@@ -34,8 +39,12 @@ RULES = (
     ("com", "/de/", "block"),
 )
 ORDER = 5
-#: Most URLs of a kind that train the models.
-MOST_URLS = 8000
+#: Pull of the shorter context, in observations.
+PULL = 3.0
+#: Bits of the table of counts.
+BITS = 20
+#: Scores are calibrated in bins of this width, from -LIMIT to LIMIT.
+BIN, LIMIT = 0.002, 8.0
 _AFTER = r"://([^/?#]*)([^?#]*)"
 
 
@@ -54,92 +63,136 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, st
     return found
 
 
-class MarkovModel:
-    """Interpolated variable-order model of bytes, with an end of the text."""
-
-    END = b"\xff"
-
-    def __init__(self, texts: Sequence[bytes], order: int = ORDER):
-        self.order = order
-        self.pairs: Counter[bytes] = Counter()
-        for text in texts:
-            text += self.END
-            for n in range(1, order + 2):
-                self.pairs.update([text[i : i + n] for i in range(len(text) - n + 1)])
-        self.totals: Counter[bytes] = Counter()
-        self.kinds: Counter[bytes] = Counter()
-        for gram, count in self.pairs.items():
-            self.totals[gram[:-1]] += count
-            self.kinds[gram[:-1]] += 1
-
-    def log_probability(self, context: bytes, symbol: bytes) -> float:
-        p = 1 / 256
-        for n in range(min(self.order, len(context)) + 1):
-            known = context[len(context) - n :]
-            total = self.totals.get(known)
-            if not total:
-                break
-            kinds = self.kinds[known]
-            p = (self.pairs.get(known + symbol, 0) + kinds * p) / (total + kinds)
-        return log(p)
-
-
-class UrlJudge:
-    """Calibrated difference of two models."""
-
-    def __init__(self, accepted: Sequence[bytes], rejected: Sequence[bytes], order: int = ORDER):
-        held = lambda urls, yes: [u for i, u in enumerate(urls) if (i % 5 == 0) == yes] if len(urls) >= 10 else list(urls)
-        self.order, self.cut, self.memory = order, 0.0, {}
-        self.good, self.bad = MarkovModel(held(accepted, False), order), MarkovModel(held(rejected, False), order)
-        good = np.array([self.score(u) for u in held(accepted, True)])
-        bad = np.array([self.score(u) for u in held(rejected, True)])
-        cuts = np.unique(np.concatenate((good, bad)))
-        middle = np.concatenate((cuts[:1], (cuts[1:] + cuts[:-1]) / 2))
-        good.sort()
-        bad.sort()
-        errors = np.searchsorted(good, middle) / len(good) + 1 - np.searchsorted(bad, middle) / len(bad)
-        self.cut = float(middle[errors.argmin()])
-
-    def score(self, url: bytes) -> float:
-        """Mean log-likelihood difference of a symbol; above 0 it is liker the accepted URLs."""
-        text, total = url + MarkovModel.END, 0.0
-        for i in range(len(text)):
-            gram = text[max(0, i - self.order) : i + 1]
-            value = self.memory.get(gram)
-            if value is None:
-                value = self.good.log_probability(gram[:-1], gram[-1:]) - self.bad.log_probability(gram[:-1], gram[-1:])
-                if len(self.memory) < 1_000_000:
-                    self.memory[gram] = value
-            total += value
-        return total / len(text)
+_U = np.uint64
+_BYTES = np.random.Generator(np.random.PCG64(31)).integers(1, 2**64, 256, dtype=_U)
+_STEP = _U(0x9E3779B97F4A7C15)
+_END = 0xFF  # no byte of UTF-8
+
+
+def symbols(urls: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows ``lo`` to ``hi`` with all their bytes, each URL closed by an end symbol, and where each begins."""
+    for lo, hi, data, offsets in text_chunks(urls):
+        begins = offsets[:-1] + np.arange(hi - lo)
+        out = np.full(len(data) + hi - lo, _END, dtype=np.uint8)
+        sizes = np.diff(offsets)
+        out[np.arange(len(data)) + np.repeat(np.arange(hi - lo), sizes)] = data
+        yield lo, hi, out, begins
+
+
+def runs(data: np.ndarray, begins: np.ndarray, order: int = ORDER, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length from 1 to ``order`` + 1: where runs of that length end, and their slots."""
+    place = np.arange(len(data)) - np.repeat(begins, np.diff(np.append(begins, len(data))))
+    codes, hashes, out, factor = _BYTES[data], np.zeros(len(data), dtype=_U), [], _U(1)
+    for n in range(1, order + 2):
+        hashes[n - 1 :] += codes[: max(0, len(codes) - n + 1)] * factor
+        factor = _U(int(factor) * int(_STEP) % 2**64)
+        ends = np.flatnonzero(place >= n - 1)
+        out.append((ends, (scramble(hashes[ends] + _U(n)) >> _U(64 - bits)).astype(np.int64)))
+    return out
+
+
+@dataclass
+class UrlModels:
+    """Counts of accepted and of rejected URLs by slot, and their numbers of symbols."""
+
+    counts: np.ndarray  # 2 x slots
+    totals: np.ndarray  # 2
+    order: int = ORDER
+    bits: int = BITS
+    pull: float = PULL
+
+    def log_probabilities(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Of every symbol under both models."""
+        p = np.full((2, len(data)), 1 / 256)
+        context = np.repeat(self.totals[:, None].astype(np.float64), len(data), axis=1)  # of the empty context
+        for ends, slots in runs(data, begins, self.order, self.bits):
+            seen = self.counts[:, slots]
+            p[:, ends] = (seen + self.pull * p[:, ends]) / (context[:, ends] + self.pull)
+            context[:, :] = 0
+            following = ends + 1
+            inside = following < len(data)
+            context[:, following[inside]] = seen[:, inside]
+        return np.log(p)
+
+    def scores(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Mean log-likelihood difference of each URL's symbols; above 0 it is liker the accepted ones."""
+        good, bad = self.log_probabilities(data, begins)
+        return np.add.reduceat(good - bad, begins) / np.diff(np.append(begins, len(data)))
+
+
+def counts_of(urls: pa.Array, good: np.ndarray, order: int = ORDER, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by kind and slot, and symbols by kind; a run of full length is no context of anything."""
+    counts, totals = np.zeros(2 << bits, dtype=np.int64), np.zeros(2, dtype=np.int64)
+    for lo, hi, data, begins in symbols(urls):
+        kind = np.repeat(np.where(good[lo:hi], 0, 1), np.diff(np.append(begins, len(data))))
+        totals += np.bincount(kind, minlength=2)
+        for ends, slots in runs(data, begins, order, bits):
+            counts += np.bincount((kind[ends] << bits) + slots, minlength=2 << bits)
+    return counts.reshape(2, -1), totals
+
+
+def _count(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, totals = np.zeros((2, 1 << bits), dtype=np.int64), np.zeros(2, dtype=np.int64)
+        for batch in batches:
+            more = counts_of(batch.column("url"), batch.column("good").to_numpy(zero_copy_only=False), bits=bits)
+            counts, totals = counts + more[0], totals + more[1]
+        slots = np.flatnonzero(counts.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(slots, -1)), pa.array(np.append(counts[0, slots], totals[0])), pa.array(np.append(counts[1, slots], totals[1]))], ["slot", "good", "bad"])
+
+    return run
 
 
 def _judge(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge: UrlJudge = shared.value
+        models: UrlModels = shared.value
         for batch in batches:
-            scores = [judge.score((u or "").encode("utf-8", "replace")) for u in batch.column("url").to_pylist()]
             rest = batch.select([x for x in batch.schema.names if x != "url"])
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(scores, pa.float64())], [*rest.schema.names, "score"])
+            for lo, hi, data, begins in symbols(batch.column("url")):
+                part = rest.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(models.scores(data, begins))], [*part.schema.names, "score"])
 
     return run
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, most_urls: int = MOST_URLS, page_id: str = "page_id", url: str = "url") -> DataFrame:
-    """``page_id, host, path, rule, verdict, score`` of every row; the models are trained on at most
-    ``most_urls`` distinct URLs of a kind, those with the smallest hashes."""
+def fit(ruled: DataFrame, bits: int = BITS) -> UrlModels:
+    """Models of all rows of ``url, good``."""
+    summed = map_arrow(ruled, _count(bits), "slot long, good long, bad long").groupBy("slot").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    table = summed.toPandas()  # at most 2**bits + 1 rows
+    counts, totals, at = np.zeros((2, 1 << bits)), np.zeros(2), table["slot"].to_numpy()
+    for kind, name in enumerate(("good", "bad")):
+        values = table[name].to_numpy()
+        counts[kind, at[at >= 0]] = values[at >= 0]
+        totals[kind] = values[at < 0].sum()
+    return UrlModels(counts.astype(np.float32), totals, bits=bits)
+
+
+def best_cut(scored: DataFrame) -> float:
+    """Cut of the smallest balanced error over rows of ``score, good``, from counts of score bins."""
+    at = F.floor(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("score"))) / BIN)
+    bins = scored.groupBy(at.alias("bin")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).toPandas().sort_values("bin")
+    if not len(bins) or not bins["good"].sum() or not bins["bad"].sum():
+        return 0.0
+    lost = np.append(0, np.cumsum(bins["good"])) / bins["good"].sum()
+    let = 1 - np.append(0, np.cumsum(bins["bad"])) / bins["bad"].sum()
+    edges = np.append(bins["bin"], bins["bin"].iloc[-1] + 1)
+    best = np.flatnonzero(lost + let == (lost + let).min())
+    below = edges[best[0] - 1] + 1 if best[0] else edges[0]
+    return float((below + edges[best[-1]]) / 2 * BIN)
+
+
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, bits: int = BITS, page_id: str = "page_id", url: str = "url") -> DataFrame:
+    """``page_id, host, path, rule, verdict, score`` of every row."""
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), host.alias("host"), path.alias("path")).withColumn("_match", matching_rule(F.col("host"), F.col("path"), rules))
-    kinds = {}
-    for kind in ("allow", "block"):
-        chosen = rows.where(F.col("_match.verdict") == kind).select("url").distinct().orderBy(F.md5("url"), "url").limit(most_urls)
-        kinds[kind] = [r["url"].encode("utf-8", "replace") for r in chosen.collect()]
-    rows = rows.select("page_id", "host", "path", F.col("_match.rule").alias("rule"), F.col("_match.verdict").alias("_ruled"), "url")
-    if not kinds["allow"] or not kinds["block"]:
+    rows = rows.select("page_id", "host", "path", F.col("_match.rule").alias("rule"), F.col("_match.verdict").alias("ruled"), (F.crc32(F.coalesce("url", F.lit(""))) % 5 == 0).alias("aside"), "url")
+    good = F.col("ruled") == "allow"
+    models = fit(rows.where(F.col("ruled").isNotNull() & ~F.col("aside")).select("url", good.alias("good")), bits)
+    if not models.totals.all():
         scored, cut = rows.drop("url").withColumn("score", F.lit(0.0)), 0.0
     else:
-        judge = UrlJudge(kinds["allow"], kinds["block"])
-        cut = judge.cut
-        scored = map_arrow(rows, _judge(pages.sparkSession.sparkContext.broadcast(judge)), "page_id long, host string, path string, rule string, _ruled string, score double")
-    verdict = F.coalesce("_ruled", F.when(F.col("score") >= cut, "allow").otherwise("block"))
+        scored = map_arrow(rows, _judge(pages.sparkSession.sparkContext.broadcast(models)), "page_id long, host string, path string, rule string, ruled string, aside boolean, score double")
+        scored = materialize(scored, "url-scores")
+        cut = best_cut(scored.where(F.col("ruled").isNotNull() & F.col("aside")).select("score", good.alias("good")))
+    verdict = F.coalesce("ruled", F.when(F.col("score") >= cut, "allow").otherwise("block"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
