@@ -96,12 +96,12 @@ def pages_text(spark, sf_dir):
     return X.with_visible_text(table(spark, sf_dir, "pages").select("page_id", "html"), "html").select("page_id", F.length("visible_text").alias("n_chars"), "visible_text")
 
 
-@query("""SELECT conv_id, '[' || string_agg('{"role":' || to_json(role)::VARCHAR || ',"content":' || to_json(left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 20))::VARCHAR || '}', ',' ORDER BY turn, role, text) || ']' AS messages FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, '[' || string_agg('{"role":' || to_json(role)::VARCHAR || ',"content":' || to_json(regexp_replace(text, '[^A-Za-z ]', '', 'g'))::VARCHAR || '}', ',' ORDER BY turn, role, text) || ']' AS messages FROM conversations GROUP BY conv_id""")
 def conv_messages(spark, sf_dir):
     """Turns of a conversation as one message list in JSON."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", "text").alias("t"))
     lists = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    return lists.select("conv_id", F.to_json(F.transform("ts", lambda t: F.struct(t["role"].alias("role"), F.left(F.regexp_replace(t["text"], "[^A-Za-z ]", ""), F.lit(20)).alias("content")))).alias("messages"))
+    return lists.select("conv_id", F.to_json(F.transform("ts", lambda t: F.struct(t["role"].alias("role"), F.regexp_replace(t["text"], "[^A-Za-z ]", "").alias("content")))).alias("messages"))
 
 
 @query("""SELECT c_custkey, '{"name":' || to_json(c_name)::VARCHAR || ',"segment":' || to_json(c_mktsegment)::VARCHAR || '}' AS metadata FROM customer""")
@@ -320,17 +320,16 @@ def eval_llm_summary(spark, sf_dir):
     return E.run_summary(runs, ("llm",))
 
 
-@query(f"""WITH w AS (SELECT doc_id, list_slice(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> ''), 1, 50) AS a FROM documents),
-  b AS (SELECT list_slice(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> ''), 1, 50) AS g FROM benchmark WHERE item_id = 0),
-  x AS (SELECT doc_id, a, g, list_sum(list_transform(list_distinct(a), lambda t: least(len(list_filter(a, lambda y: y = t)), len(list_filter(g, lambda y: y = t)))))::DOUBLE AS hit FROM w, b)
-  SELECT doc_id, round(CASE WHEN coalesce(hit, 0) = 0 THEN 0.0::DOUBLE ELSE 2 * (hit / len(a)) * (hit / len(g)) / (hit / len(a) + hit / len(g)) END, 6) AS rouge1 FROM x""")
+@query("""WITH w AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS a FROM conversations),
+  x AS (SELECT p.conv_id, p.turn, p.a, g.a AS g, list_sum(list_transform(list_distinct(p.a), lambda t: least(len(list_filter(p.a, lambda y: y = t)), len(list_filter(g.a, lambda y: y = t)))))::DOUBLE AS hit
+    FROM w p JOIN w g ON p.conv_id = g.conv_id AND p.turn = g.turn + 1)
+  SELECT conv_id, turn, round(CASE WHEN coalesce(hit, 0) = 0 THEN 0.0::DOUBLE ELSE 2 * (hit / len(a)) * (hit / len(g)) / (hit / len(a) + hit / len(g)) END, 6) AS rouge1 FROM x""")
 def eval_rouge1(spark, sf_dir):
-    """Unigram F-measure of each document's opening against a benchmark item's."""
-    words = lambda c: F.slice(T.rouge_tokens(F.col(c)), 1, 50)
-    item = table(spark, sf_dir, "benchmark").where("item_id = 0").select(words("text").alias("g"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", words("text").alias("a")).crossJoin(F.broadcast(item))  # one row
+    """Unigram F-measure of each turn against the turn before it."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.rouge_tokens(F.col("text")).alias("a"))
+    pairs = turns.join(turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("a").alias("g")), ["conv_id", "turn"])
     hit = A.multiset_overlap(F.col("a"), F.col("g"))
-    return docs.select("doc_id", F.round(A.token_f1(hit, F.size("a"), F.size("g"))[2], 6).alias("rouge1"))
+    return pairs.select("conv_id", "turn", F.round(A.token_f1(hit, F.size("a"), F.size("g"))[2], 6).alias("rouge1"))
 
 
 @query("""SELECT c_custkey AS idx, (CASE WHEN c_custkey % 11 = 0 THEN 1 ELSE (c_custkey % 5 = 0)::INT + (c_custkey % 7 = 0 OR c_mktsegment = 'HOUSEHOLD')::INT END)::INT AS num_errors FROM customer""")
