@@ -69,8 +69,8 @@ def _heads(ids: DataFrame) -> DataFrame:
     groups = groups.withColumn("_super", F.shiftright("_group", 12))
     supers = groups.groupBy("_super").agg(F.max("_group").alias("_last"))
     order = Window.orderBy("_super")
-    end = supers.agg(F.max("_last").alias("_end"))
-    supers = supers.crossJoin(F.broadcast(end)).select("_super", F.coalesce(F.lag("_last").over(order), F.col("_end")).alias("_before_super"))
+    end = F.max("_last").over(Window.partitionBy())  # one row for two million ids
+    supers = supers.select("_super", F.coalesce(F.lag("_last").over(order), end).alias("_before_super"))
     inside = Window.partitionBy("_super").orderBy("_group")
     return groups.withColumn("_lag", F.lag("_group").over(inside)).join(supers, "_super").select(F.coalesce("_lag", "_before_super").alias("_to"), "_head")
 
