@@ -7,9 +7,9 @@ it also starts in a document with a smaller id; windows are judged on the input.
    windows have equal anchors, so a window can recur only if its anchor occurs in two different
    texts. Anchors are counted over all documents with map-side combining.
 2. Documents holding such anchors give fragments: the words of consecutive windows that share an
-   anchor. Whole copies of a text are settled by a digest and give none. Windows of an anchor that is
-   very frequent are sent alone, keyed by their own hash, so a phrase in a third of all documents does
-   not gather in one task. Equal fragments are merged before they move.
+   anchor. Whole copies of a text are settled by a digest and give none. Equal fragments are merged
+   before they move. An anchor with very many different fragments has its windows dealt one by one, by
+   their own hash, so a phrase in a third of all documents does not gather in one task.
 3. Fragments are dealt by anchor to shards. A shard confirms the windows that recur, compiles them
    into an Aho-Corasick automaton of bounded size and streams its fragments through it; every match is
    an occurrence with the smallest id of a document in which the window starts.
@@ -38,11 +38,10 @@ from foliant.storage import materialize
 
 WINDOW = 13
 ANCHOR = 4
-#: Occurrences of an anchor above which its windows travel alone.
+#: Different fragments of an anchor above which its windows are dealt one by one.
 HOT = 1000
 #: Characters of fragments in one automaton's shard.
 SHARD_CHARS = 2_000_000
-_HOT_SALT = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
 def _anchors_of(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int):
@@ -74,12 +73,11 @@ def _emit_fragments(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            calm, hot = batch.column(3), batch.column(4)
+            listed = batch.column(3)
             for lo, hi, data, offsets in text_chunks(batch.column(2)):
                 starts, ends, at, hashes, place, rows, least = _anchors_of(data, offsets, window, anchor)
                 if not len(least):
                     continue
-                whole = rolling(hashes, window)
                 out: list[tuple] = []
                 raw = data.tobytes()
                 bounds = np.searchsorted(rows, np.arange(hi - lo + 1))
@@ -88,28 +86,18 @@ def _emit_fragments(window: int, anchor: int):
                     if a == b:
                         continue
                     mine, first = least[a:b], at[row]
-                    words = None
-                    for listed, alone in ((calm, False), (hot, True)):
-                        known = np.asarray(listed[lo + row].values.to_numpy(zero_copy_only=False), dtype=np.int64).view(np.uint64)
-                        if not len(known):
-                            continue
-                        hit = np.isin(mine, known)
-                        if not hit.any():
-                            continue
-                        if words is None:
-                            words = raw[offsets[row] : offsets[row + 1]].split()
-                        if alone:
-                            begin = np.flatnonzero(hit)
-                            finish, routes = begin, whole[place[a:b][begin]] ^ _HOT_SALT
-                        else:
-                            edge = np.flatnonzero(np.concatenate(([True], (mine[1:] != mine[:-1]) | (hit[1:] != hit[:-1]), [True])))
-                            begin, finish = edge[:-1], edge[1:] - 1
-                            keep = hit[begin]
-                            begin, finish = begin[keep], finish[keep]
-                            routes = mine[begin]
-                        base = int(place[a] - first)
-                        for s, e, route in zip((begin + base).tolist(), (finish + base).tolist(), routes.view(np.int64).tolist()):
-                            out.append((ids[lo + row], marks[lo + row], route, s, b" ".join(words[s : e + window])))
+                    known = np.asarray(listed[lo + row].values.to_numpy(zero_copy_only=False), dtype=np.int64).view(np.uint64)
+                    hit = np.isin(mine, known)
+                    if not hit.any():
+                        continue
+                    words = raw[offsets[row] : offsets[row + 1]].split()
+                    edge = np.flatnonzero(np.concatenate(([True], (mine[1:] != mine[:-1]) | (hit[1:] != hit[:-1]), [True])))
+                    begin, finish = edge[:-1], edge[1:] - 1
+                    keep = hit[begin]
+                    begin, finish = begin[keep], finish[keep]
+                    base = int(place[a] - first)
+                    for s, e, route in zip((begin + base).tolist(), (finish + base).tolist(), mine[begin].view(np.int64).tolist()):
+                        out.append((ids[lo + row], marks[lo + row], route, s, b" ".join(words[s : e + window])))
                 if out:
                     columns = list(zip(*out))
                     yield pa.RecordBatch.from_arrays([*(pa.array(columns[i], pa.int64()) for i in range(3)), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.binary()).cast(pa.string())], ["doc_id", "mark", "route", "start", "fragment"])
@@ -170,6 +158,36 @@ def _locate(window: int, shard_chars: int):
     return run
 
 
+def _windows(window: int):
+    """Windows of fragments, each with its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, places, phrases = [], [], []
+            for row, text in enumerate(batch.column("fragment").to_pylist()):
+                words = text.split(" ")
+                for i in range(len(words) - window + 1):
+                    rows.append(row)
+                    places.append(i)
+                    phrases.append(" ".join(words[i : i + window]))
+            rest = batch.select(["route", "digest", "first", "last"]).take(pa.array(rows, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(places, pa.int32()), pa.array(phrases, pa.string())], ["route", "digest", "first", "last", "place", "fragment"])
+
+    return run
+
+
+def _located_in_crowds(distinct: DataFrame, window: int, shard_chars: int) -> DataFrame:
+    """As ``_locate``, for anchors with very many different fragments: their windows are dealt one by one."""
+    windows = map_arrow(distinct, _windows(window), "route long, digest long, first long, last long, place int, fragment string")
+    windows = windows.withColumn("phrase", F.xxhash64("fragment"))
+    merged = windows.groupBy(F.col("phrase").alias("route"), F.xxhash64("fragment", F.lit(1)).alias("digest"), "fragment").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    found = map_arrow(merged.repartition("route").sortWithinPartitions("route"), _locate(window, shard_chars), "route long, digest long, starts array<int>, firsts array<long>")
+    found = found.select(F.col("route").alias("phrase"), F.col("digest").alias("second"), F.col("firsts")[0].alias("smallest"))
+    placed = windows.withColumn("second", F.xxhash64("fragment", F.lit(1))).join(found, ["phrase", "second"]).where("smallest < last")
+    pairs = placed.groupBy("route", "digest").agg(F.collect_list(F.struct("place", "smallest")).alias("at"))  # windows of one fragment
+    return pairs.select("route", "digest", F.transform("at", lambda x: x["place"]).alias("starts"), F.transform("at", lambda x: x["smallest"]).alias("firsts"))
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT, shard_chars: int = SHARD_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, mark, windows, copy``: starts of windows that also start in a document with a smaller id.
 
@@ -178,21 +196,24 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     """
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     anchors = map_arrow(texts, _emit_anchors(window, anchor), "anchor long, doc_id long, mark long")
-    recurring = anchors.groupBy("anchor").agg(F.min("mark").alias("a"), F.max("mark").alias("b"), F.count("*").alias("n")).where("a < b").select("anchor", (F.col("n") > hot).alias("hot"))
+    recurring = anchors.groupBy("anchor").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a < b").select("anchor")
     digests = texts.select("doc_id", "mark", F.md5("text").alias("digest"))
     copied = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = digests.join(copied, "digest").where("doc_id > first").select("doc_id", "mark").distinct()
     copies = materialize(copies, "substring-copies")
-    held = anchors.select("anchor", "doc_id").join(recurring, "anchor").groupBy("doc_id").agg(
-        F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("calm"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("frequent")
-    )
+    held = anchors.select("anchor", "doc_id").join(recurring, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     held = materialize(held, "substring-anchors")
     held = held.join(copies.groupBy("doc_id").agg(F.collect_set("mark").alias("settled")), "doc_id", "left")
-    fragments = texts.join(held, "doc_id").where(~F.coalesce(F.array_contains("settled", F.col("mark")), F.lit(False))).select("doc_id", "mark", "text", "calm", "frequent")
+    fragments = texts.join(held, "doc_id").where(~F.coalesce(F.array_contains("settled", F.col("mark")), F.lit(False))).select("doc_id", "mark", "text", "anchors")
     fragments = map_arrow(fragments, _emit_fragments(window, anchor), "doc_id long, mark long, route long, start int, fragment string")
     fragments = materialize(fragments, "substring-fragments").withColumn("digest", F.xxhash64("fragment"))
     distinct = fragments.groupBy("route", "digest", "fragment").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    distinct = materialize(distinct, "substring-distinct")
+    crowded = distinct.groupBy("route").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("route")
+    crowds = distinct.join(crowded, "route", "left_semi")
+    distinct = distinct.join(crowded, "route", "left_anti")
     located = map_arrow(distinct.repartition("route").sortWithinPartitions("route"), _locate(window, shard_chars), "route long, digest long, starts array<int>, firsts array<long>")
+    located = located.unionByName(_located_in_crowds(crowds, window, shard_chars))
     mine = F.transform(F.filter(F.arrays_zip("starts", "firsts"), lambda x: x["firsts"] < F.col("doc_id")), lambda x: x["starts"] + F.col("start"))
     hits = fragments.select("doc_id", "mark", "route", "digest", "start").join(located, ["route", "digest"]).select("doc_id", "mark", mine.alias("windows")).where(F.size("windows") > 0)
     windows = hits.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("windows")).alias("windows"), F.lit(False).alias("copy"))
