@@ -4,8 +4,10 @@ Rules decide first: a rule names a host, with all its subdomains, and how a path
 that fit, the longest wins. URLs that a rule accepts and URLs that a rule rejects make one Markov model
 each. A model counts the runs of up to six bytes of all its URLs; the probability of a byte is
 interpolated over contexts of nought to five bytes, each order smoothed with the shorter one, so a
-context that was never seen leaves the shorter one's answer. Counts of all URLs are summed over the
-cluster into a table of fixed size by hash, the only thing that is sent to every executor.
+context that was never seen leaves the shorter one's answer. Counts are exact: a run's key holds its
+bytes and its length. They are summed over the cluster into a written table. Up to ``BOUND`` different
+runs are sent to every executor; beyond it each run's log-likelihood difference is found by joins, the
+most frequent ones are sent, and the others are joined to the URLs that hold them.
 
 A URL without a rule is judged by the difference of its log-likelihoods under both models, divided by
 its length. The cut between allow and block has the smallest balanced error on the fifth of ruled URLs
@@ -21,12 +23,14 @@ from __future__ import annotations
 import string
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foliant.llm.textops import scramble, text_chunks
+from foliant.llm.textops import text_chunks
 from foliant.shipping import map_arrow
 from foliant.storage import materialize
 
@@ -41,8 +45,8 @@ RULES = (
 ORDER = 5
 #: Pull of the shorter context, in observations.
 PULL = 3.0
-#: Bits of the table of counts.
-BITS = 20
+#: Different runs that are sent to every executor at most.
+BOUND = 1 << 20
 #: Scores are calibrated in bins of this width, from -LIMIT to LIMIT.
 BIN, LIMIT = 0.002, 8.0
 _AFTER = r"://([^/?#]*)([^?#]*)"
@@ -63,10 +67,11 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, st
     return found
 
 
-_U = np.uint64
-_BYTES = np.random.Generator(np.random.PCG64(31)).integers(1, 2**64, 256, dtype=_U)
-_STEP = _U(0x9E3779B97F4A7C15)
 _END = 0xFF  # no byte of UTF-8
+#: A key is a run's length above this bit and its bytes below.
+_LENGTH = 48
+#: Joined differences are whole numbers of this unit, so that their sums do not depend on the order.
+_UNIT = 2.0**-32
 
 
 def symbols(urls: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -79,34 +84,43 @@ def symbols(urls: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         yield lo, hi, out, begins
 
 
-def runs(data: np.ndarray, begins: np.ndarray, order: int = ORDER, bits: int = BITS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each length from 1 to ``order`` + 1: where runs of that length end, and their slots."""
+def runs(data: np.ndarray, begins: np.ndarray, order: int = ORDER) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length from 1 to ``order`` + 1, at most 6: where runs of that length end, and their keys."""
     place = np.arange(len(data)) - np.repeat(begins, np.diff(np.append(begins, len(data))))
-    codes, hashes, out, factor = _BYTES[data], np.zeros(len(data), dtype=_U), [], _U(1)
+    packed, out = np.zeros(len(data), dtype=np.int64), []
     for n in range(1, order + 2):
-        hashes[n - 1 :] += codes[: max(0, len(codes) - n + 1)] * factor
-        factor = _U(int(factor) * int(_STEP) % 2**64)
+        packed[n - 1 :] |= data[: max(0, len(data) - n + 1)].astype(np.int64) << 8 * (n - 1)
         ends = np.flatnonzero(place >= n - 1)
-        out.append((ends, (scramble(hashes[ends] + _U(n)) >> _U(64 - bits)).astype(np.int64)))
+        out.append((ends, packed[ends] | n << _LENGTH))
     return out
 
 
+class Counts(NamedTuple):
+    """Runs in ascending order of their keys, and how often accepted, rejected and other URLs hold each."""
+
+    keys: np.ndarray
+    counts: np.ndarray  # 3 x runs
+
+
 @dataclass
 class UrlModels:
-    """Counts of accepted and of rejected URLs by slot, and their numbers of symbols."""
+    """Counts of accepted and of rejected URLs by run, and their numbers of symbols."""
 
-    counts: np.ndarray  # 2 x slots
+    counts: Counts
     totals: np.ndarray  # 2
     order: int = ORDER
-    bits: int = BITS
     pull: float = PULL
 
+    def seen(self, keys: np.ndarray) -> np.ndarray:
+        at, hit = find(self.counts.keys, keys)
+        return np.where(hit, self.counts.counts[:2, at], 0)
+
     def log_probabilities(self, data: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Of every symbol under both models."""
         p = np.full((2, len(data)), 1 / 256)
         context = np.repeat(self.totals[:, None].astype(np.float64), len(data), axis=1)  # of the empty context
-        for ends, slots in runs(data, begins, self.order, self.bits):
-            seen = self.counts[:, slots]
+        for ends, keys in runs(data, begins, self.order):
+            seen = self.seen(keys)
             p[:, ends] = (seen + self.pull * p[:, ends]) / (context[:, ends] + self.pull)
             context[:, :] = 0
             following = ends + 1
@@ -120,27 +134,38 @@ class UrlModels:
         return np.add.reduceat(good - bad, begins) / np.diff(np.append(begins, len(data)))
 
 
-def counts_of(urls: pa.Array, good: np.ndarray, order: int = ORDER, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Counts by kind and slot, and symbols by kind; a run of full length is no context of anything."""
-    counts, totals = np.zeros(2 << bits, dtype=np.int64), np.zeros(2, dtype=np.int64)
+def find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in the ascending, not empty ``known``, and whether each is there."""
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return at, known[at] == keys
+
+
+def counts_of(urls: pa.Array, good: np.ndarray, ruled: np.ndarray | None = None) -> tuple[Counts, np.ndarray]:
+    """Counts by kind and run, and symbols of accepted and rejected URLs; without ``ruled`` every URL is one of them."""
+    kinds = np.where(good, 0, 1) if ruled is None else np.where(ruled, np.where(good, 0, 1), 2)
+    found, totals = [Counts(np.zeros(0, dtype=np.int64), np.zeros((3, 0), dtype=np.int64))], np.zeros(2, dtype=np.int64)
     for lo, hi, data, begins in symbols(urls):
-        kind = np.repeat(np.where(good[lo:hi], 0, 1), np.diff(np.append(begins, len(data))))
-        totals += np.bincount(kind, minlength=2)
-        for ends, slots in runs(data, begins, order, bits):
-            counts += np.bincount((kind[ends] << bits) + slots, minlength=2 << bits)
-    return counts.reshape(2, -1), totals
+        kind = np.repeat(kinds[lo:hi], np.diff(np.append(begins, len(data))))
+        totals += np.bincount(kind, minlength=3)[:2]
+        for ends, keys in runs(data, begins):
+            different, which = np.unique(keys, return_inverse=True)
+            found.append(Counts(different, np.bincount(which + len(different) * kind[ends], minlength=3 * len(different)).reshape(3, -1)))
+    keys, which = np.unique(np.concatenate([x.keys for x in found]), return_inverse=True)
+    counts = np.zeros((3, len(keys)), dtype=np.int64)
+    np.add.at(counts, (slice(None), which), np.concatenate([x.counts for x in found], axis=1))
+    return Counts(keys, counts), totals
 
 
-def _count(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, totals = np.zeros((2, 1 << bits), dtype=np.int64), np.zeros(2, dtype=np.int64)
-        for batch in batches:
-            more = counts_of(batch.column("url"), batch.column("good").to_numpy(zero_copy_only=False), bits=bits)
-            counts, totals = counts + more[0], totals + more[1]
-        slots = np.flatnonzero(counts.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(slots, -1)), pa.array(np.append(counts[0, slots], totals[0])), pa.array(np.append(counts[1, slots], totals[1]))], ["slot", "good", "bad"])
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        good, ruled = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("good", "ruled"))
+        (keys, counts), _ = counts_of(batch.column("url"), good, ruled)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts[0]), pa.array(counts[1]), pa.array(counts.sum(axis=0))], ["run", "good", "bad", "n"])
 
-    return run
+
+def count_runs(urls: DataFrame) -> DataFrame:
+    """``run, good, bad, n`` of rows of ``url, good, ruled``: times in accepted, in rejected and in all URLs."""
+    return map_arrow(urls, _count, "run long, good long, bad long, n long").groupBy("run").agg(*[F.sum(x).alias(x) for x in ("good", "bad", "n")])
 
 
 def _judge(shared):
@@ -155,16 +180,66 @@ def _judge(shared):
     return run
 
 
-def fit(ruled: DataFrame, bits: int = BITS) -> UrlModels:
-    """Models of all rows of ``url, good``."""
-    summed = map_arrow(ruled, _count(bits), "slot long, good long, bad long").groupBy("slot").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    table = summed.toPandas()  # at most 2**bits + 1 rows
-    counts, totals, at = np.zeros((2, 1 << bits)), np.zeros(2), table["slot"].to_numpy()
-    for kind, name in enumerate(("good", "bad")):
-        values = table[name].to_numpy()
-        counts[kind, at[at >= 0]] = values[at >= 0]
-        totals[kind] = values[at < 0].sum()
-    return UrlModels(counts.astype(np.float32), totals, bits=bits)
+def differences(counts: DataFrame, totals: np.ndarray) -> DataFrame:
+    """``run, n, ratio``: the difference of the last byte's log-likelihoods after the rest of the run, in units.
+
+    ``counts`` holds the runs of all URLs that are judged, so a run's context and its shorter form have rows.
+    At most 256 runs meet one context or one shorter form.
+    """
+    levels: list[DataFrame] = []
+    for n in range(1, ORDER + 2):
+        level = counts.where(F.shiftright("run", _LENGTH) == n)
+        if n == 1:
+            level = level.select("*", *[F.lit(float(x)).alias(f"of_{k}") for k, x in zip(("good", "bad"), totals)], *[F.lit(1 / 256).alias(f"p_{k}") for k in ("good", "bad")])
+        else:
+            shift = F.lit((n - 1) << _LENGTH)
+            level = level.withColumns({"context": F.shiftright(F.col("run") - (n << _LENGTH), 8) + shift, "shorter": F.col("run").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1)) + shift})
+            contexts = counts.where(F.shiftright("run", _LENGTH) == n - 1).select(F.col("run").alias("context"), F.col("good").alias("of_good"), F.col("bad").alias("of_bad"))
+            level = level.join(contexts, "context").join(levels[-1].select(F.col("run").alias("shorter"), "p_good", "p_bad"), "shorter")
+        level = level.select("run", "n", *[((F.col(k) + PULL * F.col(f"p_{k}")) / (F.col(f"of_{k}") + PULL)).alias(f"p_{k}") for k in ("good", "bad")])
+        levels.append(materialize(level, f"url-runs-{n}"))
+    ratio = F.round((F.log("p_good") - F.log("p_bad")) / _UNIT).cast("long")
+    return reduce(DataFrame.unionByName, levels).select("run", "n", ratio.alias("ratio"))
+
+
+def _look_up(shared):
+    """Of each URL the sum of the differences that are at hand, without a run, and a row for each other run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ratios = shared.value
+        for batch in batches:
+            ids = batch.column("row").to_numpy()
+            for lo, hi, data, begins in symbols(batch.column("url")):
+                longest = np.zeros(len(data), dtype=np.int64)
+                for ends, keys in runs(data, begins):
+                    longest[ends] = keys
+                at, hit = find(known, longest)
+                sums = np.add.reduceat(np.where(hit, ratios[at], 0), begins)
+                owners = np.repeat(ids[lo:hi], np.diff(np.append(begins, len(data))))[~hit]
+                of = pa.concat_arrays([pa.nulls(hi - lo, pa.int64()), pa.array(longest[~hit])])
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(ids[lo:hi], owners)), of, pa.array(np.append(sums, np.zeros(len(owners), dtype=np.int64)))], ["row", "run", "ratio"])
+
+    return run
+
+
+def joined_scores(rows: DataFrame, counts: DataFrame, totals: np.ndarray, bound: int) -> DataFrame:
+    """``rows`` with their score for ``url``, by at most ``bound`` differences sent and the others joined."""
+    ratios = materialize(differences(counts, totals), "url-runs")
+    bits = F.length(F.bin("n"))
+    sizes = ratios.groupBy(bits.alias("bits")).agg(F.count(F.lit(1)).alias("k")).toPandas().sort_values("bits", ascending=False)  # at most 63 rows
+    fits = sizes["bits"][sizes["k"].cumsum() <= bound]
+    least = int(fits.min()) if len(fits) else 64
+    sent = ratios.where(bits >= least).select("run", "ratio").toArrow().sort_by("run")  # at most ``bound`` rows
+    known = sent["run"].to_numpy(), sent["ratio"].to_numpy()
+    if not len(known[0]):
+        known = np.full(1, -1), np.zeros(1, dtype=np.int64)
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "url-rows")
+    parts = map_arrow(rows.select("row", "url"), _look_up(rows.sparkSession.sparkContext.broadcast(known)), "row long, run long, ratio long")
+    parts = materialize(parts, "url-parts")
+    rare = parts.where(F.col("run").isNotNull()).select("row", "run").join(ratios.where(bits < least).select("run", "ratio"), "run")
+    sums = parts.where(F.col("run").isNull()).select("row", "ratio").unionByName(rare.select("row", "ratio")).groupBy("row").agg(F.sum("ratio").alias("ratio"))
+    size = F.octet_length(F.coalesce("url", F.lit(""))) + 1
+    return rows.join(sums, "row").withColumn("score", F.col("ratio") * _UNIT / size).drop("row", "ratio", "url")
 
 
 def best_cut(scored: DataFrame) -> float:
@@ -181,17 +256,25 @@ def best_cut(scored: DataFrame) -> float:
     return float((below + edges[best[-1]]) / 2 * BIN)
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, bits: int = BITS, page_id: str = "page_id", url: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, bound: int = BOUND, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` of every row."""
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), host.alias("host"), path.alias("path")).withColumn("_match", matching_rule(F.col("host"), F.col("path"), rules))
     rows = rows.select("page_id", "host", "path", F.col("_match.rule").alias("rule"), F.col("_match.verdict").alias("ruled"), (F.crc32(F.coalesce("url", F.lit(""))) % 5 == 0).alias("aside"), "url")
     good = F.col("ruled") == "allow"
-    models = fit(rows.where(F.col("ruled").isNotNull() & ~F.col("aside")).select("url", good.alias("good")), bits)
-    if not models.totals.all():
+    counted = F.col("ruled").isNotNull() & ~F.col("aside")
+    counts = materialize(count_runs(rows.select("url", F.coalesce(good, F.lit(False)).alias("good"), counted.alias("ruled"))), "url-counts")
+    single = F.shiftright("run", _LENGTH) == 1
+    size, *totals = counts.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(F.when(single, F.col(x))), F.lit(0)) for x in ("good", "bad")]).first()
+    if not all(totals):
         scored, cut = rows.drop("url").withColumn("score", F.lit(0.0)), 0.0
     else:
-        scored = map_arrow(rows, _judge(pages.sparkSession.sparkContext.broadcast(models)), "page_id long, host string, path string, rule string, ruled string, aside boolean, score double")
+        if size <= bound:
+            table = counts.where("good + bad > 0").toArrow().sort_by("run")  # at most ``bound`` rows
+            models = UrlModels(Counts(table["run"].to_numpy(), np.stack([table[x].to_numpy() for x in ("good", "bad")]).astype(np.float64)), np.array(totals))
+            scored = map_arrow(rows, _judge(pages.sparkSession.sparkContext.broadcast(models)), "page_id long, host string, path string, rule string, ruled string, aside boolean, score double")
+        else:
+            scored = joined_scores(rows, counts, np.array(totals), bound)
         scored = materialize(scored, "url-scores")
         cut = best_cut(scored.where(F.col("ruled").isNotNull() & F.col("aside")).select("score", good.alias("good")))
     verdict = F.coalesce("ruled", F.when(F.col("score") >= cut, "allow").otherwise("block"))

@@ -107,6 +107,30 @@ def test_url_models_tell_kinds_apart(spark):
     assert sum((r.verdict == "allow") == (r.page_id < 6000) for r in found) >= 95 and len(found) == 100
 
 
+def test_url_runs_never_share_a_count(spark):
+    rng = np.random.default_rng(11)
+    urls = [f"https://{rng.bytes(24).hex()}.org/{rng.bytes(24).hex()}" for _ in range(15000)]
+    rows = spark.createDataFrame([(u, i % 2 == 0, i % 3 > 0) for i, u in enumerate(urls)], "url string, good boolean, ruled boolean")
+    counts, texts = U.count_runs(rows), [u.encode() + b"\xff" for u in urls]
+    found = {r.run: (r.good, r.bad, r.n) for r in counts.collect()}
+    assert len(found) == len({t[i : i + n] for t in texts for n in range(1, 7) for i in range(len(t) - n + 1)}) > 1 << 20
+    for run in (texts[0][8:14], texts[1][-3:], b"https:", b".org/", b"a"):
+        seen = [sum(t[i : i + len(run)] == run for i in range(len(t))) for t in texts]
+        wanted = [sum(c for i, c in enumerate(seen) if i % 3 > 0 and i % 2 == k) for k in (0, 1)]
+        assert found[len(run) << 48 | int.from_bytes(run)] == (*wanted, sum(seen))
+
+
+@pytest.mark.parametrize("bound", [0, 1, 200])
+def test_url_verdicts_do_not_depend_on_the_bound(spark, bound):
+    rows = [(i, f"https://site{i}.org/en/{i * 7}") for i in range(60)] + [(100 + i, f"https://pills{i}.com/de/{i * 3}") for i in range(60)]
+    rows += [(i % 210, f"http://other{i % 7}.net/{i * 11}") for i in range(200, 240)] + [(300, None), (301, ""), (302, "é"), (302, "é"), (0, "https://site0.org/en/0")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    key = ["page_id", "host", "path", "score"]
+    whole, joined = U.judge_urls(pages).orderBy(*key).collect(), U.judge_urls(pages, bound=bound).orderBy(*key).collect()
+    assert [r[:5] for r in whole] == [r[:5] for r in joined] and len(joined) == len(rows)
+    assert np.allclose([r.score for r in whole], [r.score for r in joined], atol=1e-8)
+
+
 def brute(ids, vectors, every, k):
     out = {}
     for q in sorted({i for i in ids if i % every == 0}):
