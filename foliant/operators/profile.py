@@ -66,6 +66,24 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
     return counts.select("bin", "n", F.round(F.sum("n").over(order) / F.sum("n").over(Window.partitionBy()), 6).alias("cumulative"))
 
 
+def whole_histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
+    """``bin, low, n, cumulative`` over equal bins from the least to the greatest value; empty bins have rows.
+
+    ``low`` is the bin's lower edge, and the last bin includes the greatest value. Cumulative counts are
+    divided by all rows, null ones too. If all values are equal, the bins cover a width of 1 around them.
+    Without a value there are no rows.
+    """
+    v = F.col(value).cast("double")
+    ends = df.agg(F.min(v).alias("_a"), F.max(v).alias("_b"), F.count(F.lit(1)).alias("_rows")).where("_a is not null")  # one row
+    pad = F.when(F.col("_a") == F.col("_b"), 0.5).otherwise(0.0)
+    ends = ends.select((F.col("_a") - pad).alias("_low"), ((F.col("_b") - F.col("_a") + 2 * pad) / bins).alias("_width"), "_rows")
+    at = F.least(F.floor((v - F.col("_low")) / F.col("_width")), F.lit(bins - 1)).cast("int")
+    counts = df.where(v.isNotNull()).crossJoin(F.broadcast(ends)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).crossJoin(F.broadcast(ends)).join(counts, "bin", "left")
+    n, order = F.coalesce("n", F.lit(0)), Window.orderBy("bin")  # ``bins`` rows
+    return every.select("bin", F.round(F.col("_low") + F.col("bin") * F.col("_width"), 6).alias("low"), n.alias("n"), F.round(F.sum(n).over(order) / F.col("_rows"), 6).alias("cumulative"))
+
+
 def uniqueness(df: DataFrame, key: str) -> DataFrame:
     """Rows, distinct values, duplicates, whether all differ, share of rows whose value occurs once."""
     counts = df.groupBy(key).agg(F.count("*").alias("_n"))

@@ -73,9 +73,19 @@ def docs_length_quantiles(spark, sf_dir):
 @query("""WITH b AS (SELECT least(floor(length(text) / 100.0), 49)::INT AS bin FROM documents WHERE length(text) BETWEEN 0 AND 5000),
   c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin) SELECT bin, n, round(sum(n) OVER (ORDER BY bin)::DOUBLE / sum(n) OVER (), 6) AS cumulative FROM c""")
 def docs_length_hist(spark, sf_dir):
+    """Documents of up to 5000 characters alone; ``docs_length_hist_whole`` has all."""
     return P.histogram(table(spark, sf_dir, "documents").withColumn("len", F.length("text")), "len", 0.0, 5000.0, 50)
 
 
+@query("""WITH d AS (SELECT length(text)::DOUBLE AS x FROM documents), e AS (SELECT min(x) AS a, max(x) AS b, count(*) AS n_all FROM d),
+  r AS (SELECT CASE WHEN a = b THEN a - 0.5::DOUBLE ELSE a END AS low, CASE WHEN a = b THEN 1.0::DOUBLE ELSE b - a END / 50.0::DOUBLE AS width, n_all FROM e WHERE a IS NOT NULL),
+  c AS (SELECT least(floor((x - low) / width), 49)::INT AS bin, count(*) AS n FROM d, r WHERE x IS NOT NULL GROUP BY 1), i AS (SELECT unnest(range(50))::INT AS bin)
+  SELECT bin, round(low + bin * width, 6) AS low, coalesce(n, 0) AS n, round(sum(coalesce(n, 0)) OVER (ORDER BY bin)::DOUBLE / n_all, 6) AS cumulative FROM i LEFT JOIN c USING (bin), r""")
+def docs_length_hist_whole(spark, sf_dir):
+    """Lengths of all documents in 50 bins from the least to the greatest."""
+    return P.whole_histogram(table(spark, sf_dir, "documents").select(F.length("text").alias("len")), "len", 50)
+
+
 @query("""WITH t AS (SELECT lang, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> ''))::BIGINT AS n_tokens FROM documents)
   SELECT lang, count(n_tokens) AS n, min(n_tokens) AS least, max(n_tokens) AS most, round(avg(n_tokens), 6) AS mean,
   round(quantile_cont(n_tokens, 0.5), 6) AS median, round(coalesce(stddev_samp(n_tokens), 0), 6) AS deviation FROM t GROUP BY lang""")

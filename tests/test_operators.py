@@ -187,3 +187,25 @@ def test_small_functions(spark):
 
 def test_snippets():
     assert X.snippets("aXbXc", "x", 1) == ["aXb...", "...bXc"]
+
+
+def test_whole_histogram_has_every_value(spark):
+    import numpy as np
+    from foliant.operators import profile as P
+
+    values = [0, 3, 3, 10, 4999, 5000, 5001, 80000, 123456]
+    rows = P.whole_histogram(spark.createDataFrame([(v,) for v in [*values, None]], "v int"), "v", 50).orderBy("bin").collect()
+    counts, edges = np.histogram(values, bins=50)
+    assert [r.n for r in rows] == counts.tolist() and np.allclose([r.low for r in rows], edges[:-1])
+    assert np.allclose([r.cumulative for r in rows], np.cumsum(counts) / 10)
+    same = P.whole_histogram(spark.createDataFrame([(7,), (7,)], "v int"), "v", 50).where("n > 0").collect()
+    assert [(r.bin, r.n, r.cumulative) for r in same] == [(25, 2, 1.0)]
+    assert P.whole_histogram(spark.createDataFrame([(None,)], "v int"), "v", 50).count() == 0
+
+
+def test_length_histogram_counts_long_documents(spark, tmp_path):
+    from foliant.plans import catalog
+
+    spark.createDataFrame([(1, "a"), (2, "b" * 5001), (3, "c" * 90000), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = catalog.queries()["docs_length_hist_whole"](spark, str(tmp_path)).orderBy("bin").collect()
+    assert sum(r.n for r in rows) == 3 and (rows[-1].n, rows[-1].cumulative) == (1, 0.75)
