@@ -96,14 +96,25 @@ def pages_text(spark, sf_dir):
     return X.with_visible_text(table(spark, sf_dir, "pages").select("page_id", "html"), "html").select("page_id", F.length("visible_text").alias("n_chars"), "visible_text")
 
 
+def _turn_lists(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", "text").alias("t"))
+    return turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+
+
 @query("""SELECT conv_id, '[' || string_agg('{"role":' || to_json(role)::VARCHAR || ',"content":' || to_json(regexp_replace(text, '[^A-Za-z ]', '', 'g'))::VARCHAR || '}', ',' ORDER BY turn, role, text) || ']' AS messages FROM conversations GROUP BY conv_id""")
 def conv_messages(spark, sf_dir):
-    """Turns of a conversation as one message list in JSON."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", "text").alias("t"))
-    lists = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    """Turns of a conversation as one message list in JSON, letters a to z and spaces alone; ``conv_messages_whole`` has the texts."""
+    lists = _turn_lists(spark, sf_dir)
     return lists.select("conv_id", F.to_json(F.transform("ts", lambda t: F.struct(t["role"].alias("role"), F.regexp_replace(t["text"], "[^A-Za-z ]", "").alias("content")))).alias("messages"))
 
 
+@query(None)
+def conv_messages_whole(spark, sf_dir):
+    """Turns of a conversation as one message list in JSON with their unchanged texts; null ones stay null."""
+    messages = F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
+    return _turn_lists(spark, sf_dir).select("conv_id", F.to_json(messages, {"ignoreNullFields": "false"}).alias("messages"))
+
+
 @query("""SELECT c_custkey, '{"name":' || to_json(c_name)::VARCHAR || ',"segment":' || to_json(c_mktsegment)::VARCHAR || '}' AS metadata FROM customer""")
 def metadata_json(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))

@@ -209,3 +209,15 @@ def test_length_histogram_counts_long_documents(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (2, "b" * 5001), (3, "c" * 90000), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = catalog.queries()["docs_length_hist_whole"](spark, str(tmp_path)).orderBy("bin").collect()
     assert sum(r.n for r in rows) == 3 and (rows[-1].n, rows[-1].cumulative) == (1, 0.75)
+
+
+def test_message_lists_hold_whole_texts(spark, tmp_path):
+    import json
+
+    from foliant.plans import catalog
+
+    turns = [(1, 1, "user", 'Où 12 €?\n\t"é"\\ \u0001 \u2028 😀 </a>'), (1, 2, "assistant", ""), (1, 3, "user", None), (2, 1, "user", "x" * 50000 + "1.")]
+    turns += [(3, i, "user", f"{i}, naïve\r\nline") for i in range(1, 40)]
+    spark.createDataFrame(turns[::-1], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {r.conv_id: json.loads(r.messages) for r in catalog.queries()["conv_messages_whole"](spark, str(tmp_path)).collect()}
+    assert found == {c: [{"role": r, "content": t} for i, _, r, t in turns if i == c] for c in (1, 2, 3)}
