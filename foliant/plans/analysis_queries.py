@@ -71,7 +71,8 @@ def chunk_fixed(spark, sf_dir):
 
 @query(None)
 def chunk_recursive(spark, sf_dir):
-    return C.chunk_documents(table(spark, sf_dir, "documents"), 512, 128, least_chars=50, first_chunks=16)
+    """All chunks of every document."""
+    return C.chunk_documents(table(spark, sf_dir, "documents"), 512, 128, least_chars=50)
 
 
 @query(None)

@@ -221,3 +221,15 @@ def test_message_lists_hold_whole_texts(spark, tmp_path):
     spark.createDataFrame(turns[::-1], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     found = {r.conv_id: json.loads(r.messages) for r in catalog.queries()["conv_messages_whole"](spark, str(tmp_path)).collect()}
     assert found == {c: [{"role": r, "content": t} for i, _, r, t in turns if i == c] for c in (1, 2, 3)}
+
+
+def test_chunks_of_whole_long_documents(spark, tmp_path):
+    from foliant.plans import catalog
+
+    texts = {1: "short text", 2: " ".join(f"word{i}" for i in range(6000)), 3: "\n\n".join(f"Line {i}. " * 9 for i in range(200)), 4: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = [(d, i, len(c), c) for d, t in texts.items() for i, c in enumerate([c for c in C.split_text(t or "", 512, 128) if len(c) >= 50])]
+    found = catalog.queries()["chunk_recursive"](spark, str(tmp_path)).orderBy("doc_id", "chunk_id").collect()
+    assert [tuple(r) for r in found] == wanted and max(i for _, i, *_ in wanted) > 100
+    first = C.chunk_documents(spark.read.parquet(f"{tmp_path}/documents.parquet"), 512, 128, least_chars=50, first_chunks=16)
+    assert [tuple(r) for r in first.orderBy("doc_id", "chunk_id").collect()] == [w for w in wanted if w[1] < 16]
