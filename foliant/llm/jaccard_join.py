@@ -17,7 +17,8 @@ smallest id.
 
 Defined cases: a text of under five words is one shingle of all of them; texts without words are
 linked to nothing; rows without id are linked to nothing and keep a null class; repeated rows count
-as copies of each other; an empty table gives no rows; further columns are ignored.
+as copies of each other; texts that share an id are compared like any others; an empty table gives no
+rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -99,7 +100,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sizes.append(len(shingles))
                 bands.append(keys.view(np.int64))
             if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(sizes, pa.int32()), ragged(np.concatenate(bands), [BANDS] * len(rows), pa.int64())], ["doc_id", "set_a", "set_b", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(2).take(pa.array(rows)), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(sizes, pa.int32()), ragged(np.concatenate(bands), [BANDS] * len(rows), pa.int64())], ["doc_id", "digest", "set_a", "set_b", "n", "bands"])
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +198,7 @@ def _compare(threshold: float, tolerance: float):
                 links = np.zeros(len(rows), dtype=np.int64)
                 np.add.at(links, x, copies[rows][y])
                 np.add.at(links, y, copies[rows][x])
-                root = np.arange(len(rows))  # nodes are sorted: the smallest index is the smallest id
+                root = np.arange(len(rows))
                 while True:
                     low = np.minimum(root[x], root[y])
                     new = root.copy()
@@ -217,43 +218,57 @@ def _compare(threshold: float, tolerance: float):
     return run
 
 
-def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, class_id, n_links, n_copies`` of every row.
+def _classified(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, digest, set_a, set_b, class_id, n_links, n_copies, heads`` of every row.
 
-    ``class_id`` is the smallest id that links lead to, ``n_links`` the number of other rows at or above
-    the threshold (copies included), ``n_copies`` the number of rows with the same shingle set.
+    A node stands for one shingle set, as one id may have several. ``heads`` tells whether the row's id and
+    shingle set stand for its class; ``digest`` is the text's.
     """
-    all_rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    all_rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("digest", F.xxhash64("text"))
     texts = all_rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    described = materialize(map_arrow(texts, _describe, "doc_id long, set_a long, set_b long, n int, bands array<long>"), "jaccard-signatures")
+    described = materialize(map_arrow(texts, _describe, "doc_id long, digest long, set_a long, set_b long, n int, bands array<long>"), "jaccard-signatures")
     classes = described.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    classes = materialize(classes, "jaccard-classes")
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
     reps = described.join(classes.withColumnRenamed("rep", "doc_id"), ["set_a", "set_b", "doc_id"])
-    keyed = reps.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
+    keyed = reps.select("node", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub < far")
     near = keyed.join(buckets, "key").where("node <> hub").select("node", "hub").distinct()
     groups = materialize(connected_components(near, "node", "hub"), "jaccard-groups")
-    members = groups.join(reps.select(F.col("doc_id").alias("node"), "set_a", "n", "copies").distinct(), "node")
+    members = groups.join(reps.groupBy("node", "doc_id", "set_a", "n", "copies").agg(F.min("digest").alias("digest")), "node")
     totals = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
     members = members.join(totals, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    chosen = texts.join(members.select(F.col("node").alias("doc_id"), F.col("component").alias("comp"), "set_a", "copies", "block", "blocks"), "doc_id").select("doc_id", "comp", "copies", "block", "blocks", "set_a", "text")
-    prepared = map_arrow(chosen.withColumnRenamed("doc_id", "node"), _prepare, "node long, comp long, copies long, block int, blocks int, shingles binary, signature binary")
+    chosen = texts.join(members.select("doc_id", "digest", "node", F.col("component").alias("comp"), "set_a", "copies", "block", "blocks"), ["doc_id", "digest"]).select("node", "comp", "copies", "block", "blocks", "set_a", "text")
+    prepared = map_arrow(chosen, _prepare, "node long, comp long, copies long, block int, blocks int, shingles binary, signature binary")
     dealt = prepared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "copies", "block", "shingles", "signature")
     found = map_arrow(dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j"), _compare(threshold, tolerance), "node long, root long, links long")
     found = materialize(found, "jaccard-links")
-    merged = connected_components(found.where("node <> root"), "node", "root")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    results = classes.join(links, F.col("rep") == F.col("node"), "left").drop("node").join(merged.withColumnRenamed("node", "rep"), "rep", "left")
-    results = results.select("set_a", "set_b", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
-    worded = described.select("doc_id", "set_a", "set_b").join(results, ["set_a", "set_b"]).select("doc_id", "class_id", "n_links", "n_copies")
+    merged = materialize(connected_components(found.where("node <> root"), "node", "root").join(classes.select("node", "set_a", "set_b", "rep"), "node"), "jaccard-merged")
+    heads = merged.groupBy("component").agg(F.min(F.struct("rep", "set_a", "set_b")).alias("head"))
+    merged = merged.join(heads, "component").select("node", F.col("head.rep").alias("least"), ((F.col("set_a") == F.col("head.set_a")) & (F.col("set_b") == F.col("head.set_b"))).alias("first"))
+    results = classes.join(links, "node", "left").join(merged, "node", "left")
+    results = results.select("set_a", "set_b", F.coalesce("least", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), F.coalesce("first", F.lit(True)).alias("first"))
+    worded = described.select("doc_id", "digest", "set_a", "set_b").join(results, ["set_a", "set_b"]).withColumn("heads", F.col("first") & (F.col("doc_id") == F.col("class_id"))).drop("first")
     bare = all_rows.where(F.col("doc_id").isNull() | F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    return worded.unionByName(bare.select("doc_id", F.col("doc_id").alias("class_id"), none.alias("n_links"), one.alias("n_copies")))
+    return worded.unionByName(bare.select("doc_id", "digest", F.col("digest").alias("set_a"), none.alias("set_b"), F.col("doc_id").alias("class_id"), none.alias("n_links"), one.alias("n_copies"), F.col("doc_id").isNotNull().alias("heads")))
+
+
+def similarity_classes(docs: DataFrame, **settings) -> DataFrame:
+    """``doc_id, class_id, n_links, n_copies`` of every row.
+
+    ``class_id`` is the smallest id that links lead to, ``n_links`` the number of other rows at or above
+    the threshold (copies included), ``n_copies`` the number of rows with the same shingle set.
+    """
+    return _classified(docs, **settings).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def keep_one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """Rows of ``docs`` that stand for their class; rows without id stay, repeated rows stay once."""
-    classes = similarity_classes(docs, doc_id=doc_id, text=text, **settings)
-    kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias("_class_head")).distinct()
-    known = docs.join(kept, F.col(doc_id) == F.col("_class_head"), "left_semi").dropDuplicates([doc_id])
+    """Rows of ``docs`` that stand for their class; rows without id stay, repeated rows stay once.
+
+    Unlike texts that share an id stand for classes of their own.
+    """
+    rows = _classified(docs, doc_id=doc_id, text=text, **settings)
+    kept = rows.where("heads").groupBy(F.col("doc_id").alias("_class_head"), "set_a", "set_b").agg(F.min("digest").alias("_class_digest")).select("_class_head", "_class_digest")
+    known = docs.withColumn("_digest", F.xxhash64(F.col(text))).join(kept, (F.col(doc_id) == F.col("_class_head")) & (F.col("_digest") == F.col("_class_digest")), "left_semi").dropDuplicates([doc_id, "_digest"]).drop("_digest")
     return known.unionByName(docs.where(F.col(doc_id).isNull()))

@@ -41,6 +41,18 @@ def test_one_per_class(docs, rows):
     assert kept.where("doc_id is null").count() == 2
 
 
+def test_unlike_texts_that_share_an_id(spark):
+    first, second, third = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = first + " more"
+    rows = [(7, first), (7, second), (7, second), (9, near), (10, second + " more"), (7, ""), (7, None), (8, third), (8, third + " more"), (8, third.replace(" ", "  "))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = J.similarity_classes(docs)
+    assert Counter(map(tuple, found.select("doc_id", "class_id", "n_links").collect())) == Counter([(7, 7, 1), (7, 7, 2), (7, 7, 2), (9, 7, 1), (10, 7, 2), (7, 7, 0), (7, 7, 0), (8, 8, 2), (8, 8, 2), (8, 8, 2)])
+    kept = sorted(map(tuple, J.keep_one_per_class(docs).collect()), key=str)
+    assert [r for r in kept if r[0] == 7] == sorted([(7, first), (7, second), (7, ""), (7, None)], key=str)
+    assert len(kept) == 5 and kept[-1][0] == 8  # near copies of one id are one class
+
+
 def test_posterior_keeps_pairs_at_the_threshold():
     rng = np.random.default_rng(1)
     for n, least in J.least_matches():
