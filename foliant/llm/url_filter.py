@@ -10,8 +10,8 @@ runs are sent to every executor; beyond it each run's log-likelihood difference
 most frequent ones are sent, and the others are joined to the URLs that hold them.
 
 A URL without a rule is judged by the difference of its log-likelihoods under both models, divided by
-its length. The cut between allow and block has the smallest balanced error on the fifth of ruled URLs
-that is not counted.
+its length, which count all ruled URLs. The cut between allow and block has the smallest balanced error
+on a fifth of the ruled URLs under models that count the other four fifths.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and no rule; null counts as
 an empty URL for the models; without URLs of both kinds all others are allowed; repeated rows count each
@@ -156,16 +156,24 @@ def counts_of(urls: pa.Array, good: np.ndarray, ruled: np.ndarray | None = None)
     return Counts(keys, counts), totals
 
 
+_COUNTED = ["run", "good", "bad", "used_good", "used_bad", "n"]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good, ruled = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("good", "ruled"))
-        (keys, counts), _ = counts_of(batch.column("url"), good, ruled)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts[0]), pa.array(counts[1]), pa.array(counts.sum(axis=0))], ["run", "good", "bad", "n"])
+        good, ruled, aside = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("good", "ruled", "aside"))
+        for part in (False, True):
+            (keys, counts), _ = counts_of(batch.column("url").filter(pa.array(aside == part)), good[aside == part], ruled[aside == part])
+            used = counts * (not part)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, counts[0], counts[1], used[0], used[1], counts.sum(axis=0))], _COUNTED)
 
 
 def count_runs(urls: DataFrame) -> DataFrame:
-    """``run, good, bad, n`` of rows of ``url, good, ruled``: times in accepted, in rejected and in all URLs."""
-    return map_arrow(urls, _count, "run long, good long, bad long, n long").groupBy("run").agg(*[F.sum(x).alias(x) for x in ("good", "bad", "n")])
+    """``run, good, bad, used_good, used_bad, n`` of rows of ``url, good, ruled, aside``.
+
+    Times in accepted and in rejected URLs, the same without URLs put aside, and times in all URLs.
+    """
+    return map_arrow(urls, _count, ", ".join(f"{x} long" for x in _COUNTED)).groupBy("run").agg(*[F.sum(x).alias(x) for x in _COUNTED[1:]])
 
 
 def _judge(shared):
@@ -256,26 +264,35 @@ def best_cut(scored: DataFrame) -> float:
     return float((below + edges[best[-1]]) / 2 * BIN)
 
 
+def _scored(rows: DataFrame, counts: DataFrame, prefix: str, bound: int, small: bool) -> DataFrame | None:
+    """``rows`` with their score instead of ``url``, under the models of the counts named with ``prefix``; None if a kind has no URL."""
+    counts = counts.select("run", *[F.col(prefix + k).alias(k) for k in ("good", "bad")], "n")
+    single = F.shiftright("run", _LENGTH) == 1
+    totals = np.array(counts.agg(*[F.coalesce(F.sum(F.when(single, F.col(k))), F.lit(0)) for k in ("good", "bad")]).first())
+    if not totals.all():
+        return None
+    if not small:
+        return materialize(joined_scores(rows, counts, totals, bound), "url-scores")
+    table = counts.where("good + bad > 0").toArrow().sort_by("run")  # at most ``bound`` rows
+    models = UrlModels(Counts(table["run"].to_numpy(), np.stack([table[k].to_numpy() for k in ("good", "bad")]).astype(np.float64)), totals)
+    kept = rows.drop("url")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields)
+    return materialize(map_arrow(rows, _judge(rows.sparkSession.sparkContext.broadcast(models)), f"{schema}, score double"), "url-scores")
+
+
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, bound: int = BOUND, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` of every row."""
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), host.alias("host"), path.alias("path")).withColumn("_match", matching_rule(F.col("host"), F.col("path"), rules))
-    rows = rows.select("page_id", "host", "path", F.col("_match.rule").alias("rule"), F.col("_match.verdict").alias("ruled"), (F.crc32(F.coalesce("url", F.lit(""))) % 5 == 0).alias("aside"), "url")
-    good = F.col("ruled") == "allow"
-    counted = F.col("ruled").isNotNull() & ~F.col("aside")
-    counts = materialize(count_runs(rows.select("url", F.coalesce(good, F.lit(False)).alias("good"), counted.alias("ruled"))), "url-counts")
-    single = F.shiftright("run", _LENGTH) == 1
-    size, *totals = counts.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(F.when(single, F.col(x))), F.lit(0)) for x in ("good", "bad")]).first()
-    if not all(totals):
-        scored, cut = rows.drop("url").withColumn("score", F.lit(0.0)), 0.0
+    rows = rows.select("page_id", "host", "path", F.col("_match.rule").alias("rule"), F.col("_match.verdict").alias("ruled"), "url")
+    good, ruled, aside = F.coalesce(F.col("ruled") == "allow", F.lit(False)), F.col("ruled").isNotNull(), F.crc32(F.coalesce("url", F.lit(""))) % 5 == 0
+    counts = materialize(count_runs(rows.select("url", good.alias("good"), ruled.alias("ruled"), aside.alias("aside"))), "url-counts")
+    small, cut = counts.count() <= bound, 0.0
+    scored = _scored(rows, counts, "", bound, small)
+    if scored is None:
+        scored = rows.drop("url").withColumn("score", F.lit(0.0))
     else:
-        if size <= bound:
-            table = counts.where("good + bad > 0").toArrow().sort_by("run")  # at most ``bound`` rows
-            models = UrlModels(Counts(table["run"].to_numpy(), np.stack([table[x].to_numpy() for x in ("good", "bad")]).astype(np.float64)), np.array(totals))
-            scored = map_arrow(rows, _judge(pages.sparkSession.sparkContext.broadcast(models)), "page_id long, host string, path string, rule string, ruled string, aside boolean, score double")
-        else:
-            scored = joined_scores(rows, counts, np.array(totals), bound)
-        scored = materialize(scored, "url-scores")
-        cut = best_cut(scored.where(F.col("ruled").isNotNull() & F.col("aside")).select("score", good.alias("good")))
+        held = _scored(rows.where(ruled & aside).select("url", good.alias("good")), counts, "used_", bound, small)
+        cut = best_cut(held) if held is not None else 0.0
     verdict = F.coalesce("ruled", F.when(F.col("score") >= cut, "allow").otherwise("block"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

@@ -110,14 +110,15 @@ def test_url_models_tell_kinds_apart(spark):
 def test_url_runs_never_share_a_count(spark):
     rng = np.random.default_rng(11)
     urls = [f"https://{rng.bytes(24).hex()}.org/{rng.bytes(24).hex()}" for _ in range(15000)]
-    rows = spark.createDataFrame([(u, i % 2 == 0, i % 3 > 0) for i, u in enumerate(urls)], "url string, good boolean, ruled boolean")
+    rows = spark.createDataFrame([(u, i % 2 == 0, i % 3 > 0, i % 5 == 0) for i, u in enumerate(urls)], "url string, good boolean, ruled boolean, aside boolean")
     counts, texts = U.count_runs(rows), [u.encode() + b"\xff" for u in urls]
-    found = {r.run: (r.good, r.bad, r.n) for r in counts.collect()}
+    found = {r.run: (r.good, r.bad, r.n, r.used_good, r.used_bad) for r in counts.collect()}
     assert len(found) == len({t[i : i + n] for t in texts for n in range(1, 7) for i in range(len(t) - n + 1)}) > 1 << 20
     for run in (texts[0][8:14], texts[1][-3:], b"https:", b".org/", b"a"):
         seen = [sum(t[i : i + len(run)] == run for i in range(len(t))) for t in texts]
         wanted = [sum(c for i, c in enumerate(seen) if i % 3 > 0 and i % 2 == k) for k in (0, 1)]
-        assert found[len(run) << 48 | int.from_bytes(run)] == (*wanted, sum(seen))
+        used = [sum(c for i, c in enumerate(seen) if i % 3 > 0 and i % 2 == k and i % 5 > 0) for k in (0, 1)]
+        assert found[len(run) << 48 | int.from_bytes(run)] == (*wanted, sum(seen), *used)
 
 
 @pytest.mark.parametrize("bound", [0, 1, 200])
@@ -131,6 +132,18 @@ def test_url_verdicts_do_not_depend_on_the_bound(spark, bound):
     assert np.allclose([r.score for r in whole], [r.score for r in joined], atol=1e-8)
 
 
+@pytest.mark.parametrize("bound", [200, U.BOUND])
+def test_url_scores_count_every_ruled_url(spark, bound):
+    rows = [(i, f"https://site{i}.org/en/{i * 7}") for i in range(40)] + [(100 + i, f"https://pills{i}.com/de/{i * 3}") for i in range(40)] + [(200, "http://other.net/1")]
+    good, bad = ([u for _, u in rows if f".{k}/" in u and plain_rule(u)[3] == v] for k, v in (("org", "allow"), ("com", "block")))
+    assert any(zlib.crc32(u.encode()) % 5 == 0 for u in good + bad)
+    counts, totals = U.counts_of(pa.array(good + bad), np.array([True] * len(good) + [False] * len(bad)))
+    _, _, data, begins = next(iter(U.symbols(pa.array([u for _, u in rows]))))
+    wanted = U.UrlModels(counts, totals).scores(data, begins)
+    found = {r.page_id: r.score for r in U.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), bound=bound).collect()}
+    assert np.allclose([found[i] for i, _ in rows], wanted, atol=1e-8)
+
+
 def brute(ids, vectors, every, k):
     out = {}
     for q in sorted({i for i in ids if i % every == 0}):
