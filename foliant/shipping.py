@@ -10,10 +10,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SENT = "_foliant_sent"
+#: Bytes of an Arrow batch sent to a Python worker, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per context, so that their workers can import it."""
+    """Send this package to the executors, once per context, so that their workers can import it.
+
+    Batches for Python workers are bounded by bytes where the session sets no bound of its own.
+    """
+    if spark.conf.get(_LIMIT, None) is None:
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, _SENT, False):
         return

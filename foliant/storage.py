@@ -7,34 +7,67 @@ retry and never the result.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark drops the shuffle files of an execution when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one is set only where none is configured (tests)."""
+    """The cluster's checkpoint folder: of ``spark.checkpoint.dir``, else of the context.
+
+    A temporary one is set only in local mode (tests); a cluster without one is an error.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
-        place = spark.conf.get("foliant.checkpoint.dir", None)
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        place = known.get() if known.isDefined() else None
     if not place:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         place = tempfile.mkdtemp(prefix="foliant-checkpoint-")
-        spark.conf.set("foliant.checkpoint.dir", place)
         spark.sparkContext.setCheckpointDir(place)
     return place.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def materialize(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    Nothing needs the shuffles behind ``df`` afterwards. Spark removes their files when the driver
-    collects its garbage, so that is asked for here: executors' disks then hold one step's files only.
+    Its shuffles are dropped when it is written. ``done`` are results of this function that nothing
+    reads any more; their folders go then.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    with _setting(spark, _CLEANUP, "true"):
+        df.write.option("compression", "zstd").parquet(path)
+    discard(*done)
+    result = spark.read.schema(df.schema).parquet(path)
+    result._foliant_path = path
+    return result
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of results of ``materialize`` that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_foliant_path", None)
+        if path:
+            hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
