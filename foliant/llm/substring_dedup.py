@@ -3,19 +3,20 @@
 A window is ``window`` consecutive words of one document. A word is removed when a window that covers
 it also starts in a document with a smaller id; windows are judged on the input.
 
-1. Every window has an anchor: the run of ``anchor`` words inside it with the smallest hash. Equal
-   windows have equal anchors, so a window can recur only if its anchor occurs in two different
-   texts. Anchors are counted over all documents with map-side combining.
-2. Documents holding such anchors give fragments: the words of consecutive windows that share an
-   anchor. Whole copies of a text are settled by a digest and give none. Equal fragments are merged
-   before they move. An anchor with very many different fragments has its windows dealt one by one, by
-   their own hash, so a phrase in a third of all documents does not gather in one task.
-3. Fragments are dealt by anchor to shards. A shard confirms the windows that recur, compiles them
-   into an Aho-Corasick automaton of bounded size and streams its fragments through it; every match is
-   an occurrence with the smallest id of a document in which the window starts.
-4. Occurrences go back to their documents and become removed spans.
-
-Each document meets only the automata that can match it, so work grows with the input.
+1. Documents are gathered in groups of bounded size by a hash of id and text. A group lists the 64-bit
+   hashes of its windows once each, with the smallest and largest id that holds it, packed by ranges of
+   hashes. A range finds the windows that occur in two documents, and their first document, and
+   answers every group that holds them. A window in a third of all documents is one entry a group.
+2. Groups read their documents again. Runs of recurring windows in their first document are the
+   repeated passages; runs in later documents are spans to be searched.
+3. Passages are dealt to shards by their document. A shard compiles the windows of its passages into
+   Aho-Corasick automata over word codes and streams the spans that name it through them, so that every
+   occurrence is confirmed word by word. A shard that very much text names is opened several times, with
+   a part of the spans each.
+4. Located runs of windows go back to their documents and become removed spans.
+
+A document is read only by the automata that its hashes name, so work grows with the input. A window
+is lost only if its hash is that of another one (odds of 5e-7 a window among 1e13).
 
 Defined cases: null or empty texts have no words and stay empty; a row without id is kept whole and
 removes nothing from others; rows with one id never remove words from each other; repeated rows get
@@ -32,210 +33,236 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from foliant.llm.textops import ragged, rolling, run_starts, sliding_min, sorted_groups, text_chunks, word_bounds, word_hashes
-from foliant.shipping import map_arrow
+from foliant.llm.textops import pack_longs, ragged, rolling, run_starts, scramble, sorted_groups, text_chunks, unpack_longs, word_bounds, word_hashes
+from foliant.shipping import map_arrow, ship
 from foliant.storage import materialize
 
 WINDOW = 13
-ANCHOR = 4
-#: Different fragments of an anchor above which its windows are dealt one by one.
-HOT = 1000
-#: Characters of fragments in one automaton's shard.
-SHARD_CHARS = 2_000_000
-
-
-def _anchors_of(data: np.ndarray, offsets: np.ndarray, window: int, anchor: int):
-    """Word bounds, word hashes, and of each window its start, document row and anchor."""
+#: Bytes of text of a group of documents, and bytes of text whose windows share a range of hashes.
+GROUP_BYTES, RANGE_BYTES = 8 << 20, 4 << 20
+#: Bytes of the whole table for each shard of passages, and bytes of spans that one opening of a shard reads.
+SHARD_BYTES, STREAM_BYTES = 1 << 20, 4 << 20
+#: Windows of one row of a passage or span, and of one automaton.
+PIECE_WINDOWS, AUTOMATON_WINDOWS = 4096, 1 << 16
+#: Rows of the table of shards to be opened several times up to which it is broadcast.
+_BROADCAST_ROWS = 200_000
+_U = np.uint64
+_SPANS = "kind int, shard long, doc_id long, mark long, start int, text string"
+
+
+def _windows_of(data: np.ndarray, offsets: np.ndarray, window: int):
+    """Word bounds, where documents begin in them, and of each window its first word, document row and hash."""
     starts, ends, at = word_bounds(data, offsets)
-    hashes = word_hashes(data, starts, ends)
     place, rows = run_starts(at, window)
-    least = sliding_min(rolling(hashes, anchor), window - anchor + 1)
-    return starts, ends, at, hashes, place, rows, least[place] if len(place) else np.zeros(0, np.uint64)
+    runs = rolling(word_hashes(data, starts, ends), window)
+    return starts, ends, at, place, rows, runs[place] if len(place) else np.zeros(0, _U)
+
 
+def _merged(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes in ascending order with the smallest and largest of their ids."""
+    if not len(hashes):
+        return hashes, first, last
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    cuts = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+    return hashes[cuts], np.minimum.reduceat(first[order], cuts), np.maximum.reduceat(last[order], cuts)
+
+
+def _list_windows(window: int, bits: int):
+    """Of each group its distinct windows, by ranges of hashes."""
+
+    def rows(group: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        hashes, first, last = _merged(*(np.concatenate(x) for x in zip(*parts)))
+        ranges = (hashes >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+        cuts = np.flatnonzero(np.concatenate(([True], ranges[1:] != ranges[:-1], [True]))) if len(hashes) else np.zeros(1, np.int64)
+        for i in range(0, len(cuts) - 1, 64):
+            part = [(a, b) for a, b in zip(cuts[i : i + 65][:-1], cuts[i : i + 65][1:])]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(ranges[[a for a, _ in part]]), pa.array([group] * len(part), pa.int64()),
+                *(pa.array([pack_longs(x[a:b]) for a, b in part], pa.binary()) for x in (hashes, first, last - first)),
+            ], ["range", "group", "hashes", "first", "spread"])
 
-def _emit_anchors(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, parts = None, []
         for batch in batches:
-            ids, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            for lo, _, data, offsets in text_chunks(batch.column(2)):
-                *_, rows, least = _anchors_of(data, offsets, window, anchor)
-                if not len(least):
-                    continue
-                new = np.ones(len(least), dtype=bool)
-                new[1:] = (least[1:] != least[:-1]) | (rows[1:] != rows[:-1])
-                rows, least = rows[new] + lo, least[new]
-                yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), pa.array(ids[rows], pa.int64()), pa.array(marks[rows], pa.int64())], ["anchor", "doc_id", "mark"])
+            groups, ids = batch.column("group").to_numpy(), batch.column("doc_id").to_numpy()
+            cuts = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1], [True]))) if len(groups) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if groups[a] != group:
+                    if parts:
+                        yield from rows(group, parts)
+                    group, parts = int(groups[a]), []
+                for lo, _, data, offsets in text_chunks(batch.column("text").slice(a, b - a)):
+                    *_, at, hashes = _windows_of(data, offsets, window)
+                    if len(hashes):
+                        doc = ids[a + lo + at]
+                        parts.append(_merged(hashes, doc, doc))
+        if parts:
+            yield from rows(group, parts)
 
     return run
 
 
-def _emit_fragments(window: int, anchor: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            listed = batch.column(3)
-            for lo, hi, data, offsets in text_chunks(batch.column(2)):
-                starts, ends, at, hashes, place, rows, least = _anchors_of(data, offsets, window, anchor)
-                if not len(least):
+def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each range and group the windows that start in two documents of the corpus, and the smallest id they start in."""
+    for table in sorted_groups(batches, ["range"], 1, 1):
+        hashes, first, spread = ([unpack_longs(x.as_buffer()) for x in table.column(name)] for name in ("hashes", "first", "spread"))
+        counts = [len(x) for x in hashes]
+        flat = np.concatenate(hashes).view(_U)
+        order = np.argsort(flat, kind="stable")
+        ordered = flat[order]
+        cuts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        low, high = np.concatenate(first), np.concatenate(spread)
+        high += low
+        low, high = np.minimum.reduceat(low[order], cuts), np.maximum.reduceat(high[order], cuts)
+        sizes = np.diff(np.append(cuts, len(ordered)))
+        smallest, wanted = np.empty(len(flat), np.int64), np.empty(len(flat), bool)
+        smallest[order], wanted[order] = np.repeat(low, sizes), np.repeat(low < high, sizes)
+        ends = np.cumsum(counts)
+        out_group, out_hashes, out_first = [], [], []
+        for group, a, b in zip(table.column("group").to_pylist(), ends - counts, ends):
+            keep = wanted[a:b]
+            if keep.any():
+                out_group.append(group)
+                out_hashes.append(pack_longs(flat[a:b][keep]))
+                out_first.append(pack_longs(smallest[a:b][keep]))
+        if out_group:
+            yield pa.RecordBatch.from_arrays([pa.array(out_group, pa.int64()), pa.array(out_hashes, pa.binary()), pa.array(out_first, pa.binary())], ["group", "hashes", "first"])
+
+
+def _spans(window: int, shards: int, piece: int):
+    """Passages (kind 1) and spans to be searched (kind 0) of a group's documents."""
+    schema = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int32()), ("text", pa.string())])
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        if not answers.num_rows or not texts.num_rows:
+            return schema.empty_table()
+        known = np.concatenate([unpack_longs(x.as_buffer()) for x in answers.column("hashes")]).view(_U)
+        smallest = np.concatenate([unpack_longs(x.as_buffer()) for x in answers.column("first")])
+        order = np.argsort(known)
+        known, smallest = known[order], smallest[order]
+        ids, marks = texts.column("doc_id").to_numpy(), texts.column("mark").to_numpy()
+        out: list[tuple] = []
+        for lo, _, data, offsets in text_chunks(texts.column("text")):
+            starts, ends, begins, place, rows, hashes = _windows_of(data, offsets, window)
+            if not len(hashes):
+                continue
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            first, doc = smallest[at], ids[lo + rows]
+            kind = np.where(known[at] == hashes, np.where(first < doc, 0, 1), -1)
+            shard = (scramble(first.view(_U)) % _U(shards)).astype(np.int64)
+            shard[kind < 0] = -1
+            edges = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (kind[1:] != kind[:-1]) | (shard[1:] != shard[:-1]), [True])))
+            raw = data.tobytes()
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if kind[a] < 0:
                     continue
-                out: list[tuple] = []
-                raw = data.tobytes()
-                bounds = np.searchsorted(rows, np.arange(hi - lo + 1))
-                for row in range(hi - lo):
-                    a, b = bounds[row], bounds[row + 1]
-                    if a == b:
-                        continue
-                    mine, first = least[a:b], at[row]
-                    known = np.asarray(listed[lo + row].values.to_numpy(zero_copy_only=False), dtype=np.int64).view(np.uint64)
-                    hit = np.isin(mine, known)
-                    if not hit.any():
-                        continue
-                    words = raw[offsets[row] : offsets[row + 1]].split()
-                    edge = np.flatnonzero(np.concatenate(([True], (mine[1:] != mine[:-1]) | (hit[1:] != hit[:-1]), [True])))
-                    begin, finish = edge[:-1], edge[1:] - 1
-                    keep = hit[begin]
-                    begin, finish = begin[keep], finish[keep]
-                    base = int(place[a] - first)
-                    for s, e, route in zip((begin + base).tolist(), (finish + base).tolist(), mine[begin].view(np.int64).tolist()):
-                        out.append((ids[lo + row], marks[lo + row], route, s, b" ".join(words[s : e + window])))
-                if out:
-                    columns = list(zip(*out))
-                    yield pa.RecordBatch.from_arrays([*(pa.array(columns[i], pa.int64()) for i in range(3)), pa.array(columns[3], pa.int32()), pa.array(columns[4], pa.binary()).cast(pa.string())], ["doc_id", "mark", "route", "start", "fragment"])
+                row = rows[a]
+                for s in range(a, b, piece):
+                    e = min(b, s + piece)
+                    out.append((kind[a], shard[a], doc[a], marks[lo + row], place[s] - begins[row], raw[starts[place[s]] : ends[place[e - 1] + window - 1]]))
+        columns = list(zip(*out)) if out else [()] * 6
+        return pa.Table.from_arrays([pa.array(np.array(c, dtype=np.int64)).cast(f.type) if f.name != "text" else pa.array(c, pa.binary()).cast(pa.string()) for c, f in zip(columns, schema)], schema=schema)
 
     return run
 
 
-def _match(fragments: list[str], firsts: list[int], lasts: list[int], window: int) -> list[tuple[list[int], list[int]]]:
-    """Of each fragment: starts of the windows that recur, and the smallest id each starts in.
-
-    ``firsts`` and ``lasts`` are the smallest and largest id of a document that holds the fragment.
-    """
-    low: dict[str, int] = {}
-    high: dict[str, int] = {}
-    for text, first, last in zip(fragments, firsts, lasts):
-        words = text.split(" ")
-        for i in range(len(words) - window + 1):
-            phrase = " ".join(words[i : i + window])
-            known = low.get(phrase)
-            low[phrase] = first if known is None or first < known else known
-            known = high.get(phrase)
-            high[phrase] = last if known is None or last > known else known
-    automaton = ahocorasick.Automaton()
-    for phrase, first in low.items():
-        if first < high[phrase]:
-            automaton.add_word(f" {phrase} ", first)
-    found: list[tuple[list[int], list[int]]] = []
+def phrase_automaton(passages: list[list[bytes]], values: list[int], window: int) -> tuple[ahocorasick.Automaton | None, dict[bytes, int]]:
+    """An automaton of all windows of the passages over word codes, and the code of each word; 0 is any other word."""
+    codes: dict[bytes, int] = {}
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for words, value in zip(passages, values):
+        coded = tuple([codes.setdefault(w, len(codes) + 1) for w in words])
+        for i in range(len(coded) - window + 1):
+            automaton.add_word(coded[i : i + window], value)
     if not len(automaton):
-        return [([], [])] * len(fragments)
+        return None, codes
     automaton.make_automaton()
-    for text, last in zip(fragments, lasts):
-        spaced = f" {text} "
-        at, smallest = [], []
-        word, seen = 0, 0
-        for end, first in automaton.iter(spaced):
-            if first < last:
-                word += spaced.count(" ", seen + 1, end + 1)
-                seen = end
-                at.append(word - window)
-                smallest.append(first)
-        found.append((at, smallest))
-    return found
-
-
-def _locate(window: int, shard_chars: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in sorted_groups(batches, ["route"], 1 << 30, shard_chars):
-            found = _match(shard.column("fragment").to_pylist(), shard.column("first").to_pylist(), shard.column("last").to_pylist(), window)
-            keep = [i for i, (at, _) in enumerate(found) if at]
-            if keep:
-                counts = [len(found[i][0]) for i in keep]
-                rows = shard.select(["route", "digest"]).take(keep).combine_chunks()
-                yield pa.RecordBatch.from_arrays([
-                    rows.column("route").combine_chunks(), rows.column("digest").combine_chunks(),
-                    ragged(np.concatenate([found[i][0] for i in keep]), counts, pa.int32()), ragged(np.concatenate([found[i][1] for i in keep]), counts, pa.int64()),
-                ], ["route", "digest", "starts", "firsts"])
-
-    return run
+    return automaton, codes
 
 
-def _windows(window: int):
-    """Windows of fragments, each with its place."""
+def _locate(window: int, most_windows: int):
+    """Of each span the runs of windows that its shard's automata find and that start in a smaller id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, places, phrases = [], [], []
-            for row, text in enumerate(batch.column("fragment").to_pylist()):
-                words = text.split(" ")
-                for i in range(len(words) - window + 1):
-                    rows.append(row)
-                    places.append(i)
-                    phrases.append(" ".join(words[i : i + window]))
-            rest = batch.select(["route", "digest", "first", "last"]).take(pa.array(rows, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(places, pa.int32()), pa.array(phrases, pa.string())], ["route", "digest", "first", "last", "place", "fragment"])
+        for table in sorted_groups(batches, ["shard", "salt"], 1, 1):
+            kinds = table.column("kind").to_numpy()
+            at, sources = np.flatnonzero(kinds == 0), np.flatnonzero(kinds == 1)
+            if not len(at) or not len(sources):
+                continue
+            ids, texts = table.column("doc_id").to_numpy(), table.column("text").cast(pa.binary())
+            spans = [texts[int(i)].as_py().split() for i in at]
+            hits: list[list[int]] = [[] for _ in spans]
+            held, values, size = [], [], 0
+            for n, i in enumerate(sources.tolist(), 1):
+                held.append(texts[i].as_py().split())
+                values.append(int(ids[i]))
+                size += len(held[-1]) - window + 1
+                if size < most_windows and n < len(sources):
+                    continue
+                automaton, codes = phrase_automaton(held, values, window)
+                held, values, size = [], [], 0
+                if automaton is None:
+                    continue
+                for k, words in enumerate(spans):
+                    own = ids[at[k]]
+                    hits[k] += [end - window + 1 for end, first in automaton.iter(tuple([codes.get(w, 0) for w in words])) if first < own]
+                del automaton
+            keep, lengths, begin, stop = [], [], [], []
+            starts = table.column("start").to_numpy()
+            for k, found in enumerate(hits):
+                if found:
+                    where = np.unique(np.array(found)) + starts[at[k]]
+                    cuts = np.flatnonzero(np.diff(where) != 1)
+                    begin.append(where[np.concatenate(([0], cuts + 1))])
+                    stop.append(where[np.concatenate((cuts, [len(where) - 1]))] + 1)
+                    keep.append(at[k])
+                    lengths.append(len(cuts) + 1)
+            if keep:
+                marks = table.column("mark").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(marks[keep]), ragged(np.concatenate(begin).astype(np.int32), lengths, pa.int32()), ragged(np.concatenate(stop).astype(np.int32), lengths, pa.int32())], ["doc_id", "mark", "begin", "stop"])
 
     return run
 
 
-def _located_in_crowds(distinct: DataFrame, window: int, shard_chars: int) -> DataFrame:
-    """As ``_locate``, for anchors with very many different fragments: their windows are dealt one by one."""
-    windows = map_arrow(distinct, _windows(window), "route long, digest long, first long, last long, place int, fragment string")
-    windows = windows.withColumn("phrase", F.xxhash64("fragment"))
-    merged = windows.groupBy(F.col("phrase").alias("route"), F.xxhash64("fragment", F.lit(1)).alias("digest"), "fragment").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    found = map_arrow(merged.repartition("route").sortWithinPartitions("route"), _locate(window, shard_chars), "route long, digest long, starts array<int>, firsts array<long>")
-    found = found.select(F.col("route").alias("phrase"), F.col("digest").alias("second"), F.col("firsts")[0].alias("smallest"))
-    placed = windows.withColumn("second", F.xxhash64("fragment", F.lit(1))).join(found, ["phrase", "second"]).where("smallest < last")
-    pairs = placed.groupBy("route", "digest").agg(F.collect_list(F.struct("place", "smallest")).alias("at"))  # windows of one fragment
-    return pairs.select("route", "digest", F.transform("at", lambda x: x["place"]).alias("starts"), F.transform("at", lambda x: x["smallest"]).alias("firsts"))
-
-
-def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT, shard_chars: int = SHARD_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, mark, windows, copy``: starts of windows that also start in a document with a smaller id.
+def repeated_windows(docs: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES, range_bytes: int = RANGE_BYTES, shard_bytes: int = SHARD_BYTES, stream_bytes: int = STREAM_BYTES, automaton_windows: int = AUTOMATON_WINDOWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, mark, begin, stop``: runs of windows that also start in a document with a smaller id.
 
-    ``mark`` is a hash of the text, for rows that share an id. ``copy`` says that the whole text is that
-    of a document with a smaller id; its windows are not listed. Rows without such windows are absent.
+    ``mark`` is a hash of the text, for rows that share an id; a run's windows start at the words
+    ``begin`` to ``stop`` - 1. Rows without such windows are absent.
     """
+    ship(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    anchors = map_arrow(texts, _emit_anchors(window, anchor), "anchor long, doc_id long, mark long")
-    recurring = anchors.groupBy("anchor").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a < b").select("anchor")
-    digests = texts.select("doc_id", "mark", F.md5("text").alias("digest"))
-    copied = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = digests.join(copied, "digest").where("doc_id > first").select("doc_id", "mark").distinct()
-    copies = materialize(copies, "substring-copies")
-    held = anchors.select("anchor", "doc_id").join(recurring, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    held = materialize(held, "substring-anchors")
-    held = held.join(copies.groupBy("doc_id").agg(F.collect_set("mark").alias("settled")), "doc_id", "left")
-    fragments = texts.join(held, "doc_id").where(~F.coalesce(F.array_contains("settled", F.col("mark")), F.lit(False))).select("doc_id", "mark", "text", "anchors")
-    fragments = map_arrow(fragments, _emit_fragments(window, anchor), "doc_id long, mark long, route long, start int, fragment string")
-    fragments = materialize(fragments, "substring-fragments").withColumn("digest", F.xxhash64("fragment"))
-    distinct = fragments.groupBy("route", "digest", "fragment").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    distinct = materialize(distinct, "substring-distinct")
-    crowded = distinct.groupBy("route").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("route")
-    crowds = distinct.join(crowded, "route", "left_semi")
-    distinct = distinct.join(crowded, "route", "left_anti")
-    located = map_arrow(distinct.repartition("route").sortWithinPartitions("route"), _locate(window, shard_chars), "route long, digest long, starts array<int>, firsts array<long>")
-    located = located.unionByName(_located_in_crowds(crowds, window, shard_chars))
-    mine = F.transform(F.filter(F.arrays_zip("starts", "firsts"), lambda x: x["firsts"] < F.col("doc_id")), lambda x: x["starts"] + F.col("start"))
-    hits = fragments.select("doc_id", "mark", "route", "digest", "start").join(located, ["route", "digest"]).select("doc_id", "mark", mine.alias("windows")).where(F.size("windows") > 0)
-    windows = hits.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("windows")).alias("windows"), F.lit(False).alias("copy"))
-    windows = materialize(windows, "substring-windows")
-    return windows.unionByName(copies.select("doc_id", "mark", F.array().cast("array<int>").alias("windows"), F.lit(True).alias("copy")))
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    groups, shards = 1 + size // group_bytes, 1 + size // shard_bytes
+    bits = (size // range_bytes).bit_length()
+    grouped = texts.select(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(groups)).alias("group"), "doc_id", "mark", "text").repartition("group")
+    listed = map_arrow(grouped.sortWithinPartitions("group"), _list_windows(window, bits), "range long, group long, hashes binary, first binary, spread binary")
+    answers = map_arrow(listed.repartition("range").sortWithinPartitions("range"), _recurring, "group long, hashes binary, first binary")
+    spans = materialize(grouped.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(_spans(window, shards, PIECE_WINDOWS), _SPANS), "substring-spans")
+    searched = spans.where("kind = 0").groupBy("shard").agg(F.ceil(F.sum(F.octet_length("text").cast("long")) / stream_bytes).alias("openings"))
+    crowded = materialize(searched.where("openings > 1"), "substring-crowded")
+    many = F.broadcast(crowded) if crowded.count() <= _BROADCAST_ROWS else crowded
+    dealt = spans.join(many, "shard", "left").withColumn("openings", F.coalesce("openings", F.lit(1)))
+    own = F.array(F.pmod(F.xxhash64("doc_id", "mark", "start"), F.col("openings")))
+    dealt = dealt.withColumn("salt", F.explode(F.when(F.col("kind") == 0, own).otherwise(F.sequence(F.lit(0), F.col("openings") - 1)))).drop("openings")
+    located = map_arrow(dealt.repartition("shard", "salt").sortWithinPartitions("shard", "salt"), _locate(window, automaton_windows), "doc_id long, mark long, begin array<int>, stop array<int>")
+    located = located.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("begin")).alias("begin"), F.flatten(F.collect_list("stop")).alias("stop"))  # spans of one text
+    return materialize(located, "substring-windows", spans, crowded)
 
 
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, windows, copies = batch.column("_repeat_text"), batch.column("_repeat_windows"), batch.column("_repeat_copy")
+            texts, begins, stops = batch.column("_repeat_text"), batch.column("_repeat_begin"), batch.column("_repeat_stop")
             kept, n_words, n_removed, spans = [], [], [], []
-            for text, listed, copy in zip(texts, windows, copies):
+            for text, begin, stop in zip(texts, begins, stops):
                 words = text.as_buffer().to_pybytes().split() if text.is_valid else []
                 n, bits = len(words), None
-                if copy.as_py() and n >= window:
-                    bits = np.ones(n, dtype=bool)
-                elif listed.is_valid and len(listed):
-                    at = np.unique(listed.values.to_numpy(zero_copy_only=False))
+                if begin.is_valid and len(begin):
                     steps = np.zeros(n + 1, dtype=np.int32)
-                    np.add.at(steps, at, 1)
-                    np.add.at(steps, at + window, -1)
+                    np.add.at(steps, begin.values.to_numpy(zero_copy_only=False), 1)
+                    np.add.at(steps, stop.values.to_numpy(zero_copy_only=False) + window - 1, -1)
                     bits = np.cumsum(steps[:-1]) > 0
                 n_words.append(n)
                 if bits is None:
@@ -260,9 +287,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     of words) and ``repeat_kept_text`` (words that stay, joined by one space)."""
     docs = docs.drop("repeat_n_words", "repeat_n_removed", "repeat_spans", "repeat_kept_text")
     found = repeated_windows(docs, window, doc_id=doc_id, text=text, **settings)
-    found = found.select(F.col("doc_id").alias("_repeat_id"), F.col("mark").alias("_repeat_mark"), F.col("windows").alias("_repeat_windows"), F.col("copy").alias("_repeat_copy"))
+    found = found.select(F.col("doc_id").alias("_repeat_id"), F.col("mark").alias("_repeat_mark"), F.col("begin").alias("_repeat_begin"), F.col("stop").alias("_repeat_stop"))
     columns = docs.columns
     rows = docs.join(found, (F.col(doc_id).cast("long") == F.col("_repeat_id")) & (F.xxhash64(F.col(text)) == F.col("_repeat_mark")), "left")
-    rows = rows.select(*columns, F.col(text).alias("_repeat_text"), F.coalesce("_repeat_windows", F.array().cast("array<int>")).alias("_repeat_windows"), F.coalesce("_repeat_copy", F.lit(False)).alias("_repeat_copy"))
+    rows = rows.select(*columns, F.col(text).alias("_repeat_text"), "_repeat_begin", "_repeat_stop")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", repeat_n_words long, repeat_n_removed long, repeat_spans array<struct<start:int,words:int>>, repeat_kept_text string"
     return map_arrow(rows, _cut(window), schema)

@@ -106,16 +106,6 @@ def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     return scramble(out)
 
 
-def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each ``width`` consecutive values, by doubling."""
-    have, out = 1, values
-    while have < width:
-        step = min(have, width - have)
-        out = np.minimum(out[: len(out) - step], out[step:])
-        have += step
-    return out
-
-
 def run_starts(word_offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions in the buffer at which ``k`` words of one document begin, and that document's row."""
     counts = np.maximum(np.diff(word_offsets) - k + 1, 0)
@@ -130,6 +120,16 @@ def ragged(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, kind))
 
 
+def pack_longs(values: np.ndarray) -> bytes:
+    """64-bit integers with their highest bytes first of all, then the next ones: equal bytes meet and compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T[::-1]).tobytes()
+
+
+def unpack_longs(packed: pa.Buffer) -> np.ndarray:
+    planes = np.frombuffer(packed, dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes[::-1].T).view(np.int64).ravel()
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], key: list[str], most_rows: int, most_bytes: int) -> Iterator[pa.Table]:
     """Tables of whole groups from input sorted by ``key``: many small ones together, up to the limits."""
     held: list[pa.RecordBatch] = []

@@ -18,9 +18,9 @@ def pairs(rows):
     return [(r[0], r[1]) for r in rows]
 
 
-@pytest.mark.parametrize("hot, chars", [(1000, 2_000_000), (2, 500)])
-def test_repeats(docs, rows, hot, chars):
-    cut = S.remove_repeats(docs, hot=hot, shard_chars=chars)
+@pytest.mark.parametrize("settings", [{}, {"group_bytes": 20_000, "range_bytes": 3000, "shard_bytes": 5000, "stream_bytes": 2000, "automaton_windows": 100}])
+def test_repeats(docs, rows, settings):
+    cut = S.remove_repeats(docs, **settings)
     assert cut.columns[: len(docs.columns)] == docs.columns
     found = Counter(map(tuple, cut.select("doc_id", "repeat_n_words", "repeat_n_removed", F.sha2("repeat_kept_text", 256)).collect()))
     assert found == plain.removed_words(pairs(rows))
