@@ -39,15 +39,19 @@ from foliant.storage import materialize
 
 WINDOW = 13
 #: Bytes of text of a group of documents, and bytes of text whose windows share a range of hashes.
-GROUP_BYTES, RANGE_BYTES = 8 << 20, 4 << 20
+GROUP_BYTES, RANGE_BYTES = 4 << 20, 4 << 20
+#: Windows of a row sent between groups and ranges.
+ROW_WINDOWS = 1 << 13
 #: Bytes of the whole table for each shard of passages, and bytes of spans that one opening of a shard reads.
 SHARD_BYTES, STREAM_BYTES = 1 << 20, 4 << 20
 #: Windows of one row of a passage or span, and of one automaton.
 PIECE_WINDOWS, AUTOMATON_WINDOWS = 4096, 1 << 16
+#: Bytes of text of a part of the result.
+PART_BYTES = 8 << 20
 #: Rows of the table of shards to be opened several times up to which it is broadcast.
 _BROADCAST_ROWS = 200_000
 _U = np.uint64
-_SPANS = "kind int, shard long, doc_id long, mark long, start int, text string"
+_SPANS = "kind int, shard long, doc_id long, mark long, start int, size int, text string"
 
 
 def _windows_of(data: np.ndarray, offsets: np.ndarray, window: int):
@@ -74,7 +78,8 @@ def _list_windows(window: int, bits: int):
     def rows(group: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         hashes, first, last = _merged(*(np.concatenate(x) for x in zip(*parts)))
         ranges = (hashes >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
-        cuts = np.flatnonzero(np.concatenate(([True], ranges[1:] != ranges[:-1], [True]))) if len(hashes) else np.zeros(1, np.int64)
+        cuts = np.flatnonzero(np.concatenate(([True], ranges[1:] != ranges[:-1], [True])))
+        cuts = np.union1d(cuts, np.arange(0, len(ranges), ROW_WINDOWS))
         for i in range(0, len(cuts) - 1, 64):
             part = [(a, b) for a, b in zip(cuts[i : i + 65][:-1], cuts[i : i + 65][1:])]
             yield pa.RecordBatch.from_arrays([
@@ -132,7 +137,7 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _spans(window: int, shards: int, piece: int):
     """Passages (kind 1) and spans to be searched (kind 0) of a group's documents."""
-    schema = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int32()), ("text", pa.string())])
+    schema = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("text", pa.string())])
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not answers.num_rows or not texts.num_rows:
@@ -160,8 +165,9 @@ def _spans(window: int, shards: int, piece: int):
                 row = rows[a]
                 for s in range(a, b, piece):
                     e = min(b, s + piece)
-                    out.append((kind[a], shard[a], doc[a], marks[lo + row], place[s] - begins[row], raw[starts[place[s]] : ends[place[e - 1] + window - 1]]))
-        columns = list(zip(*out)) if out else [()] * 6
+                    first_byte, end = starts[place[s]], ends[place[e - 1] + window - 1]
+                    out.append((kind[a], shard[a], doc[a], marks[lo + row], place[s] - begins[row], end - first_byte, raw[first_byte:end]))
+        columns = list(zip(*out)) if out else [()] * len(schema)
         return pa.Table.from_arrays([pa.array(np.array(c, dtype=np.int64)).cast(f.type) if f.name != "text" else pa.array(c, pa.binary()).cast(pa.string()) for c, f in zip(columns, schema)], schema=schema)
 
     return run
@@ -225,30 +231,32 @@ def _locate(window: int, most_windows: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES, range_bytes: int = RANGE_BYTES, shard_bytes: int = SHARD_BYTES, stream_bytes: int = STREAM_BYTES, automaton_windows: int = AUTOMATON_WINDOWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
+
+
+def repeated_windows(docs: DataFrame, size: int, window: int = WINDOW, group_bytes: int = GROUP_BYTES, range_bytes: int = RANGE_BYTES, shard_bytes: int = SHARD_BYTES, stream_bytes: int = STREAM_BYTES, automaton_windows: int = AUTOMATON_WINDOWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, mark, begin, stop``: runs of windows that also start in a document with a smaller id.
 
-    ``mark`` is a hash of the text, for rows that share an id; a run's windows start at the words
+    ``size`` is the number of bytes of all texts. ``mark`` is a hash of the text, for rows that share an id; a run's windows start at the words
     ``begin`` to ``stop`` - 1. Rows without such windows are absent.
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     groups, shards = 1 + size // group_bytes, 1 + size // shard_bytes
     bits = (size // range_bytes).bit_length()
     grouped = texts.select(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(groups)).alias("group"), "doc_id", "mark", "text").repartition("group")
     listed = map_arrow(grouped.sortWithinPartitions("group"), _list_windows(window, bits), "range long, group long, hashes binary, first binary, spread binary")
     answers = map_arrow(listed.repartition("range").sortWithinPartitions("range"), _recurring, "group long, hashes binary, first binary")
     spans = materialize(grouped.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(_spans(window, shards, PIECE_WINDOWS), _SPANS), "substring-spans")
-    searched = spans.where("kind = 0").groupBy("shard").agg(F.ceil(F.sum(F.octet_length("text").cast("long")) / stream_bytes).alias("openings"))
-    crowded = materialize(searched.where("openings > 1"), "substring-crowded")
+    searched = spans.where("kind = 0").groupBy("shard").agg(F.ceil(F.sum("size") / stream_bytes).alias("openings"))
+    crowded = searched.where("openings > 1")
     many = F.broadcast(crowded) if crowded.count() <= _BROADCAST_ROWS else crowded
     dealt = spans.join(many, "shard", "left").withColumn("openings", F.coalesce("openings", F.lit(1)))
     own = F.array(F.pmod(F.xxhash64("doc_id", "mark", "start"), F.col("openings")))
     dealt = dealt.withColumn("salt", F.explode(F.when(F.col("kind") == 0, own).otherwise(F.sequence(F.lit(0), F.col("openings") - 1)))).drop("openings")
     located = map_arrow(dealt.repartition("shard", "salt").sortWithinPartitions("shard", "salt"), _locate(window, automaton_windows), "doc_id long, mark long, begin array<int>, stop array<int>")
-    located = located.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("begin")).alias("begin"), F.flatten(F.collect_list("stop")).alias("stop"))  # spans of one text
-    return materialize(located, "substring-windows", spans, crowded)
+    return located.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("begin")).alias("begin"), F.flatten(F.collect_list("stop")).alias("stop"))  # spans of one text
 
 
 def _cut(window: int):
@@ -286,10 +294,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     """Every row of ``docs`` with ``repeat_n_words``, ``repeat_n_removed``, ``repeat_spans`` (removed runs
     of words) and ``repeat_kept_text`` (words that stay, joined by one space)."""
     docs = docs.drop("repeat_n_words", "repeat_n_removed", "repeat_spans", "repeat_kept_text")
-    found = repeated_windows(docs, window, doc_id=doc_id, text=text, **settings)
+    size = text_bytes(docs, text)
+    found = repeated_windows(docs, size, window, doc_id=doc_id, text=text, **settings)
     found = found.select(F.col("doc_id").alias("_repeat_id"), F.col("mark").alias("_repeat_mark"), F.col("begin").alias("_repeat_begin"), F.col("stop").alias("_repeat_stop"))
     columns = docs.columns
     rows = docs.join(found, (F.col(doc_id).cast("long") == F.col("_repeat_id")) & (F.xxhash64(F.col(text)) == F.col("_repeat_mark")), "left")
     rows = rows.select(*columns, F.col(text).alias("_repeat_text"), "_repeat_begin", "_repeat_stop")
+    rows = rows.coalesce(1 + size // PART_BYTES)  # small tables give few files
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", repeat_n_words long, repeat_n_removed long, repeat_spans array<struct<start:int,words:int>>, repeat_kept_text string"
     return map_arrow(rows, _cut(window), schema)
