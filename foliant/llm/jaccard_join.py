@@ -5,15 +5,18 @@ reaches the threshold. Texts with one shingle set form one class of copies, repr
 smallest id.
 
 1. Every document gets a MinHash signature; representatives with an equal band of it share a bucket.
-   A bucket sends each member to its smallest one, a number of pairs that grows with the members, and
-   the components of these pairs are candidate groups. A pair at the threshold misses all bands with a
-   probability of 1e-7.
-2. A group's signatures are compared some values at a time. With m of n values equal and a uniform
-   prior, the posterior probability that the similarity reaches the threshold is a binomial sum; pairs
-   below the tolerance are dropped. The rest is verified on the full shingle sets.
-3. Large groups are cut into blocks and every pair of blocks is a task of its own, so no task holds a
-   whole group. A task returns per document its number of links and the smallest linked document: the
-   links of thousands of near copies are counted, never written as pairs.
+   A pair at the threshold misses all bands with a probability of 1e-7.
+2. Pairs of a bucket are screened by their sketches (band fingerprints and one byte of each MinHash
+   value). A pair counts in the first band that it shares, so once. Its values are compared some at a
+   time: with m of n equal and a uniform prior, the posterior probability that the similarity reaches
+   the threshold is a binomial sum, and pairs below the tolerance are dropped. Equal bytes of unequal
+   values only keep pairs. Documents with a pair left go on, with their bucket.
+3. Shingle sets of these documents meet in these buckets and the pairs left are verified exactly.
+   Classes are the components of verified links alone.
+
+A large bucket is cut into blocks and every pair of blocks is a task's work of its own, so no task holds
+a whole bucket. A task returns per document its number of links and the smallest linked document: the
+links of thousands of near copies are counted, never written as pairs.
 
 Defined cases: a text of under five words is one shingle of all of them; texts without words are
 linked to nothing; rows without id are linked to nothing and keep a null class; repeated rows count
@@ -85,11 +88,12 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     salt = scramble(np.arange(1, BANDS + 1, dtype=_U))
     for batch in batches:
         for lo, hi, data, offsets in text_chunks(batch.column(1)):
-            rows, first, second, sizes, bands = [], [], [], [], []
+            rows, first, second, sizes, bands, sketches = [], [], [], [], [], []
             for row, shingles in enumerate(shingle_sets(data, offsets)):
                 if not len(shingles):
                     continue
-                parts = signature(shingles).reshape(BANDS, ROWS).astype(_U)
+                values = signature(shingles)
+                parts = values.reshape(BANDS, ROWS).astype(_U)
                 keys = salt.copy()
                 for j in range(ROWS):
                     keys = scramble(keys * _U(0x9E3779B97F4A7C15) + parts[:, j])
@@ -99,25 +103,20 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 second.append(b)
                 sizes.append(len(shingles))
                 bands.append(keys.view(np.int64))
+                sketches.append(keys.astype(np.uint32).tobytes() + values.astype(np.uint8).tobytes())
             if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(2).take(pa.array(rows)), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(sizes, pa.int32()), ragged(np.concatenate(bands), [BANDS] * len(rows), pa.int64())], ["doc_id", "digest", "set_a", "set_b", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).take(pa.array(rows)), batch.column(2).take(pa.array(rows)), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(sizes, pa.int32()),
+                    ragged(np.concatenate(bands), [BANDS] * len(rows), pa.int64()), pa.array(sketches, pa.binary()),
+                ], ["doc_id", "digest", "set_a", "set_b", "n", "bands", "sketch"])
 
 
 def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingle sets and signatures of candidate texts; rows that only share an id are dropped."""
+    """Shingle sets of nodes."""
     for batch in batches:
-        wanted = batch.column("set_a").to_pylist()
-        at = batch.schema.get_field_index("text")
-        for lo, _, data, offsets in text_chunks(batch.column(at)):
-            rows, sets, signs = [], [], []
-            for row, shingles in enumerate(shingle_sets(data, offsets)):
-                if len(shingles) and _set_digest(shingles)[0] == wanted[lo + row]:
-                    rows.append(lo + row)
-                    sets.append(shingles.tobytes())
-                    signs.append(signature(shingles).tobytes())
-            if rows:
-                rest = batch.select([x for x in batch.schema.names if x not in ("text", "set_a")]).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(sets, pa.binary()), pa.array(signs, pa.binary())], [*rest.schema.names, "shingles", "signature"])
+        nodes = batch.column("node")
+        for lo, hi, data, offsets in text_chunks(batch.column("text")):
+            yield pa.RecordBatch.from_arrays([nodes.slice(lo, hi - lo), pa.array([x.tobytes() for x in shingle_sets(data, offsets)], pa.binary())], ["node", "shingles"])
 
 
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, step: int = STEP, most: int = BANDS * ROWS) -> list[tuple[int, int]]:
@@ -132,21 +131,47 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, st
     return out
 
 
-def linked_pairs(sets: list[np.ndarray], signs: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs from ``left`` x ``right`` (once each, never with itself) that reach the threshold."""
-    i, j = np.repeat(left, len(right)), np.tile(right, len(left))
-    if left is right or np.array_equal(left, right):
-        i, j = i[i < j], j[i < j]
-    matches, at = np.zeros(len(i), dtype=np.int32), 0
+def pairs_within(groups: np.ndarray, blocks: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of one group, ``groups`` being sorted; where ``apart`` is set, of different blocks only."""
+    cuts = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1], [True])))
+    later = np.repeat(cuts[1:], np.diff(cuts)) - np.arange(len(groups)) - 1
+    i = np.repeat(np.arange(len(groups)), later)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+    keep = ~apart[i] | (blocks[i] != blocks[j])
+    return i[keep], j[keep]
+
+
+def screened(sketches: np.ndarray, bands: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose first shared band is that of their bucket and whose values leave the threshold possible.
+
+    ``sketches`` has a row of bytes for each document, ``bands`` its bucket's band.
+    """
+    marks = np.ascontiguousarray(sketches[:, : 4 * BANDS]).view(np.uint32).T.copy()
+    values = sketches[:, 4 * BANDS :].T.copy()
+    done, band = [], bands[i]
+    for c in range(BANDS):
+        here = band == c
+        if here.any():
+            done.append((i[here], j[here]))
+        keep = ~here & (marks[c][i] != marks[c][j])
+        i, j, band = i[keep], j[keep], band[keep]
+        if not len(i):
+            break
+    i, j = (np.concatenate(x) for x in zip(*done)) if done else (i, j)
+    matches, at = np.zeros(len(i), dtype=np.int16), 0
     for n, least in least_matches(threshold, tolerance):
         for k in range(at, n):
-            column = signs[:, k]
-            matches += column[i] == column[j]
+            matches += values[k][i] == values[k][j]
         at = n
         keep = matches >= least
         i, j, matches = i[keep], j[keep], matches[keep]
         if not len(i):
-            return i, j
+            break
+    return i, j
+
+
+def verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of shingle sets that reach the threshold."""
     sizes = np.array([len(s) for s in sets])
     small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
     keep = small >= threshold * large - 1e-9  # no overlap can reach it otherwise
@@ -154,8 +179,7 @@ def linked_pairs(sets: list[np.ndarray], signs: np.ndarray, left: np.ndarray, ri
     if not len(i):
         return i, j
     used = np.unique(np.concatenate((i, j)))
-    flat = np.concatenate([sets[u] for u in used])
-    _, codes = np.unique(flat, return_inverse=True)
+    _, codes = np.unique(np.concatenate([sets[u] for u in used]), return_inverse=True)
     where = np.concatenate(([0], np.cumsum(sizes[used])))
     slot = np.full(len(sets), -1)
     slot[used] = np.arange(len(used))
@@ -175,49 +199,67 @@ def linked_pairs(sets: list[np.ndarray], signs: np.ndarray, left: np.ndarray, ri
     return i[good], j[good]
 
 
-def _compare(threshold: float, tolerance: float):
+def _candidates(table: pa.Table, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    key, a, b, blocks = (table.column(x).to_numpy() for x in ("key", "i", "j", "block"))
+    groups = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    i, j = pairs_within(groups, blocks, a != b)
+    sketches = np.stack([np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in table.column("sketch")])
+    return screened(sketches, table.column("band").to_numpy(), i, j, threshold, tolerance)
+
+
+def _screen(threshold: float, tolerance: float):
+    """Documents with a pair left, and the bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sorted_groups(batches, ["comp", "i", "j"], 2 * BLOCK_DOCS, 16 * BLOCK_SHINGLES):
-            comp, i, j = (table.column(x).to_numpy() for x in ("comp", "i", "j"))
-            nodes, blocks, copies = table.column("node").to_numpy(), table.column("block").to_numpy(), table.column("copies").to_numpy()
-            shingles, signs = table.column("shingles").combine_chunks(), table.column("signature").combine_chunks()
-            cuts = np.flatnonzero(np.concatenate(([True], (comp[1:] != comp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True])))
-            out_node, out_root, out_links = [], [], []
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                _, first = np.unique(nodes[a:b], return_index=True)  # repeated rows
-                rows = a + first
-                if len(rows) < 2:
-                    continue
-                mine = nodes[rows]
-                sets = [np.frombuffer(shingles[int(r)].as_buffer(), dtype=_U) for r in rows]
-                sign = np.stack([np.frombuffer(signs[int(r)].as_buffer(), dtype=np.uint32) for r in rows])
-                left, right = np.flatnonzero(blocks[rows] == i[a]), np.flatnonzero(blocks[rows] == j[a])
-                x, y = linked_pairs(sets, sign, left, right, threshold, tolerance)
-                if not len(x):
-                    continue
-                links = np.zeros(len(rows), dtype=np.int64)
-                np.add.at(links, x, copies[rows][y])
-                np.add.at(links, y, copies[rows][x])
-                root = np.arange(len(rows))
-                while True:
-                    low = np.minimum(root[x], root[y])
-                    new = root.copy()
-                    np.minimum.at(new, x, low)
-                    np.minimum.at(new, y, low)
-                    new = new[new]
-                    if np.array_equal(new, root):
-                        break
-                    root = new
-                has = np.flatnonzero(links)
-                out_node.append(mine[has])
-                out_root.append(mine[root[has]])
-                out_links.append(links[has])
-            if out_node:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (out_node, out_root, out_links)], ["node", "root", "links"])
+        for table in sorted_groups(batches, ["key", "i", "j"], BLOCK_DOCS, 1 << 20):
+            i, j = _candidates(table, threshold, tolerance)
+            if len(i):
+                yield from table.select(["key", "band", "node"]).take(np.unique(np.concatenate((i, j)))).combine_chunks().to_batches()
+
+    return run
+
+
+def _verify(threshold: float, tolerance: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_groups(batches, ["key", "i", "j"], BLOCK_DOCS, 4 * BLOCK_SHINGLES):
+            repeated = np.ones(table.num_rows, dtype=bool)  # a node may have its set from several equal rows
+            for name in ("key", "i", "j", "node"):
+                column = table.column(name).to_numpy()
+                repeated[1:] &= column[1:] == column[:-1]
+            repeated[:1] = False
+            table = table.filter(pa.array(~repeated)) if repeated.any() else table
+            i, j = _candidates(table, threshold, tolerance)
+            nodes, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
+            sets = [np.frombuffer(x.as_buffer(), dtype=_U) for x in table.column("shingles")]
+            x, y = verified(sets, i, j, threshold)
+            if not len(x):
+                continue
+            links = np.zeros(len(nodes), dtype=np.int64)
+            np.add.at(links, x, copies[y])
+            np.add.at(links, y, copies[x])
+            root = np.arange(len(nodes))
+            while True:
+                low = np.minimum(root[x], root[y])
+                new = root.copy()
+                np.minimum.at(new, x, low)
+                np.minimum.at(new, y, low)
+                new = new[new]
+                if np.array_equal(new, root):
+                    break
+                root = new
+            has = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (nodes[has], nodes[root[has]], links[has])], ["node", "root", "links"])
 
     return run
 
 
+def _dealt(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``rows`` of ``key, node`` once for each pair ``i, j`` of its bucket's blocks that holds its own block."""
+    rows = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    return rows.drop("blocks", "other")
+
+
 def _classified(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, digest, set_a, set_b, class_id, n_links, n_copies, heads`` of every row.
 
@@ -226,22 +268,24 @@ def _classified(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     """
     all_rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("digest", F.xxhash64("text"))
     texts = all_rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    described = materialize(map_arrow(texts, _describe, "doc_id long, digest long, set_a long, set_b long, n int, bands array<long>"), "jaccard-signatures")
+    described = materialize(map_arrow(texts, _describe, "doc_id long, digest long, set_a long, set_b long, n int, bands array<long>, sketch binary"), "jaccard-signatures")
     classes = described.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
     reps = described.join(classes.withColumnRenamed("rep", "doc_id"), ["set_a", "set_b", "doc_id"])
-    keyed = reps.select("node", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub < far")
-    near = keyed.join(buckets, "key").where("node <> hub").select("node", "hub").distinct()
-    groups = materialize(connected_components(near, "node", "hub"), "jaccard-groups")
-    members = groups.join(reps.groupBy("node", "doc_id", "set_a", "n", "copies").agg(F.min("digest").alias("digest")), "node")
-    totals = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
-    members = members.join(totals, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    chosen = texts.join(members.select("doc_id", "digest", "node", F.col("component").alias("comp"), "set_a", "copies", "block", "blocks"), ["doc_id", "digest"]).select("node", "comp", "copies", "block", "blocks", "set_a", "text")
-    prepared = map_arrow(chosen, _prepare, "node long, comp long, copies long, block int, blocks int, shingles binary, signature binary")
-    dealt = prepared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "copies", "block", "shingles", "signature")
-    found = map_arrow(dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j"), _compare(threshold, tolerance), "node long, root long, links long")
-    found = materialize(found, "jaccard-links")
+    keyed = reps.select("node", F.posexplode("bands").alias("band", "key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    buckets = materialize(keyed.join(shared, "key").distinct(), "jaccard-buckets")
+    nodes = reps.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("digest").alias("digest"), *[F.any_value(x).alias(x) for x in ("n", "copies", "sketch")])
+    nodes = materialize(nodes, "jaccard-nodes")
+    cut = buckets.groupBy("key").agg(F.ceil(F.count("*") / block_docs).cast("int").alias("blocks"))
+    screen = map_arrow(_dealt(buckets, cut).join(nodes.select("node", "sketch"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), _screen(threshold, tolerance), "key long, band int, node long")
+    left = materialize(screen.distinct(), "jaccard-left", buckets)
+    sets = texts.join(nodes.join(left.select("node").distinct(), "node", "left_semi").select("doc_id", "digest", "node"), ["doc_id", "digest"]).select("node", "text")
+    sets = materialize(map_arrow(sets, _prepare, "node long, shingles binary"), "jaccard-sets")
+    left = left.join(nodes.select("node", "n", "copies", "sketch"), "node")
+    cut = left.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
+    found = map_arrow(_dealt(left.drop("n"), cut).join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node"), _verify(threshold, tolerance), "node long, root long, links long")
+    found = materialize(found, "jaccard-links", nodes, sets)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     merged = materialize(connected_components(found.where("node <> root"), "node", "root").join(classes.select("node", "set_a", "set_b", "rep"), "node"), "jaccard-merged")
     heads = merged.groupBy("component").agg(F.min(F.struct("rep", "set_a", "set_b")).alias("head"))

@@ -58,7 +58,32 @@ def test_posterior_keeps_pairs_at_the_threshold():
     for n, least in J.least_matches():
         assert (rng.binomial(n, 0.8, 20_000) >= least).all()
     assert least > 0.55 * n  # and in the end drops unlike pairs
-    assert J.linked_pairs([np.arange(10, dtype=np.uint64)], np.zeros((1, 200), np.uint32), np.array([0]), np.array([0]), 0.8, 1e-9)[0].size == 0
+
+
+def test_each_pair_of_a_bucket_counts_once():
+    groups, blocks = np.array([0, 0, 0, 1, 2, 2, 2]), np.array([0, 0, 0, 0, 0, 1, 1])
+    i, j = J.pairs_within(groups, blocks, np.array([False] * 4 + [True] * 3))
+    assert list(zip(i.tolist(), j.tolist())) == [(0, 1), (0, 2), (1, 2), (4, 5), (4, 6)]
+    same = np.zeros((2, 4 * J.BANDS + J.BANDS * J.ROWS), np.uint8)
+    for band in range(3):  # equal texts share all bands and count in the first
+        assert len(J.screened(same, np.full(2, band), np.array([0]), np.array([1]), 0.8, 1e-9)[0]) == (band == 0)
+
+
+def test_chains_of_unlike_texts_are_compared_once_a_bucket(spark, monkeypatch):
+    """Each text is like the next one at 0.6: many shared buckets, no link."""
+    rows = [(i, " ".join(f"w{k}" for k in range(i * 50, i * 50 + 204))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    compared = spark.sparkContext.accumulator(0)
+    before = J.verified
+
+    def counting(sets, i, j, threshold):
+        compared.add(len(i))
+        return before(sets, i, j, threshold)
+
+    monkeypatch.setattr(J, "verified", counting)
+    found = J.similarity_classes(docs).collect()
+    assert all(r.doc_id == r.class_id and not r.n_links for r in found) and len(found) == 400
+    assert compared.value <= 400
 
 
 def test_packing_is_an_exact_round_trip(docs, rows):
