@@ -69,14 +69,17 @@ h AS (SELECT doc_id, text, edited, """ + ", ".join(
     f"""CASE WHEN len({x}) >= 5 THEN list_transform(range(1, len({x}) - 3), lambda i: substr(md5({x}[i] || ' ' || {x}[i+1] || ' ' || {x}[i+2] || ' ' || {x}[i+3] || ' ' || {x}[i+4]), 1, 16))
         WHEN len({x}) > 0 THEN [substr(md5(array_to_string({x}, ' ')), 1, 16)] ELSE []::VARCHAR[] END AS {x}""" for x in "abc"
 ) + """ FROM w),
-k AS (SELECT doc_id, text, edited, """ + ", ".join(
-    f"list_sort(list_distinct(CASE WHEN len(list_filter({x}, lambda h: h < '2')) > 0 OR len({x}) = 0 THEN list_filter({x}, lambda h: h < '2') ELSE [list_min({x})] END)) AS {x}" for x in "abc"
-) + """ FROM h)
-SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, array_to_string(a, ',') AS fingerprint, array_to_string(b, ',') AS edited_fingerprint,
-  CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END AS near_edited,
-  CASE WHEN len(list_distinct(list_concat(a, c))) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a, c))::DOUBLE / len(list_distinct(list_concat(a, c))) END AS near_next,
-  CASE WHEN len(a) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / len(a) END AS kept_in_edited
-FROM k
+k AS (SELECT doc_id, text, edited, """ + ", ".join(f"list_sort(list_distinct(list_filter({x}, lambda h: h < '2'))) AS {x}, list_sort(list_distinct({x})) AS {x}_all" for x in "abc") + """ FROM h),
+s AS (SELECT *, """ + ", ".join(
+    f"CASE WHEN len(a) + len({x}) > 0 THEN a ELSE a_all END AS a_{x}, CASE WHEN len(a) + len({x}) > 0 THEN {x} ELSE {x}_all END AS {x}_a" for x in "bc"
+) + """ FROM k)
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, """ + ", ".join(
+    f"CASE WHEN len({x}) > 0 OR len({x}_all) = 0 THEN array_to_string({x}, ',') ELSE '~' || array_to_string({x}_all, ',') END AS {name}" for x, name in (("a", "fingerprint"), ("b", "edited_fingerprint"))
+) + """,
+  CASE WHEN len(list_distinct(list_concat(a_b, b_a))) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a_b, b_a))::DOUBLE / len(list_distinct(list_concat(a_b, b_a))) END AS near_edited,
+  CASE WHEN len(list_distinct(list_concat(a_c, c_a))) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a_c, c_a))::DOUBLE / len(list_distinct(list_concat(a_c, c_a))) END AS near_next,
+  CASE WHEN len(a) > 0 THEN len(list_intersect(a, b))::DOUBLE / len(a) WHEN len(a_all) = 0 THEN 1.0::DOUBLE WHEN len(b) = 0 THEN len(list_intersect(a_all, b_all))::DOUBLE / len(a_all) END AS kept_in_edited
+FROM s
 """
 
 

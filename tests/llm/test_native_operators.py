@@ -77,11 +77,34 @@ def test_fingerprints_of_awkward_rows(docs, rows):
 
 
 def test_containment_of_unequal_texts(spark):
-    long = " ".join(f"w{i}" for i in range(4000))
-    short = " ".join(f"w{i}" for i in range(1000, 1400))
-    row = spark.createDataFrame([(long, short)], "a string, b string").select(FP.sketch(F.col("a")).alias("a"), FP.sketch(F.col("b")).alias("b"))
-    row = row.select(FP.containment(F.col("b"), F.col("a")), FP.likeness(F.col("a"), F.col("b")), F.size("a"), (FP.merge(F.col("a"), F.col("b")) == F.col("a"))).first()
-    assert row[0] > 0.95 and 0.05 < row[1] < 0.2 and 400 < row[2] < 600
+    words = [f"w{i}" for i in range(4000)]
+    passages = [(n, " ".join(words[at : at + n])) for n in (6, 30, 100, 400) for at in range(0, 3500, 40)]
+    rows = spark.createDataFrame(passages, "n int, b string").withColumn("a", F.lit(" ".join(words))).select("n", FP.sketch(F.col("a")).alias("a"), FP.sketch(F.col("b")).alias("b"))
+    rows = rows.select("n", FP.containment(F.col("b"), F.col("a")).alias("c"), FP.likeness(F.col("a"), F.col("b")).alias("like"), (FP.merge(F.col("a"), F.col("b")) == F.col("a")).alias("merged"), (F.size("b.low") > 0).alias("some")).collect()
+    assert all(r.merged for r in rows)
+    assert all(r.c == 1.0 if r.some else r.c is None for r in rows) and any(not r.some for r in rows)
+    assert all(r.some and 0.05 < r.like < 0.2 for r in rows if r.n == 400)
+
+
+def test_texts_without_a_sketch_compare_exactly(spark):
+    short = [" ".join(f"{x}{i}" for i in range(7)) for x in "abcdefghijklmnop"]
+    rows = spark.createDataFrame([(t, t.rsplit(" ", 1)[0]) for t in short], "a string, b string").select("a", FP.sketch(F.col("a")).alias("x"), FP.sketch(F.col("b")).alias("y"))
+    rows = rows.where("size(x.low) = 0").select(FP.likeness(F.col("x"), F.col("y")), FP.containment(F.col("y"), F.col("x")), FP.containment(F.col("x"), F.col("y")), FP.shown(F.col("x"))).collect()
+    assert rows and all(r[0] == pytest.approx(2 / 3) and r[1] == 1.0 and r[2] == pytest.approx(2 / 3) and r[3].startswith("~") for r in rows)
+
+
+def test_next_texts_of_sparse_and_dense_ids(spark, con):
+    ids = [3, 4, 5, 6, 2**40, 2**40 + 1, -(2**50), 7 * 10**17, 2**62 + 5, *[k * 977_777_777_777 for k in range(1, 60)]]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    found = {r.doc_id: r.next_text for r in FP.with_next(docs).collect()}
+    order = sorted(ids)
+    assert found == {i: f"text {n}" for i, n in zip(order, order[1:] + order[:1])}
+    rows = docs.select(F.col("doc_id").alias("_id"))
+    assert FP.low_bits(rows.where("_id between 0 and 10")) == 61 and FP.low_bits(spark.range(20_000).withColumnRenamed("id", "_id")) == 9
+    heads = FP._heads(rows, 9, part_groups=5).collect()
+    starts = {i >> 9: i for i in reversed(order)}
+    groups = sorted(starts)
+    assert {(r._to, r._head) for r in heads} == {(groups[k - 1], starts[g]) for k, g in enumerate(groups)}
 
 
 def test_shard_oracle(con, frame):
