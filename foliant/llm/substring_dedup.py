@@ -43,7 +43,9 @@ GROUP_BYTES, RANGE_BYTES = 4 << 20, 4 << 20
 #: Windows of a row sent between groups and ranges.
 ROW_WINDOWS = 1 << 13
 #: Bytes of the whole table for each shard of passages, and bytes of spans that one opening of a shard reads.
-SHARD_BYTES, STREAM_BYTES = 1 << 20, 4 << 20
+SHARD_BYTES, STREAM_BYTES = 1 << 20, 2 << 20
+#: Bytes that a span counts for besides its text.
+SPAN_BYTES = 256
 #: Windows of one row of a passage or span, and of one automaton.
 PIECE_WINDOWS, AUTOMATON_WINDOWS = 4096, 1 << 16
 #: Bytes of text of a part of the result.
@@ -245,11 +247,13 @@ def repeated_windows(docs: DataFrame, size: int, window: int = WINDOW, group_byt
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     groups, shards = 1 + size // group_bytes, 1 + size // shard_bytes
     bits = (size // range_bytes).bit_length()
+    # two passes over the texts: the windows' shuffles are gone before the second one
     grouped = texts.select(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(groups)).alias("group"), "doc_id", "mark", "text").repartition("group")
     listed = map_arrow(grouped.sortWithinPartitions("group"), _list_windows(window, bits), "range long, group long, hashes binary, first binary, spread binary")
     answers = map_arrow(listed.repartition("range").sortWithinPartitions("range"), _recurring, "group long, hashes binary, first binary")
-    spans = materialize(grouped.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(_spans(window, shards, PIECE_WINDOWS), _SPANS), "substring-spans")
-    searched = spans.where("kind = 0").groupBy("shard").agg(F.ceil(F.sum("size") / stream_bytes).alias("openings"))
+    answers = materialize(answers, "substring-answers")
+    spans = materialize(grouped.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(_spans(window, shards, PIECE_WINDOWS), _SPANS), "substring-spans", answers)
+    searched = spans.where("kind = 0").groupBy("shard").agg(F.ceil(F.sum(F.col("size") + SPAN_BYTES) / stream_bytes).alias("openings"))
     crowded = searched.where("openings > 1")
     many = F.broadcast(crowded) if crowded.count() <= _BROADCAST_ROWS else crowded
     dealt = spans.join(many, "shard", "left").withColumn("openings", F.coalesce("openings", F.lit(1)))
