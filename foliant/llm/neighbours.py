@@ -3,12 +3,13 @@
 The neighbour graph of a bounded sample is cut into balanced partitions with few edges between them; a
 small network learns to tell a vector's partition from its components. Every vector is indexed in the
 partition that the network finds most probable, and a query is sent to its several most probable
-partitions, whose vectors are all compared with it exactly. How many partitions a query visits is
-calibrated on the sample for the wanted recall. Small tables have one partition, which is exact.
+partitions, whose vectors are all compared with it exactly. Partitions grow in number with the root of
+the table. How many of them a query visits is calibrated for the wanted recall on a part of the sample
+that the network is not trained on.
 
-Partitions are searched in blocks: vectors and queries of a partition are dealt to groups of bounded
-size by hash, and each pair of groups is a task's worth of work, so a partition with a third of all
-vectors is only more tasks. A task returns at most ``k`` rows per query.
+A partition's vectors are cut into blocks by hash and stay in place; queries, the smaller side, are sent
+to the blocks of the partitions that they visit and stream past each block, so a partition with a third
+of all vectors is only more blocks. A block returns at most ``k`` rows per query.
 
 Defined cases: vectors that are null, all zero, of another than the most common length or that hold
 null or non-finite components take no part; rows without id take no part; a query's own id is no
@@ -25,19 +26,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from foliant.llm.textops import ragged, sorted_groups
+from foliant.llm.textops import ragged
 from foliant.shipping import map_arrow
 from foliant.storage import materialize
 
 K = 10
 EVERY = 100
-#: Most vectors from which partitions are learned, and vectors up to which there is one partition.
-SAMPLE, EXACT_UP_TO = 8192, 2000
-PARTITIONS, NEIGHBOURS, HIDDEN = 16, 10, 64
+#: Most vectors from which partitions are learned, and the share of them that only calibrates.
+SAMPLE, ASIDE = 16384, 8
+MOST_PARTITIONS, NEIGHBOURS, HIDDEN = 256, 10, 64
 #: Share of true neighbours within the visited partitions of sampled queries.
-WANTED = 0.97
-#: Vectors and queries of a block.
-BLOCK, QUERY_BLOCK = 8192, 2048
+WANTED = 0.95
+#: Vectors of a block.
+BLOCK = 8192
+
+
+def partition_count(rows: int, most: int = MOST_PARTITIONS) -> int:
+    """The power of two below half the root of the rows, at least 1."""
+    return min(most, 1 << max(0, int(np.sqrt(rows) / 2).bit_length() - 1))
 
 
 def neighbour_graph(vectors: np.ndarray, k: int) -> np.ndarray:
@@ -125,20 +131,23 @@ def _learn(vectors: np.ndarray, targets: np.ndarray, hidden: int, epochs: int =
     return centre, [(parameters[0] / spread, parameters[1]), (parameters[2], parameters[3])]
 
 
-def fit_router(vectors: np.ndarray, parts: int = PARTITIONS, neighbours: int = NEIGHBOURS, wanted: float = WANTED) -> Router:
-    """Partitions, router and number of visits, from a sample."""
-    centre = vectors.mean(axis=0) if len(vectors) else np.zeros(0)
-    if parts == 1 or len(vectors) < 4 * parts * neighbours:
-        return Router(centre, [], 1, 1)
+def fit_router(vectors: np.ndarray, parts: int, neighbours: int = NEIGHBOURS, wanted: float = WANTED, aside: int = ASIDE) -> Router:
+    """Partitions, router and number of visits, from a sample; every ``aside``-th vector (but at least 64) only calibrates."""
+    neighbours = min(neighbours, len(vectors) - 1)
+    if parts < 2 or neighbours < 1:
+        return Router(np.zeros(vectors.shape[1]), [], 1, 1)
     graph = neighbour_graph(vectors, neighbours)
     label = balanced_parts(vectors, graph, parts)
     votes = np.bincount(np.repeat(np.arange(len(vectors)), neighbours) * parts + label[graph].ravel(), minlength=len(vectors) * parts).reshape(-1, parts)
     votes = votes + neighbours * np.eye(parts)[label]
-    centre, layers = _learn(vectors, votes / votes.sum(axis=1, keepdims=True), HIDDEN)
+    stride = max(1, min(aside, len(vectors) // 64))
+    held = np.arange(len(vectors)) % stride == 0
+    learnt = ~held if stride > 1 else held  # under 128 vectors all do both
+    centre, layers = _learn(vectors[learnt], (votes / votes.sum(axis=1, keepdims=True))[learnt], HIDDEN)
     router = Router(centre, layers, parts, parts)
     ranked = router.ranked(vectors)
-    placed, position = ranked[:, 0], np.argsort(ranked, axis=1)
-    needed = position[np.repeat(np.arange(len(vectors)), neighbours), placed[graph].ravel()]
+    placed, position = ranked[:, 0], np.argsort(ranked[held], axis=1)
+    needed = np.take_along_axis(position, placed[graph[held]], axis=1).ravel()
     covered = np.cumsum(np.bincount(needed, minlength=parts)) / len(needed)
     router.visits = int(np.searchsorted(covered, wanted) + 1)
     return router
@@ -165,39 +174,53 @@ def _assign(shared, width: int, every: int):
     return run
 
 
-def _search(width: int, k: int, most_bytes: int):
+def nearest_in(known_ids: np.ndarray, known: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each query its id, the ids of its ``k`` nearest among ``known`` and their exact distances."""
+    norms, out = (known**2).sum(axis=1), []
+    for lo in range(0, len(queries), 128):
+        part = queries[lo : lo + 128]
+        near = norms[None, :] - 2 * part @ known.T + (part**2).sum(axis=1)[:, None]
+        near[query_ids[lo : lo + 128][:, None] == known_ids[None, :]] = np.inf
+        for q in range(len(part)):
+            row = near[q]
+            if len(row) > k:
+                limit = np.partition(row, k - 1)[k - 1]
+                found = np.flatnonzero(row <= limit + 1e-9 * (1 + abs(limit)) + 1e-9 * norms.max())
+            else:
+                found = np.arange(len(row))
+            found = found[np.isfinite(row[found])]
+            exact = np.sqrt(((known[found] - part[q]) ** 2).sum(axis=1))
+            best = np.lexsort((known_ids[found], exact))[:k]
+            out.append((np.full(len(best), query_ids[lo + q]), known_ids[found][best], exact[best]))
+    return out
+
+
+def _search(width: int, k: int):
+    """Queries of a block stream past its vectors, which come first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sorted_groups(batches, ["part", "i", "j"], 1, most_bytes):
-            table = table.combine_chunks()
-            ids, asks = table.column("vec_id").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False)
-            vectors = _stack(table.column("embedding").combine_chunks(), width)
-            _, once = np.unique(ids[asks], return_index=True)
-            query_ids, queries = ids[asks][once], vectors[asks][once]
-            known_ids, known = ids[~asks], vectors[~asks]
-            if not len(query_ids) or not len(known_ids):
+        block, ids, vectors = None, [], []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            norms, out = (known**2).sum(axis=1), []
-            for lo in range(0, len(queries), 128):
-                part = queries[lo : lo + 128]
-                near = norms[None, :] - 2 * part @ known.T + (part**2).sum(axis=1)[:, None]
-                near[query_ids[lo : lo + 128][:, None] == known_ids[None, :]] = np.inf
-                for q in range(len(part)):
-                    row = near[q]
-                    if len(row) > k:
-                        limit = np.partition(row, k - 1)[k - 1]
-                        found = np.flatnonzero(row <= limit + 1e-9 * (1 + abs(limit)) + 1e-9 * norms.max())
-                    else:
-                        found = np.arange(len(row))
-                    found = found[np.isfinite(row[found])]
-                    exact = np.sqrt(((known[found] - part[q]) ** 2).sum(axis=1))
-                    best = np.lexsort((known_ids[found], exact))[:k]
-                    out.append((np.full(len(best), query_ids[lo + q]), known_ids[found][best], exact[best]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "vec_id", "score"])
+            part, i, asks, vec = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("part", "i", "asks", "vec_id"))
+            cuts = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (i[1:] != i[:-1]) | (asks[1:] != asks[:-1]), [True])))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if (part[a], i[a]) != block:
+                    block, ids, vectors = (part[a], i[a]), [], []
+                here = _stack(batch.column("embedding").slice(a, b - a), width)
+                if not asks[a]:
+                    ids.append(vec[a:b])
+                    vectors.append(here)
+                elif ids:
+                    ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
+                    found = nearest_in(ids[0], vectors[0], vec[a:b], here, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, parts: int = PARTITIONS, sample: int = SAMPLE, wanted: float = WANTED, block: int = BLOCK, query_block: int = QUERY_BLOCK, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, parts: int | None = None, sample: int = SAMPLE, wanted: float = WANTED, block: int = BLOCK, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of each row whose id ``every`` divides.
 
     The router is learned from at most ``sample`` vectors, those with the smallest hashes of their ids.
@@ -207,27 +230,22 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, parts: int =
     rows = embeddings.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("embedding")).where(F.col("vec_id").isNotNull() & values.isNotNull())
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     rows = rows.where(F.forall(values, number) & F.exists(values, lambda x: x != 0))
-    empty = "query_id long, rank int, vec_id long, score double"
     lengths = rows.groupBy(F.size("embedding").alias("width")).count().orderBy(F.desc("count"), "width").first()
     if lengths is None:
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width, total = lengths["width"], lengths["count"]
     rows = rows.where(F.size("embedding") == width)
-    if total <= EXACT_UP_TO:
-        parts = 1
-    chosen = rows.select("embedding", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(sample).select("embedding").toPandas()["embedding"] if parts > 1 else []
-    router = fit_router(np.array([np.asarray(v, dtype=np.float64) for v in chosen]).reshape(-1, width), parts, wanted=wanted)
+    chosen = rows.select("embedding", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id", "embedding").limit(sample).select("embedding").toPandas()["embedding"]
+    router = fit_router(np.array([np.asarray(v, dtype=np.float64) for v in chosen]).reshape(-1, width), partition_count(total) if parts is None else parts, wanted=wanted)
     kind = embeddings.schema[vector].dataType.simpleString()
     placed = map_arrow(rows, _assign(spark.sparkContext.broadcast(router), width, every), f"vec_id long, embedding {kind}, part int, visits array<int>")
     placed = materialize(placed, "neighbours-index")
-    asking = placed.where(F.size("visits") > 0).select("vec_id", "embedding", F.explode("visits").alias("part"))
-    sizes = placed.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    query_sizes = asking.groupBy("part").agg(F.ceil(F.count("*") / query_block).cast("int").alias("query_blocks"))
-    counts = F.broadcast(sizes.join(query_sizes, "part"))  # one row per partition
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    known = placed.select("vec_id", "embedding", "part").join(counts, "part").select("part", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("blocks")).cast("int").alias("i"), numbers("query_blocks").alias("j"), "vec_id", "embedding", F.lit(False).alias("asks"))
-    queries = asking.join(counts, "part").select("part", numbers("blocks").alias("i"), F.pmod(F.xxhash64("vec_id"), F.col("query_blocks")).cast("int").alias("j"), "vec_id", "embedding", F.lit(True).alias("asks"))
-    dealt = known.unionByName(queries).repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")
-    found = map_arrow(dealt, _search(width, k, 1), "query_id long, vec_id long, score double")
+    sizes = F.broadcast(placed.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))  # one row per partition
+    asking = placed.where(F.size("visits") > 0).groupBy("vec_id").agg(F.min(F.struct("embedding", "visits")).alias("asked"))
+    asking = asking.select("vec_id", "asked.embedding", F.explode("asked.visits").alias("part"))
+    known = placed.select("vec_id", "embedding", "part").join(sizes, "part").select("part", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("blocks")).cast("int").alias("i"), "vec_id", "embedding", F.lit(False).alias("asks"))
+    queries = asking.join(sizes, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "vec_id", "embedding", F.lit(True).alias("asks"))
+    dealt = known.unionByName(queries).repartition("part", "i").sortWithinPartitions("part", "i", "asks")
+    found = map_arrow(dealt, _search(width, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -159,7 +159,7 @@ def test_neighbours_of_small_and_awkward_tables(spark):
     bad = [(100, None), (101, [0.0] * 4), (102, [1.0, None, 1.0, 1.0]), (103, [float("nan")] * 4), (104, [float("inf"), 1.0, 1.0, 1.0]), (105, [1.0]), (None, [1.0] * 4), (200, [])]
     df = spark.createDataFrame(good + bad, "vec_id long, embedding array<float>").withColumn("part", F.lit("clash"))
     found = {}
-    for r in N.nearest(df, every=10, block=16, query_block=3).orderBy("query_id", "rank").collect():
+    for r in N.nearest(df, every=10, block=16, parts=1).orderBy("query_id", "rank").collect():
         found.setdefault(r.query_id, []).append((r.vec_id, r.score))
     ids, vectors = [i for i, _ in good], np.array([v for _, v in good])
     wanted = brute(ids, vectors, 10, 10)
@@ -170,17 +170,22 @@ def test_neighbours_of_small_and_awkward_tables(spark):
     assert N.nearest(df.where("vec_id in (0, 7)")).count() == 1
 
 
-def test_learned_partitions_recall(spark):
+@pytest.mark.parametrize("rows, every", [(400, 10), (5000, 50)])
+def test_learned_partitions_recall(spark, rows, every):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 16)) * 2
-    vectors = (centres[rng.integers(0, 40, 5000)] + rng.normal(size=(5000, 16))).astype(np.float32)
+    vectors = (centres[rng.integers(0, 40, rows)] + rng.normal(size=(rows, 16))).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
-    found = N.nearest(df, every=50)
+    found = N.nearest(df, every=every)
     got = {(r.query_id, r.vec_id) for r in found.collect()}
-    wanted = brute(list(range(5000)), vectors.astype(float), 50, 10)
-    assert len({(q, i) for q, rows in wanted.items() for i, _ in rows} & got) / len(got) >= 0.9
-    router = N.fit_router(vectors.astype(float))
-    assert 1 <= router.visits < router.parts
+    wanted = brute(list(range(rows)), vectors.astype(float), every, 10)
+    assert len({(q, i) for q, near in wanted.items() for i, _ in near} & got) / len(got) >= 0.9
+    router = N.fit_router(vectors.astype(float), N.partition_count(rows))
+    assert router.parts > 1 and 1 <= router.visits <= router.parts / 2
+
+
+def test_partitions_grow_with_the_table():
+    assert [N.partition_count(n) for n in (0, 1, 15, 16, 500, 2000, 51_282, 10**9)] == [1, 1, 1, 2, 8, 16, 64, 256]
 
 
 def test_partitions_are_balanced():
