@@ -1,14 +1,17 @@
 """Packing along a space-filling curve.
 
 Documents are tokenised once. The tokens of a document, hashed to 1024 features and normalised, are
-projected to three dimensions; the Hilbert key of that point orders the documents, ranges of the
-order become partitions, and each partition is packed in order, documents cut where a sequence is
-full. Neighbours on the curve share sequences. What is left at the end of a partition is cut into
+projected to three dimensions; the Hilbert key of that point orders the documents, ranges of the order
+that hold about as many ids each become partitions, and each partition is packed in order, documents cut
+where a sequence is full. Neighbours on the curve share sequences. A cell of the curve that holds more
+than a partition, such as many copies, is dealt to several by hash. What is left at the end of a partition is cut into
 sequences of powers of two, which need no padding.
 
-Words between white space are tokenised once per worker and remembered. A word of plain Latin letters,
-digits and signs goes to the merges of the vocabulary directly, any other through the whole tokenizer;
-both give the tokenizer's ids.
+Where the tokenizer's file says that words between white space are tokenised by themselves (it lower-cases,
+splits by a pattern that holds no white space, and knows bytes), they are tokenised once per worker and
+remembered. A word of plain Latin letters, digits and signs is split by the file's pattern and goes to the
+merges of the vocabulary directly, any other through the whole tokenizer; both give the tokenizer's ids.
+With any other file whole texts go through the tokenizer.
 
 Defined cases: null or empty text is the end id alone; equal keys are ordered by id, so copies are
 spread over partitions; repeated rows and rows without id are packed like others; an empty table gives
@@ -17,7 +20,9 @@ no rows; further columns are left out.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,20 +39,39 @@ from foliant.storage import materialize
 LENGTH = 4096
 END_ID = 2
 FEATURES, DIMENSIONS, BITS = 1024, 3, 12
-#: Ids of a partition of the curve.
-PARTITION_IDS = 4_000_000
+#: Ids of a partition of the curve, and of a row; longer documents have several rows.
+PARTITION_IDS, ROW_IDS = 2_000_000, 32_768
+#: Bits of a curve key that name its cell; ids are counted by cell.
+CELL_BITS = 18
 #: Words that a worker remembers.
 MEMORY = 600_000
 _SIMPLE = regex.compile(r"[\x21-\x7EÀ-ÖØ-öø-įı-ſ]+")
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # as the tokenizer's own pre-tokenizer states it
 _worker: dict = {}
 
 
+def splitting_rule(path: str) -> regex.Pattern | None:
+    """The pattern of pieces of a tokenizer whose words between white space don't touch each other, or None."""
+    stated = json.loads(Path(path).read_text())
+    normalizers = [x["type"] for x in (stated.get("normalizer") or {}).get("normalizers", [])]
+    steps = (stated.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if normalizers != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in steps] != ["Split", "ByteLevel"] or stated.get("post_processor"):
+        return None
+    split, level = steps
+    apart = stated["normalizer"]["normalizers"][1] | {"type": ""} == {"type": "", "pattern": {"Regex": r"\s+"}, "content": " "}
+    if not apart or split["behavior"] != "Removed" or not split["invert"] or "Regex" not in split["pattern"] or level["add_prefix_space"] or level["use_regex"]:
+        return None
+    found = regex.compile(split["pattern"]["Regex"])
+    return None if found.search(" ") else found
+
+
 class WordTokenizer:
     """Ids of words under a ``tokenizers`` file, remembered up to ``memory`` words."""
 
     def __init__(self, path: str, memory: int = MEMORY):
         self.whole, self.memory = Tokenizer.from_file(path), memory
+        self.rule = splitting_rule(path)
+        if self.whole.get_vocab_size() > 1 << 16:
+            raise ValueError("ids are kept in 16 bits")
         self.merges = self.whole.model
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.words: dict[bytes, bytes] = {}
@@ -72,7 +96,7 @@ class WordTokenizer:
         if ids is None:
             text = word.decode("utf-8", "replace")
             if _SIMPLE.fullmatch(text) and not any(s in text for s in self.special):
-                ids = b"".join([self.piece(p) for p in _PIECES.findall(text.lower())])
+                ids = b"".join([self.piece(p) for p in self.rule.findall(text.lower())])
             else:
                 ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
             if len(self.words) >= self.memory:
@@ -89,6 +113,10 @@ def word_tokenizer(path: str) -> WordTokenizer:
 
 def token_ids(data: np.ndarray, offsets: np.ndarray, tokenizer: WordTokenizer) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a buffer's documents, and where each document's begin."""
+    if tokenizer.rule is None:
+        raw = data.tobytes()
+        each = [tokenizer.whole.encode(raw[a:b].decode("utf-8", "replace"), add_special_tokens=False).ids for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        return np.concatenate([np.array(x, dtype=np.uint16) for x in each]), np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int64)
     starts, ends, at = word_bounds(data, offsets)
     if not len(starts):
         return np.zeros(0, np.uint16), np.zeros(len(offsets), np.int64)
@@ -151,19 +179,50 @@ def curve_keys(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _tokenise(path: str, end_id: int):
+def _tokenise(path: str, end_id: int, row_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = word_tokenizer(path), np.array([end_id], dtype="<u2").tobytes()
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch.column(1), 4 << 20):
+            docs = batch.column(0)
+            for lo, hi, data, offsets in text_chunks(batch.column(1), 1 << 20):
                 ids, bounds = token_ids(data, offsets, tokenizer)
-                raw = ids.astype("<u2").tobytes()
-                packed = [raw[2 * a : 2 * b] + end for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(curve_keys(ids, bounds)), pa.array(np.diff(bounds) + 1, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "key", "n", "ids"])
+                raw, keys = ids.astype("<u2").tobytes(), curve_keys(ids, bounds)
+                sizes = np.diff(bounds) + 1
+                rows = -(-sizes // row_ids)
+                which = np.repeat(np.arange(hi - lo), rows)
+                starts = (np.arange(len(which)) - np.repeat(np.cumsum(rows) - rows, rows)) * row_ids
+                parts = []
+                for doc, at in zip(which.tolist(), starts.tolist()):
+                    a, b = bounds[doc] + at, min(bounds[doc] + at + row_ids, bounds[doc + 1])
+                    parts.append(raw[2 * a : 2 * b] + (end if at + row_ids >= sizes[doc] else b""))
+                for k in range(0, len(which), 2048):
+                    part = which[k : k + 2048]
+                    yield pa.RecordBatch.from_arrays([
+                        docs.take(pa.array(lo + part)), pa.array(keys[part]), pa.array(sizes[part]), pa.array(starts[k : k + 2048]),
+                        pa.array([len(x) // 2 for x in parts[k : k + 2048]], pa.int32()), pa.array(parts[k : k + 2048], pa.binary()),
+                    ], ["doc_id", "key", "n", "start", "size", "ids"])
 
     return run
 
 
+def ranges(cells: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each cell, in ascending order, its first partition and how many of its own it is dealt to."""
+    first, own, used, filled = [], [], 0, 0
+    for size in ids.tolist():
+        if size > most:
+            used += filled > 0
+            first.append(used)
+            own.append(-(-size // most))
+            used, filled = used + own[-1], 0
+            continue
+        if filled + size > most:
+            used, filled = used + 1, 0
+        first.append(used)
+        own.append(1)
+        filled += size
+    return np.array(first, dtype=np.int64), np.array(own, dtype=np.int64)
+
+
 def _pack(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 40
@@ -191,12 +250,12 @@ def _pack(length: int):
 
         for batch in batches:
             out: list[tuple] = []
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
+            for doc, begin, tokens, raw in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "start", "n")), batch.column("ids")):
                 ids = np.frombuffer(raw.as_buffer(), dtype="<u2")
                 at = 0
                 while at < len(ids):
                     take = min(length - filled, len(ids) - at)
-                    open_pieces.append((doc, at, ids[at : at + take], len(ids)))
+                    open_pieces.append((doc, begin + at, ids[at : at + take], tokens))
                     filled, at = filled + take, at + take
                     if filled == length:
                         sequence = close(open_pieces, filled, sequence, out)
@@ -215,12 +274,17 @@ def _pack(length: int):
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, partition_ids: int = PARTITION_IDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, partition_ids: int = PARTITION_IDS, row_ids: int = ROW_IDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of documents in sequences: ``doc_id, start, length, ids`` (little-endian unsigned 32-bit),
     ``doc_tokens, sequence_id, offset``."""
     path = path or public_tokenizers.path("word_bpe_49k.json")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    tokens = materialize(map_arrow(rows, _tokenise(path, end_id), "doc_id long, key long, n long, ids binary"), "packing-ids")
-    total = tokens.agg(F.sum("n")).first()[0] or 0
-    ordered = tokens.repartitionByRange(max(1, -(-total // partition_ids)), "key", "doc_id").sortWithinPartitions("key", "doc_id", "n")
-    return map_arrow(ordered.select("doc_id", "ids"), _pack(length), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    tokens = materialize(map_arrow(rows, _tokenise(path, end_id, row_ids), "doc_id long, key long, n long, start long, size int, ids binary"), "packing-ids")
+    cell = F.shiftright("key", DIMENSIONS * BITS - CELL_BITS)
+    counts = tokens.groupBy(cell.alias("cell")).agg(F.sum("size").alias("ids")).toPandas().sort_values("cell")  # at most 2**CELL_BITS rows
+    first, own = ranges(counts["cell"].to_numpy(), counts["ids"].to_numpy(), partition_ids)
+    places = docs.sparkSession.createDataFrame(pa.table({"cell": pa.array(counts["cell"].to_numpy(), pa.int64()), "first": pa.array(first), "own": pa.array(own)}))
+    dealt = tokens.withColumn("cell", cell).join(F.broadcast(places), "cell")
+    dealt = dealt.withColumn("slot", (F.col("first") + F.pmod(F.xxhash64("doc_id", "n", "start"), F.col("own"))).cast("int"))
+    ordered = dealt.repartitionById(int((first + own).max()) if len(first) else 1, "slot").sortWithinPartitions("key", "doc_id", "n", "start")
+    return map_arrow(ordered.select("doc_id", "start", "n", "ids"), _pack(length), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

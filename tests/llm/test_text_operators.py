@@ -87,7 +87,7 @@ def test_chains_of_unlike_texts_are_compared_once_a_bucket(spark, monkeypatch):
 
 
 def test_packing_is_an_exact_round_trip(docs, rows):
-    pieces = P.pack(docs, partition_ids=20_000).collect()
+    pieces = P.pack(docs, partition_ids=20_000, row_ids=7000).collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     wanted = Counter((i, np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in pairs(rows))
     sequences = defaultdict(list)
@@ -134,6 +134,21 @@ def test_word_tokenizer_matches_the_whole_tokenizer():
         assert np.frombuffer(tokenizer.word(word.encode()), "<u2").tolist() == tokenizer.whole.encode(word, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_read_whole_texts(docs, rows):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert P.splitting_rule(path) is None and P.splitting_rule(public_tokenizers.path("word_bpe_49k.json")) is not None
+    tokenizer = Tokenizer.from_file(path)
+    found = Counter((r.doc_id, r.doc_tokens, r.start, r.length) for r in P.pack(docs.where("n_chars < 3000"), path, length=1 << 20).collect() if r.start == 0)
+    wanted = Counter((i, len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in pairs(rows) if len(t or "") < 3000)
+    assert Counter((i, n) for i, n, _, _ in found.elements()) == wanted
+
+
+def test_ranges_hold_about_as_many_ids():
+    sizes = np.array([3, 3, 3, 25, 1, 1, 9, 9, 10, 0])
+    first, own = P.ranges(np.arange(10), sizes, 10)
+    assert own.tolist() == [1, 1, 1, 3, 1, 1, 1, 1, 1, 1] and first.tolist() == [0, 0, 0, 1, 4, 4, 5, 6, 7, 7]
+
+
 def greedy(text, pieces):
     longest, at, n = max(map(len, pieces)), 0, 0
     while at < len(text):
