@@ -35,6 +35,14 @@ def test_toxicity_of_awkward_documents(docs, rows, labelled):
     assert T.reject_toxic(docs, labelled[1]).columns == docs.columns
 
 
+def test_toxicity_of_repeated_and_clashing_rows(labelled):
+    docs, labels = labelled
+    other = docs.limit(30).withColumn("text", F.concat("text", F.lit(" zzz")))
+    both = docs.unionByName(docs).unionByName(other)
+    (first, cuts), (second, others) = T.fit(docs.unionByName(other), labels, most_toxic=40, most_clean=60), T.fit(both.repartition(7), labels, most_toxic=40, most_clean=60)
+    assert cuts == others and (first.embedding == second.embedding).all() and first.offset == second.offset
+
+
 def test_toxicity_without_labels(docs, labelled, nothing):
     assert T.score_documents(docs, labelled[1].where("false")).agg(F.max("toxicity_score")).first()[0] == 0
     assert T.score_documents(nothing, labelled[1]).count() == 0
