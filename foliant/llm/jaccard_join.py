@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 from foliant.llm.textops import ragged, rolling, scramble, sorted_groups, text_chunks, word_bounds, word_hashes
 from foliant.operators.graph import connected_components
 from foliant.shipping import map_arrow
-from foliant.storage import materialize
+from foliant.storage import materialize, parts_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -268,26 +268,27 @@ def _classified(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     """
     all_rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("digest", F.xxhash64("text"))
     texts = all_rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    parts = parts_of(docs)
     described = materialize(map_arrow(texts, _describe, "doc_id long, digest long, set_a long, set_b long, n int, bands array<long>, sketch binary"), "jaccard-signatures")
     classes = described.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes", parts=parts)
     reps = described.join(classes.withColumnRenamed("rep", "doc_id"), ["set_a", "set_b", "doc_id"])
     keyed = reps.select("node", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    buckets = materialize(keyed.join(shared, "key").distinct(), "jaccard-buckets")
+    buckets = materialize(keyed.join(shared, "key").distinct(), "jaccard-buckets", parts=parts)
     nodes = reps.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("digest").alias("digest"), *[F.any_value(x).alias(x) for x in ("n", "copies", "sketch")])
-    nodes = materialize(nodes, "jaccard-nodes")
+    nodes = materialize(nodes, "jaccard-nodes", parts=parts)
     cut = buckets.groupBy("key").agg(F.ceil(F.count("*") / block_docs).cast("int").alias("blocks"))
     screen = map_arrow(_dealt(buckets, cut).join(nodes.select("node", "sketch"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), _screen(threshold, tolerance), "key long, band int, node long")
-    left = materialize(screen.distinct(), "jaccard-left", buckets)
+    left = materialize(screen.distinct(), "jaccard-left", buckets, parts=parts)
     sets = texts.join(nodes.join(left.select("node").distinct(), "node", "left_semi").select("doc_id", "digest", "node"), ["doc_id", "digest"]).select("node", "text")
-    sets = materialize(map_arrow(sets, _prepare, "node long, shingles binary"), "jaccard-sets")
+    sets = materialize(map_arrow(sets, _prepare, "node long, shingles binary"), "jaccard-sets", parts=parts)
     left = left.join(nodes.select("node", "n", "copies", "sketch"), "node")
     cut = left.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
     found = map_arrow(_dealt(left.drop("n"), cut).join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node"), _verify(threshold, tolerance), "node long, root long, links long")
-    found = materialize(found, "jaccard-links", nodes, sets)
+    found = materialize(found, "jaccard-links", nodes, sets, parts=parts)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    merged = materialize(connected_components(found.where("node <> root"), "node", "root").join(classes.select("node", "set_a", "set_b", "rep"), "node"), "jaccard-merged")
+    merged = materialize(connected_components(found.where("node <> root"), "node", "root").join(classes.select("node", "set_a", "set_b", "rep"), "node"), "jaccard-merged", parts=parts)
     heads = merged.groupBy("component").agg(F.min(F.struct("rep", "set_a", "set_b")).alias("head"))
     merged = merged.join(heads, "component").select("node", F.col("head.rep").alias("least"), ((F.col("set_a") == F.col("head.set_a")) & (F.col("set_b") == F.col("head.set_b"))).alias("first"))
     results = classes.join(links, "node", "left").join(merged, "node", "left")

@@ -48,8 +48,8 @@ SHARD_BYTES, STREAM_BYTES = 1 << 20, 2 << 20
 SPAN_BYTES = 256
 #: Windows of one row of a passage or span, and of one automaton.
 PIECE_WINDOWS, AUTOMATON_WINDOWS = 4096, 1 << 16
-#: Bytes of text of a part of the result.
-PART_BYTES = 8 << 20
+#: Bytes of text for one file of an intermediate table and one part of the result.
+PART_BYTES = 32 << 20
 #: Rows of the table of shards to be opened several times up to which it is broadcast.
 _BROADCAST_ROWS = 200_000
 _U = np.uint64
@@ -82,8 +82,8 @@ def _list_windows(window: int, bits: int):
         ranges = (hashes >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
         cuts = np.flatnonzero(np.concatenate(([True], ranges[1:] != ranges[:-1], [True])))
         cuts = np.union1d(cuts, np.arange(0, len(ranges), ROW_WINDOWS))
-        for i in range(0, len(cuts) - 1, 64):
-            part = [(a, b) for a, b in zip(cuts[i : i + 65][:-1], cuts[i : i + 65][1:])]
+        for i in range(0, len(cuts) - 1, 8):
+            part = [(a, b) for a, b in zip(cuts[i : i + 9][:-1], cuts[i : i + 9][1:])]
             yield pa.RecordBatch.from_arrays([
                 pa.array(ranges[[a for a, _ in part]]), pa.array([group] * len(part), pa.int64()),
                 *(pa.array([pack_longs(x[a:b]) for a, b in part], pa.binary()) for x in (hashes, first, last - first)),
@@ -126,15 +126,14 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         smallest, wanted = np.empty(len(flat), np.int64), np.empty(len(flat), bool)
         smallest[order], wanted[order] = np.repeat(low, sizes), np.repeat(low < high, sizes)
         ends = np.cumsum(counts)
-        out_group, out_hashes, out_first = [], [], []
+        out: list[tuple] = []
         for group, a, b in zip(table.column("group").to_pylist(), ends - counts, ends):
             keep = wanted[a:b]
             if keep.any():
-                out_group.append(group)
-                out_hashes.append(pack_longs(flat[a:b][keep]))
-                out_first.append(pack_longs(smallest[a:b][keep]))
-        if out_group:
-            yield pa.RecordBatch.from_arrays([pa.array(out_group, pa.int64()), pa.array(out_hashes, pa.binary()), pa.array(out_first, pa.binary())], ["group", "hashes", "first"])
+                out.append((group, pack_longs(flat[a:b][keep]), pack_longs(smallest[a:b][keep])))
+            if len(out) == 16 or out and b == len(flat):
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], ["group", "hashes", "first"])
+                out = []
 
 
 def _spans(window: int, shards: int, piece: int):
@@ -245,14 +244,15 @@ def repeated_windows(docs: DataFrame, size: int, window: int = WINDOW, group_byt
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    parts = 1 + size // PART_BYTES
     groups, shards = 1 + size // group_bytes, 1 + size // shard_bytes
     bits = (size // range_bytes).bit_length()
     # two passes over the texts: the windows' shuffles are gone before the second one
     grouped = texts.select(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(groups)).alias("group"), "doc_id", "mark", "text").repartition("group")
     listed = map_arrow(grouped.sortWithinPartitions("group"), _list_windows(window, bits), "range long, group long, hashes binary, first binary, spread binary")
     answers = map_arrow(listed.repartition("range").sortWithinPartitions("range"), _recurring, "group long, hashes binary, first binary")
-    answers = materialize(answers, "substring-answers")
-    spans = materialize(grouped.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(_spans(window, shards, PIECE_WINDOWS), _SPANS), "substring-spans", answers)
+    answers = materialize(answers, "substring-answers", parts=parts)
+    spans = materialize(grouped.groupBy("group").cogroup(answers.groupBy("group")).applyInArrow(_spans(window, shards, PIECE_WINDOWS), _SPANS), "substring-spans", answers, parts=parts)
     searched = spans.where("kind = 0").groupBy("shard").agg(F.ceil(F.sum(F.col("size") + SPAN_BYTES) / stream_bytes).alias("openings"))
     crowded = searched.where("openings > 1")
     many = F.broadcast(crowded) if crowded.count() <= _BROADCAST_ROWS else crowded
