@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Spark drops the shuffle files of an execution when it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Bytes of input, as stored, for one file of an intermediate table.
+PART_BYTES = 16 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder: of ``spark.checkpoint.dir``, else of the context.
@@ -48,14 +51,21 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
-def materialize(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+def parts_of(df: DataFrame, per: int = PART_BYTES) -> int | None:
+    """Files that a result in proportion to ``df`` should have, by Spark's estimate of its size; None without one."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return None if size >> 50 else 1 + size // per
+
+
+def materialize(df: DataFrame, name: str, *done: DataFrame, parts: int | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back, in at most ``parts`` files.
 
     Its shuffles are dropped when it is written. ``done`` are results of this function that nothing
     reads any more; their folders go then.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df = df if parts is None else df.coalesce(parts)
     with _setting(spark, _CLEANUP, "true"):
         df.write.option("compression", "zstd").parquet(path)
     discard(*done)
