@@ -70,3 +70,44 @@ def token_f1(overlap: Column, n_predicted: Column, n_gold: Column) -> tuple[Colu
     precision = F.coalesce(F.try_divide(overlap, n_predicted), zero)
     recall = F.coalesce(F.try_divide(overlap, n_gold), zero)
     return precision, recall, F.coalesce(F.try_divide(2 * precision * recall, precision + recall), zero)
+
+
+def contains_value(values: Column, value: Column) -> Column:
+    """Whether a list holds a value; null lists and values give false."""
+    return F.coalesce(F.array_contains(or_empty(values), value), F.lit(False))
+
+
+def any_of(values: Column, wanted: Sequence[str], part: bool = False) -> Column:
+    """Whether a list holds one of the wanted values, or a value that contains one of them."""
+    hit = F.lit(False)
+    for want in wanted:
+        hit = hit | F.exists(or_empty(values), lambda x, w=want: F.coalesce(F.contains(x, F.lit(w)) if part else x == w, F.lit(False)))
+    return hit
+
+
+def set_counts(predicted: Column, gold: Column) -> tuple[Column, Column, Column]:
+    """Common values, those of the prediction alone and those of gold alone, as sets; null lists are empty."""
+    p, g = F.array_distinct(or_empty(predicted)), F.array_distinct(or_empty(gold))
+    return F.size(F.array_intersect(p, g)), F.size(F.array_except(p, g)), F.size(F.array_except(g, p))
+
+
+def flat_without_placeholders(values: Column, placeholders: Sequence[str] = ("don't know", "data not available")) -> Column:
+    """One level of nesting removed, then as ``without_placeholders``."""
+    return without_placeholders(F.flatten(F.transform(values, lambda x: or_empty(x))), placeholders)
+
+
+def first_parts(values: Column) -> Column:
+    """The part before the first white space of each item."""
+    return F.transform(values, lambda x: F.regexp_extract(F.ltrim(x), r"^\S*", 0))
+
+
+def whole_numbers(values: Column) -> Column:
+    """Items as integers; others are null."""
+    return F.transform(values, lambda x: F.trim(x).try_cast("int"))
+
+
+def canonical(text: Column, table: Mapping[str, str]) -> tuple[Column, Column]:
+    """A category's canonical name (trimmed, any case) and, where there is none, the unknown value."""
+    pairs = F.create_map(*[F.lit(x) for k, v in table.items() for x in (k.strip().lower(), v)])
+    known = F.try_element_at(pairs, F.lower(F.trim(text)))
+    return known, F.when(text.isNotNull() & known.isNull(), text)

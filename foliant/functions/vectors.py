@@ -32,3 +32,10 @@ def mean_vectors(df: DataFrame, key: str, vector: str, weight: Column | None = N
     sums = parts.groupBy("_key", "_pos").agg(F.try_divide(F.sum(F.col("_w") * F.col("_x").cast("double")), F.sum("_w")).alias("_mean"))
     listed = sums.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_pos", "_mean"))).alias("_all"))
     return listed.select(F.col("_key").alias(key), F.transform("_all", lambda x: x["_mean"]).alias(vector))
+
+
+def mean_vector(df: DataFrame, vector: str, dimensions: int = 768) -> DataFrame:
+    """The unweighted mean of all vectors as one row; zeros where there are none."""
+    means = mean_vectors(df.select(F.lit(1).alias("_all"), vector), "_all", vector)
+    one = df.sparkSession.range(1).select(F.lit(1).alias("_all"))
+    return one.join(means, "_all", "left").select(F.coalesce(vector, F.array_repeat(F.lit(0.0), dimensions)).alias(vector))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -93,12 +94,83 @@ def truncated(docs: DataFrame, most: int, prompt_tokens: int = 0, output_tokens:
     return docs.withColumns({text: kept, "num_truncated_tokens": cut, "truncated_ratio": ratio})
 
 
+class Tokenizer(Protocol):
+    """What a tokenizer must offer; it is built on the executors by a function without arguments."""
+
+    def encode(self, text: str) -> list[int]: ...
+    def decode(self, ids: list[int]) -> str: ...
+
+
+def with_token_ids(docs: DataFrame, make: Callable[[], Tokenizer], text: str = "text", out: str = "ids", most: int | None = None) -> DataFrame:
+    """Token ids of a text, the first ``most`` of them on request; null texts have none."""
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("array<int>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokenizer = make()
+        for part in parts:
+            yield pd.Series([tokenizer.encode(t)[:most] if t else [] for t in part], dtype=object)
+
+    return docs.withColumn(out, run(F.col(text)))
+
+
+def token_counts(docs: DataFrame, make: Callable[[], Tokenizer], text: str = "text", out: str = "n_tokens") -> DataFrame:
+    return with_token_ids(docs, make, text, "_ids").withColumn(out, F.size("_ids")).drop("_ids")
+
+
+def truncated_by(docs: DataFrame, make: Callable[[], Tokenizer], budget: int, text: str = "context", strict: bool = False) -> DataFrame:
+    """As ``truncated``, in the tokens of a tokenizer."""
+    if strict and budget <= 0:
+        raise ValueError("no tokens are left for the context")
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("struct<kept:string,cut:int,n:int>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tokenizer = make()
+        for part in parts:
+            ids = [tokenizer.encode(t) if t else [] for t in part]
+            kept = [t if len(i) <= budget and t is not None else tokenizer.decode(i[: max(budget, 0)]) for t, i in zip(part, ids)]
+            yield pd.DataFrame({"kept": kept, "cut": [max(0, len(i) - budget) for i in ids], "n": [len(i) for i in ids]})
+
+    cut = docs.withColumn("_c", run(F.col(text)))
+    has = F.lit(budget > 0)
+    ratio = F.coalesce(F.try_divide("_c.cut", "_c.n"), F.lit(0.0))
+    return cut.withColumns({text: F.when(has, F.col("_c.kept")).otherwise(""), "num_truncated_tokens": F.when(has, F.col("_c.cut")), "truncated_ratio": F.when(has, ratio)}).drop("_c")
+
+
+def padded(docs: DataFrame, ids: str, width: int, pad: int = 0) -> DataFrame:
+    """Token ids cut or filled up to one width, with the mask that tells them from padding."""
+    kept = F.slice(ids, 1, width)
+    missing = F.lit(width) - F.size(kept)
+    filled = F.concat(kept, F.array_repeat(F.lit(pad), missing))
+    mask = F.concat(F.transform(kept, lambda x: F.lit(1)), F.array_repeat(F.lit(0), missing))
+    return docs.withColumns({"input_ids": filled, "attention_mask": mask}).drop(ids)
+
+
 def messages(prompt: Column, output: Column | None = None) -> Column:
     """A user message, with the assistant's where an output is given."""
     turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     return F.array(turn("user", prompt), *([turn("assistant", output)] if output is not None else []))
 
 
+def training_messages(docs: DataFrame, most: int, prompt: str = "prompt", context: str = "context", output: str = "output") -> DataFrame:
+    """Messages with the answer for training: the context gives way to the tokens of its prompt and its answer."""
+    used = F.size(T.tokens(F.col(prompt))) + F.size(T.tokens(F.col(output)))
+    kept, cut, ratio = T.truncated_to_tokens(F.col(context), F.lit(most) - used)
+    said = F.concat_ws(" ", F.col(prompt), F.nullif(kept, F.lit("")))
+    return docs.withColumns({"messages": messages(said, F.col(output)), "num_truncated_tokens": cut, "truncated_ratio": ratio})
+
+
+def with_attributes(chunks: DataFrame, docs: DataFrame, attributes: Sequence[str], key: str = "document_id") -> DataFrame:
+    """Chunks with attributes of their documents; chunks without a document keep nulls."""
+    return chunks.join(docs.select(key, *attributes), key, "left")
+
+
+def chunk_summary(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Per document: number of chunks, and least, most and mean of their lengths."""
+    return chunks.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("chunk_len").alias("least"), F.max("chunk_len").alias("most"), F.round(F.avg("chunk_len"), 6).alias("mean"))
+
+
 def hashed_embedding(text: Column, dimensions: int = 64) -> Column:
     """A deterministic stand-in for an embedding model: signed token counts by hash. No neural model."""
     hashes = F.transform(T.tokens(F.lower(text)), lambda t: F.xxhash64(t))

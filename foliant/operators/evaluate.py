@@ -9,7 +9,7 @@ score 0 throughout.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -32,19 +32,22 @@ METRICS = {
 PRIORITY = ("f1", "rougeL", "match")
 
 
-@F.pandas_udf(IntegerType())
-def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Length of the longest common subsequence of two token lists."""
+def subsequence_length(x: Sequence, y: Sequence) -> int:
+    """Length of the longest common subsequence, a row of the table as the bits of one integer."""
+    places: dict = {}
+    for at, token in enumerate(x):
+        places[token] = places.get(token, 0) | 1 << at
+    row = whole = (1 << len(x)) - 1
+    for token in y:
+        hit = row & places.get(token, 0)
+        row = ((row + hit) | (row - hit)) & whole
+    return len(x) - row.bit_count()
 
-    def length(x, y) -> int:
-        row = [0] * (len(y) + 1)
-        for token in x:
-            diagonal = 0
-            for j, other in enumerate(y, 1):
-                diagonal, row[j] = row[j], diagonal + 1 if token == other else max(row[j], row[j - 1])
-        return row[-1]
 
-    return pd.Series([length(x, y) for x, y in zip(a, b)])
+@F.pandas_udf(IntegerType())
+def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of two token lists; 0 for null."""
+    return pd.Series([subsequence_length(x, y) if x is not None and y is not None and len(x) and len(y) else 0 for x, y in zip(a, b)], dtype="int32")
 
 
 def number_score(predicted: Column, gold: Column) -> Column:
@@ -74,8 +77,9 @@ def rouge_scores(predicted: Column, gold: Column) -> dict[str, Column]:
     for n in (1, 2):
         a, b = (p, g) if n == 1 else (T.ngrams(p, n), T.ngrams(g, n))
         out[f"rouge{n}"] = A.token_f1(A.multiset_overlap(a, b), F.size(a), F.size(b))[2]
-    out["rougeL"] = A.token_f1(common_subsequence(p, g), F.size(p), F.size(g))[2]
     equal, one = predicted.eqNullSafe(gold), predicted.isNull() | gold.isNull()
+    open_ = ~(equal | one)  # only these pairs are sent to Python with their tokens
+    out["rougeL"] = A.token_f1(common_subsequence(F.when(open_, p), F.when(open_, g)), F.size(p), F.size(g))[2]
     return {name: F.when(equal, 1.0).when(one, 0.0).otherwise(value) for name, value in out.items()}
 
 
@@ -170,3 +174,17 @@ def run_summary(runs: DataFrame, by: tuple[str, ...], value: str = "value") -> D
 def error_breakdown(errors: DataFrame) -> DataFrame:
     """Counts by error type, field and value."""
     return errors.select(F.inline("errors")).groupBy("error_type", "field", "value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "error_type", "field", "value")
+
+
+def wide_items(items: DataFrame, scores: DataFrame, metrics: Mapping[str, str]) -> DataFrame:
+    """One row per item: its status and a column for each field's stated metric."""
+    chosen = F.lit(False)
+    for field, metric in metrics.items():
+        chosen = chosen | ((F.col("field") == field) & (F.col("metric") == metric))
+    table = scores.where(chosen).groupBy("idx").pivot("field", list(metrics)).agg(F.first("value"))
+    return items.select("idx", "status").join(table, "idx", "left")
+
+
+def run_means(aggregated: DataFrame, by: Sequence[str], digits: int = 6) -> DataFrame:
+    """Mean of the field means of each run."""
+    return aggregated.groupBy(*by).agg(F.round(F.avg("mean"), digits).alias("mean"), F.count(F.lit(1)).alias("n_fields"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from foliant.storage import materialize, parts_of
+from foliant.storage import discard, materialize, parts_of
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 60) -> DataFrame:
@@ -71,23 +71,123 @@ def giant_component(edges: DataFrame, left: str, right: str) -> DataFrame:
     return edges.join(nodes, left, "left_semi")
 
 
-def node_indices(nodes: DataFrame, node: str, buckets: int = 256) -> DataFrame:
-    """Contiguous indices from 0 without a window over all nodes: bucket offsets plus places in buckets."""
-    from pyspark.sql import Window
-
-    dealt = nodes.select(node).distinct().withColumn("_b", F.pmod(F.xxhash64(node), F.lit(buckets)))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+def node_indices(nodes: DataFrame, node: str, part_rows: int = 1_000_000) -> DataFrame:
+    """Contiguous indices from 0 in node order without a window over all nodes: sorted ranges, offsets by their counts."""
+    distinct = materialize(nodes.select(node).distinct(), "node-list")
+    parts = 1 + distinct.count() // part_rows
+    ranged = materialize(distinct.repartitionByRange(parts, node).withColumn("_b", F.spark_partition_id()), "node-ranges", distinct)
+    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for a million nodes
+    offsets = ranged.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     at = F.row_number().over(Window.partitionBy("_b").orderBy(node))
-    return dealt.withColumn("_at", at).join(F.broadcast(offsets), "_b").select(node, (F.col("_o") + F.col("_at") - 1).alias("index"))
+    return ranged.withColumn("_at", at).join(F.broadcast(offsets), "_b").select(node, (F.col("_o") + F.col("_at") - 1).alias("index"))
+
+
+def edge_index(edges: DataFrame, left: str, right: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges by the contiguous indices of both sides (``left_index, right_index``), and both sides' indices."""
+    lefts, rights = node_indices(edges, left), node_indices(edges, right)
+    named = edges.join(lefts.withColumnRenamed("index", "left_index"), left).join(rights.withColumnRenamed("index", "right_index"), right)
+    return named.select("left_index", "right_index"), lefts, rights
+
+
+def left_features(lefts: DataFrame, vectors: DataFrame, node: str, vector: str) -> DataFrame:
+    """A vector for each indexed node; a missing or a zero one raises."""
+    both = lefts.join(vectors.select(node, vector), node, "left")
+    fine = F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
+    return both.where(F.when(fine, F.lit(True)).otherwise(F.raise_error(F.lit("a node without a vector")).cast("boolean"))).select("index", F.col(vector).alias("features"))
+
+
+def right_features(rights: DataFrame) -> DataFrame:
+    """The identity matrix of the right side, a row as the index of its one."""
+    return rights.select("index", F.col("index").alias("one_at"))
+
+
+def is_connected(edges: DataFrame, left: str, right: str) -> DataFrame:
+    """One row: number of components and whether there is just one."""
+    parts = connected_components(edges, left, right).agg(F.count_distinct("component").alias("n_components"))
+    return parts.withColumn("connected", F.col("n_components") == 1)
+
+
+def is_bipartite(edges: DataFrame, left: str, right: str) -> DataFrame:
+    """One row: nodes that are on both sides and whether there are none."""
+    both = edges.select(F.col(left).alias("n")).distinct().join(edges.select(F.col(right).alias("n")).distinct(), "n", "left_semi")
+    return both.agg(F.count(F.lit(1)).alias("n_on_both_sides")).withColumn("bipartite", F.col("n_on_both_sides") == 0)
+
 
+def label_propagation(edges: DataFrame, left: str, right: str, most_rounds: int = 50) -> DataFrame:
+    """``node, label``: communities by most frequent neighbour label, ties to the smallest label.
 
-def label_propagation(edges: DataFrame, left: str, right: str, rounds: int = 5) -> DataFrame:
-    """``node, label``: communities by most frequent neighbour label, ties to the smallest label."""
+    A node's own label counts once, which ends the swapping of labels between two sides. Rounds end when
+    no label changes, or after ``most_rounds``. Votes are counted by (node, label) with map-side combining.
+    """
     both = edges.select(F.col(left).cast("long").alias("u"), F.col(right).cast("long").alias("v"))
-    both = materialize(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "label-edges")
-    labels = both.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(rounds):
-        votes = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u", "label").agg(F.count(F.lit(1)).alias("n"))
-        labels = materialize(votes.groupBy("u").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label")).withColumnRenamed("u", "node"), "labels")
+    parts = parts_of(edges)
+    both = materialize(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "label-edges", parts=parts)
+    labels = materialize(both.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node")), "labels", parts=parts)
+    for _ in range(most_rounds):
+        heard = both.join(labels.withColumnRenamed("node", "v"), "v").select("u", "label").unionByName(labels.withColumnRenamed("node", "u"))
+        votes = heard.groupBy("u", "label").agg(F.count(F.lit(1)).alias("n"))
+        chosen = votes.groupBy(F.col("u").alias("node")).agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("chosen"))
+        new = materialize(chosen.join(labels, "node"), "label-votes", parts=parts)
+        moved = new.where("label <> chosen").limit(1).count()
+        old, labels = labels, new.select("node", F.col("chosen").alias("label"))
+        discard(old)
+        if not moved:
+            break
     return labels
+
+
+def modularity(edges: DataFrame, communities: DataFrame, left: str, right: str, resolution: float = 1.0) -> DataFrame:
+    """One row: modularity of ``node, label`` over undirected edges, each counted once."""
+    ends = edges.select(F.col(left).alias("a"), F.col(right).alias("b"))
+    named = ends.join(communities.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(communities.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    inner = named.agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("la") == F.col("lb")).alias("inner"))
+    degree = named.select(F.col("la").alias("l")).unionByName(named.select(F.col("lb").alias("l"))).groupBy("l").agg(F.count(F.lit(1)).alias("k"))
+    spread = degree.agg(F.sum(F.col("k").cast("double") * F.col("k")).alias("s"))
+    return inner.join(F.broadcast(spread), F.lit(True)).select((F.col("inner") / F.col("m") - resolution * F.col("s") / (4.0 * F.col("m") * F.col("m"))).alias("modularity"))
+
+
+def louvain(edges: DataFrame, left: str, right: str, resolution: float = 1.0, most_levels: int = 5, most_rounds: int = 10) -> DataFrame:
+    """``node, label``: communities by greedy gains of modularity, level by level.
+
+    In a round every node looks at the communities of its neighbours, and those whose round it is (half of
+    them by hash) move to the one of largest gain, ties to the smallest label; a move needs a positive
+    gain. When no node moves, communities become the nodes of the next level, their edges summed.
+    Neighbours' weights are summed by (node, community) with map-side combining.
+    """
+    parts = parts_of(edges)
+    ends = edges.select(F.col(left).cast("long").alias("u"), F.col(right).cast("long").alias("v"))
+    weighted = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u", "v").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    weighted = materialize(weighted, "louvain-edges", parts=parts)
+    whole = None
+    for _ in range(most_levels):
+        total = weighted.agg(F.sum("w")).first()[0]
+        if not total:
+            break
+        strength = materialize(weighted.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")), "louvain-strength", parts=parts)
+        labels = strength.select("node", F.col("node").alias("label"))
+        idle = 0
+        for turn in range(most_rounds):
+            sums = strength.join(labels, "node").groupBy("label").agg(F.sum("k").alias("s"))
+            own = strength.join(labels, "node").join(sums, "label")
+            heard = weighted.where("u <> v").join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node"), "label").agg(F.sum("w").alias("w"))
+            gains = heard.join(sums, "label").join(own.select("node", "k", F.col("label").alias("mine"), F.col("s").alias("mine_s")), "node")
+            stay = F.when(F.col("label") == F.col("mine"), F.col("s") - F.col("k")).otherwise(F.col("s"))
+            gains = gains.withColumn("gain", F.col("w") - resolution * F.col("k") * stay / total)
+            best = gains.groupBy("node", "mine", "k", "mine_s").agg(F.min(F.struct((-F.round("gain", 9)).alias("g"), "label")).alias("b"), F.max(F.when(F.col("label") == F.col("mine"), F.col("gain"))).alias("here"))
+            alone = -resolution * F.col("k") * (F.col("mine_s") - F.col("k")) / total  # staying without a neighbour there
+            moves = (F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2) & (-F.col("b.g") > F.coalesce("here", alone) + 1e-9) & (-F.col("b.g") > 0)
+            step = best.select("node", F.when(moves, F.col("b.label")).otherwise(F.col("mine")).alias("to"))
+            new = labels.join(step, "node", "left").select("node", F.coalesce("to", "label").alias("label"), (F.coalesce("to", "label") != F.col("label")).alias("moved"))
+            new = materialize(new, "louvain-labels", parts=parts)
+            idle = 0 if new.where("moved").limit(1).count() else idle + 1
+            labels = new.select("node", "label")
+            if idle == 2:
+                break
+        whole = labels if whole is None else whole.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label").select("node", F.col("next").alias("label"))
+        whole = materialize(whole, "louvain-communities", parts=parts)
+        if not labels.where("node <> label").limit(1).count():
+            break
+        names = labels.select(F.col("node").alias("u"), F.col("label").alias("lu"))
+        summed = weighted.join(names, "u").join(names.select(F.col("u").alias("v"), F.col("lu").alias("lv")), "v").groupBy(F.col("lu").alias("u"), F.col("lv").alias("v")).agg(F.sum("w").alias("w"))
+        weighted = materialize(summed, "louvain-edges", weighted, parts=parts)
+    return whole if whole is not None else ends.select(F.col("u").alias("node"), F.col("u").alias("label"))

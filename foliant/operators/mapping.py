@@ -69,8 +69,8 @@ def metadata_json(df: DataFrame, excluded: Sequence[str], out: str = "metadata")
 
 
 def first_value(df: DataFrame, names: Sequence[str]) -> Column:
-    """The first of the named columns that is neither null nor empty."""
-    present = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in names if c in df.columns]
+    """The first of the named columns that is not null, empty, zero or false, as text."""
+    present = [F.when(~falsy(F.col(c), df.schema[c].dataType), F.col(c).cast("string")) for c in names if c in df.columns]
     return F.coalesce(*present) if present else F.lit(None).cast("string")
 
 
@@ -133,4 +133,13 @@ DOCUMENT_FIELDS = {
 
 def legal_document(df: DataFrame, kind: str, names: Mapping[str, str] | None = None) -> DataFrame:
     """A source's rows as unified documents of one kind."""
-    return strict(df, names or DOCUMENT_FIELDS[kind]).withColumn("document_type", F.lit(kind))
+    out = strict(df, names or DOCUMENT_FIELDS[kind])
+    if "date_issued" in out.columns:
+        out = out.withColumn("date_issued", J.as_text(F.col("date_issued"), dict(out.dtypes)["date_issued"]))
+    return out.withColumn("document_type", F.lit(kind))
+
+
+def serialised(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Columns as texts: JSON of nested values, RFC 3339 of times, empty for null."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: J.as_text(F.col(c), kinds[c]) for c in columns or df.columns})

@@ -6,12 +6,13 @@ executors. ``hashed_embedding`` of the chunking module stands in for an embeddin
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foliant.functions import text as T
+from foliant.functions import jsonx as J, text as T
 from foliant.shipping import ship
 
 
@@ -31,21 +32,44 @@ def embed(df: DataFrame, text: str, model: Callable[[list[str]], list[Sequence[f
     return df.withColumn(out, run(F.col(text)))
 
 
-def generate(df: DataFrame, prompt: str, model: Callable[[list[str]], list[str]], out: str = "answer", most_chars: int = 150_000, attempts: int = 3) -> DataFrame:
-    """Answers and errors of a prompt column; a batch is tried several times, then its error is kept."""
+def embed_all(df: DataFrame, text: str, models: Mapping[str, tuple[Callable[[list[str]], list[Sequence[float]]], int]], out: str = "vectors") -> DataFrame:
+    """Named vectors of a column, one a model, each model with its number of dimensions."""
+    for name, (model, dimensions) in models.items():
+        df = embed(df, text, model, dimensions, f"_vector_{name}")
+    named = F.struct(*[F.col(f"_vector_{name}").alias(name) for name in models])
+    return df.withColumn(out, named).drop(*[f"_vector_{name}" for name in models])
+
+
+def judged(items: DataFrame, prompt: str, model: Callable[[list[str]], list[str]], fields: Sequence[str], attempts: int = 3) -> DataFrame:
+    """``status, scores``: a judge's scores by field from its JSON answer; a failed or unreadable one is all zeros."""
+    asked = generate(items, prompt, model, "_answer", attempts=attempts)
+    read = F.from_json(F.col("_answer"), ", ".join(f"`{f}` double" for f in fields))
+    status = F.when(F.col("error").isNotNull(), "judge_error").when(J.parsed_object(F.col("_answer")).isNull(), "parsing_error").otherwise("success")
+    scores = F.struct(*[F.when(status == "success", F.coalesce(read[f], F.lit(0.0))).otherwise(0.0).alias(f) for f in fields])
+    return asked.select(*items.columns, status.alias("status"), scores.alias("scores"))
+
+
+def generate(df: DataFrame, prompt: str, model: Callable[[list[str]], list[str]], out: str = "answer", most_chars: int = 150_000, attempts: int = 3, batch: int = 50, wait: float = 0.0) -> DataFrame:
+    """Answers and errors of a prompt column, asked in batches; a batch is tried several times, with waits that
+    double from ``wait`` seconds, then its error is kept."""
     ship(df.sparkSession)
 
     @F.pandas_udf("struct<answer:string,error:string>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            error, answers = None, [None] * len(part)
-            for _ in range(attempts):
-                try:
-                    answers, error = model(part.fillna("").str.slice(0, most_chars).tolist()), None
-                    break
-                except Exception as problem:
-                    error = f"{type(problem).__name__}: {problem}"
-            yield pd.DataFrame({"answer": answers, "error": [error] * len(part)})
+        for whole in parts:
+            told = []
+            for at in range(0, len(whole), batch):
+                part = whole.iloc[at : at + batch]
+                error, answers = None, [None] * len(part)
+                for attempt in range(attempts):
+                    try:
+                        answers, error = model(part.fillna("").str.slice(0, most_chars).tolist()), None
+                        break
+                    except Exception as problem:  # a model may fail in any way
+                        error = f"{type(problem).__name__}: {problem}"
+                        time.sleep(wait * 2**attempt if attempt + 1 < attempts else 0)
+                told.append(pd.DataFrame({"answer": answers, "error": [error] * len(part)}))
+            yield pd.concat(told, ignore_index=True) if told else pd.DataFrame({"answer": [], "error": []})
 
     return df.withColumn("_g", run(F.col(prompt))).select(*df.columns, F.col("_g.answer").alias(out), F.col("_g.error").alias("error"))
 

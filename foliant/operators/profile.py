@@ -43,18 +43,52 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None, digits: in
     return counts.unpivot("_rows", columns, "column", "n_null").select("column", "n_null", F.coalesce(F.round(F.try_divide("n_null", "_rows"), digits), F.lit(0.0)).alias("null_ratio"))
 
 
+def _at_quantiles(df: DataFrame, value: str, levels: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """Exact, interpolated quantiles ``_q0, _q1, ...`` of each group, from counts of its distinct values.
+
+    Values are counted with map-side combining; running counts tell at which value each of the two ranks
+    around a quantile lies, so no group is held in one buffer.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    per = Window.partitionBy(*[F.col(c) for c in by]) if by else Window.partitionBy(F.lit(0))
+    counts = counts.withColumns({"_up": F.sum("_n").over(per.orderBy("_v")), "_all": F.sum("_n").over(per)})
+    aggregates = []
+    for i, level in enumerate(levels):
+        rank = (F.col("_all") - 1) * F.lit(float(level))
+        low, high = F.floor(rank), F.ceil(rank)
+        at = lambda r: F.max(F.when((F.col("_up") - F.col("_n") <= r) & (r < F.col("_up")), F.col("_v").cast("double")))
+        aggregates += [at(low).alias(f"_a{i}"), at(high).alias(f"_b{i}"), F.max(rank - low).alias(f"_w{i}")]
+    found = counts.groupBy(*by).agg(*aggregates)
+    return found.select(*by, *[(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_w{i}")).alias(f"_q{i}") for i in range(len(levels))])
+
+
+def _joined_by(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Two results of one row a group side by side; null groups meet."""
+    if not by:
+        return left.join(F.broadcast(right), F.lit(True), "left")  # one row each
+    renamed = right.select(*[F.col(c).alias(f"_r_{c}") for c in by], *[c for c in right.columns if c not in by])
+    return left.join(renamed, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in by], "left").drop(*[f"_r_{c}" for c in by])
+
+
 def summary(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Count, minimum, maximum, mean, median and sample deviation (0 for one row)."""
     v = F.col(value)
-    return df.groupBy(*by).agg(
-        F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.avg(v), 6).alias("mean"),
-        F.round(F.percentile(v, F.lit(0.5)), 6).alias("median"), F.round(F.coalesce(F.stddev_samp(v), F.lit(0.0)), 6).alias("deviation"),
-    )
+    stats = df.groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), F.round(F.avg(v), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp(v), F.lit(0.0)), 6).alias("deviation"))
+    both = _joined_by(stats, _at_quantiles(df, value, [0.5], by), by)
+    return both.select(*by, "n", "least", "most", "mean", F.round("_q0", 6).alias("median"), "deviation")
+
+
+def described(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Count, nulls, mean, sample deviation, minimum, quartiles and maximum in one result."""
+    v = F.col(value)
+    stats = df.groupBy(*by).agg(F.count(v).alias("n"), F.count_if(v.isNull()).alias("n_null"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("deviation"), F.min(v).alias("least"), F.max(v).alias("most"))
+    both = _joined_by(stats, _at_quantiles(df, value, [0.25, 0.5, 0.75], by), by)
+    return both.select(*by, "n", "n_null", "mean", "deviation", "least", *[F.round(f"_q{i}", 6).alias(f"p{p}") for i, p in enumerate((25, 50, 75))], "most")
 
 
 def quantiles(df: DataFrame, value: str, levels: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact, interpolated quantiles as columns ``p<level in percent>``."""
-    return df.groupBy(*by).agg(*[F.round(F.percentile(F.col(value), F.lit(p)), 6).alias(f"p{round(p * 100)}") for p in levels])
+    return _at_quantiles(df, value, levels, by).select(*by, *[F.round(f"_q{i}", 6).alias(f"p{round(p * 100)}") for i, p in enumerate(levels)])
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
@@ -130,6 +164,34 @@ def date_range(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.min(column).alias("earliest"), F.max(column).alias("latest"), F.count(column).alias("n_dated"))
 
 
+def years(df: DataFrame, column: str) -> DataFrame:
+    """Rows by year; undated rows are left out."""
+    return df.where(F.col(column).isNotNull()).groupBy(F.year(column).alias("year")).agg(F.count("*").alias("n"))
+
+
+def date_report(df: DataFrame, column: str, samples: int = 5) -> DataFrame:
+    """One row: earliest, latest, number of dated rows, counts by year, and the earliest distinct days as a sample."""
+    per_year = years(df, column).agg(F.array_sort(F.collect_list(F.struct("year", "n"))).alias("_years"))  # a row a year
+    days = df.where(F.col(column).isNotNull()).select(F.to_date(column).alias("day")).distinct().orderBy("day").limit(samples)
+    days = days.agg(F.array_sort(F.collect_list("day")).alias("sample"))
+    whole = date_range(df, column).join(F.broadcast(per_year), F.lit(True)).join(F.broadcast(days), F.lit(True))
+    return whole.select("earliest", "latest", "n_dated", F.map_from_entries("_years").alias("by_year"), "sample")
+
+
+def response(df: DataFrame, top: dict[str, int], date: str, unique: Sequence[str]) -> DataFrame:
+    """One JSON answer: the largest groups of each dimension with percentages, counts by year, distinct values."""
+    parts = []
+    for name, most in top.items():
+        rows = dimensions(df, [name], most).withColumn("percentage", F.bround("percentage", 1))
+        parts.append(rows.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("o"), "value", "count", "percentage"))), lambda x: F.struct(x["value"].alias("value"), x["count"].alias("count"), x["percentage"].alias("percentage"))).alias(name)))  # ``most`` rows
+    parts.append(years(df, date).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("year").cast("string"), "n")))).alias("by_year")))
+    parts.append(df.agg(F.count(F.lit(1)).alias("total"), *[F.count_distinct(c).alias(f"unique_{c}") for c in unique]))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.join(F.broadcast(part), F.lit(True))  # one row each
+    return whole.select(F.to_json(F.struct(*whole.columns)).alias("response"))
+
+
 def confusion(df: DataFrame, gold: str, predicted: str, labels: Sequence[str]) -> DataFrame:
     """Counts by gold and predicted value; null is the value ``None``."""
     named = df.select(F.coalesce(F.col(gold).cast("string"), F.lit("None")).alias("gold"), F.coalesce(F.col(predicted).cast("string"), F.lit("None")).alias("_p"))

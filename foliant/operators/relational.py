@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -66,27 +66,40 @@ def merged_results(requests: DataFrame, results: DataFrame, errors: DataFrame, o
     return joined.select(*requests.columns, status.alias("status"), F.col("_result").alias("result"), F.when(F.col("_result").isNull(), F.col("_error")).alias("error"))
 
 
+def _best(df: DataFrame, by: Sequence[Column | str], order: Column, last: bool) -> DataFrame:
+    """The whole first or last row of each group, combined on the map side before rows move."""
+    choose = F.max_by if last else F.min_by
+    chosen = df.groupBy(*[(F.col(k) if isinstance(k, str) else k).alias(f"_k{i}") for i, k in enumerate(by)]).agg(choose(F.struct(*[F.col(c) for c in df.columns]), order).alias("_row"))
+    return chosen.select("_row.*")
+
+
 def first_by_content(df: DataFrame, text: str, order: str) -> DataFrame:
     """The first row, by ``order``, of each distinct text; texts meet by their digest."""
-    w = Window.partitionBy(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), F.col(text).isNull()).orderBy(order)
-    return df.withColumn("_at", F.row_number().over(w)).where("_at = 1").drop("_at")
+    return _best(df, [F.sha2(F.coalesce(F.col(text), F.lit("")), 256), F.col(text).isNull()], F.struct(F.col(order)), last=False)
 
 
 def repeated_members(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """All rows whose key occurs more than once, with the group's size."""
-    return df.withColumn("n_members", F.count("*").over(Window.partitionBy(*keys))).where("n_members > 1")
+    """All rows whose key occurs more than once, with the group's size; null keys are a group."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n_members")).where("n_members > 1")
+    counts = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], "n_members")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return df.join(counts, same).select(*df.columns, "n_members")
 
 
 def latest(df: DataFrame, key: str, order: Sequence[Column | str]) -> DataFrame:
-    """The last row of each key."""
-    w = Window.partitionBy(key).orderBy(*[F.desc(o) if isinstance(o, str) else o.desc() for o in order])
-    return df.withColumn("_at", F.row_number().over(w)).where("_at = 1").drop("_at")
+    """The last row of each key; nulls of the order come first."""
+    return _best(df, [key], F.struct(*order), last=True)
 
 
 def longest_per_group(df: DataFrame, group: Sequence[str], text: str, position: str) -> DataFrame:
-    """The longest text of each group, the first of equally long ones."""
-    w = Window.partitionBy(*group).orderBy(F.length(text).desc(), position)
-    return df.withColumn("_at", F.row_number().over(w)).where("_at = 1").drop("_at")
+    """The longest text of each group, the first of equally long ones.
+
+    Only lengths and positions are compared; whole rows move once they are chosen.
+    """
+    place = F.struct(F.coalesce(-F.length(text), F.lit(1)).alias("l"), F.col(position).alias("p"))
+    best = df.groupBy(*[F.col(k).alias(f"_{k}") for k in group]).agg(F.min(place).alias("_best"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in group]
+    return df.join(best, [*same, F.col(position).eqNullSafe(F.col("_best.p")), F.coalesce(-F.length(text), F.lit(1)) == F.col("_best.l")]).select(*df.columns)
 
 
 def tail_uniform(df: DataFrame, key: str, order: str, value: str, n: int) -> DataFrame:
@@ -96,6 +109,17 @@ def tail_uniform(df: DataFrame, key: str, order: str, value: str, n: int) -> Dat
     return last.groupBy(key).agg((F.count_distinct(value) == 1).alias("uniform"), F.max(order).alias("latest"), F.count("*").alias("n_checked"))
 
 
+def sizes_of(steps: Mapping[str, DataFrame]) -> DataFrame:
+    """``step, n, change``: rows after each step and against the step before it."""
+    names = list(steps)
+    counted = None
+    for at, (name, df) in enumerate(steps.items()):
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(at).alias("_at"), F.lit(name).alias("step"), "n")
+        counted = one if counted is None else counted.unionByName(one)
+    before = F.lag("n").over(Window.orderBy("_at"))  # a row a step
+    return counted.select("step", "n", (F.col("n") - before).alias("change")) if names else counted
+
+
 def ordered_values(df: DataFrame, key: str, order: str, value: str, out: str = "values") -> DataFrame:
     """Values of each key as a list in ``order``."""
     return df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias(out))
@@ -146,3 +170,73 @@ def without(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 def sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """A reproducible sample of ``n`` rows by hash of the key, in key order; all rows if there are no more."""
     return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}"))), key).limit(n).orderBy(key)
+
+
+def fraction(df: DataFrame, share: float, key: str, seed: int = 42) -> DataFrame:
+    """A reproducible share of the rows, by hash of the key; rows keep their place."""
+    if not 0 <= share <= 1:
+        raise ValueError("a share lies between 0 and 1")
+    digits = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f"#{seed}"))), 1, 13), 16, 10).cast("long")
+    return df.where(digits < int(share * 16**13))
+
+
+def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """Rows in a reproducible random order."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}"))), key)
+
+
+def by_length(df: DataFrame, text: str, index: str) -> DataFrame:
+    """Longest texts first, equally long ones in order of ``index``, which brings the old order back."""
+    return df.orderBy(F.coalesce(F.length(text), F.lit(0)).desc(), index)
+
+
+def restored(df: DataFrame, index: str) -> DataFrame:
+    """Rows of ``by_length``, or results of them, in their old order."""
+    return df.orderBy(index)
+
+
+def pages_up_to(df: DataFrame, most: int, page: int, order: Sequence[Column | str]) -> DataFrame:
+    """Whole pages of ``page`` rows until ``most`` rows are reached; the last page may go beyond."""
+    return df.orderBy(*order).limit(-(-most // page) * page)
+
+
+def page_at(df: DataFrame, offset: int, limit: int, order: Sequence[Column | str]) -> DataFrame:
+    """One page of an ordered result."""
+    return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def side_by_side(tables: Mapping[str, DataFrame], on: str) -> DataFrame:
+    """All rows of the first table with those of the others, every column but the key under the suffix of its table."""
+    out = None
+    for suffix, df in tables.items():
+        renamed = df.select(on, *[F.col(c).alias(f"{c}_{suffix}") for c in df.columns if c != on])
+        out = renamed if out is None else out.join(renamed, on, "left")
+    return out
+
+
+def across(df: DataFrame, index: Sequence[str], column: str, value: str, names: Sequence[str]) -> DataFrame:
+    """One row per index and one column per name, aligned by the index; cells without a value are null."""
+    return df.groupBy(*index).pivot(column, list(names)).agg(F.first(value, ignorenulls=True))
+
+
+def flattened(df: DataFrame, nested: str) -> DataFrame:
+    """A struct column's fields beside the other columns."""
+    return df.select(*[c for c in df.columns if c != nested], f"{nested}.*")
+
+
+def updated_by(stored: DataFrame, update: Callable[[DataFrame], DataFrame], key: str, where: Column | None = None) -> DataFrame:
+    """Stored rows after an update function saw some of them; it returns the key and the fields it changes."""
+    return upserted(stored, update(stored if where is None else stored.where(where)), key)
+
+
+def inserted(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Stored rows and those new ones whose key is not stored, the first of a repeated key; absent fields are null."""
+    fresh = new.join(stored.select(key), key, "left_anti")
+    fresh = _best(fresh, [key], F.struct(*[F.col(c) for c in fresh.columns]), last=False)
+    return stored.unionByName(fresh.select(*[c for c in fresh.columns if c in stored.columns]), allowMissingColumns=True)
+
+
+def checked_after(df: DataFrame, key: str, at: str, value: str, days: int, now: Column) -> DataFrame:
+    """The last check of each key: its value, and whether it is not older than some days."""
+    last = latest(df.select(key, at, value), key, [at, value])
+    return last.withColumn("recent", F.col(at) > now - F.make_dt_interval(F.lit(days)))

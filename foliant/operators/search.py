@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from foliant.functions import text as T, vectors as V
+from foliant.storage import materialize
 
 K1, B = 1.2, 0.75
 
@@ -19,37 +20,68 @@ def occurrences(words: str, term: str):
     return F.size(F.filter(words, lambda t: t == term))
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``term, key, tf, length`` of lower-case tokens."""
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key), T.tokens(F.lower(text)).alias("_t"))
+def postings(docs: DataFrame, key: str, text: str | Sequence[str]) -> DataFrame:
+    """``term, key, tf, length`` of lower-case tokens of one or several fields taken together."""
+    fields = [text] if isinstance(text, str) else list(text)
+    words = F.flatten(F.array(*[T.tokens(F.lower(f)) for f in fields]))
+    known = docs.where(F.coalesce(*[F.col(f) for f in fields]).isNotNull())
+    rows = known.select(F.col(key), words.alias("_t"))
     return rows.select(F.col(key), F.size("_t").alias("length"), F.explode("_t").alias("term")).groupBy(key, "term", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, terms: Sequence[str], limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, score`` of the best documents for a query; terms are counted once each.
+def index(docs: DataFrame, path: str, key: str = "doc_id", text: str | Sequence[str] = "text", files: int = 16) -> None:
+    """Write postings, sorted by term so that a query's terms prune row groups, and the statistics of the documents."""
+    fields = [text] if isinstance(text, str) else list(text)
+    postings(docs, key, text).repartitionByRange(files, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    lengths = docs.where(F.coalesce(*[F.col(f) for f in fields]).isNotNull()).select(F.size(F.flatten(F.array(*[T.tokens(F.lower(f)) for f in fields]))).alias("l"))
+    lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("l").alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{path}/documents")
 
-    Term frequencies are found per row with array functions, so only matching rows and two aggregates of
-    one row each leave the scan.
+
+def _scored(hits: DataFrame, stats: DataFrame, key: str) -> DataFrame:
+    """Summed BM25 of postings that hold a query's terms."""
+    frequency = hits.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))  # a row for each term of the query
+    idf = F.log(1 + (F.col("n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    return hits.join(F.broadcast(frequency), "term").crossJoin(F.broadcast(stats)).groupBy(key).agg(F.sum(score).alias("score"))
+
+
+def bm25_indexed(spark: SparkSession, path: str, terms: Sequence[str], limit: int, offset: int = 0, key: str = "doc_id") -> DataFrame:
+    """``key, score`` of one page of the best documents of a written index; terms are counted once each."""
+    wanted = sorted({t.lower() for t in terms})
+    hits = spark.read.parquet(f"{path}/postings").where(F.col("term").isin(*wanted))
+    return _scored(hits, spark.read.parquet(f"{path}/documents"), key).orderBy(F.desc("score"), key).offset(offset).limit(limit)
+
+
+def bm25(docs: DataFrame, terms: Sequence[str], limit: int, key: str = "doc_id", text: str | Sequence[str] = "text", offset: int = 0) -> DataFrame:
+    """``key, score`` of one page of the best documents for a query, in one pass without an index.
+
+    Term frequencies are found per row with array functions and every document leaves the scan as a few
+    numbers; matching ones become rows.
     """
-    words = T.tokens(F.lower(text))
-    terms = sorted({t.lower() for t in terms})
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key), words.alias("_t")).select(F.col(key), F.size("_t").alias("_length"), *[occurrences("_t", w).alias(f"_tf{i}") for i, w in enumerate(terms)])
-    stats = rows.agg(F.count(F.lit(1)).alias("_n"), F.avg("_length").alias("_mean"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))])
-    joined = rows.where(" OR ".join(f"_tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))  # one row
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.log(1 + (F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
-        tf = F.col(f"_tf{i}")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_length") / F.col("_mean")))
-    return joined.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(limit)
-
-
-def nearest(embeddings: DataFrame, query: Sequence[float], limit: int, most_distance: float | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    fields = [text] if isinstance(text, str) else list(text)
+    words = F.flatten(F.array(*[T.tokens(F.lower(f)) for f in fields]))
+    wanted = sorted({t.lower() for t in terms})
+    known = docs.where(F.coalesce(*[F.col(f) for f in fields]).isNotNull())
+    rows = known.select(F.col(key), F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("length"), F.array(*[F.size(F.filter(w, lambda t, x=x: t == x)) for x in wanted]).alias("tfs")))[0].alias("_d"))
+    rows = materialize(rows.select(key, "_d.length", "_d.tfs"), "bm25-counts")
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))  # one row
+    hits = rows.where(F.exists("tfs", lambda t: t > 0)).select(key, "length", F.posexplode("tfs").alias("_at", "tf")).where("tf > 0")
+    return _scored(hits.withColumn("term", F.array(*[F.lit(t) for t in wanted])[F.col("_at")]), stats, key).orderBy(F.desc("score"), key).offset(offset).limit(limit)
+
+
+def highlighted_terms(docs: DataFrame, terms: Sequence[str], limit: int, key: str = "doc_id", text: str = "text", shown: int = 200) -> DataFrame:
+    """``key, score, highlight`` of the best documents: the beginning of the text with its terms marked."""
+    best = bm25(docs, terms, limit, key, text)
+    found = docs.join(F.broadcast(best), key)  # ``limit`` rows
+    return found.select(key, "score", T.highlighted(F.left(text, F.lit(shown)), list(terms)).alias("highlight")).orderBy(F.desc("score"), key)
+
+
+def nearest(embeddings: DataFrame, query: Sequence[float], limit: int, most_distance: float | None = None, key: str = "vec_id", vector: str = "embedding", offset: int = 0) -> DataFrame:
     """``key, distance`` of the nearest vectors to a literal query, up to a distance."""
     rows = embeddings.select(key, V.cosine_distance(F.col(vector), V.literal_vector(list(query))).alias("distance")).where(F.col("distance").isNotNull())
     if most_distance is not None:
         rows = rows.where(F.col("distance") <= most_distance)
-    return rows.orderBy("distance", key).limit(limit)
+    return rows.orderBy("distance", key).offset(offset).limit(limit)
 
 
 def ranked(results: DataFrame, order: Sequence, key: str) -> DataFrame:
@@ -65,6 +97,13 @@ def fused(vector_results: DataFrame, text_results: DataFrame, limit: int, key: s
     return both.withColumn("score", F.col("vector_score") + F.col("text_score")).orderBy(F.desc("score"), key).limit(limit)
 
 
+def hybrid(docs: DataFrame, embeddings: DataFrame, terms: Sequence[str], query: Sequence[float], limit: int, key: str = "doc_id", text: str = "text", vector: str = "embedding", most: int = 100) -> DataFrame:
+    """Documents by keyword and by vector, fused by reciprocal rank; both tables share the key."""
+    near = ranked(nearest(embeddings, query, most, key=key, vector=vector), [F.col("distance")], key)
+    words = ranked(bm25(docs, terms, most, key, text), [F.desc(F.round("score", 9))], key)
+    return fused(near, words, limit, key)
+
+
 def merged_queries(results: Sequence[DataFrame], key: str, least: int = 1) -> DataFrame:
     """Results of several queries (``key, query, kind, score``) as one row per key: number of hits, sorted
     distinct queries and kinds, summed score; keys with fewer than ``least`` queries are dropped."""

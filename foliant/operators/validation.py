@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from foliant.functions import jsonx as J
 from foliant.shipping import ship
 
 ERRORS = "array<struct<error_type:string,field:string,field_type:string,value:string>>"
@@ -57,7 +58,7 @@ def record_errors(record: Mapping, schema: Mapping[str, Mapping]) -> list[dict]:
 
 def parse_record(text: str | None) -> dict:
     """The JSON object of a text, fenced or not; ``ValueError`` for anything else."""
-    found = re.search(r"```(?:json)?\s*(.*?)\s*```", text or "", re.S)
+    found = re.search(r"```(?:json|yaml|yml)?\s*(.*?)\s*```", text or "", re.S)
     data = json.loads(found[1] if found else text or "")
     if not isinstance(data, dict):
         raise ValueError("not an object")
@@ -65,9 +66,10 @@ def parse_record(text: str | None) -> dict:
 
 
 def with_errors(df: DataFrame, column: str, schema: Mapping[str, Mapping]) -> DataFrame:
-    """``errors`` and ``num_errors`` of the JSON records in a column; unparsable ones have one error."""
+    """``errors`` and ``num_errors`` of the JSON or YAML records in a column; unparsable ones have one error."""
     ship(df.sparkSession)
     schema = dict(schema)
+    record = F.coalesce(F.to_json(J.yaml_object(F.col(column))), F.col(column))
 
     def one(text):
         try:
@@ -79,7 +81,12 @@ def with_errors(df: DataFrame, column: str, schema: Mapping[str, Mapping]) -> Da
     def run(values: pd.Series) -> pd.Series:
         return values.map(one)
 
-    return df.withColumn("errors", run(F.col(column))).withColumn("num_errors", F.size("errors"))
+    return df.withColumn("errors", run(record)).withColumn("num_errors", F.size("errors"))
+
+
+def valid_records(df: DataFrame, column: str, schema: Mapping[str, Mapping]) -> DataFrame:
+    """Rows whose record has no error."""
+    return with_errors(df, column, schema).where("num_errors = 0").drop("errors", "num_errors")
 
 
 def errors_per_split(validated: DataFrame, split: str = "split") -> DataFrame:
@@ -126,6 +133,31 @@ def text_warnings(text: str, short: int = 10, long: int = 100_000) -> Column:
     return F.array_compact(F.array(F.when(length < short, "very_short"), F.when(length > long, "very_long")))
 
 
+def column_kinds(df: DataFrame) -> dict[str, str]:
+    """What each column holds: text, number, truth, time, list or record."""
+    def kind(name: str) -> str:
+        if name.startswith(("array",)):
+            return "list"
+        if name.startswith(("struct", "map", "variant")):
+            return "record"
+        if name.startswith(("timestamp", "date")):
+            return "time"
+        return {"string": "text", "boolean": "truth"}.get(name, "number" if name.startswith(("int", "bigint", "double", "float", "decimal", "smallint", "tinyint")) else name)
+
+    return {c: kind(t) for c, t in df.dtypes}
+
+
+def kind_flags(df: DataFrame, wanted: Mapping[str, str]) -> dict[str, bool]:
+    """Whether each wanted column exists and holds the wanted kind."""
+    kinds = column_kinds(df)
+    return {c: kinds.get(c) == k for c, k in wanted.items()}
+
+
+def no_list(column: str) -> Column:
+    """Whether a text that should be a JSON list is something else; null passes."""
+    return F.col(column).isNotNull() & ~F.coalesce(F.schema_of_variant(F.try_parse_json(F.col(column))).startswith("ARRAY"), F.lit(False))
+
+
 def rule_report(df: DataFrame, rules: Sequence[tuple[str, str, Column]]) -> DataFrame:
     """``rule, level, n_failed, blocks`` in one pass over (name, level, passes) rules; failed critical ones block."""
     counts = df.agg(*[F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, _, ok in rules])
@@ -142,12 +174,13 @@ def confidence_level(score: float) -> str:
     return "high" if score >= 0.8 else "medium" if score >= 0.5 else "low"
 
 
-def mapping_problems(mapping: Mapping[str, str], targets: Sequence[str], required: Sequence[str] = (), models: Sequence[str] = ()) -> dict[str, list[str]]:
-    """Unknown targets, required targets without a source, models named twice."""
+def mapping_problems(mapping: Mapping[str, str], targets: Sequence[str], required: Sequence[str] = (), models: Sequence[str] = (), sources: Sequence[str] = ()) -> dict[str, list[str]]:
+    """Unknown targets, required targets without a source, models named twice, sources that nothing maps."""
     return {
         "unknown_targets": sorted({t for t in mapping.values() if t not in targets}),
         "missing_required": sorted(set(required) - set(mapping.values())),
         "duplicate_models": sorted({m for m in models if list(models).count(m) > 1}),
+        "unmapped_sources": sorted(set(sources) - set(mapping)),
     }
 
 

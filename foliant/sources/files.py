@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from foliant.operators.parsing import with_links
 from foliant.operators.relational import BROADCAST_ROWS
+from foliant.shipping import ship
+from foliant.storage import materialize
 
 SPLITS = ("train", "test", "annotated")
 
@@ -64,6 +69,25 @@ def batches(df: DataFrame, size: int) -> Iterator[list[Row]]:
         yield held
 
 
+def chunks(df: DataFrame, rows: int = 50_000) -> Iterator[DataFrame]:
+    """The table as consecutive tables of ``rows`` rows, in the order of its files; the last one may be smaller.
+
+    Rows are numbered once, by partition and place, and written; each part reads only its own rows.
+    """
+    placed = materialize(df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()), "chunks")
+    before, spans = 0, []
+    for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first")).orderBy("_part").collect():
+        spans.append((r["_part"], r["first"], before, r["n"]))
+        before += r["n"]
+    for start in range(0, before, rows):
+        inside = F.lit(False)
+        for part, first, at, n in spans:
+            if at < start + rows and at + n > start:
+                place = F.col("_at") - first + at
+                inside = inside | ((F.col("_part") == part) & (place >= start) & (place < start + rows))
+        yield placed.where(inside).drop("_at", "_part")
+
+
 def stream(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int = 100) -> DataFrame:
     """A Parquet folder as a stream of files."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
@@ -87,6 +111,65 @@ def with_fetched(items: DataFrame, fetched: DataFrame, key: str) -> DataFrame:
     return items.join(F.broadcast(fetched) if small else fetched, key, "left")
 
 
+class PagedSource(DataSource):
+    """A service that lists records by pages, as a batch source: one task reads one page.
+
+    Options: ``service`` names a registered service, ``page`` its page size, ``since`` the last update that
+    is known. A service is a pair of functions: ``total(since)`` and ``page(since, offset, limit)``, which
+    gives tuples of the schema, oldest first.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "paged"
+
+    def schema(self) -> str:
+        return SERVICES[self.options["service"]].schema
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _PagedReader(SERVICES[self.options["service"]], int(self.options.get("page", "100")), self.options.get("since"))
+
+
+@dataclass
+class Service:
+    schema: str
+    total: Callable[[str | None], int]
+    page: Callable[[str | None, int, int], Sequence[tuple]]
+
+
+#: Services by name.
+SERVICES: dict[str, Service] = {}
+
+
+class _PagedReader(DataSourceReader):
+    def __init__(self, service: Service, size: int, since: str | None):
+        self.service, self.size, self.since = service, size, since
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(at) for at in range(0, max(1, self.service.total(self.since)), self.size)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        return iter(self.service.page(self.since, partition.value, self.size))
+
+
+def paged(spark: SparkSession, service: str, page: int = 100, since: str | None = None) -> DataFrame:
+    """All records of a registered service that were updated since a time, read page by page."""
+    ship(spark)
+    spark.dataSource.register(PagedSource)
+    reader = spark.read.format("paged").option("service", service).option("page", page)
+    return (reader.option("since", since) if since is not None else reader).load()
+
+
+def result_pages(pages: DataFrame, day: str, html: str, pattern: str = r"/doc/[A-Za-z0-9]+") -> tuple[DataFrame, DataFrame]:
+    """Of fetched result pages of a search: ``day, ids`` by page, and ``day, n_reported`` as the pages tell it.
+
+    A page that could not be fetched has null in place of its ids; ``reconciled`` compares both.
+    """
+    listed = with_links(pages, html, "ids", pattern).select(day, F.when(F.col(html).isNotNull(), F.col("ids")).alias("ids"))
+    told = F.regexp_extract(F.coalesce(html, F.lit("")), r"Znaleziono\s+(\d+)\s+orzeczeń", 1).try_cast("int")
+    return listed, pages.select(day, told.alias("n")).groupBy(day).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n_reported"))
+
+
 def incremental(df: DataFrame, updated: str, since: str | None) -> DataFrame:
     """Rows updated at or after the last run, oldest first; all rows on the first run."""
     rows = df if since is None else df.where(F.col(updated) >= F.lit(since).cast("timestamp"))
@@ -95,6 +178,6 @@ def incremental(df: DataFrame, updated: str, since: str | None) -> DataFrame:
 
 def reconciled(pages: DataFrame, reported: DataFrame, day: str, ids: str, count: str) -> DataFrame:
     """Per day: documents listed, documents reported, and whether they agree."""
-    listed = pages.groupBy(day).agg(F.coalesce(F.sum(F.size(ids)), F.lit(0)).alias("n_listed"))
+    listed = pages.groupBy(day).agg(F.sum(F.coalesce(F.size(ids), F.lit(0))).alias("n_listed"))
     joined = reported.select(day, F.col(count).alias("n_reported")).join(listed, day, "left").na.fill(0, ["n_listed"])
     return joined.withColumn("agrees", F.col("n_listed") == F.col("n_reported"))
