@@ -79,9 +79,12 @@ def contains_value(values: Column, value: Column) -> Column:
 
 def any_of(values: Column, wanted: Sequence[str], part: bool = False) -> Column:
     """Whether a list holds one of the wanted values, or a value that contains one of them."""
+    def holds(want: str) -> Column:
+        return F.exists(or_empty(values), lambda x: F.coalesce(F.contains(x, F.lit(want)) if part else x == want, F.lit(False)))
+
     hit = F.lit(False)
     for want in wanted:
-        hit = hit | F.exists(or_empty(values), lambda x, w=want: F.coalesce(F.contains(x, F.lit(w)) if part else x == w, F.lit(False)))
+        hit = hit | holds(want)
     return hit
 
 

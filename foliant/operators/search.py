@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from foliant.functions import text as T, vectors as V
 from foliant.storage import materialize
@@ -16,7 +16,7 @@ from foliant.storage import materialize
 K1, B = 1.2, 0.75
 
 
-def occurrences(words: str, term: str):
+def occurrences(words: Column | str, term: str) -> Column:
     return F.size(F.filter(words, lambda t: t == term))
 
 
@@ -62,7 +62,7 @@ def bm25(docs: DataFrame, terms: Sequence[str], limit: int, key: str = "doc_id",
     words = F.flatten(F.array(*[T.tokens(F.lower(f)) for f in fields]))
     wanted = sorted({t.lower() for t in terms})
     known = docs.where(F.coalesce(*[F.col(f) for f in fields]).isNotNull())
-    rows = known.select(F.col(key), F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("length"), F.array(*[F.size(F.filter(w, lambda t, x=x: t == x)) for x in wanted]).alias("tfs")))[0].alias("_d"))
+    rows = known.select(F.col(key), F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("length"), F.array(*[occurrences(w, x) for x in wanted]).alias("tfs")))[0].alias("_d"))
     rows = materialize(rows.select(key, "_d.length", "_d.tfs"), "bm25-counts")
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))  # one row
     hits = rows.where(F.exists("tfs", lambda t: t > 0)).select(key, "length", F.posexplode("tfs").alias("_at", "tf")).where("tf > 0")

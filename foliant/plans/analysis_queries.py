@@ -82,21 +82,6 @@ def chunk_stats(spark, sf_dir):
     return per.agg(F.count(F.lit(1)).alias("n_docs"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("n"), F.lit(0.0)), 6).alias("deviation"), F.round(F.sum("chars") / F.sum("n"), 6).alias("mean_len"))
 
 
-@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
-def pages_title(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-
-
-@query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages")
-def pages_links(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link"))
-
-
-@query(None)
-def pages_text(spark, sf_dir):
-    return X.with_visible_text(table(spark, sf_dir, "pages").select("page_id", "html"), "html").select("page_id", F.length("visible_text").alias("n_chars"), "visible_text")
-
-
 def _turn_lists(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", "text").alias("t"))
     return turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
