@@ -162,6 +162,14 @@ def upserted(stored: DataFrame, changes: DataFrame, key: str, present: Mapping[s
     return joined.select(*out)
 
 
+def union_of(*tables: DataFrame) -> DataFrame:
+    """Rows of any of the tables, once each."""
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
 def without(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Rows but those with a listed key."""
     return df.join(keys.select(on).distinct(), on, "left_anti")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -11,7 +10,6 @@ from pyspark.sql.types import StructType
 
 from foliant.operators.parsing import with_links
 from foliant.operators.relational import BROADCAST_ROWS
-from foliant.shipping import ship
 from foliant.storage import materialize
 
 SPLITS = ("train", "test", "annotated")
@@ -111,53 +109,33 @@ def with_fetched(items: DataFrame, fetched: DataFrame, key: str) -> DataFrame:
     return items.join(F.broadcast(fetched) if small else fetched, key, "left")
 
 
-class PagedSource(DataSource):
-    """A service that lists records by pages, as a batch source: one task reads one page.
+def paged(spark: SparkSession, name: str, schema: str, total: Callable[[str | None], int], page: Callable[[str | None, int, int], Sequence[tuple]], size: int = 100, since: str | None = None) -> DataFrame:
+    """All records of a service that lists them by pages, updated since a time: a task reads one page.
 
-    Options: ``service`` names a registered service, ``page`` its page size, ``since`` the last update that
-    is known. A service is a pair of functions: ``total(since)`` and ``page(since, offset, limit)``, which
-    gives tuples of the schema, oldest first.
+    ``total(since)`` tells their number when the source is planned, and ``page(since, offset, limit)`` gives
+    tuples of the schema on the executors, oldest first.
     """
 
-    @classmethod
-    def name(cls) -> str:
-        return "paged"
+    class Reader(DataSourceReader):
+        def partitions(self) -> list[InputPartition]:
+            return [InputPartition(at) for at in range(0, max(1, total(since)), size)]
 
-    def schema(self) -> str:
-        return SERVICES[self.options["service"]].schema
+        def read(self, partition: InputPartition) -> Iterator[tuple]:
+            return iter(page(since, partition.value, size))
 
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _PagedReader(SERVICES[self.options["service"]], int(self.options.get("page", "100")), self.options.get("since"))
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
 
+        def schema(self) -> str:
+            return schema
 
-@dataclass
-class Service:
-    schema: str
-    total: Callable[[str | None], int]
-    page: Callable[[str | None, int, int], Sequence[tuple]]
+        def reader(self, schema: StructType) -> DataSourceReader:
+            return Reader()
 
-
-#: Services by name.
-SERVICES: dict[str, Service] = {}
-
-
-class _PagedReader(DataSourceReader):
-    def __init__(self, service: Service, size: int, since: str | None):
-        self.service, self.size, self.since = service, size, since
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(at) for at in range(0, max(1, self.service.total(self.since)), self.size)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        return iter(self.service.page(self.since, partition.value, self.size))
-
-
-def paged(spark: SparkSession, service: str, page: int = 100, since: str | None = None) -> DataFrame:
-    """All records of a registered service that were updated since a time, read page by page."""
-    ship(spark)
-    spark.dataSource.register(PagedSource)
-    reader = spark.read.format("paged").option("service", service).option("page", page)
-    return (reader.option("since", since) if since is not None else reader).load()
+    spark.dataSource.register(Source)
+    return spark.read.format(name).load()
 
 
 def result_pages(pages: DataFrame, day: str, html: str, pattern: str = r"/doc/[A-Za-z0-9]+") -> tuple[DataFrame, DataFrame]:

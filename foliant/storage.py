@@ -52,9 +52,12 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 
 
 def parts_of(df: DataFrame, per: int = PART_BYTES) -> int | None:
-    """Files that a result in proportion to ``df`` should have, by Spark's estimate of its size; None without one."""
+    """Files that a result in proportion to ``df`` should have, by Spark's estimate of its size; None without one.
+
+    There are two for each core at least, so that none of them waits.
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return None if size >> 50 else 1 + size // per
+    return None if size >> 50 else max(1 + size // per, 2 * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def materialize(df: DataFrame, name: str, *done: DataFrame, parts: int | None = None) -> DataFrame:
