@@ -210,9 +210,9 @@ def json_and_yaml(spark, sf_dir):
     rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     sinks.write_json(rows, f"{path}/json")
     sinks.write_yaml(rows, f"{path}/yaml")
-    told = spark.read.option("wholetext", True).text(f"{path}/json")
+    told = spark.read.text(f"{path}/json", wholetext=True)
     first = told.select(F.lit("json").alias("form"), F.inline(F.from_json("value", "array<struct<n_nationkey:int,n_name:string>>")))
-    items = spark.read.option("wholetext", True).text(f"{path}/yaml").select(F.explode(F.split("value", r"(?:^|\n)-\n")).alias("t")).where("t like '%n_name%'")
+    items = spark.read.text(f"{path}/yaml", wholetext=True).select(F.explode(F.split("value", r"(?:^|\n)-\n")).alias("t")).where("t like '%n_name%'")
     second = items.select(F.lit("yaml").alias("form"), F.regexp_extract("t", r"n_nationkey: (\d+)", 1).try_cast("int").alias("n_nationkey"), F.trim(F.regexp_replace(F.regexp_extract("t", r"n_name: (.*)", 1), '"', "")).alias("n_name"))
     return first.unionByName(second).toDF("form", "key", "name")
 
