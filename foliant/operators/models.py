@@ -40,9 +40,9 @@ def embed_all(df: DataFrame, text: str, models: Mapping[str, tuple[Callable[[lis
     return df.withColumn(out, named).drop(*[f"_vector_{name}" for name in models])
 
 
-def judged(items: DataFrame, prompt: str, model: Callable[[list[str]], list[str]], fields: Sequence[str], attempts: int = 3) -> DataFrame:
+def judged(items: DataFrame, prompt: str, model: Callable[[list[str]], list[str]], fields: Sequence[str], attempts: int = 3, batch: int = 50) -> DataFrame:
     """``status, scores``: a judge's scores by field from its JSON answer; a failed or unreadable one is all zeros."""
-    asked = generate(items, prompt, model, "_answer", attempts=attempts)
+    asked = generate(items, prompt, model, "_answer", attempts=attempts, batch=batch)
     read = F.from_json(F.col("_answer"), ", ".join(f"`{f}` double" for f in fields))
     status = F.when(F.col("error").isNotNull(), "judge_error").when(J.parsed_object(F.col("_answer")).isNull(), "parsing_error").otherwise("success")
     scores = F.struct(*[F.when(status == "success", F.coalesce(read[f], F.lit(0.0))).otherwise(0.0).alias(f) for f in fields])
