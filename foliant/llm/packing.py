@@ -40,10 +40,10 @@ LENGTH = 4096
 END_ID = 2
 FEATURES, DIMENSIONS, BITS = 1024, 3, 12
 #: Ids of a partition of the curve, and of a row; longer documents have several rows.
-PARTITION_IDS, ROW_IDS = 2_000_000, 32_768
+PARTITION_IDS, ROW_IDS = 8_000_000, 32_768
 #: Bits of a curve key that name its cell; ids are counted by cell.
 CELL_BITS = 18
-#: Words that a worker remembers.
+#: Words that a worker remembers, by their hashes.
 MEMORY = 600_000
 _SIMPLE = regex.compile(r"[\x21-\x7EÀ-ÖØ-öø-įı-ſ]+")
 _worker: dict = {}
@@ -74,7 +74,7 @@ class WordTokenizer:
             raise ValueError("ids are kept in 16 bits")
         self.merges = self.whole.model
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.words: dict[bytes, bytes] = {}
+        self.forget()
         self.pieces: dict[str, bytes] = {}
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in shown]
@@ -90,19 +90,36 @@ class WordTokenizer:
             self.pieces[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        self.hashes, self.begins, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, dtype="<u2")
+
     def word(self, word: bytes) -> bytes:
         """Little-endian 16-bit ids of a word without white space."""
-        ids = self.words.get(word)
-        if ids is None:
-            text = word.decode("utf-8", "replace")
-            if _SIMPLE.fullmatch(text) and not any(s in text for s in self.special):
-                ids = b"".join([self.piece(p) for p in self.rule.findall(text.lower())])
-            else:
-                ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-            if len(self.words) >= self.memory:
-                self.words.clear()
-            self.words[word] = ids
-        return ids
+        text = word.decode("utf-8", "replace")
+        if _SIMPLE.fullmatch(text) and not any(s in text for s in self.special):
+            return b"".join([self.piece(p) for p in self.rule.findall(text.lower())])
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+
+    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Keep the ids of new words under their ascending hashes."""
+        each = [self.word(w) for w in words]
+        sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 2
+        begins = len(self.pool) + np.cumsum(sizes) - sizes
+        self.pool = np.concatenate((self.pool, np.frombuffer(b"".join(each), dtype="<u2")))
+        merged = np.concatenate((self.hashes, hashes))
+        order = np.argsort(merged, kind="stable")  # two sorted runs
+        self.hashes, self.begins, self.sizes = merged[order], np.concatenate((self.begins, begins))[order], np.concatenate((self.sizes, sizes))[order]
+
+    def places(self, hashes: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the pool the ids of words begin, and how many they are; hashes ascend."""
+        if len(self.hashes) > self.memory:
+            self.forget()
+        new = ~np.isin(hashes, self.hashes, assume_unique=True)
+        if new.any():
+            self.learn(hashes[new], [raw[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist())])
+        at = np.searchsorted(self.hashes, hashes)
+        return self.begins[at], self.sizes[at]
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
@@ -120,16 +137,12 @@ def token_ids(data: np.ndarray, offsets: np.ndarray, tokenizer: WordTokenizer) -
     starts, ends, at = word_bounds(data, offsets)
     if not len(starts):
         return np.zeros(0, np.uint16), np.zeros(len(offsets), np.int64)
-    _, first, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    raw = data.tobytes()
-    each = [tokenizer.word(raw[s:e]) for s, e in zip(starts[first].tolist(), ends[first].tolist())]
-    pool = np.frombuffer(b"".join(each), dtype="<u2")
-    sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 2
-    begins = np.cumsum(sizes) - sizes
+    hashes, first, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    begins, sizes = tokenizer.places(hashes, data.tobytes(), starts[first], ends[first])
     counts = sizes[which]
     ends_at = np.cumsum(counts)
     index = np.arange(ends_at[-1]) + np.repeat(begins[which] - (ends_at - counts), counts)
-    return pool[index], np.concatenate(([0], ends_at))[at]
+    return tokenizer.pool[index], np.concatenate(([0], ends_at))[at]
 
 
 def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
