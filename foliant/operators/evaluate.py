@@ -62,41 +62,59 @@ def enum_scores(predicted: Column, gold: Column, choices: list[str], required: b
     return {"match": predicted.eqNullSafe(gold).cast("double"), "predicted_in_choices": inside.cast("double")}
 
 
+def _list_scores(p: Column, g: Column, hits: Column) -> dict[str, Column]:
+    precision, recall, f1 = A.token_f1(hits, F.size(p), F.size(g))
+    return {"true_positives": hits.cast("double"), "false_positives": (F.size(p) - hits).cast("double"), "false_negatives": (F.size(g) - hits).cast("double"), "precision": precision, "recall": recall, "f1": f1}
+
+
 def list_scores(predicted: Column, gold: Column) -> dict[str, Column]:
     """Multiset counts and their ratios; null is the empty list."""
     p, g = A.or_empty(predicted), A.or_empty(gold)
-    hits = A.multiset_overlap(p, g)
-    precision, recall, f1 = A.token_f1(hits, F.size(p), F.size(g))
-    return {"true_positives": hits.cast("double"), "false_positives": (F.size(p) - hits).cast("double"), "false_negatives": (F.size(g) - hits).cast("double"), "precision": precision, "recall": recall, "f1": f1}
+    return _list_scores(p, g, A.multiset_overlap(p, g))
+
+
+def _shared_runs(p: Column, g: Column) -> dict[str, Column]:
+    """Common unigrams and bigrams, and the length of the longest common subsequence."""
+    return {"rouge1": A.multiset_overlap(p, g), "rouge2": A.multiset_overlap(T.ngrams(p, 2), T.ngrams(g, 2)), "rougeL": common_subsequence(p, g)}
+
+
+def _rouge_scores(predicted: Column, gold: Column, p: Column, g: Column, shared: Mapping[str, Column]) -> dict[str, Column]:
+    out = {}
+    for name, hits in shared.items():
+        fewer = 1 if name == "rouge2" else 0
+        value = A.token_f1(hits, F.greatest(F.size(p) - fewer, F.lit(0)), F.greatest(F.size(g) - fewer, F.lit(0)))[2]
+        out[name] = F.when(predicted.eqNullSafe(gold), 1.0).when(predicted.isNull() | gold.isNull(), 0.0).otherwise(value)
+    return out
 
 
 def rouge_scores(predicted: Column, gold: Column) -> dict[str, Column]:
     """F-measures over unigrams, bigrams and the longest common subsequence; 1 for equal, 0 for one null."""
     p, g = T.rouge_tokens(predicted), T.rouge_tokens(gold)
-    out = {}
-    for n in (1, 2):
-        a, b = (p, g) if n == 1 else (T.ngrams(p, n), T.ngrams(g, n))
-        out[f"rouge{n}"] = A.token_f1(A.multiset_overlap(a, b), F.size(a), F.size(b))[2]
-    equal, one = predicted.eqNullSafe(gold), predicted.isNull() | gold.isNull()
-    open_ = ~(equal | one)  # only these pairs are sent to Python with their tokens
-    out["rougeL"] = A.token_f1(common_subsequence(F.when(open_, p), F.when(open_, g)), F.size(p), F.size(g))[2]
-    return {name: F.when(equal, 1.0).when(one, 0.0).otherwise(value) for name, value in out.items()}
+    return _rouge_scores(predicted, gold, p, g, _shared_runs(p, g))
 
 
-def _field_scores(p: Column, g: Column, field: str, spec: Mapping) -> dict[str, Column]:
+def _with_scores(rows: DataFrame, at: int, field: str, spec: Mapping) -> tuple[DataFrame, dict[str, Column]]:
+    """``rows`` with what a field's scores share, found once a row, and the scores over it."""
     kind, path = spec["type"], f"$.{field}"
-    predicted, gold = F.try_variant_get(p, path, "string"), F.try_variant_get(g, path, "string")
+    name = lambda what: f"_{what}{at}"
+    col = lambda what: F.col(name(what))
+    rows = rows.withColumns({name("p"): F.try_variant_get("_p", path, "string"), name("g"): F.try_variant_get("_g", path, "string")})
+    predicted, gold = col("p"), col("g")
     if kind == "date":
-        return {"match": D.same_date(predicted, gold)}
+        return rows, {"match": D.same_date(predicted, gold)}
     if kind in ("number", "integer"):
-        return {"match": number_score(predicted, gold)}
+        return rows, {"match": number_score(predicted, gold)}
     if kind == "enum":
-        return enum_scores(predicted, gold, list(spec["choices"]), spec.get("required", True))
+        return rows, enum_scores(predicted, gold, list(spec["choices"]), spec.get("required", True))
     if kind == "string":
-        return rouge_scores(predicted, gold)
+        unlike = predicted.isNotNull() & gold.isNotNull() & (predicted != gold)  # only these pairs are compared
+        rows = rows.withColumns({name("a"): F.when(unlike, T.rouge_tokens(predicted)), name("b"): F.when(unlike, T.rouge_tokens(gold))})
+        rows = rows.withColumns({name(metric): hits for metric, hits in _shared_runs(col("a"), col("b")).items()})
+        return rows, _rouge_scores(predicted, gold, col("a"), col("b"), {metric: col(metric) for metric in METRICS["string"]})
     if kind == "list":
-        values = lambda v, s: F.coalesce(F.try_variant_get(v, path, "array<string>"), F.when(s.isNotNull(), F.filter(F.split(s, ""), lambda c: c != "")))
-        return list_scores(values(p, predicted), values(g, gold))
+        values = lambda v, s: A.or_empty(F.coalesce(F.try_variant_get(v, path, "array<string>"), F.when(s.isNotNull(), F.filter(F.split(s, ""), lambda c: c != ""))))
+        rows = rows.withColumns({name("a"): values("_p", predicted), name("b"): values("_g", gold)}).withColumn(name("h"), A.multiset_overlap(col("a"), col("b")))
+        return rows, _list_scores(col("a"), col("b"), col("h"))
     raise ValueError(f"unknown field type {kind!r}")
 
 
@@ -122,9 +140,9 @@ def score_records(predictions: DataFrame, schema: Mapping[str, Mapping]) -> tupl
     ship(predictions.sparkSession)
     rows = parsed_predictions(predictions, schema)
     cells = []
-    for field, spec in schema.items():
+    for at, (field, spec) in enumerate(schema.items()):
         good = (F.col("status") == "success") & F.coalesce(J.has_key(F.col("_p"), field), F.lit(False))
-        scores = _field_scores(F.col("_p"), F.col("_g"), field, spec)
+        rows, scores = _with_scores(rows, at, field, spec)
         for metric in METRICS[spec["type"]]:
             cells.append(F.struct(F.lit(field).alias("field"), F.lit(metric).alias("metric"), F.when(good, scores[metric]).otherwise(0.0).cast("double").alias("value")))
     scores = rows.select("idx", F.explode(F.array(*cells)).alias("_c")).select("idx", "_c.field", "_c.metric", "_c.value")

@@ -100,7 +100,7 @@ def fused(vector_results: DataFrame, text_results: DataFrame, limit: int, key: s
 def hybrid(docs: DataFrame, embeddings: DataFrame, terms: Sequence[str], query: Sequence[float], limit: int, key: str = "doc_id", text: str = "text", vector: str = "embedding", most: int = 100) -> DataFrame:
     """Documents by keyword and by vector, fused by reciprocal rank; both tables share the key."""
     near = ranked(nearest(embeddings, query, most, key=key, vector=vector), [F.col("distance")], key)
-    words = ranked(bm25(docs, terms, most, key, text), [F.desc(F.round("score", 9))], key)
+    words = ranked(bm25(docs, terms, most, key, text), [F.desc(F.round("score", 6))], key)
     return fused(near, words, limit, key)
 
 

@@ -87,11 +87,11 @@ def _turn_lists(spark, sf_dir):
     return turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
 
 
-@query("""SELECT conv_id, '[' || string_agg('{"role":' || to_json(role)::VARCHAR || ',"content":' || to_json(regexp_replace(text, '[^A-Za-z ]', '', 'g'))::VARCHAR || '}', ',' ORDER BY turn, role, text) || ']' AS messages FROM conversations GROUP BY conv_id""")
+@query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1)::INT AS place, role, text AS content FROM conversations")
 def conv_messages(spark, sf_dir):
-    """Turns of a conversation as one message list in JSON, letters a to z and spaces alone; ``conv_messages_whole`` has the texts."""
-    lists = _turn_lists(spark, sf_dir)
-    return lists.select("conv_id", F.to_json(F.transform("ts", lambda t: F.struct(t["role"].alias("role"), F.regexp_replace(t["text"], "[^A-Za-z ]", "").alias("content")))).alias("messages"))
+    """Turns of a conversation as one message list with their unchanged texts, told as JSON and read again."""
+    told = conv_messages_whole(spark, sf_dir).select("conv_id", F.from_json("messages", "array<struct<role:string,content:string>>").alias("m"))
+    return told.select("conv_id", F.posexplode("m").alias("place", "_m")).select("conv_id", "place", "_m.role", "_m.content")
 
 
 @query(None)
@@ -157,17 +157,39 @@ def vector_range(spark, sf_dir):
     return S.nearest(table(spark, sf_dir, "embeddings"), _QUERY, 1000, 0.95).withColumn("distance", F.round("distance", 6))
 
 
-@query(f"""WITH v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY {_DISTANCE}, vec_id) - 1 AS rank FROM embeddings QUALIFY rank < 20),
-  t AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank FROM ({_bm25_sql(['clown', 'idiot', 'worthless'], 20)}) b),
-  u AS (SELECT coalesce(v.id, t.id) AS id, coalesce(1.0::DOUBLE / (v.rank + 2), 0) AS vector_score, coalesce(1.0::DOUBLE / (t.rank + 3), 0) AS text_score FROM v FULL JOIN t ON v.id = t.id)
-  SELECT id, round(vector_score, 6) AS vector_score, round(text_score, 6) AS text_score, round(vector_score + text_score, 6) AS score FROM u ORDER BY vector_score + text_score DESC, id LIMIT 20""")
+def _fused_sql(most: int, vector: int, text: int) -> str:
+    return f"""WITH v AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY {_DISTANCE}, vec_id) - 1 AS rank FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) QUALIFY rank < {most}),
+  t AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS rank FROM ({_bm25_sql(['clown', 'idiot', 'worthless'], most)}) b),
+  u AS (SELECT coalesce(v.doc_id, t.doc_id) AS doc_id, coalesce(1.0::DOUBLE / (v.rank + {vector} + 1), 0) AS vector_score, coalesce(1.0::DOUBLE / (t.rank + {text} + 1), 0) AS text_score FROM v FULL JOIN t ON v.doc_id = t.doc_id)
+  SELECT doc_id, round(vector_score, 6) AS vector_score, round(text_score, 6) AS text_score, round(vector_score + text_score, 6) AS score FROM u ORDER BY vector_score + text_score DESC, doc_id LIMIT 20"""
+
+
+def _document_vectors(spark, sf_dir):
+    """Vectors whose id is that of a document stand for it."""
+    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    return vectors.join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "left_semi")
+
+
+@query(_fused_sql(20, 1, 2))
 def hybrid_rrf(spark, sf_dir):
-    """Vector and keyword lists fused by reciprocal rank; document ids stand for vector ids."""
-    vectors = S.ranked(S.nearest(table(spark, sf_dir, "embeddings"), _QUERY, 20), [F.col("distance")], "vec_id").withColumnRenamed("vec_id", "id")
+    """Vector and keyword lists of documents fused by reciprocal rank with priorities."""
+    vectors = S.ranked(S.nearest(_document_vectors(spark, sf_dir), _QUERY, 20, key="doc_id"), [F.col("distance")], "doc_id")
     words = S.bm25(table(spark, sf_dir, "documents"), ["worthless", "idiot", "clown"], 20).withColumn("score", F.round("score", 6))
-    words = S.ranked(words, [F.desc("score")], "doc_id").withColumnRenamed("doc_id", "id")
-    both = S.fused(vectors, words, 20, "id", 1.0, 2.0)
-    return both.select("id", *[F.round(c, 6).alias(c) for c in ("vector_score", "text_score", "score")])
+    both = S.fused(vectors, S.ranked(words, [F.desc("score")], "doc_id"), 20, "doc_id", 1.0, 2.0)
+    return both.select("doc_id", *[F.round(c, 6).alias(c) for c in ("vector_score", "text_score", "score")])
+
+
+@query(_fused_sql(100, 1, 1))
+def hybrid_search(spark, sf_dir):
+    """The same in one call, without priorities, over the 100 best of each side."""
+    found = S.hybrid(table(spark, sf_dir, "documents"), _document_vectors(spark, sf_dir), ["worthless", "idiot", "clown"], _QUERY, 20)
+    return found.select("doc_id", *[F.round(c, 6).alias(c) for c in ("vector_score", "text_score", "score")])
+
+
+@query(f"SELECT vec_id, round({_DISTANCE}, 6) AS distance FROM embeddings ORDER BY {_DISTANCE}, vec_id LIMIT 25 OFFSET 50")
+def vector_page(spark, sf_dir):
+    """The third page of a vector search."""
+    return S.nearest(table(spark, sf_dir, "embeddings"), _QUERY, 25, offset=50).withColumn("distance", F.round("distance", 6))
 
 
 @query(f"""WITH w AS (SELECT doc_id, {_WORDS.format('lower(text)')} AS w FROM documents), q AS (SELECT unnest(['idiot', 'clown', 'scum']) AS query),

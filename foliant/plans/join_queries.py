@@ -37,12 +37,13 @@ def docs_duplicate_members(spark, sf_dir):
     return R.repeated_members(docs, ["digest"]).select("doc_id", "n_members")
 
 
-@query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON d.text = b.text")
+@query("SELECT d.doc_id, b.item_id FROM documents d JOIN (SELECT item_id, text FROM benchmark UNION ALL SELECT 1000000 + doc_id, text FROM documents WHERE doc_id % 7 = 0) b ON d.text = b.text")
 def benchmark_leakage(spark, sf_dir):
-    """Exact overlap; texts meet by digest and are compared."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("h"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), F.xxhash64("text").alias("h"))
-    return docs.join(items, "h").where("text = item").select("doc_id", "item_id")
+    """Exact overlap with benchmark items, to which every seventh document is added; texts meet by digest and are compared."""
+    docs = table(spark, sf_dir, "documents")
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text").unionByName(docs.where("doc_id % 7 = 0").select((F.col("doc_id") + 1_000_000).alias("item_id"), "text"))
+    items = items.select("item_id", F.col("text").alias("item"), F.xxhash64("text").alias("h"))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(items, "h").where("text = item").select("doc_id", "item_id")
 
 
 @query("SELECT doc_id, 'doc' AS kind, lower(substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)) AS uuid FROM (SELECT doc_id, sha256(doc_id::VARCHAR) AS h FROM documents) d")

@@ -136,28 +136,29 @@ def chunks_per_document(spark, sf_dir):
     return conv.agg(F.round(F.try_divide(F.sum("k") * 1.0, F.count("*")), 6).alias("ratio"))
 
 
-@query("""SELECT date_trunc('month', ts) AS month, count(*) AS n FROM events GROUP BY 1""")
-def events_by_month(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.date_trunc("month", "ts").cast("timestamp_ntz").alias("month")).agg(F.count("*").alias("n"))
+@query("SELECT date_trunc('month', o_orderdate) AS month, count(*) AS n FROM orders GROUP BY 1")
+def orders_by_month(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("month")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT year(ts)::INT AS year, quarter(ts)::INT AS quarter, strftime(ts, '%Y-%m') AS year_month, count(*) AS n FROM events GROUP BY ALL")
-def events_by_year_quarter(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.year("ts").alias("year"), F.quarter("ts").alias("quarter"), F.date_format("ts", "yyyy-MM").alias("year_month")).agg(F.count("*").alias("n"))
+@query("SELECT year(o_orderdate)::INT AS year, quarter(o_orderdate)::INT AS quarter, strftime(o_orderdate, '%Y-%m') AS year_month, count(*) AS n FROM orders GROUP BY ALL")
+def orders_by_year_quarter(spark, sf_dir):
+    day = F.col("o_orderdate")
+    return table(spark, sf_dir, "orders").groupBy(F.year(day).alias("year"), F.quarter(day).alias("quarter"), F.date_format(day, "yyyy-MM").alias("year_month")).agg(F.count("*").alias("n"))
 
 
 _KINDS = ["click", "error", "purchase", "signup", "view"]
 _COUNTS = ", ".join(f"count(*) FILTER (event_type = '{k}') AS \"{k}\"" for k in _KINDS)
 
 
-@query(f"SELECT year(ts)::INT * 10 + quarter(ts)::INT AS period, {_COUNTS} FROM events GROUP BY 1")
+@query(f"SELECT strftime(ts, '%Y-%m-%d') AS period, {_COUNTS} FROM events GROUP BY 1")
 def event_type_pivot(spark, sf_dir):
-    return P.contingency(table(spark, sf_dir, "events"), F.year("ts") * 10 + F.quarter("ts"), "event_type", _KINDS)
+    return P.contingency(table(spark, sf_dir, "events"), F.date_format("ts", "yyyy-MM-dd"), "event_type", _KINDS)
 
 
-@query("SELECT period, " + ", ".join(f'round(coalesce("{k}" * 100.0 / nullif({" + ".join(_KINDS)}, 0), 0), 4) AS "{k}"' for k in _KINDS) + f" FROM (SELECT strftime(ts, '%Y-%m') AS period, {_COUNTS} FROM events GROUP BY 1) c")
+@query("SELECT period, " + ", ".join(f'round(coalesce("{k}" * 100.0 / nullif({" + ".join(_KINDS)}, 0), 0), 4) AS "{k}"' for k in _KINDS) + f" FROM (SELECT strftime(ts, '%Y-%m-%d') AS period, {_COUNTS} FROM events GROUP BY 1) c")
 def event_type_pct(spark, sf_dir):
-    return P.contingency(table(spark, sf_dir, "events"), F.date_format("ts", "yyyy-MM"), "event_type", _KINDS, percent=True)
+    return P.contingency(table(spark, sf_dir, "events"), F.date_format("ts", "yyyy-MM-dd"), "event_type", _KINDS, percent=True)
 
 
 @query("""SELECT user_id, round(a::DOUBLE / nullif(a + b, 0), 6) AS purchase_ratio FROM (

@@ -89,20 +89,19 @@ def rows_by_prediction(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "lang").join(predictions, "doc_id")
 
 
-@query("SELECT doc_id, item_id, round(n::DOUBLE / words, 4) AS share FROM (SELECT d.doc_id, b.item_id, length(b.text) AS n, length(d.text) AS words FROM documents d JOIN benchmark b ON contains(d.text, b.text)) t")
+@query("SELECT doc_id, item_id, round(n::DOUBLE / words, 4) AS share FROM (SELECT d.doc_id, b.item_id, length(b.text) AS n, length(d.text) AS words FROM documents d JOIN benchmark b ON contains(' ' || regexp_replace(d.text, '\\s+', ' ', 'g') || ' ', ' ' || b.text || ' ')) t")
 def benchmark_passages(spark, sf_dir):
-    """Documents that hold a whole benchmark passage, and its share of them.
+    """Documents that hold a whole benchmark passage, word by word, and its share of them.
 
     Documents and passages meet by the passages' first eight words, which every document is probed with.
     """
     head = lambda words: F.xxhash64(F.array_join(F.slice(words, 1, 8), " "))
-    words = lambda c: F.split(F.col(c), " ")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item")).withColumn("n", F.least(F.size(words("item")), F.lit(8)))
-    items = items.withColumn("h", head(words("item")))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), head(F.split("text", " ")).alias("h"))
     docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", F.split("text", r"\s+").alias("w"))
     probes = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 7, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, 8), " "))))).alias("h"))
     found = probes.join(items.select("item_id", "item", "h"), "h").select("doc_id", "item_id", "item").distinct()
-    both = found.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item")))
+    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    both = found.join(docs.select("doc_id", "text"), "doc_id").where(F.contains(spaced(F.regexp_replace("text", r"\s+", " ")), spaced(F.col("item"))))
     return both.select("doc_id", "item_id", F.round(F.length("item") / F.length("text"), 4).alias("share"))
 
 
