@@ -37,7 +37,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
 
     The budget is shared by weight; a target stops at ``most`` times its source's size and the rest is
     shared again. Sources sorted by size per weight fill up in that order, so running sums decide which
-    of them stop, without rounds. The windows run over one row per source.
+    of them stop, without rounds. The windows run over one row per source
+    in a single task, which suits up to some millions of sources.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = sizes.withColumn("rank", F.row_number().over(by_name) - 1)

@@ -27,6 +27,8 @@ Topology = Sequence[Sequence[Sequence[float]]]
 FORTY_SHARDS: Topology = tuple(tuple((1.0,) * 4 for _ in range(2)) for _ in range(5))
 #: Groups in which rows of a shard are numbered apart.
 SLOT_BUCKETS = 1024
+#: Rows of the table of slot offsets up to which it is broadcast.
+_BROADCAST_ROWS = 200_000
 
 
 def grown(topology: Topology, weight: float = 1.0) -> Topology:
@@ -107,6 +109,7 @@ def assign_shards(docs: DataFrame, topology: Topology = FORTY_SHARDS, key: str =
     inside = Window.partitionBy("shard", "_bucket").orderBy("doc_id", "text_crc32", "size")
     numbered = rows.withColumn("_at", F.row_number().over(inside))
     # at most shards * buckets rows, whatever the input
-    return numbered.join(F.broadcast(offsets), ["shard", "_bucket"]).select(
+    offsets = F.broadcast(offsets) if shard_count(topology) * buckets <= _BROADCAST_ROWS else offsets
+    return numbered.join(offsets, ["shard", "_bucket"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_offset") + F.col("_at") - 1).cast("long").alias("slot"), "grown_shard"
     )
