@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from foliant.llm.textops import pack_longs, ragged, rolling, run_starts, scramble, sorted_groups, text_chunks, unpack_longs, word_bounds, word_hashes
 from foliant.shipping import map_arrow, ship
-from foliant.storage import materialize
+from foliant.storage import materialize, parts_for
 
 WINDOW = 13
 #: Bytes of text of a group of documents, and bytes of text whose windows share a range of hashes.
@@ -244,7 +244,7 @@ def repeated_windows(docs: DataFrame, size: int, window: int = WINDOW, group_byt
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    parts = 1 + size // PART_BYTES
+    parts = parts_for(docs.sparkSession, size, PART_BYTES)
     groups, shards = 1 + size // group_bytes, 1 + size // shard_bytes
     bits = (size // range_bytes).bit_length()
     # two passes over the texts: the windows' shuffles are gone before the second one
@@ -304,6 +304,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     columns = docs.columns
     rows = docs.join(found, (F.col(doc_id).cast("long") == F.col("_repeat_id")) & (F.xxhash64(F.col(text)) == F.col("_repeat_mark")), "left")
     rows = rows.select(*columns, F.col(text).alias("_repeat_text"), "_repeat_begin", "_repeat_stop")
-    rows = rows.coalesce(1 + size // PART_BYTES)  # small tables give few files
+    rows = rows.coalesce(parts_for(docs.sparkSession, size, PART_BYTES))  # small tables give few files
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", repeat_n_words long, repeat_n_removed long, repeat_spans array<struct<start:int,words:int>>, repeat_kept_text string"
     return map_arrow(rows, _cut(window), schema)
