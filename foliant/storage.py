@@ -51,13 +51,15 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
-def parts_of(df: DataFrame, per: int = PART_BYTES) -> int | None:
-    """Files that a result in proportion to ``df`` should have, by Spark's estimate of its size; None without one.
+def parts_for(spark: SparkSession, size: int, per: int = PART_BYTES) -> int:
+    """Files for a result of ``size`` bytes: two for each core at least, so that none of them waits."""
+    return max(1 + size // per, 2 * spark.sparkContext.defaultParallelism)
 
-    There are two for each core at least, so that none of them waits.
-    """
+
+def parts_of(df: DataFrame, per: int = PART_BYTES) -> int | None:
+    """Files that a result in proportion to ``df`` should have, by Spark's estimate of its size; None without one."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return None if size >> 50 else max(1 + size // per, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    return None if size >> 50 else parts_for(df.sparkSession, size, per)
 
 
 def materialize(df: DataFrame, name: str, *done: DataFrame, parts: int | None = None) -> DataFrame:
