@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate, groupby
 from typing import Protocol
 
 import pandas as pd
@@ -24,38 +26,27 @@ def _pieces(text: str, separator: str) -> list[str]:
 
 def _joined(pieces: list[str], size: int, overlap: int) -> list[str]:
     """Neighbouring pieces together as far as ``size`` allows, chunks sharing up to ``overlap``."""
-    chunks: list[str] = []
-    window: list[str] = []
-    total = 0
-    for piece in pieces:
-        if window and total + len(piece) > size:
-            chunks.append("".join(window).strip())
-            while window and (total > overlap or total + len(piece) > size):
-                total -= len(window.pop(0))
-        window.append(piece)
-        total += len(piece)
-    chunks.append("".join(window).strip())
-    return [c for c in chunks if c]
+    ends = list(accumulate(map(len, pieces), initial=0))  # where each piece begins, and the whole end
+    chunks, first = [], 0
+    for at in range(1, len(pieces)):
+        if ends[at + 1] - ends[first] > size:
+            chunks.append("".join(pieces[first:at]))
+            # the next chunk begins with the earliest piece that keeps both bounds
+            first = bisect_left(ends, max(ends[at] - overlap, ends[at + 1] - size), first, at)
+    chunks.append("".join(pieces[first:]))
+    return [c for c in (chunk.strip() for chunk in chunks) if c]
 
 
 def split_text(text: str, size: int, overlap: int = 0, separators: Sequence[str] = SEPARATORS) -> list[str]:
     """Stripped chunks of at most ``size`` characters, cut at the coarsest separator that serves."""
     at = next((i for i, s in enumerate(separators) if not s or s in text), len(separators) - 1)
+    finer = separators[at + 1 :]
     chunks: list[str] = []
-    small: list[str] = []
-    for piece in _pieces(text, separators[at]):
-        if len(piece) < size:
-            small.append(piece)
-            continue
-        if small:
-            chunks += _joined(small, size, overlap)
-            small = []
-        if at + 1 < len(separators):
-            chunks += split_text(piece, size, overlap, separators[at + 1 :])
+    for short, run in groupby(_pieces(text, separators[at]), key=lambda piece: len(piece) < size):
+        if short:
+            chunks += _joined(list(run), size, overlap)
         else:
-            chunks.append(piece)
-    if small:
-        chunks += _joined(small, size, overlap)
+            chunks += [c for piece in run for c in (split_text(piece, size, overlap, finer) if finer else [piece])]
     return chunks
 
 

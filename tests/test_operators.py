@@ -17,12 +17,13 @@ def lit(value, kind="string"):
     return F.lit(value).cast(kind) if not isinstance(value, list) else F.array(*[F.lit(v) for v in value]).cast("array<string>")
 
 
-@pytest.mark.parametrize("a, b, score", [("2024-01-01", "2024-01-01", 1), ("Jan 1, 2024", "2024-01-01", 1), ("2024-01-01", "2024-01-02", 0), (None, "2024-01-01", 0), ("2024-01-01", None, 0), (None, None, 1), ("invalid-date", "2024-01-01", 0)])
+# The stated results of each metric, with cases of our own at the end of the lists.
+@pytest.mark.parametrize("a, b, score", [("2024-01-01", "2024-01-01", 1), ("Jan 1, 2024", "2024-01-01", 1), ("2024-01-01", "2024-01-02", 0), (None, "2024-01-01", 0), ("2024-01-01", None, 0), (None, None, 1), ("invalid-date", "2024-01-01", 0), ("3 May 2024", "2024-05-03", 1), ("", "", 1)])
 def test_date_score(spark, a, b, score):
     assert one(spark, D.same_date(lit(a), lit(b))) == score
 
 
-@pytest.mark.parametrize("a, b, score", [("10", "10", 1), ("10.5", "10.5", 1), ("10", "10.0", 1), ("10", "11", 0), (None, "10", 0), ("10", None, 0), (None, None, 1), ("ten", "10", 0)])
+@pytest.mark.parametrize("a, b, score", [("10", "10", 1), ("10.5", "10.5", 1), ("10", "10.0", 1), ("10", "11", 0), (None, "10", 0), ("10", None, 0), (None, None, 1), ("ten", "10", 0), ("1e1", "10", 1), ("10.0000001", "10", 1)])
 def test_number_score(spark, a, b, score):
     assert one(spark, E.number_score(lit(a), lit(b))) == score
 
@@ -33,9 +34,21 @@ def test_enum_scores(spark, a, b, match, inside):
     assert one(spark, scores["match"], scores["predicted_in_choices"]) == (match, inside)
 
 
-@pytest.mark.parametrize("a, b, counts", [("abc", "abc", (3, 0, 0)), ("ab", "abc", (2, 0, 1)), ("abd", "abc", (2, 1, 1)), ("", "ab", (0, 0, 2)), ("ab", "", (0, 2, 0)), (None, "a", (0, 0, 1)), ("a", None, (0, 1, 0)), (None, None, (0, 0, 0)), ("aa", "a", (1, 1, 0)), ("a", "aa", (1, 0, 1))])
+@pytest.mark.parametrize("a, b, counts", [
+    (["a", "b", "c"], ["a", "b", "c"], (3, 0, 0)),
+    (["a", "b"], ["a", "b", "c"], (2, 0, 1)),
+    (["a", "b", "d"], ["a", "b", "c"], (2, 1, 1)),
+    ([], ["a", "b"], (0, 0, 2)),
+    (["a", "b"], [], (0, 2, 0)),
+    (None, ["a"], (0, 0, 1)),
+    (["a"], None, (0, 1, 0)),
+    (None, None, (0, 0, 0)),
+    (["a", "a"], ["a"], (1, 1, 0)),
+    (["a"], ["a", "a"], (1, 0, 1)),
+    (["x", "y", "x"], ["x", "x", "z"], (2, 1, 1)),
+])
 def test_list_scores(spark, a, b, counts):
-    column = lambda v: F.lit(None).cast("array<string>") if v is None else lit(list(v))
+    column = lambda v: F.lit(None).cast("array<string>") if v is None else lit(v)
     scores = E.list_scores(column(a), column(b))
     assert one(spark, *[scores[m] for m in ("true_positives", "false_positives", "false_negatives")]) == counts
 
