@@ -47,6 +47,8 @@ STEP = 20
 TOLERANCE = 1e-9
 #: Documents and shingles of a block.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1_000_000
+#: Buckets of several blocks whose table is broadcast.
+_BROADCAST_ROWS = 200_000
 _U = np.uint64
 _FACTORS = np.random.Generator(np.random.PCG64(77)).integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFTS = np.random.Generator(np.random.PCG64(78)).integers(0, 2**32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
@@ -254,8 +256,15 @@ def _verify(threshold: float, tolerance: float):
 
 
 def _dealt(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``rows`` of ``key, node`` once for each pair ``i, j`` of its bucket's blocks that holds its own block."""
-    rows = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    """``rows`` of ``key, node`` once for each pair ``i, j`` of its bucket's blocks that holds its own block.
+
+    ``blocks`` tells the number of blocks by key. Few buckets have more than one; if these are too many to be
+    sent, they are joined.
+    """
+    large = blocks.where("blocks > 1")
+    large = F.broadcast(large) if large.count() <= _BROADCAST_ROWS else large
+    rows = rows.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     return rows.drop("blocks", "other")
 
