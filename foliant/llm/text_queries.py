@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from foliant.llm.byte_pairs import round_trip
 from foliant.llm.jaccard_join import similarity_classes
 from foliant.llm.neighbours import nearest
 from foliant.llm.packing import pack
@@ -48,6 +49,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = round_trip(table(spark, sf_dir, "documents"))
+    return coded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, OP1_SQL),
     "op4_url_filter": (op4_url_filter, None),
@@ -56,4 +62,5 @@ QUERIES = {
     "op7_token_counts": (op7_token_counts, None),
     "op8_jaccard_join": (op8_jaccard_join, OP8_SQL),
     "op9_packing": (op9_packing, None),
+    "op11_byte_bpe": (op11_byte_bpe, None),
 }

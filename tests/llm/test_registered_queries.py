@@ -1,5 +1,7 @@
 """The registered queries themselves over whole tables: against SQL where there is any, else against plain versions."""
 
+import base64
+import hashlib
 import os
 import zlib
 from collections import Counter
@@ -7,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import public_tokenizers
+import tiktoken
 from tokenizers import Tokenizer
 
 import plain
@@ -86,3 +89,14 @@ def test_op9_is_a_round_trip(spark, texts):
         ends[r.sequence_id] = r.offset + r.length
     assert max(ends.values()) <= 4096
 
+
+
+def test_op11_against_the_library(spark, texts):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    expected = Counter()
+    for i, t in texts:
+        ids = library.encode_ordinary(t or "")
+        expected[i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha((t or "").encode())] += 1
+    assert Counter(map(tuple, QUERIES["op11_byte_bpe"](spark, SF).collect())) == expected
