@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import native_queries, text_queries
+from foliant.llm import join_queries, manifest_queries, native_queries, text_queries
 
-_MODULES = (native_queries, text_queries)
+_MODULES = (native_queries, text_queries, manifest_queries, join_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
