@@ -192,6 +192,55 @@ def test_learned_partitions_recall(spark, rows, every):
     assert router.parts > 1 and 1 <= router.visits <= router.parts / 2
 
 
+def clusters(sizes, seed, width=8, spread=0.05):
+    rng = np.random.default_rng(seed)
+    return np.concatenate([rng.normal(size=width) * 10 + rng.normal(size=(n, width)) * spread for n in sizes])
+
+
+@pytest.mark.parametrize("sizes", [(58, 6), (90, 10), (450, 50), (1, 200), (1500, 300, 200)])
+def test_every_query_has_all_its_rows(spark, sizes):
+    vectors = clusters(sizes, sum(sizes))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    every = 1 if len(vectors) < 300 else 20
+    found = N.nearest(df, every=every).groupBy("query_id").count().collect()
+    assert len(found) == -(-len(vectors) // every) and {r["count"] for r in found} == {min(10, len(vectors) - 1)}
+
+
+@pytest.mark.parametrize("sizes", [(450, 50), (2700, 300), (1500, 900, 600)])
+def test_the_index_is_balanced(spark, sizes):
+    vectors = clusters(sizes, 3)
+    vectors[: len(vectors) // 3] = vectors[0]  # a third are copies
+    parts = N.partition_count(len(vectors))
+    router = N.fit_router(vectors, parts)
+    rows = [(i, v.tolist(), router.ranked(v[None, :])[0, : N.CHOICES].tolist()) for i, v in enumerate(vectors)]
+    ranked = spark.createDataFrame(rows, "vec_id long, embedding array<double>, choices array<int>")
+    held = [r["count"] for r in ranked.groupBy(N.with_capacity(ranked, parts, len(rows)).alias("part")).count().collect()]
+    assert sum(held) == len(rows) and max(held) <= 2 * len(rows) / parts
+
+
+@pytest.mark.parametrize("scale", [1e160, 1e-200, 1e300])
+def test_magnitudes_beyond_squares(spark, scale):
+    vectors = np.random.default_rng(5).normal(size=(300, 6)) * scale
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got, hits = {}, 0
+    for r in N.nearest(df, every=10).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    wanted = brute(list(range(300)), vectors / scale, 10, 10)
+    for q, near in wanted.items():
+        exact = np.sqrt((((vectors - vectors[q]) / scale) ** 2).sum(axis=1))
+        assert len(got[q]) == 10 and np.allclose([s / scale for s in got[q].values()], exact[list(got[q])], rtol=1e-12)
+        hits += len(got[q].keys() & {i for i, _ in near})
+    assert hits / (10 * len(wanted)) >= 0.9
+
+
+def test_mixed_magnitudes_are_exact():
+    rng = np.random.default_rng(8)
+    known = np.concatenate((rng.normal(size=(50, 4)), rng.normal(size=(50, 4)) * 1e200))
+    for ids, near, score in N.nearest_in(np.arange(100), known, np.arange(100), known, 5):
+        exact = np.sqrt(((known[near] / 1e200 - known[ids[0]] / 1e200) ** 2).sum(axis=1)) * 1e200 if ids[0] >= 50 else np.sqrt(((known[near] - known[ids[0]]) ** 2).sum(axis=1))
+        assert len(near) == 5 and ids[0] not in near and np.allclose(score, exact, rtol=1e-12)
+
+
 def test_partitions_grow_with_the_table():
     assert [N.partition_count(n) for n in (0, 1, 15, 16, 500, 2000, 51_282, 10**9)] == [1, 1, 1, 2, 8, 16, 64, 256]
 
