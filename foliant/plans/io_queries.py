@@ -259,8 +259,14 @@ def _failing_split(text: str) -> list[str]:
     return text.split("|")
 
 
+_taken_up: dict[tuple[str, str], str] = {}
+
+
 def _ingested(spark, sf_dir) -> str:
-    """Parts taken up in three runs: one half, the other half with repeats, and nothing new."""
+    """Parts taken up in three runs: one half, the other half with repeats, and nothing new; once for all queries."""
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known in _taken_up:
+        return _taken_up[known]
     path = scratch(spark, "ingest")
     text = F.when(F.col("p_partkey") % 10 != 0, F.concat("p_name", F.lit("|"), "p_brand", F.lit("|"), "p_type"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("text"), F.col("p_size").alias("size"))
@@ -270,7 +276,8 @@ def _ingested(spark, sf_dir) -> str:
     for at, half in enumerate(halves):
         half.coalesce(1).write.mode("append").parquet(f"{path}/in")
         I.ingest(spark, f"{path}/in", schema, f"{path}/out", f"{path}/checkpoint", settings, key="id", text="text", attributes=["size"], split=_failing_split)
-    return f"{path}/out"
+    _taken_up[known] = f"{path}/out"
+    return _taken_up[known]
 
 
 _BAD = "(p_partkey % 10 = 0 OR contains(p_brand, 'Brand#1'))"
@@ -285,7 +292,7 @@ def ingestion_tracker(spark, sf_dir):
 @query(f"SELECT p_partkey::VARCHAR AS document_id, i::INT AS chunk_id, [p_name, p_brand, p_type][(i + 1)::INT] AS chunk_text, p_size AS size FROM part, range(3) r(i) WHERE NOT {_BAD}")
 def ingestion_chunks(spark, sf_dir):
     """Chunks with the attributes of their documents; a replay adds nothing."""
-    return spark.read.parquet(f"{_ingested(spark, sf_dir)}/chunks").select("document_id", "chunk_id", "chunk_text", "size")
+    return I.chunks(spark, _ingested(spark, sf_dir), "size int").select("document_id", "chunk_id", "chunk_text", "size")
 
 
 @query(f"SELECT CASE WHEN p_partkey % 10 = 0 THEN 'no text' ELSE 'no chunks of' END AS kind, count(*) AS n FROM part WHERE {_BAD} GROUP BY 1")
@@ -299,7 +306,7 @@ def ingestion_progress(spark, sf_dir):
     """Counters of the first two batches that took something up."""
     rows = I.progress(spark, _ingested(spark, sf_dir)).where("n_documents > 0").orderBy("batch_id").limit(2).withColumn("at", F.row_number().over(Window.orderBy("batch_id")))  # two rows
     pick = lambda c, at, name: F.max(F.when(F.col("at") == at, F.col(c))).alias(name)
-    return rows.agg(pick("n_documents", 1, "first"), pick("n_failed", 1, "first_failed"), pick("n_chunks", 1, "first_chunks"), pick("n_documents", 2, "second"), pick("n_failed", 2, "second_failed"), pick("n_so_far", 2, "so_far"))
+    return rows.agg(pick("n_documents", 1, "first"), pick("n_failed", 1, "first_failed"), pick("n_chunks", 1, "first_chunks"), pick("n_documents", 2, "second"), pick("n_failed", 2, "second_failed"), F.sum("n_documents").alias("so_far"))
 
 
 @query(f"SELECT count(*) AS total, count(*) FILTER (NOT {_BAD}) AS successful, count(*) FILTER ({_BAD}) AS failed, (3 * count(*) FILTER (NOT {_BAD}))::BIGINT AS chunks, count(*) FILTER (NOT contains(p_partkey::VARCHAR, '1')) AS kept FROM part")

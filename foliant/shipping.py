@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -23,7 +24,7 @@ def ship(spark: SparkSession) -> None:
     if spark.conf.get(_LIMIT, None) is None:
         spark.conf.set(_LIMIT, str(BATCH_BYTES))
     context = spark.sparkContext
-    if getattr(context, _SENT, False):
+    if getattr(context, _SENT, None):
         return
     package = Path(__file__).resolve().parent
     archive = Path(tempfile.mkdtemp(prefix="foliant-")) / "foliant.zip"
@@ -31,7 +32,16 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(package.rglob("*.py")):
             out.write(path, path.relative_to(package.parent))
     context.addPyFile(str(archive))
-    setattr(context, _SENT, True)
+    setattr(context, _SENT, str(archive))
+
+
+def ship_to_driver(spark: SparkSession) -> None:
+    """Let Python processes that Spark starts beside the driver, as for stateful streams, import this package too."""
+    ship(spark)
+    context = spark.sparkContext
+    paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if getattr(context, _SENT) not in paths:
+        context.environment["PYTHONPATH"] = os.pathsep.join([getattr(context, _SENT), *paths])
 
 
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:

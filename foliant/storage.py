@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key, None)
     spark.conf.set(key, value)
     try:
@@ -71,7 +71,7 @@ def materialize(df: DataFrame, name: str, *done: DataFrame, parts: int | None =
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df = df if parts is None else df.coalesce(parts)
-    with _setting(spark, _CLEANUP, "true"):
+    with setting(spark, _CLEANUP, "true"):
         df.write.option("compression", "zstd").parquet(path)
     discard(*done)
     result = spark.read.schema(df.schema).parquet(path)

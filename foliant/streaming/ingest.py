@@ -1,40 +1,27 @@
-"""Incremental ingestion of documents with Structured Streaming.
+"""Incremental ingestion of folders of documents, over the keyed state of ``streaming.keyed``.
 
-A file stream is taken up in micro-batches. Of a batch, documents that the tracker has as done are
-skipped; failed ones are tried again. A document that fails, for want of text or in its chunking, fails by
-itself, with its error in the tracker, and does not stop the stream. Documents, chunks and tracker rows of a batch are written below its number, the tracker last, so
-a repeated batch overwrites what it wrote and a replay adds nothing.
+A file stream is taken up in micro-batches; what is known of a document is in the state store. A document that
+fails, for want of text or in its chunking, fails by itself, with its error in the tracker, and does not stop the
+stream. Attempts and chunks are written once, whatever is replayed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from functools import partial
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from foliant.functions.text import first_words
-from foliant.operators.chunking import hashed_embedding, split_text, with_attributes
+from foliant.operators.chunking import hashed_embedding, split_text
 from foliant.operators.validation import IngestSettings
-from foliant.shipping import ship
 from foliant.sinks import chunk_objects
-from foliant.storage import discard, materialize
-
-TRACKER = "document_id string, processed_at timestamp, chunks_count int, success boolean, error_message string, batch_id long"
+from foliant.streaming import keyed
 
 
 def tracker(spark: SparkSession, target: str) -> DataFrame:
-    """The latest tracker row of each document."""
-    try:
-        rows = spark.read.schema(TRACKER).parquet(f"{target}/tracker")
-    except Exception as problem:
-        if "PATH_NOT_FOUND" not in str(problem):
-            raise
-        return spark.createDataFrame([], TRACKER)
-    newest = Window.partitionBy("document_id").orderBy(F.desc("batch_id"), F.desc("success"))
-    return rows.withColumn("_at", F.row_number().over(newest)).where("_at = 1").drop("_at")
+    """How each document stands: ``document_id, success, chunks_count, error_message, dead, n_attempts``."""
+    return keyed.keyed_tracker(spark, target)
 
 
 def tracker_stats(rows: DataFrame) -> DataFrame:
@@ -46,67 +33,38 @@ def without_matching(rows: DataFrame, pattern: str) -> DataFrame:
     return rows.where(~F.col("document_id").ilike(f"%{pattern}%"))
 
 
-def attempted_chunks(docs: DataFrame, split: Callable[[str], list[str]], least_chars: int, key: str, text: str) -> DataFrame:
-    """``key, text, chunks, error``: every document with its chunks or with what went wrong."""
-    ship(docs.sparkSession)
-
-    @F.pandas_udf("struct<chunks:array<string>,error:string>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            chunks, errors = [], []
-            for value in part:
-                try:
-                    if value is None or not value.strip():
-                        raise ValueError("no text")
-                    chunks.append([c for c in split(value) if len(c) >= least_chars])
-                    errors.append(None)
-                except Exception as problem:  # one document must not stop a batch
-                    chunks.append([])
-                    errors.append(str(problem) or type(problem).__name__)
-            yield pd.DataFrame({"chunks": chunks, "error": errors})
+def chunks(spark: SparkSession, target: str, attributes: str = "") -> DataFrame:
+    """Chunks of all documents that were taken up, as objects of a store, with the named attributes (as DDL)."""
+    rows = keyed.output(spark, target, keyed.OUTPUT + (f", {attributes}" if attributes else "")).where("kind = 'chunk'")
+    names = rows.columns[len(StructType.fromDDL(keyed.OUTPUT).names) :]
+    rows = rows.select("document_id", "chunk_id", F.length("chunk_text").alias("chunk_len"), "chunk_text", *names)
+    return chunk_objects(rows).withColumn("vector", hashed_embedding(F.col("chunk_text")))
 
-    return docs.select(key, text, run(F.col(text)).alias("_r")).select(key, text, "_r.chunks", "_r.error")
 
-
-def ingest_batch(batch: DataFrame, batch_id: int, target: str, settings: IngestSettings, key: str, text: str, attributes: Sequence[str] = (), split: Callable[[str], list[str]] | None = None) -> None:
-    """Take up one batch; a document repeated in it counts once, with its longest text."""
-    spark = batch.sparkSession
-    cut = split or partial(split_text, size=settings.chunk_size, overlap=settings.overlap)
-    done = tracker(spark, target).where(F.col("success") & (F.col("batch_id") != batch_id)).select("document_id")
-    rows = batch.select(F.col(key).cast("string").alias("document_id"), F.col(text).alias("full_text"), *attributes).where(F.col("document_id").isNotNull())
-    fresh = rows.groupBy("document_id").agg(F.max(F.struct(F.length("full_text").alias("l"), "full_text", *attributes)).alias("_row"))
-    fresh = fresh.select("document_id", "_row.full_text", *[f"_row.{a}" for a in attributes]).join(done, "document_id", "left_anti")
-    tried = materialize(attempted_chunks(fresh, cut, settings.least_chars, "document_id", "full_text"), "ingest-batch")
-    good = F.col("error").isNull()
-    chunks = tried.where(good).select("document_id", F.posexplode("chunks").alias("chunk_id", "chunk_text"))
-    chunks = chunks.select("document_id", "chunk_id", F.length("chunk_text").alias("chunk_len"), "chunk_text")
-    chunks = chunk_objects(with_attributes(chunks, fresh, attributes)).withColumn("vector", hashed_embedding(F.col("chunk_text")))
-    chunks.write.mode("overwrite").parquet(f"{target}/chunks/batch_id={batch_id}")
-    fresh.join(tried.where(good).select("document_id"), "document_id", "left_semi").write.mode("overwrite").parquet(f"{target}/documents/batch_id={batch_id}")
-    told = tried.select("document_id", F.current_timestamp().alias("processed_at"), F.size("chunks").alias("chunks_count"), good.alias("success"), F.col("error").alias("error_message"))
-    told.write.mode("overwrite").parquet(f"{target}/tracker/batch_id={batch_id}")
-    discard(tried)
+def documents(spark: SparkSession, target: str, attributes: str = "") -> DataFrame:
+    """Documents that were taken up, with the text and attributes of their last success."""
+    rows = keyed.output(spark, target, keyed.OUTPUT + (f", {attributes}" if attributes else "")).where("kind = 'attempt' and success")
+    names = rows.columns[len(StructType.fromDDL(keyed.OUTPUT).names) :]
+    last = rows.groupBy("document_id").agg(F.max_by(F.struct("full_text", *names), F.struct("at", "attempt")).alias("_row"))
+    return last.select("document_id", "_row.*")
 
 
 def progress(spark: SparkSession, target: str) -> DataFrame:
-    """``batch_id, n_documents, n_failed, n_chunks, n_so_far`` of every batch, and how much it took up until then."""
-    rows = spark.read.schema(TRACKER).parquet(f"{target}/tracker")
-    counts = rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(~F.col("success")).alias("n_failed"), F.sum("chunks_count").alias("n_chunks"))
-    return counts.withColumn("n_so_far", F.sum("n_documents").over(Window.orderBy("batch_id")))  # a row a batch
+    """``batch_id, n_documents, n_failed, n_chunks`` of every batch, as counted while it was written."""
+    return keyed.keyed_progress(spark, target).select("batch_id", F.col("n_attempts").alias("n_documents"), "n_failed", "n_chunks", "n_input", "state_reads")
 
 
 def dead_letters(spark: SparkSession, target: str) -> DataFrame:
-    """Documents whose last attempt failed, by kind of error."""
-    failed = tracker(spark, target).where(~F.col("success"))
-    return failed.select("document_id", "batch_id", "error_message", first_words(F.col("error_message")).alias("kind"))
+    """Documents that failed for good, by kind of error."""
+    return keyed.keyed_dead_letters(spark, target)
 
 
-def ingest(spark: SparkSession, source: str, schema: StructType | str, target: str, checkpoint: str, settings: IngestSettings | None = None, key: str = "document_id", text: str = "full_text", files_per_batch: int = 100, attributes: Sequence[str] = (), split: Callable[[str], list[str]] | None = None) -> None:
-    """Take up all files that arrived since the checkpoint, then stop."""
+def ingest(spark: SparkSession, source: str, schema: StructType | str, target: str, checkpoint: str, settings: IngestSettings | None = None, key: str = "document_id", text: str = "full_text", files_per_batch: int = 100, attributes: Sequence[str] = (), split: Callable[[str], list[str]] | None = None, **options) -> None:
+    """Take up all files that arrived since the checkpoint, then stop. ``options`` as in ``keyed.attempts_of``."""
     settings = settings or IngestSettings()
+    cut = split or partial(split_text, size=settings.chunk_size, overlap=settings.overlap)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    query = stream.writeStream.foreachBatch(lambda batch, n: ingest_batch(batch, n, target, settings, key, text, attributes, split)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    keyed.ingest_keyed(stream, target, checkpoint, key, text, keyed.by_split(cut), attributes=attributes, least_chars=settings.least_chars, **options)
 
 
 def windowed_counts(stream: DataFrame, time: str, by: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -38,13 +38,13 @@ def test_ingestion_resumes(spark, tmp_path):
     take()
     rows = {r.document_id: r for r in I.tracker(spark, target).collect()}
     assert rows["a"].success and rows["a"].chunks_count > 1 and not rows["b"].success and rows["b"].error_message == "no text"
-    n = spark.read.parquet(f"{target}/chunks").count()
+    n = I.chunks(spark, target).count()
     spark.createDataFrame([("a", "again"), ("b", "now with text"), ("c", "new")], schema).coalesce(1).write.mode("append").parquet(source)
     take()
     take()  # nothing new: nothing happens
     stats = I.tracker_stats(I.tracker(spark, target)).first()
     assert (stats.total, stats.successful, stats.failed) == (3, 3, 0)
-    assert spark.read.parquet(f"{target}/chunks").where("document_id = 'a'").count() == n
+    assert I.chunks(spark, target).where("document_id = 'a'").count() == n
     assert I.without_matching(I.tracker(spark, target), "B").count() == 2
 
 
