@@ -109,23 +109,23 @@ def _place(key: tuple) -> int:
 
 
 def _send(vertex):
-    (group, at), (n, digest) = vertex
-    return (group, at // FAN), (at % FAN, digest, n)
+    (group, at), (n, digest, leaves) = vertex
+    return (group, at // FAN), (at % FAN, digest, n, leaves)
 
 
 def _hear(heard):
     """A parent's run, once all its children have been heard."""
     (group, at), messages = heard
     messages = sorted(messages)
-    n = messages[0][2]
-    if [slot for slot, _, _ in messages] != list(range(min(FAN, n - FAN * at))):
+    _, _, n, leaves = messages[0]
+    if [message[0] for message in messages] != list(range(min(FAN, n - FAN * at))):
         raise ValueError(f"vertex {at} of {group!r} misses children")
-    return (group, at), (n, tuple(digest for _, digest, _ in messages))
+    return (group, at), (n, tuple(message[1] for message in messages), leaves)
 
 
 def _parent(heard):
-    key, (n, digests) = heard
-    return key, (-(-n // FAN), combined(digests))
+    key, (n, digests, leaves) = heard
+    return key, (-(-n // FAN), combined(digests), leaves)
 
 
 def _is_root(vertex) -> bool:
@@ -137,14 +137,16 @@ def _is_not_root(vertex) -> bool:
 
 
 def ascend(leaves: RDD, most: int, parts: int, folder: str) -> tuple[list[RDD], RDD]:
-    """Supersteps from ``((group, position), (group's size, digest))`` to the roots of trees of up to ``most`` leaves.
+    """Supersteps from ``((group, position), (vertices of the level, digest, leaves of the group))`` to the roots of
+    trees of up to ``most`` leaves.
 
-    Gives the runs heard by the parents of every level, from the lowest, and the roots (with the position 0).
+    Gives the runs heard by the parents of every level, from the lowest, and the roots, of one vertex a level.
     """
     runs, roots, active = [], [leaves.filter(_is_root)], leaves
     for level in range(1, height(most) + 1):
         path = f"{folder}/level-{level}"
-        active.filter(_is_not_root).map(_send).groupByKey(max(1, parts // FAN ** (level - 1)), _place).map(_hear).saveAsPickleFile(path)
+        size = max(1, parts // FAN ** (level - 1))
+        active.filter(_is_not_root).map(_send).groupByKey(size, _place).coalesce(size).map(_hear).saveAsPickleFile(path)
         runs.append(leaves.context.pickleFile(path))
         active = runs[-1].map(_parent)
         roots.append(active.filter(_is_root))
@@ -154,7 +156,7 @@ def ascend(leaves: RDD, most: int, parts: int, folder: str) -> tuple[list[RDD],
 def _pass_down(met):
     """Children of a vertex with their paths; the vertex's own path has come from above."""
     (group, at), (paths, heard) = met
-    runs = [digests for _, digests in heard]
+    runs = [digests for _, digests, _ in heard]
     for path in paths:
         for digests in runs:
             for slot in range(len(digests)):
@@ -170,8 +172,8 @@ def descend(runs: list[RDD], tops: RDD, parts: int, to: int) -> RDD:
 
     known = at_top(len(runs)) if len(runs) >= to else tops.filter(lambda _: False)
     for level in range(len(runs), to, -1):
-        met = known.cogroup(runs[level - 1], numPartitions=max(1, parts // FAN**level))
-        known = met.flatMap(_pass_down).union(at_top(level - 1))
+        size = max(1, parts // FAN**level)
+        known = known.cogroup(runs[level - 1], numPartitions=size).coalesce(size).flatMap(_pass_down).union(at_top(level - 1))
     return known
 
 
@@ -206,7 +208,7 @@ def manifest(docs: DataFrame, fields: Sequence[str] = ("doc_id", "source", "lang
     changed = [(tampered or {}).get(c, F.col(c)) for c in fields]
     leaves = docs.select(F.col(group).cast("string").alias("grp"), F.col(doc_id).alias("doc_id"), leaf_digest(columns).alias("leaf"), F.when(F.lit(False) if where is None else where, leaf_digest(changed)).alias("changed"))
     parts = parts_for(spark, docs.count() * ROW_BYTES)
-    rows = numbered(leaves, "grp", ["doc_id", "leaf"], "merkle-leaves", parts)
+    rows = materialize(numbered(leaves, "grp", ["doc_id", "leaf"], "merkle-leaves", parts), "merkle-numbered", parts=parts)
     most = rows.agg(F.max("_n")).first()[0]
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
@@ -214,21 +216,20 @@ def manifest(docs: DataFrame, fields: Sequence[str] = ("doc_id", "source", "lang
         return spark.createDataFrame([], schema)
     folder = f"{shared_dir(spark)}/merkle-runs-{uuid.uuid4().hex}"
     rows = rows.select("grp", "doc_id", "leaf", "changed", "_at", "_n").rdd.map(tuple)
-    runs, roots = ascend(rows.map(lambda r: ((r[0], r[4]), (r[5], bytes.fromhex(r[2])))), most, parts, f"{folder}/groups")
+    runs, roots = ascend(rows.map(lambda r: ((r[0], r[4]), (r[5], bytes.fromhex(r[2]), r[5]))), most, parts, f"{folder}/groups")
 
-    sized = rows.filter(lambda r: r[4] == 0).map(lambda r: (r[0], r[5]))
-    subroots = sized.join(roots.map(lambda v: (v[0][0], v[1][1])), numPartitions=parts)
-    subroots = spark.createDataFrame(subroots.map(lambda x: (x[0], x[1][0], x[1][1])), "grp string, size long, digest binary")
-    places = numbered(subroots, None, ["grp"], "merkle-subroots", max(1, parts // FAN))
-    places = places.rdd.map(tuple)  # group, size, digest, position, number of groups
+    fewer = max(1, parts // FAN)
+    subroots = spark.createDataFrame(roots.coalesce(fewer).map(lambda v: (v[0][0], v[1][2], v[1][1])), "grp string, size long, digest binary")
+    subroots = numbered(materialize(subroots, "merkle-subroots"), None, ["grp"], "merkle-groups", fewer)
+    places = materialize(subroots, "merkle-places", parts=fewer).rdd.map(tuple)  # group, size, digest, position, number of groups
     groups = places.first()[4]
-    top_runs, tops = ascend(places.map(lambda r: (("", r[3]), (r[4], bytes(r[2])))), groups, max(1, parts // FAN), f"{folder}/top")
-    root = tops.first()[1][1]
-    found = descend(top_runs, spark.sparkContext.parallelize([("", (groups, Path(root, None, ())))], 1), max(1, parts // FAN), 0)
-    known = places.map(lambda r: (("", r[3]), (r[0], r[1], bytes(r[2])))).join(found, numPartitions=max(1, parts // FAN))
+    top_runs, tops = ascend(places.map(lambda r: (("", r[3]), (r[4], bytes(r[2]), r[4]))), groups, fewer, f"{folder}/top")
+    ((_, (_, root, _)),) = tops.collect()  # one vertex
+    found = descend(top_runs, spark.sparkContext.parallelize([("", (groups, Path(root, None, ())))], 1), fewer, 0)
+    known = places.map(lambda r: (("", r[3]), (r[0], r[1], bytes(r[2])))).join(found, numPartitions=fewer).coalesce(fewer)
     known = known.map(lambda x: (x[1][0][0], (x[1][0][1], x[1][1]._replace(subroot=x[1][0][2]))))
 
     paths = descend(runs, known, parts, 1).map(lambda x: ((*x[0], 1), x[1]))
     lone = known.filter(lambda x: x[1][0] == 1).map(lambda x: ((x[0], 0, 0), x[1][1]))
-    met = rows.map(_meeting).cogroup(paths.union(lone), numPartitions=parts)
+    met = rows.map(_meeting).cogroup(paths.union(lone), numPartitions=parts).coalesce(parts)
     return spark.createDataFrame(met.flatMap(_verify), schema, verifySchema=False)

@@ -87,7 +87,7 @@ def test_no_rows(nothing):
 
 def test_missing_children_are_an_error():
     with pytest.raises(ValueError):
-        M._hear((("a", 0), [(0, b"x", 3), (2, b"y", 3)]))
+        M._hear((("a", 0), [(0, b"x", 3, 3), (2, b"y", 3, 3)]))
 
 
 def test_height():
