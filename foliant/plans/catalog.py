@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import analysis_queries, io_queries, join_queries, markup_queries, profile_queries, record_queries, table_queries
+from foliant.plans import analysis_queries, io_queries, join_queries, markup_queries, profile_queries, record_queries, store_queries, table_queries
 
 FLAGSHIP = "docs_topn_source_share"
-_MODULES = (profile_queries, join_queries, analysis_queries, markup_queries, record_queries, io_queries, table_queries)
+_MODULES = (profile_queries, join_queries, analysis_queries, markup_queries, record_queries, io_queries, table_queries, store_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
