@@ -88,18 +88,6 @@ def table_chunks(spark, sf_dir):
     return counts.join(whole.agg(F.count_distinct("p_partkey").alias("n_distinct")), F.lit(True))
 
 
-@query("SELECT i AS id, 'order ' || i AS name, i * 1.5::DOUBLE AS price, 'all' AS run FROM range(1000) r(i) UNION ALL SELECT i, 'order ' || i, i * 1.5::DOUBLE, 'since' FROM range(900, 1000) r(i)")
-def paged_service(spark, sf_dir):
-    """A service read page by page, wholly and since a last update."""
-
-    def page(since: str | None, offset: int, limit: int) -> list[tuple]:
-        return [(i, f"order {i}", i * 1.5) for i in range(int(since or 0), 1000)][offset : offset + limit]
-
-    schema, total = "id long, name string, price double", lambda since: 1000 - int(since or 0)
-    whole, new = files.paged(spark, "orders_all", schema, total, page, 64), files.paged(spark, "orders_new", schema, total, page, 64, "900")
-    return whole.withColumn("run", F.lit("all")).unionByName(new.withColumn("run", F.lit("since")))
-
-
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-06-01' ORDER BY o_orderdate")
 def incremental_rows(spark, sf_dir):
     return files.incremental(table(spark, sf_dir, "orders"), "o_orderdate", "1997-06-01").select("o_orderkey")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import pyarrow as pa
+from foliant.functions.ids import sha_uuid
 from foliant.merge_table import MergeTable
 from foliant.plans.registering import registrar, scratch
-from foliant.sources import table
+from foliant.sources import scraping, services, table
+from foliant.store_writer import FolderStore, write_objects
 
 QUERIES, query = registrar()
 
@@ -48,3 +51,84 @@ def client_states(spark, sf_dir):
             raise ValueError(f"generation {last} was written twice")
         store.compact(1)
     return store.read()
+
+
+# services
+
+
+class _Hesitant(services.ServedTable):
+    """A service whose every page fails when it is first asked for."""
+
+    def page(self, after, last_key, until, limit, columns, attempt=1):
+        if attempt == 1:
+            raise TimeoutError("ask again")
+        return super().page(after, last_key, until, limit, columns, attempt)
+
+
+@query("""SELECT o_orderkey AS id, o_totalprice AS price, 'first' AS version FROM orders
+  UNION ALL SELECT o_orderkey, o_totalprice * 2, 'update' FROM orders WHERE o_orderkey % 3 = 0""")
+def paged_service(spark, sf_dir):
+    """Orders pulled by time of update from a service that lists them by pages: all of them, then those that were updated since."""
+    path = scratch(spark, "service")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.lit("first").alias("version"), F.col("o_orderdate").cast("timestamp_ntz").alias("updated"))
+    late = F.lit("2030-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=F.pmod(F.col("id"), F.lit(1000)).cast("int"))
+    updates = orders.where("id % 3 = 0").select("id", (F.col("price") * 2).alias("price"), F.lit("update").alias("version"), late.alias("updated"))
+    states = (orders, orders.where("id % 3 <> 0").unionByName(updates), None)
+    for at, state in enumerate(states):  # the third run finds nothing new
+        if state is not None:
+            state.repartitionByRange(8, "updated").sortWithinPartitions("updated", "id").write.mode("overwrite").parquet(f"{path}/served")
+        stream = services.pull(spark, f"orders_{at}_{path[-32:]}", _Hesitant(f"{path}/served", "updated", "id"), "id long, price double, version string, updated timestamp_ntz", size=5000, wait=0.0)
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/out").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("id", "price", "version")
+
+
+class _OddSite(scraping.ServedSite):
+    """Some pages fail once, some always, some until the second round; some days report too few documents at first."""
+
+    def reported(self, day, attempt, round_):
+        n = super().reported(day, attempt, round_)
+        return max(1, n - 3) if day.endswith("7") and round_ == 0 else n
+
+    def listed(self, day, page, attempt, round_):
+        if day.endswith("1") and attempt == 1:
+            raise TimeoutError("slow")
+        if day.endswith("4") and page == 0 or day.endswith("8") and round_ == 0:
+            raise OSError("page is dead")
+        return super().listed(day, page, attempt, round_)
+
+
+@query("""WITH d AS (SELECT 'day' || (page_id % 20) AS day, count(*) AS n FROM pages GROUP BY 1)
+SELECT day, n AS n_reported, CASE WHEN day LIKE '%4' THEN n - least(n, 10) ELSE n END AS n_listed, CASE WHEN day LIKE '%4' THEN 1 ELSE 0 END AS n_dead, day NOT LIKE '%4' AS settled FROM d""")
+def scraped_site(spark, sf_dir):
+    """Pages of a site by day: planned from what it reports, fetched with patience, planned again where that does not agree."""
+    path = scratch(spark, "site")
+    listed = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("day"), F.pmod(F.col("page_id"), F.lit(20))).alias("day"))
+    listed.repartitionByRange(4, "day").sortWithinPartitions("day").write.parquet(path)
+    _, days = scraping.scrape(listed.select("day").distinct(), _OddSite(services.ServedTable(path, "day", "page_id")), scraping.Patience(10, 2, 0.0))
+    return days.select("day", "n_reported", "n_listed", F.col("n_dead").cast("int").alias("n_dead"), "settled")
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE event_id >= 2000 AND event_id < 5000 AND event_type IN ('click', 'view') AND user_id % 2 = 0 GROUP BY 1")
+def pushed_filters(spark, sf_dir):
+    """Events from a Python source that takes the filters it can: files and row groups that cannot match stay closed."""
+    path = scratch(spark, "pushed")
+    table(spark, sf_dir, "events").repartitionByRange(8, "event_id").sortWithinPartitions("event_id").write.parquet(path)
+    rows = services.filtered(spark, f"events_{path[-32:]}", services.ServedTable(path, "ts", "event_id"), "event_id long, user_id long, event_type string, value double", "event_id >= 2000 and event_id < 5000 and event_type in ('click', 'view') and user_id % 2 = 0")
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+def _without_text(batch: pa.RecordBatch) -> list[str | None]:
+    return [None if n else "no text" for n in batch.column("n_chars").to_pylist()]
+
+
+@query("""SELECT doc_id, lang, n_chars, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS version, NULL AS error FROM documents WHERE coalesce(n_chars, 0) > 0
+  UNION ALL SELECT doc_id, NULL, NULL, NULL, 'no text' FROM documents WHERE coalesce(n_chars, 0) = 0""")
+def written_objects(spark, sf_dir):
+    """Objects written to a store in two phases, some of them again, and what the store refused."""
+    store = FolderStore(scratch(spark, "objects"))
+    docs = table(spark, sf_dir, "documents").select(sha_uuid(F.col("doc_id")).alias("id"), "doc_id", "lang", "n_chars", F.lit(1).alias("version"))
+    write_objects(docs, store, refuse=_without_text)
+    write_objects(docs.where("doc_id % 2 = 0 and n_chars > 0").withColumn("version", F.lit(2)), store, refuse=_without_text)
+    good = store.read(spark, "id string, doc_id long, lang string, n_chars long, version int").select("doc_id", "lang", "n_chars", "version", F.lit(None).cast("string").alias("error"))
+    refused = store.refused(spark).join(docs, "id").select("doc_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("long").alias("n_chars"), F.lit(None).cast("int").alias("version"), "error")
+    return good.unionByName(refused)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from foliant.operators.parsing import with_links
@@ -109,35 +108,6 @@ def with_fetched(items: DataFrame, fetched: DataFrame, key: str) -> DataFrame:
     return items.join(F.broadcast(fetched) if small else fetched, key, "left")
 
 
-def paged(spark: SparkSession, name: str, schema: str, total: Callable[[str | None], int], page: Callable[[str | None, int, int], Sequence[tuple]], size: int = 100, since: str | None = None) -> DataFrame:
-    """All records of a service that lists them by pages, updated since a time: a task reads one page.
-
-    ``total(since)`` tells their number when the source is planned, and ``page(since, offset, limit)`` gives
-    tuples of the schema on the executors, oldest first.
-    """
-
-    class Reader(DataSourceReader):
-        def partitions(self) -> list[InputPartition]:
-            return [InputPartition(at) for at in range(0, max(1, total(since)), size)]
-
-        def read(self, partition: InputPartition) -> Iterator[tuple]:
-            return iter(page(since, partition.value, size))
-
-    class Source(DataSource):
-        @classmethod
-        def name(cls) -> str:
-            return name
-
-        def schema(self) -> str:
-            return schema
-
-        def reader(self, schema: StructType) -> DataSourceReader:
-            return Reader()
-
-    spark.dataSource.register(Source)
-    return spark.read.format(name).load()
-
-
 def result_pages(pages: DataFrame, day: str, html: str, pattern: str = r"/doc/[A-Za-z0-9]+") -> tuple[DataFrame, DataFrame]:
     """Of fetched result pages of a search: ``day, ids`` by page, and ``day, n_reported`` as the pages tell it.
 
