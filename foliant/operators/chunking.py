@@ -2,70 +2,95 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
-from itertools import accumulate, groupby
+from itertools import groupby, islice
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeResult
 
 from foliant.functions import text as T
-from foliant.shipping import ship
+from foliant.shipping import ship, ship_to_driver
 
 SEPARATORS = ("\n\n", "\n", " ", "")
 
 
-def _pieces(text: str, separator: str) -> list[str]:
+def _pieces(text: str, separator: str) -> Iterator[str]:
     """Parts of a text, each but the first beginning with the separator."""
     if not separator:
-        return list(text)
-    first, *rest = text.split(separator)
-    return [p for p in [first, *(separator + r for r in rest)] if p]
-
-
-def _joined(pieces: list[str], size: int, overlap: int) -> list[str]:
-    """Neighbouring pieces together as far as ``size`` allows, chunks sharing up to ``overlap``."""
-    ends = list(accumulate(map(len, pieces), initial=0))  # where each piece begins, and the whole end
-    chunks, first = [], 0
-    for at in range(1, len(pieces)):
-        if ends[at + 1] - ends[first] > size:
-            chunks.append("".join(pieces[first:at]))
+        yield from text
+        return
+    begin, end = 0, text.find(separator)
+    while end >= 0:
+        if end > begin:
+            yield text[begin:end]
+        begin, end = end, text.find(separator, end + len(separator))
+    if begin < len(text):
+        yield text[begin:]
+
+
+def _joined(pieces: Iterator[str], size: int, overlap: int) -> Iterator[str]:
+    """Neighbouring pieces together as far as ``size`` allows, chunks sharing up to ``overlap``; only a chunk's pieces are held."""
+    held: deque[str] = deque()
+    length = 0
+    for piece in pieces:
+        if held and length + len(piece) > size:
+            yield "".join(held)
             # the next chunk begins with the earliest piece that keeps both bounds
-            first = bisect_left(ends, max(ends[at] - overlap, ends[at + 1] - size), first, at)
-    chunks.append("".join(pieces[first:]))
-    return [c for c in (chunk.strip() for chunk in chunks) if c]
+            while held and (length > overlap or length + len(piece) > size):
+                length -= len(held.popleft())
+        held.append(piece)
+        length += len(piece)
+    yield "".join(held)
 
 
-def split_text(text: str, size: int, overlap: int = 0, separators: Sequence[str] = SEPARATORS) -> list[str]:
-    """Stripped chunks of at most ``size`` characters, cut at the coarsest separator that serves."""
+def text_chunks(text: str, size: int, overlap: int = 0, separators: Sequence[str] = SEPARATORS) -> Iterator[str]:
+    """Stripped chunks of at most ``size`` characters, cut at the coarsest separator that serves, as they come."""
     at = next((i for i, s in enumerate(separators) if not s or s in text), len(separators) - 1)
     finer = separators[at + 1 :]
-    chunks: list[str] = []
     for short, run in groupby(_pieces(text, separators[at]), key=lambda piece: len(piece) < size):
         if short:
-            chunks += _joined(list(run), size, overlap)
+            yield from (c for c in (chunk.strip() for chunk in _joined(run, size, overlap)) if c)
         else:
-            chunks += [c for piece in run for c in (split_text(piece, size, overlap, finer) if finer else [piece])]
-    return chunks
+            for piece in run:
+                yield from text_chunks(piece, size, overlap, finer) if finer else [piece]
+
+
+def split_text(text: str, size: int, overlap: int = 0, separators: Sequence[str] = SEPARATORS) -> list[str]:
+    """All chunks of a text."""
+    return list(text_chunks(text, size, overlap, separators))
+
+
+class Chunks:
+    """Table function: the chunks of a text, a row each, given on as they are cut."""
+
+    @staticmethod
+    def analyze(text, size, overlap, least_chars, most) -> AnalyzeResult:
+        if overlap.value is not None and size.value is not None and overlap.value >= size.value:
+            raise ValueError("the overlap must be smaller than the size")
+        return AnalyzeResult(StructType([StructField("chunk_id", IntegerType()), StructField("chunk_len", IntegerType()), StructField("chunk_text", StringType())]))
+
+    def eval(self, text, size, overlap, least_chars, most):
+        if text:
+            long_enough = (c for c in text_chunks(text, size, overlap) if len(c) >= least_chars)
+            for i, chunk in enumerate(islice(long_enough, most or None)):
+                yield i, len(chunk), chunk
 
 
 def chunk_documents(docs: DataFrame, size: int, overlap: int = 0, least_chars: int = 0, first_chunks: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, chunk_id, chunk_len, chunk_text``; ids are given after short chunks are dropped."""
+    """``key, chunk_id, chunk_len, chunk_text``; ids are given after short chunks are dropped.
+
+    A lateral join with ``Chunks``: no row holds all chunks of a document.
+    """
     if overlap >= size:
         raise ValueError("the overlap must be smaller than the size")
-    ship(docs.sparkSession)
-
-    @F.pandas_udf("array<string>")
-    def chunks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            yield part.map(lambda t: [c for c in split_text(t, size, overlap) if len(c) >= least_chars] if t else [])
-
-    listed = chunks(F.col(text))
-    if first_chunks:
-        listed = F.slice(listed, 1, first_chunks)
-    rows = docs.select(F.col(key), F.posexplode(listed).alias("chunk_id", "chunk_text"))
-    return rows.select(key, "chunk_id", F.length("chunk_text").alias("chunk_len"), "chunk_text")
+    ship_to_driver(docs.sparkSession)
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    chunks = F.udtf(Chunks)(F.col("_text").outer(), F.lit(size), F.lit(overlap), F.lit(least_chars), F.lit(first_chunks or 0))
+    return rows.lateralJoin(chunks).select(F.col("_key").alias(key), "chunk_id", "chunk_len", "chunk_text")
 
 
 def fixed_chunks(docs: DataFrame, size: int, overlap: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:

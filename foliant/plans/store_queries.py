@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import pyarrow as pa
 from foliant.functions.ids import sha_uuid
 from foliant.merge_table import MergeTable
+from foliant.operators import quantised as Q
 from foliant.plans.registering import registrar, scratch
 from foliant.sources import scraping, services, table
 from foliant.store_writer import FolderStore, write_objects
@@ -132,3 +133,13 @@ def written_objects(spark, sf_dir):
     good = store.read(spark, "id string, doc_id long, lang string, n_chars long, version int").select("doc_id", "lang", "n_chars", "version", F.lit(None).cast("string").alias("error"))
     refused = store.refused(spark).join(docs, "id").select("doc_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("long").alias("n_chars"), F.lit(None).cast("int").alias("version"), "error")
     return good.unionByName(refused)
+
+
+# vectors
+
+
+@query(None)
+def quantised_search(spark, sf_dir):
+    """The ten nearest by cosine of every vector whose id 20 divides, from codes of an eighth of the bytes, candidates compared exactly."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return Q.search(Q.build_index(vectors), vectors, vectors.where("vec_id % 20 = 0"), 10).select(F.col("query").alias("query_id"), "rank", F.col("key").alias("vec_id"), "distance")

@@ -246,3 +246,25 @@ def test_chunks_of_whole_long_documents(spark, tmp_path):
     assert [tuple(r) for r in found] == wanted and max(i for _, i, *_ in wanted) > 100
     first = C.chunk_documents(spark.read.parquet(f"{tmp_path}/documents.parquet"), 512, 128, least_chars=50, first_chunks=16)
     assert [tuple(r) for r in first.orderBy("doc_id", "chunk_id").collect()] == [w for w in wanted if w[1] < 16]
+
+
+def test_chunks_of_every_document_as_they_come(spark):
+    """The lateral join against the splitter itself, over whole documents, and a long one in little memory."""
+    import tracemalloc
+
+    from foliant.operators import chunking as C
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = {}
+    for r in C.chunk_documents(docs, 512, 128, 50).orderBy("doc_id", "chunk_id").collect():
+        assert r.chunk_len == len(r.chunk_text) and r.chunk_id == len(found.setdefault(r.doc_id, []))
+        found[r.doc_id].append(r.chunk_text)
+    wanted = {r.doc_id: [c for c in C.split_text(r.text, 512, 128) if len(c) >= 50] for r in docs.collect() if r.text}
+    assert found == {i: c for i, c in wanted.items() if c}
+    few = C.chunk_documents(docs, 512, 128, 50, first_chunks=2).groupBy("doc_id").count().collect()
+    assert {r.doc_id: r["count"] for r in few} == {i: min(2, len(c)) for i, c in wanted.items() if c}
+    text = "word " * 1_000_000
+    tracemalloc.start()
+    n = sum(1 for _ in C.text_chunks(text, 512, 128))
+    assert n > 10_000 and tracemalloc.get_traced_memory()[1] < 1 << 20
+    tracemalloc.stop()
