@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import pyarrow as pa
 from foliant.functions.ids import sha_uuid
 from foliant.merge_table import MergeTable
-from foliant.operators import quantised as Q
+from foliant.operators import adjacency as A, graph as G, quantised as Q
 from foliant.plans.registering import registrar, scratch
 from foliant.sources import scraping, services, table
 from foliant.store_writer import FolderStore, write_objects
@@ -143,3 +143,17 @@ def quantised_search(spark, sf_dir):
     """The ten nearest by cosine of every vector whose id 20 divides, from codes of an eighth of the bytes, candidates compared exactly."""
     vectors = table(spark, sf_dir, "embeddings")
     return Q.search(Q.build_index(vectors), vectors, vectors.where("vec_id % 20 = 0"), 10).select(F.col("query").alias("query_id"), "rank", F.col("key").alias("vec_id"), "distance")
+
+
+# tensors
+
+
+@query("""WITH e AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), l AS (SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey) - 1 AS i FROM (SELECT DISTINCT l_orderkey FROM e) a),
+  r AS (SELECT l_partkey, row_number() OVER (ORDER BY l_partkey) - 1 AS i FROM (SELECT DISTINCT l_partkey FROM e) b)
+  SELECT l.i AS source, r.i AS target FROM e JOIN l ON l.l_orderkey = e.l_orderkey JOIN r ON r.l_partkey = e.l_partkey""")
+def adjacency_round_trip(spark, sf_dir):
+    """The whole graph of orders and parts as compressed adjacency by ranges, and its edges read back from it."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("judgment"), F.col("l_partkey").cast("long").alias("base")).distinct()
+    edges = G.edge_index(lines, "judgment", "base")[0]
+    n = edges.agg(F.max(F.greatest("left_index", "right_index"))).first()[0] + 1
+    return A.edges_of(A.compressed(edges, n, "left_index", "right_index", nodes=4096, most=10_000))
