@@ -146,7 +146,30 @@ def modularity(edges: DataFrame, communities: DataFrame, left: str, right: str,
     return inner.join(F.broadcast(spread), F.lit(True)).select((F.col("inner") / F.col("m") - resolution * F.col("s") / (4.0 * F.col("m") * F.col("m"))).alias("modularity"))
 
 
-def louvain(edges: DataFrame, left: str, right: str, resolution: float = 1.0, most_levels: int = 5, most_rounds: int = 10) -> DataFrame:
+def connected_parts(edges: DataFrame, communities: DataFrame, left: str, right: str) -> DataFrame:
+    """Communities (``node, label``) cut into their connected parts, each named by its smallest node.
+
+    A part keeps all edges that its nodes have inside the community, so modularity only grows.
+    """
+    a, b = (communities.select(F.col("node").alias(n), F.col("label").alias(f"l_{n}")) for n in ("a", "b"))
+    ends = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a <> b")
+    inside = ends.join(a, "a").join(b, "b").where("l_a = l_b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    parts = connected_components(inside)
+    return communities.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("label"))
+
+
+def community_sizes(communities: DataFrame) -> DataFrame:
+    """``size, n``: how many communities have how many nodes."""
+    return communities.groupBy("label").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
+
+
+def leiden(edges: DataFrame, left: str, right: str, resolution: float = 1.0, most_levels: int = 5, most_rounds: int = 10) -> DataFrame:
+    """``node, label``: as ``louvain``, with communities cut into their connected parts before they become nodes of the
+    next level, so every community is connected."""
+    return louvain(edges, left, right, resolution, most_levels, most_rounds, refined=True)
+
+
+def louvain(edges: DataFrame, left: str, right: str, resolution: float = 1.0, most_levels: int = 5, most_rounds: int = 10, refined: bool = False) -> DataFrame:
     """``node, label``: communities by greedy gains of modularity, level by level.
 
     In a round every node looks at the communities of its neighbours, and those whose round it is (half of
@@ -183,6 +206,8 @@ def louvain(edges: DataFrame, left: str, right: str, resolution: float = 1.0, mo
             labels = new.select("node", "label")
             if idle == 2:
                 break
+        if refined:
+            labels = materialize(connected_parts(weighted, labels, "u", "v"), "louvain-parts", parts=parts)
         whole = labels if whole is None else whole.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label").select("node", F.col("next").alias("label"))
         whole = materialize(whole, "louvain-communities", parts=parts)
         if not labels.where("node <> label").limit(1).count():

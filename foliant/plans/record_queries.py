@@ -232,11 +232,18 @@ def json_or_list(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", J.json_or_array(F.col("props")).alias("props"), J.json_or_array(F.col("event_type")).alias("wrapped"))
 
 
-@query("SELECT unnest(['amount', 'kind', 'when']) AS field, unnest(['int', 'enum', 'date']) AS type, unnest([NULL, 'a|b', NULL]) AS choices, unnest(['how much', NULL, 'day']) AS description")
+@query("""SELECT lower(replace(r_name, ' ', '_')) AS field, 'enum' AS type, string_agg(n_name, '|' ORDER BY n_name) AS choices, 'region ' || r_regionkey AS description FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name, r_regionkey
+  UNION ALL SELECT lower(replace(r_name, ' ', '_')) || '_since', 'date', NULL, 'day of ' || r_name FROM region""")
 def schema_of_lines(spark, sf_dir):
-    """An extraction schema read from its lines, and written again."""
-    schema = V.schema_from_text("amount: int - how much\nkind: enum [a, b]\nwhen: date - day (example: 2024-01-01)")
-    again = V.schema_from_text(V.schema_lines({"amount": "int - how much", "kind": "enum [a, b]", "when": "date - day (example: 2024-01-01)"}))
+    """An extraction schema read from the lines that tables give (a field a region, of its nations' names), and written again."""
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    name = F.lower(F.replace("r_name", F.lit(" "), F.lit("_")))
+    named = nation.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_join(F.array_sort(F.collect_list("n_name")), ", ").alias("names")).join(region, "r_regionkey")
+    first = named.select(F.concat(name, F.lit(": enum ["), "names", F.lit("] - region "), F.col("r_regionkey").cast("string")).alias("line"))
+    second = region.select(F.concat(name, F.lit("_since: date - day of "), "r_name", F.lit(" (example: 2024-01-01)")).alias("line"))
+    lines = [r.line for r in first.unionByName(second).collect()]  # two lines a region
+    schema = V.schema_from_text("\n".join(lines))
+    again = V.schema_from_text(V.schema_lines({n: t for n, t in (line.split(": ", 1) for line in lines)}))
     if schema != again:
         raise ValueError("lines and schema differ")
     rows = [(n, f["type"], "|".join(f["choices"]) if "choices" in f else None, f.get("description")) for n, f in schema.items()]
@@ -363,12 +370,15 @@ def dates_with_fallbacks(spark, sf_dir):
     return o.select("o_orderkey", D.or_fallback(text).alias("fallback"), D.reformatted(text).alias("reformatted"), D.leading_date(mixed).alias("day"), F.date_format(D.local_midnight(F.date_format("o_orderdate", "yyyy-MM-dd")), "yyyy-MM-dd HH:mm").alias("local"))
 
 
-@query("SELECT count(*) AS n, (max(d) - min(d))::BIGINT AS span FROM (SELECT unnest(generate_series(current_date - 14, current_date, INTERVAL 1 DAY))::DATE AS d) t")
+@query("""WITH m AS (SELECT max(ts)::DATE AS last FROM events), d AS (SELECT unnest(generate_series(last - 14, last, INTERVAL 1 DAY))::DATE AS day FROM m)
+  SELECT strftime(day, '%Y-%m-%d') AS day, count(event_id) AS n FROM d LEFT JOIN events ON ts::DATE = day GROUP BY 1""")
 def days_of_a_window(spark, sf_dir):
-    """All days of the last two weeks."""
-    today = D.end_of_window(0)
-    days = spark.range(1).select(F.explode(D.days_between(D.end_of_window(14), today)).alias("d"))
-    return days.agg(F.count("*").alias("n"), F.date_diff(F.max("d"), F.min("d")).cast("long").alias("span"))
+    """All days of the last two weeks that the events reach, with how many each has."""
+    events = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"))
+    last = events.agg(F.max("day").alias("last"))
+    days = last.select(F.explode(D.days_between(F.date_sub("last", 14), F.col("last"))).alias("day"))
+    counts = events.groupBy("day").agg(F.count("*").alias("n"))
+    return days.join(counts, "day", "left").select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("SELECT o_orderkey, (o_orderkey % 3 <> 1)::INT::DOUBLE AS score FROM orders")

@@ -93,12 +93,16 @@ def rows_by_prediction(spark, sf_dir):
 def benchmark_passages(spark, sf_dir):
     """Documents that hold a whole benchmark passage, word by word, and its share of them.
 
-    Documents and passages meet by the passages' first eight words, which every document is probed with.
+    Documents and passages meet by the passages' first eight words, or all of a shorter one's; a document is probed
+    with as many words as there are passages of.
     """
-    head = lambda words: F.xxhash64(F.array_join(F.slice(words, 1, 8), " "))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), head(F.split("text", " ")).alias("h"))
+    head = lambda words, n: F.xxhash64(n, F.array_join(F.slice(words, 1, n), " "))
+    first = F.least(F.size(F.split("text", " ")), F.lit(8))
+    items = table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", F.col("text").alias("item"), first.alias("n"), head(F.split("text", " "), first).alias("h"))
+    widths = sorted(r.n for r in items.select("n").distinct().collect())  # at most eight
     docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", F.split("text", r"\s+").alias("w"))
-    probes = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 7, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, 8), " "))))).alias("h"))
+    runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice(F.col("w"), i, n), " ")))).otherwise(F.array().cast("array<long>"))
+    probes = docs.select("doc_id", F.explode(F.array_distinct(F.concat(*[runs(n) for n in widths] or [F.array().cast("array<long>")]))).alias("h"))
     found = probes.join(items.select("item_id", "item", "h"), "h").select("doc_id", "item_id", "item").distinct()
     spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     both = found.join(docs.select("doc_id", "text"), "doc_id").where(F.contains(spaced(F.regexp_replace("text", r"\s+", " ")), spaced(F.col("item"))))
@@ -392,11 +396,12 @@ def components_of_chains(spark, sf_dir):
     return G.connected_components(edges).join(F.broadcast(last), F.expr("floor(node / 10) * 10 + 9 <= m")).select("node", "component")
 
 
-@query("SELECT event_id % 7 * 1000 AS u, event_id % 7 AS v FROM events WHERE event_id < 7 AND event_id % 7 = 0 UNION SELECT 100, 1 UNION SELECT 100, 2 UNION SELECT 200, 2")
+@query("SELECT DISTINCT l_orderkey + 1000000000 AS u, l_partkey AS v FROM lineitem WHERE l_orderkey % 50 <> 0")
 def giant_part(spark, sf_dir):
-    """Edges of the largest component."""
-    edges = spark.createDataFrame([(100, 1), (100, 2), (200, 2), (300, 5), (0, 0)], "u long, v long")
-    return G.giant_component(edges, "u", "v").unionByName(edges.where("u = 0"))
+    """Edges of the largest component: some orders are cut off from all others, with parts of their own."""
+    lines = table(spark, sf_dir, "lineitem")
+    part = F.when(F.col("l_orderkey") % 50 == 0, -1 - F.col("l_orderkey")).otherwise(F.col("l_partkey"))
+    return G.giant_component(lines.select((F.col("l_orderkey") + 1_000_000_000).alias("u"), part.alias("v")).distinct(), "u", "v")
 
 
 @query(f"""WITH e AS ({_CITES}), l AS (SELECT judgment, row_number() OVER (ORDER BY judgment) - 1 AS i FROM (SELECT DISTINCT judgment FROM e) a), r AS (SELECT base, row_number() OVER (ORDER BY base) - 1 AS i FROM (SELECT DISTINCT base FROM e) b)

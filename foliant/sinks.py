@@ -140,17 +140,25 @@ def chunk_objects(chunks: DataFrame, key: str = "document_id") -> DataFrame:
     })
 
 
+def _small(df: DataFrame, most: int) -> list:
+    """All rows of a result that is meant to be small; more than ``most`` are an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows; write them to files")
+    return rows
+
+
 def markdown_table(df: DataFrame, most: int = 1000) -> str:
-    """A small result as a Markdown table."""
-    rows = df.limit(most).collect()
+    """A small result as a Markdown table; more than ``most`` rows are an error."""
+    rows = _small(df, most)
     line = lambda values: "| " + " | ".join("" if v is None else str(v) for v in values) + " |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *[line(r) for r in rows]])
 
 
 def latex_table(df: DataFrame, most: int = 1000) -> str:
-    """A small result as a LaTeX table."""
+    """A small result as a LaTeX table; more than ``most`` rows are an error."""
     marks = {c: f"\\{c}" for c in "&%$#_{}"} | {"\\": r"\textbackslash{}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
     cell = lambda v: "" if v is None else "".join(marks.get(c, c) for c in str(v))
     line = lambda values: " & ".join(cell(v) for v in values) + r" \\"
-    rows = df.limit(most).collect()
+    rows = _small(df, most)
     return "\n".join([rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", r"\toprule", line(df.columns), r"\midrule", *[line(r) for r in rows], r"\bottomrule", r"\end{tabular}"])

@@ -268,3 +268,36 @@ def test_chunks_of_every_document_as_they_come(spark):
     n = sum(1 for _ in C.text_chunks(text, 512, 128))
     assert n > 10_000 and tracemalloc.get_traced_memory()[1] < 1 << 20
     tracemalloc.stop()
+
+
+def test_refined_communities_are_connected(spark):
+    """On the whole graph of orders and parts: every community connected, modularity not below that of unrefined ones."""
+    from foliant.operators import graph as G
+
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    edges = lines.select((F.col("l_orderkey") + 1_000_000).alias("u"), F.col("l_partkey").alias("v")).distinct().cache()
+    plain, refined = G.louvain(edges, "u", "v", 3.0, most_levels=1, most_rounds=3), G.leiden(edges, "u", "v", 3.0, most_levels=1, most_rounds=3)
+    assert refined.count() == plain.count() == edges.select("u").distinct().count() + edges.select("v").distinct().count()
+    parts = G.connected_parts(edges, refined, "u", "v")
+    assert parts.select("label").distinct().count() == refined.select("label").distinct().count()
+    score = lambda c: G.modularity(edges, c, "u", "v", 3.0).first()[0]
+    assert score(G.connected_parts(edges, plain, "u", "v")) >= score(plain) - 1e-12 and score(refined) > 0
+    apart = spark.createDataFrame([(1, 2), (3, 4), (5, 6)], "u long, v long")
+    one = spark.createDataFrame([(n, 0) for n in range(1, 8)], "node long, label long")
+    assert {(r.node, r.label) for r in G.connected_parts(apart, one, "u", "v").collect()} == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5), (7, 7)}
+
+
+def test_window_ends_today(spark):
+    from foliant.functions import dates as D
+
+    row = spark.range(1).select(F.date_diff(D.end_of_window(0), D.end_of_window(14)).alias("n"), F.abs(F.date_diff(D.end_of_window(0), F.current_date())).alias("off")).first()
+    assert row.n == 14 and row.off <= 1
+
+
+def test_small_tables_are_never_cut(spark):
+    from foliant import sinks
+
+    for write in (sinks.markdown_table, sinks.latex_table):
+        assert write(spark.range(3), most=3)
+        with pytest.raises(ValueError):
+            write(spark.range(4), most=3)
