@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 #: Rows of a lookup table up to which it is sent to all executors.
 BROADCAST_ROWS = 500_000
@@ -120,6 +120,24 @@ def sizes_of(steps: Mapping[str, DataFrame]) -> DataFrame:
     return counted.select("step", "n", (F.col("n") - before).alias("change")) if names else counted
 
 
+def stepped(df: DataFrame, steps: Mapping[str, Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame, Callable[[], list[tuple[str, int, int | None]]]]:
+    """A table after some steps, and a function that tells ``step, n, change`` of each once the result has been written.
+
+    Rows are counted as they pass, in the job that makes the result: no step is run again to be counted.
+    """
+    seen: list[tuple[str, Observation]] = []
+    for name, step in steps.items():
+        watch = Observation(name)
+        df = step(df).observe(watch, F.count(F.lit(1)).alias("n"))
+        seen.append((name, watch))
+
+    def told() -> list[tuple[str, int, int | None]]:
+        sizes = [(name, watch.get["n"]) for name, watch in seen]
+        return [(name, n, n - sizes[at - 1][1] if at else None) for at, (name, n) in enumerate(sizes)]
+
+    return df, told
+
+
 def ordered_values(df: DataFrame, key: str, order: str, value: str, out: str = "values") -> DataFrame:
     """Values of each key as a list in ``order``."""
     return df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias(out))

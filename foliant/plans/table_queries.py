@@ -146,10 +146,11 @@ def shuffled_rows(spark, sf_dir):
 @query("""WITH a AS (SELECT count(*) AS n FROM documents), b AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL), c AS (SELECT count(DISTINCT text) AS n FROM documents)
   SELECT 'all' AS step, a.n, NULL::BIGINT AS change FROM a UNION ALL SELECT 'with text', b.n, b.n - a.n FROM a, b UNION ALL SELECT 'different', c.n, c.n - b.n FROM b, c""")
 def sizes_of_steps(spark, sf_dir):
-    """How many rows each step leaves."""
-    docs = table(spark, sf_dir, "documents")
-    some = docs.where("text is not null")
-    return R.sizes_of({"all": docs, "with text": some, "different": some.select(F.sha2("text", 256)).distinct()})
+    """How many rows each step leaves, counted while the last one's result is written."""
+    steps = {"all": lambda df: df, "with text": lambda df: df.where("text is not null"), "different": lambda df: df.select(F.sha2("text", 256).alias("digest")).distinct()}
+    result, told = R.stepped(table(spark, sf_dir, "documents").select("text"), steps)
+    result.write.parquet(scratch(spark, "steps"))
+    return spark.createDataFrame(told(), "step string, n long, change long")
 
 
 @query("SELECT o_custkey, arg_max(o_orderstatus, struct_pack(a := o_orderdate, b := o_orderstatus)) AS status, max(o_orderdate) > TIMESTAMP '1998-08-01' - INTERVAL 90 DAY AS recent FROM orders GROUP BY 1")

@@ -301,3 +301,11 @@ def test_small_tables_are_never_cut(spark):
         assert write(spark.range(3), most=3)
         with pytest.raises(ValueError):
             write(spark.range(4), most=3)
+
+
+def test_steps_are_counted_as_they_pass(spark, tmp_path):
+    calls = {"low": lambda df: df.where("id < 60"), "even": lambda df: df.where("id % 2 = 0"), "none": lambda df: df.where("id < 0")}
+    result, told = R.stepped(spark.range(100), calls)
+    assert result._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
+    result.write.parquet(f"{tmp_path}/r")
+    assert told() == [("low", 60, None), ("even", 30, -30), ("none", 0, -30)]
