@@ -116,24 +116,25 @@ def is_bipartite(edges: DataFrame, left: str, right: str) -> DataFrame:
 def label_propagation(edges: DataFrame, left: str, right: str, most_rounds: int = 50) -> DataFrame:
     """``node, label``: communities by most frequent neighbour label, ties to the smallest label.
 
-    A node's own label counts once, which ends the swapping of labels between two sides. Rounds end when
-    no label changes, or after ``most_rounds``. Votes are counted by (node, label) with map-side combining.
+    A node's own label counts once, which ends the swapping of labels between two sides. Rounds end when no label
+    changes; labels that still do after ``most_rounds`` are an error. Votes are counted by (node, label) with
+    map-side combining.
     """
     both = edges.select(F.col(left).cast("long").alias("u"), F.col(right).cast("long").alias("v"))
     parts = parts_of(edges)
     both = materialize(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "label-edges", parts=parts)
-    labels = materialize(both.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node")), "labels", parts=parts)
+    held = materialize(both.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node")), "labels", parts=parts)
+    labels = held
     for _ in range(most_rounds):
         heard = both.join(labels.withColumnRenamed("node", "v"), "v").select("u", "label").unionByName(labels.withColumnRenamed("node", "u"))
         votes = heard.groupBy("u", "label").agg(F.count(F.lit(1)).alias("n"))
         chosen = votes.groupBy(F.col("u").alias("node")).agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("chosen"))
-        new = materialize(chosen.join(labels, "node"), "label-votes", parts=parts)
-        moved = new.where("label <> chosen").limit(1).count()
-        old, labels = labels, new.select("node", F.col("chosen").alias("label"))
-        discard(old)
-        if not moved:
-            break
-    return labels
+        new = materialize(chosen.join(labels, "node"), "label-votes", held, parts=parts)
+        held, labels = new, new.select("node", F.col("chosen").alias("label"))
+        if not new.where("label <> chosen").limit(1).count():
+            discard(both)
+            return labels
+    raise RuntimeError(f"labels still change after {most_rounds} rounds")
 
 
 def modularity(edges: DataFrame, communities: DataFrame, left: str, right: str, resolution: float = 1.0) -> DataFrame:

@@ -72,20 +72,17 @@ def find_rows(spark, sf_dir):
 
 @query("SELECT least(700, n - i * 700)::INT AS n_rows, 1::BIGINT AS dummy FROM (SELECT count(*) AS n FROM part) c, range(100) r(i) WHERE i * 700 < n")
 def row_batches(spark, sf_dir):
-    """Sizes of consecutive batches of rows."""
-    sizes = [len(b) for b in files.batches(table(spark, sf_dir, "part").select("p_partkey"), 700)]
-    return spark.createDataFrame([(n, 1) for n in sizes], "n_rows int, dummy long")
+    """Sizes of consecutive batches of rows, which stay on the executors."""
+    batches = files.numbered_chunks(table(spark, sf_dir, "part").select("p_partkey"), 700, "batch")
+    return batches.groupBy("batch").agg(F.count(F.lit(1)).cast("int").alias("n_rows")).select("n_rows", F.lit(1).cast("long").alias("dummy"))
 
 
 @query("SELECT i AS place, least(400, n - i * 400)::BIGINT AS n_rows, n AS n_distinct FROM (SELECT count(*) AS n FROM part) c, range(1000) r(i) WHERE i * 400 < n")
 def table_chunks(spark, sf_dir):
     """A table as consecutive tables of 400 rows."""
-    whole, counts = None, None
-    for at, part in enumerate(files.chunks(table(spark, sf_dir, "part").select("p_partkey"), 400)):
-        one = part.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(at).cast("long").alias("place"), "n_rows")
-        counts = one if counts is None else counts.unionByName(one)
-        whole = part if whole is None else whole.unionByName(part)
-    return counts.join(whole.agg(F.count_distinct("p_partkey").alias("n_distinct")), F.lit(True))
+    parts = files.numbered_chunks(table(spark, sf_dir, "part").select("p_partkey"), 400, "place")
+    counts = parts.groupBy(F.col("place").cast("long").alias("place")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return counts.join(parts.agg(F.count_distinct("p_partkey").alias("n_distinct")), F.lit(True))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-06-01' ORDER BY o_orderdate")
@@ -309,13 +306,7 @@ def streamed_windows(spark, sf_dir):
     """Event-time counts of a stream that is bounded by its files."""
     path = scratch(spark, "windows")
     events = files.stream(spark, f"{sf_dir}/events.parquet*", table(spark, sf_dir, "events").schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    done = I.windowed_counts(events, "ts", "event_type").writeStream.outputMode("complete").format("memory").queryName(f"windows_{path[-32:]}").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    done.awaitTermination()
-    return spark.table(f"windows_{path[-32:]}").select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
-
-
-@query("SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
-def union_of_keys(spark, sf_dir):
-    """Keys of either of two sets, once each."""
-    o = table(spark, sf_dir, "orders")
-    return R.union_of(o.where("o_orderpriority = '1-URGENT'").select("o_custkey"), o.where("o_orderpriority = '2-HIGH'").select("o_custkey"))
+    counts = I.windowed_counts(events, "ts", "event_type")
+    write = lambda df, n: df.write.mode("overwrite").parquet(f"{path}/counts")  # noqa: E731  all windows of every batch
+    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/counts").select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")

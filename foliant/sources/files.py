@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from foliant.operators.parsing import with_links
 from foliant.operators.relational import BROADCAST_ROWS
-from foliant.storage import materialize
+from foliant.storage import discard, materialize, shared_dir
 
 SPLITS = ("train", "test", "annotated")
 
@@ -66,23 +67,32 @@ def batches(df: DataFrame, size: int) -> Iterator[list[Row]]:
         yield held
 
 
-def chunks(df: DataFrame, rows: int = 50_000) -> Iterator[DataFrame]:
-    """The table as consecutive tables of ``rows`` rows, in the order of its files; the last one may be smaller.
+def numbered_chunks(df: DataFrame, rows: int, out: str = "chunk") -> DataFrame:
+    """The table with the number of each row's chunk: consecutive chunks of ``rows`` rows, the last one maybe smaller.
 
-    Rows are numbered once, by partition and place, and written; each part reads only its own rows.
+    Rows are numbered by partition and place, what partitions hold is summed up before each of them, and the result
+    is written in a folder a chunk, so that a chunk is read without the others.
     """
-    placed = materialize(df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()), "chunks")
-    before, spans = 0, []
-    for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first")).orderBy("_part").collect():
-        spans.append((r["_part"], r["first"], before, r["n"]))
-        before += r["n"]
-    for start in range(0, before, rows):
-        inside = F.lit(False)
-        for part, first, at, n in spans:
-            if at < start + rows and at + n > start:
-                place = F.col("_at") - first + at
-                inside = inside | ((F.col("_part") == part) & (place >= start) & (place < start + rows))
-        yield placed.where(inside).drop("_at", "_part")
+    spark = df.sparkSession
+    placed = materialize(df.withColumn("_at", F.monotonically_increasing_id()), "chunks-placed")
+    part = F.shiftright("_at", 33)
+    held = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    held = held.select("_part", "_first", before.alias("_before"))
+    numbered = placed.withColumn("_part", part).join(held, "_part").withColumn(out, F.floor((F.col("_before") + F.col("_at") - F.col("_first")) / rows).cast("int"))
+    path = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    numbered.select(*df.columns, out).repartition(out).write.partitionBy(out).parquet(path)
+    discard(placed)
+    found = spark.read.schema(StructType([*df.schema]).add(out, "integer")).parquet(path)
+    found._foliant_path = path
+    return found
+
+
+def chunks(df: DataFrame, rows: int = 50_000) -> Iterator[DataFrame]:
+    """The table as consecutive tables of ``rows`` rows, in the order of its files; each reads only its own folder."""
+    numbered = numbered_chunks(df, rows, "_chunk")
+    for at in range(-(-numbered.count() // rows)):
+        yield df.sparkSession.read.schema(df.schema).parquet(f"{numbered._foliant_path}/_chunk={at}")
 
 
 def stream(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int = 100) -> DataFrame:

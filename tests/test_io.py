@@ -5,6 +5,7 @@ import json
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from foliant import sinks
 from foliant.operators.validation import IngestSettings
@@ -75,3 +76,14 @@ def test_model_contracts(spark):
     assert {r.error for r in models.generate(df, "t", lambda ts: 1 / 0).collect()} == {"ZeroDivisionError: division by zero"}
     request = json.loads(models.judge_requests(df.where("idx = 1"), "Judge {t}", ["t"], "m").first().request)
     assert request["custom_id"] == "1" and request["body"]["messages"][0]["content"] == "Judge a"
+
+
+def test_chunks_are_folders_of_consecutive_rows(spark):
+    from foliant.sources import files
+
+    df = spark.range(0, 1003, 1, 7).select("id", (F.col("id") % 3).alias("_part"))
+    found = [sorted(r.id for r in part.collect()) for part in files.chunks(df, 100)]
+    assert [len(c) for c in found] == [100] * 10 + [3] and [i for c in found for i in c] == list(range(1003))
+    assert list(files.chunks(df.where("false"), 10)) == []
+    part = files.numbered_chunks(df, 100).where("chunk = 4")
+    assert part.count() == 100 and {f.split("chunk=")[1].split("/")[0] for f in part.inputFiles()} >= {"4"}

@@ -309,3 +309,9 @@ def test_steps_are_counted_as_they_pass(spark, tmp_path):
     assert result._jdf.queryExecution().executedPlan().toString().count("Range (") == 1
     result.write.parquet(f"{tmp_path}/r")
     assert told() == [("low", 60, None), ("even", 30, -30), ("none", 0, -30)]
+
+
+def test_unsettled_labels_are_an_error(spark):
+    ring = spark.createDataFrame([(i, i + 1) for i in range(30)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        G.label_propagation(ring, "u", "v", most_rounds=1)
