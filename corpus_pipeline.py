@@ -6,6 +6,11 @@ to their target weights, and what is left is packed.
 
 All stages but the last return the columns of their input. A document without a word left after the
 third stage is dropped. Where there is a column ``n_chars`` it follows the text.
+
+Defined cases: null and empty texts have no words; the first stage scores them like any text without words,
+the next two keep them and mixing takes nothing of them. Repeated rows stay once from the second stage on; rows
+without id are linked to nothing and kept whole by the third. Empty tables stay empty; further columns are
+carried to the last stage.
 """
 
 from __future__ import annotations
@@ -60,8 +65,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each but the last is written to shared storage and read again."""
+    """All stages over the documents; each but the last is written to shared storage and read again, and its input goes."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", docs)
     return STAGES[-1][1](spark, docs, sf_dir)
