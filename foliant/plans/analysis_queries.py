@@ -82,10 +82,21 @@ _CODES = "list_transform(range(6), lambda i: substr(sha256(doc_id::VARCHAR), (1
   SELECT doc_id, (i - 1)::INT AS chunk_id, length(chunks[i])::INT AS chunk_len, chunks[i] AS chunk_text FROM (SELECT doc_id, chunks, unnest(range(1, 4)) AS i FROM g) t""")
 def chunk_codes(spark, sf_dir):
     """The recursive splitter over paragraphs, lines and words of known lengths."""
+    return C.chunk_documents(_code_texts(spark, sf_dir), 36)
+
+
+def _code_texts(spark, sf_dir):
     digits = F.sha2(F.col("doc_id").cast("string"), 256)
     c = [F.substring(digits, 1 + i * 10, 10) for i in range(6)]
     text = F.concat(c[0], F.lit(" "), c[1], F.lit("\n\n"), c[2], F.lit(" "), c[3], F.lit("\n"), c[4], F.lit("\n\n"), c[5])
-    return C.chunk_documents(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), 36)
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+@query(f"""WITH c AS (SELECT doc_id, {_CODES} AS c FROM documents), g AS (SELECT doc_id, [c[1] || ' ' || c[2], c[3] || ' ' || c[4] || chr(10) || c[5], c[6]] AS chunks FROM c)
+  SELECT doc_id, (i - 1)::INT AS chunk_id, length(chunks[i])::INT AS chunk_len, chunks[i] AS chunk_text FROM (SELECT doc_id, chunks, unnest(range(1, 3)) AS i FROM g) t""")
+def chunk_first_codes(spark, sf_dir):
+    """The first two chunks of every document; its other chunks are never cut."""
+    return C.chunk_documents(_code_texts(spark, sf_dir), 36, first_chunks=2)
 
 
 @query(None)

@@ -11,7 +11,7 @@ from foliant.operators import chunking as C, relational as R
 from foliant.operators.validation import IngestSettings
 from foliant.plans.registering import registrar, scratch
 from foliant.sources import files, table
-from foliant.streaming import ingest as I
+from foliant.streaming import ingest as I, keyed
 
 QUERIES, query = registrar()
 
@@ -301,6 +301,32 @@ def ingestion_stats(spark, sf_dir):
     return I.tracker_stats(rows).join(I.without_matching(rows, "1").agg(F.count("*").alias("kept")), F.lit(True))
 
 
+def _unsteady(text: str, attempt: int) -> list[str]:
+    """Chunks of a sale; some sales fail once, some always."""
+    number = int(text.split("|")[0])
+    if number % 50 == 0 or number % 5 == 0 and attempt == 1:
+        raise TimeoutError("the service took too long")
+    return text.split("|")
+
+
+@query("""SELECT sale_id::VARCHAR AS document_id, CASE WHEN sale_id % 50 = 0 THEN 3 WHEN sale_id % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS n_attempts, sale_id % 50 <> 0 AS success, sale_id % 50 = 0 AS dead,
+  CASE WHEN sale_id % 50 = 0 THEN 'the service took too long' END AS error_message FROM (SELECT DISTINCT sale_id FROM sales WHERE sale_id IS NOT NULL) s""")
+def ingestion_retries(spark, sf_dir):
+    """Sales taken up as they arrive, in two runs: those that fail for the moment are tried again by timers, up to three times.
+
+    Two more runs with a later arrival, which is left out, let the last timers pass.
+    """
+    path = scratch(spark, "retries")
+    sales = table(spark, sf_dir, "sales").select(F.col("sale_id").cast("string").alias("id"), F.concat_ws("|", "sale_id", "status", "priority").alias("text"), F.coalesce("arrived_at", F.lit("2024-01-01").cast("timestamp_ntz")).alias("arrived"))
+    later = lambda day: spark.range(1).select(F.lit("end").alias("id"), F.lit("1|end").alias("text"), F.lit(f"2030-01-0{day}").cast("timestamp_ntz").alias("arrived"))
+    half = F.lit("2024-03-01").cast("timestamp_ntz")
+    for part in (sales.where(F.col("arrived") < half), sales.where(F.col("arrived") >= half), later(1), later(2)):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = files.stream(spark, f"{path}/in", "id string, text string, arrived timestamp_ntz")
+        keyed.ingest_keyed(stream, f"{path}/out", f"{path}/checkpoint", "id", "text", _unsteady, arrived="arrived", late="1 day", retry=keyed.Retry(3, 60_000))
+    return keyed.keyed_tracker(spark, f"{path}/out").where("document_id <> 'end'").select("document_id", "n_attempts", "success", "dead", "error_message")
+
+
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def streamed_windows(spark, sf_dir):
     """Event-time counts of a stream that is bounded by its files."""
