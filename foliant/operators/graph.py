@@ -189,7 +189,7 @@ def louvain(edges: DataFrame, left: str, right: str, resolution: float = 1.0, mo
             break
         strength = materialize(weighted.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")), "louvain-strength", parts=parts)
         labels = strength.select("node", F.col("node").alias("label"))
-        idle = 0
+        idle, held = 0, []
         for turn in range(most_rounds):
             sums = strength.join(labels, "node").groupBy("label").agg(F.sum("k").alias("s"))
             own = strength.join(labels, "node").join(sums, "label")
@@ -202,18 +202,21 @@ def louvain(edges: DataFrame, left: str, right: str, resolution: float = 1.0, mo
             moves = (F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2) & (-F.col("b.g") > F.coalesce("here", alone) + 1e-9) & (-F.col("b.g") > 0)
             step = best.select("node", F.when(moves, F.col("b.label")).otherwise(F.col("mine")).alias("to"))
             new = labels.join(step, "node", "left").select("node", F.coalesce("to", "label").alias("label"), (F.coalesce("to", "label") != F.col("label")).alias("moved"))
-            new = materialize(new, "louvain-labels", parts=parts)
+            new = materialize(new, "louvain-labels", *held, parts=parts)
+            held = [new]
             idle = 0 if new.where("moved").limit(1).count() else idle + 1
             labels = new.select("node", "label")
             if idle == 2:
                 break
         if refined:
-            labels = materialize(connected_parts(weighted, labels, "u", "v"), "louvain-parts", parts=parts)
+            labels = materialize(connected_parts(weighted, labels, "u", "v"), "louvain-parts", *held, parts=parts)
+            held = [labels]
+        before = [whole] if whole is not None else []
         whole = labels if whole is None else whole.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label").select("node", F.col("next").alias("label"))
-        whole = materialize(whole, "louvain-communities", parts=parts)
+        whole = materialize(whole, "louvain-communities", *before, parts=parts)
         if not labels.where("node <> label").limit(1).count():
             break
         names = labels.select(F.col("node").alias("u"), F.col("label").alias("lu"))
         summed = weighted.join(names, "u").join(names.select(F.col("u").alias("v"), F.col("lu").alias("lv")), "v").groupBy(F.col("lu").alias("u"), F.col("lv").alias("v")).agg(F.sum("w").alias("w"))
-        weighted = materialize(summed, "louvain-edges", weighted, parts=parts)
+        weighted = materialize(summed, "louvain-edges", weighted, strength, *held, parts=parts)
     return whole if whole is not None else ends.select(F.col("u").alias("node"), F.col("u").alias("label"))
