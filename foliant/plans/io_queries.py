@@ -90,14 +90,6 @@ def incremental_rows(spark, sf_dir):
     return files.incremental(table(spark, sf_dir, "orders"), "o_orderdate", "1997-06-01").select("o_orderkey")
 
 
-@query("SELECT p.page_id, CASE WHEN p.page_id % 3 <> 0 THEN length(p.html) END::INT AS n FROM pages p")
-def fetched_content(spark, sf_dir):
-    """Items with what was fetched for them; not found gives null."""
-    pages = table(spark, sf_dir, "pages")
-    fetched = pages.where("page_id % 3 <> 0").select("page_id", F.col("html").alias("content"))
-    return files.with_fetched(pages.select("page_id"), fetched, "page_id").select("page_id", F.length("content").alias("n"))
-
-
 @query("SELECT 2 AS n_reads, 1 AS n_made, count(*) AS n FROM supplier")
 def cached_table(spark, sf_dir):
     """A table that is made once and then read."""

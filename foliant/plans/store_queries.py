@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-import pyarrow as pa
 from foliant.functions.ids import sha_uuid
 from foliant.merge_table import MergeTable
 from foliant.operators import adjacency as A, graph as G, quantised as Q
@@ -83,6 +84,29 @@ def paged_service(spark, sf_dir):
     return spark.read.parquet(f"{path}/out").select("id", "price", "version")
 
 
+class _Shelf(services.ServedTable):
+    """Contents by key: a third is not there, some come when they are asked for again, some never do."""
+
+    def content(self, key, attempt):
+        if key % 3 == 0:
+            return None
+        if key % 11 == 5:
+            raise OSError("out of reach")
+        if key % 4 == 1 and attempt == 1:
+            raise TimeoutError("ask again")
+        return self.dataset().to_table(columns=["html"], filter=pc.field(self.key) == key).column(0)[0].as_py()
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 <> 0 AND page_id % 11 <> 5 THEN length(html) END::INT AS n, CASE WHEN page_id % 3 <> 0 AND page_id % 11 = 5 THEN 'out of reach' END AS error FROM pages")
+def fetched_content(spark, sf_dir):
+    """Items with what a service has for them, asked for with patience; errors are kept, not found gives null."""
+    path = scratch(spark, "shelf")
+    pages = table(spark, sf_dir, "pages")
+    pages.select("page_id", "html").repartitionByRange(8, "page_id").sortWithinPartitions("page_id").write.parquet(path)
+    found = services.with_content(pages.select("page_id"), "page_id", _Shelf(path, "page_id", "page_id").content, attempts=2, wait=0.0)
+    return found.select("page_id", F.length("content").alias("n"), "error")
+
+
 class _OddSite(scraping.ServedSite):
     """Some pages fail once, some always, some until the second round; some days report too few documents at first."""
 

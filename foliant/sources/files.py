@@ -1,4 +1,4 @@
-"""File sources: splits, lookups, caches, batches, fetched content."""
+"""File sources: splits, lookups, caches, numbered chunks."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from foliant.operators.parsing import with_links
-from foliant.operators.relational import BROADCAST_ROWS
 from foliant.storage import discard, materialize, shared_dir
 
 SPLITS = ("train", "test", "annotated")
@@ -112,12 +111,6 @@ def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame], overwr
     return spark.read.parquet(path)
 
 
-def with_fetched(items: DataFrame, fetched: DataFrame, key: str) -> DataFrame:
-    """Items with what a service returned for them; not found gives nulls."""
-    small = fetched.count() <= BROADCAST_ROWS
-    return items.join(F.broadcast(fetched) if small else fetched, key, "left")
-
-
 def result_pages(pages: DataFrame, day: str, html: str, pattern: str = r"/doc/[A-Za-z0-9]+") -> tuple[DataFrame, DataFrame]:
     """Of fetched result pages of a search: ``day, ids`` by page, and ``day, n_reported`` as the pages tell it.
 

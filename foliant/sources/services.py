@@ -31,7 +31,8 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from foliant.shipping import ship_to_driver
+from foliant.shipping import map_arrow, ship_to_driver
+from foliant.storage import materialize
 
 #: A time before all times.
 FIRST = "0001-01-01T00:00:00"
@@ -97,6 +98,33 @@ class ServedTable:
         return rows.sort_by([(self.updated, "ascending"), (self.key, "ascending")]).slice(0, limit)
 
 
+def _fetch(fetch: Callable[[Any, int], str | None], attempts: int, wait: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, key in enumerate(batch.column(0).to_pylist()):  # what has come is passed on
+                content, error = None, None
+                try:
+                    content, _ = tried(lambda attempt: fetch(key, attempt), attempts, wait)  # noqa: B023
+                except Exception as problem:  # one item must not stop the others
+                    error = str(problem) or type(problem).__name__
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([content], pa.string()), pa.array([error], pa.string())], ["_key", "content", "error"])
+
+    return run
+
+
+def with_content(items: DataFrame, key: str, fetch: Callable[[Any, int], str | None], attempts: int = 3, wait: float = 0.1, parts: int | None = None) -> DataFrame:
+    """Items with ``content`` and ``error``: what a service has for their key, asked for once a key, with some attempts.
+
+    What the service does not know is null without error; null keys are not asked for. The answers are written, so
+    that nothing is asked for again when the result is read twice. ``parts`` requests run at a time.
+    """
+    keys = items.where(items[key].isNotNull()).select(items[key].alias("_key")).distinct()
+    keys = keys.repartition(parts, "_key") if parts else keys.repartition("_key")
+    kind = items.schema[key].dataType.simpleString()
+    answers = materialize(map_arrow(keys, _fetch(fetch, attempts, wait), f"_key {kind}, content string, error string"), "service-answers")
+    return items.join(answers, items[key] == answers["_key"], "left").drop("_key")
+
+
 class _PullReader(DataSourceStreamReader):
     def __init__(self, service: ServedTable, columns: Sequence[str], since: str, size: int, attempts: int, wait: float):
         self.service, self.columns, self.since, self.size, self.attempts, self.wait = service, list(columns), since, size, attempts, wait

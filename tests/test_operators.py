@@ -315,3 +315,20 @@ def test_unsettled_labels_are_an_error(spark):
     ring = spark.createDataFrame([(i, i + 1) for i in range(30)], "u long, v long")
     with pytest.raises(RuntimeError):
         G.label_propagation(ring, "u", "v", most_rounds=1)
+
+
+def test_registered_chunk_queries_against_the_splitter(spark):
+    import statistics
+
+    from foliant.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    found = {(r.doc_id, r.chunk_id): r.chunk_text for r in catalog.queries()["chunk_recursive"](spark, sf).collect()}
+    wanted = {i: [c for c in C.split_text(t, 512, 128) if len(c) >= 50] for i, t in docs if t}
+    assert found == {(i, k): c for i, cs in wanted.items() for k, c in enumerate(cs)}
+    each = [cs for _, t in docs if t is not None and len(t) >= 100 and (cs := C.split_text(t, 512, 128))]
+    row, sizes = catalog.queries()["chunk_stats"](spark, sf).first(), [len(cs) for cs in each]
+    assert (row.n_docs, row.least, row.most) == (len(each), min(sizes), max(sizes))
+    assert row["mean"] == pytest.approx(statistics.mean(sizes), abs=1e-6) and row.deviation == pytest.approx(statistics.stdev(sizes), abs=1e-6)
+    assert row.mean_len == pytest.approx(sum(len(c) for cs in each for c in cs) / sum(sizes), abs=1e-6)

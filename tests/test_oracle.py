@@ -9,6 +9,10 @@ from oracle import compare, connect
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SQL = catalog.oracle_sql()
+#: Without SQL; where each is held against a plain version over whole tables.
+PLAIN = {
+    "chunk_recursive": "test_operators.py", "chunk_stats": "test_operators.py", "conv_messages_whole": "test_operators.py", "quantised_search": "test_quantised.py",
+}
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +26,7 @@ def test_query(spark, con, name):
     if name in SQL:
         assert compare(df, con, SQL[name]) == ""
     else:
-        assert df.count() >= 0
+        assert name in PLAIN and df.count() > 0
 
 
 def test_entry(spark):
