@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T
 
 from foliant.functions import arrays as A, dates as D, jsonx as J, text as X
-from foliant.operators import chunking as C, evaluate as E, graph as G, mapping as M, models, relational as R, validation as V
+from foliant.operators import chunking as C, evaluate as E, mapping as M, models, validation as V
 from foliant.plans.registering import registrar
 from foliant.sources import table
 

@@ -108,11 +108,11 @@ def fetched_content(spark, sf_dir):
 
 
 class _OddSite(scraping.ServedSite):
-    """Some pages fail once, some always, some until the second round; some days report too few documents at first."""
+    """Some pages fail once, some always, some until the second round; some days report too many documents at first."""
 
     def reported(self, day, attempt, round_):
         n = super().reported(day, attempt, round_)
-        return max(1, n - 3) if day.endswith("7") and round_ == 0 else n
+        return n + 2 if day.endswith("7") and round_ == 0 else n
 
     def listed(self, day, page, attempt, round_):
         if day.endswith("1") and attempt == 1:

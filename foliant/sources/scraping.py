@@ -6,6 +6,9 @@ What was listed is compared with what was reported; days that disagree or have d
 only pages that are dead or new are fetched again. Every round is written before it is looked at, so no page is
 fetched twice because a plan is run twice.
 
+A count that is too small by just what stands on pages that were not planned agrees with what was listed, and cannot
+be told from a right one.
+
 Defined cases: a day without documents has no pages and agrees; a day whose count cannot be had is kept with the
 error and no count; a null page of ids counts as none; repeated days are asked once; no days give no rows.
 """
