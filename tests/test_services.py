@@ -88,3 +88,23 @@ def test_filters_reach_the_files(spark, tmp_path):
     none = S._FilteredReader(table, ["id"])
     assert list(none.pushFilters([EqualTo(("id",), 1000)])) == [] and [list(none.read(p)) for p in none.partitions()] == [[]]
     assert S.filtered(spark, "filtered_b", table, "id long").agg(F.count("*")).first()[0] == 100
+
+
+def test_content_is_asked_for_once_a_key(spark, tmp_path):
+    def service(folder):
+        def fetch(key, attempt):
+            with open(f"{folder}/asked", "a") as out:
+                out.write(f"{key}\n")
+            if key == 3 or key == 2 and attempt == 1:
+                raise TimeoutError("later")
+            return None if key == 1 else f"text {key}"
+
+        return fetch
+
+    items = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (3, "d"), (4, "e"), (None, "f")], "id long, note string")
+    found = S.with_content(items, "id", service(str(tmp_path)), attempts=2, wait=0.0)
+    for _ in range(2):  # read twice, asked once
+        rows = {r.note: (r.id, r.content, r.error) for r in found.collect()}
+    assert rows == {"a": (1, None, None), "b": (2, "text 2", None), "c": (2, "text 2", None), "d": (3, None, "later"), "e": (4, "text 4", None), "f": (None, None, None)}
+    assert sorted((tmp_path / "asked").read_text().split()) == ["1", "2", "2", "3", "3", "4"]
+    assert S.with_content(items.where("false"), "id", service(str(tmp_path))).collect() == []
