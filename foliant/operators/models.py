@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foliant.functions import jsonx as J, text as T
-from foliant.shipping import ship
+from foliant.shipping import ship, spread
 
 
 def embed(df: DataFrame, text: str, model: Callable[[list[str]], list[Sequence[float]]], dimensions: int, out: str = "embedding") -> DataFrame:
@@ -57,21 +57,24 @@ def generate(df: DataFrame, prompt: str, model: Callable[[list[str]], list[str]]
     @F.pandas_udf("struct<answer:string,error:string>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for whole in parts:
-            told = []
-            for at in range(0, len(whole), batch):
-                part = whole.iloc[at : at + batch]
+            prompts, told, errors = whole.fillna("").str.slice(0, most_chars).tolist(), [], []
+            for at in range(0, len(prompts), batch):
+                part = prompts[at : at + batch]
                 error, answers = None, [None] * len(part)
                 for attempt in range(attempts):
                     try:
-                        answers, error = model(part.fillna("").str.slice(0, most_chars).tolist()), None
+                        answers, error = model(part), None
                         break
                     except Exception as problem:  # a model may fail in any way
                         error = f"{type(problem).__name__}: {problem}"
                         time.sleep(wait * 2**attempt if attempt + 1 < attempts else 0)
-                told.append(pd.DataFrame({"answer": answers, "error": [error] * len(part)}))
-            yield pd.concat(told, ignore_index=True) if told else pd.DataFrame({"answer": [], "error": []})
+                if len(answers) != len(part):
+                    raise ValueError(f"{len(answers)} answers to {len(part)} prompts")
+                told += list(answers)
+                errors += [error] * len(part)
+            yield pd.DataFrame({"answer": pd.Series(told, dtype=object), "error": pd.Series(errors, dtype=object)})
 
-    return df.withColumn("_g", run(F.col(prompt))).select(*df.columns, F.col("_g.answer").alias(out), F.col("_g.error").alias("error"))
+    return spread(df).withColumn("_g", run.asNondeterministic()(F.col(prompt))).select(*df.columns, F.col("_g.answer").alias(out), F.col("_g.error").alias("error"))
 
 
 def judge_requests(items: DataFrame, template: str, fields: Sequence[str], model: str, schema_name: str = "scores", key: str = "idx") -> DataFrame:

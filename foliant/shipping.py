@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.storage import parts_of
+
 _SENT = "_foliant_sent"
 #: Bytes of an Arrow batch sent to a Python worker, unless the session says otherwise.
 BATCH_BYTES = 4 << 20
@@ -44,6 +46,14 @@ def ship_to_driver(spark: SparkSession) -> None:
         context.environment["PYTHONPATH"] = os.pathsep.join([getattr(context, _SENT), *paths])
 
 
+def spread(df: DataFrame, per: int = 1 << 20) -> DataFrame:
+    """``df`` dealt over parts of about ``per`` bytes, two a core at least, for steps that work long on each row.
+
+    A scan is cut by bytes as stored, so short rows by the million would come in one part.
+    """
+    return df.repartition(parts_of(df, per) or 2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with the package at hand on every executor."""
     ship(df.sparkSession)
