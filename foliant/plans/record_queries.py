@@ -7,6 +7,7 @@ from pyspark.sql import functions as F, types as T
 from foliant.functions import arrays as A, dates as D, jsonx as J, text as X
 from foliant.operators import chunking as C, evaluate as E, mapping as M, models, validation as V
 from foliant.plans.registering import registrar
+from foliant.shipping import spread
 from foliant.sources import table
 
 QUERIES, query = registrar()
@@ -222,7 +223,8 @@ def yaml_answers(spark, sf_dir):
     """Mappings in fenced YAML; every fifth answer is no YAML mapping."""
     fence = F.concat(F.lit("Here it is:\n```yaml\n# note\nname: '"), "c_name", F.lit("'\nnation: "), F.col("c_nationkey").cast("string"), F.lit("\ntags:\n  - a\n  - \"b c\"\n  - 3\n```\nDone."))
     answer = F.when(F.col("c_custkey") % 5 == 0, "I could not find: it").otherwise(fence)
-    rows = table(spark, sf_dir, "customer").select("c_custkey", J.yaml_object(F.when(F.col("c_custkey") % 5 == 0, "I could not\nfind it").otherwise(answer)).alias("v"))
+    customers = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"))
+    rows = customers.select("c_custkey", J.yaml_object(F.when(F.col("c_custkey") % 5 == 0, "I could not\nfind it").otherwise(answer)).alias("v"))
     get = lambda path, kind: F.try_variant_get("v", path, kind)
     return rows.select("c_custkey", get("$.name", "string").alias("name"), get("$.nation", "int").alias("nation"), F.array_join(get("$.tags", "array<string>"), "|").alias("tags"), F.col("v").isNull().alias("failed"))
 
