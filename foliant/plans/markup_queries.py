@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from foliant.functions import arrays as A
 from foliant.operators import parsing as X, validation as V
 from foliant.plans.registering import registrar
+from foliant.shipping import spread
 from foliant.sources import files, table
 
 QUERIES, query = registrar()
@@ -86,9 +87,9 @@ def judgment_special_tags(spark, sf_dir):
     return tags.select("c_custkey", F.posexplode("tags").alias("at", "_t")).select("c_custkey", "at", "_t.kind", "_t.mark", "_t.text")
 
 
-def _judgment_pages(spark, sf_dir):
+def _judgment_pages(spark, sf_dir, *more):
     """Customers as judgment pages; every 11th header has too many separators, every third one rapporteur for both roles."""
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", *more))
     k, key = F.col("c_custkey"), F.col("c_custkey").cast("string")
     text = lambda s: F.lit(s)
     row = lambda label, value: F.concat(text('<tr class="niezaznaczona"><td class="lista-label">'), text(label), text('</td><td class="info-list-value">'), value, text("</td></tr>"))
@@ -103,7 +104,7 @@ def _judgment_pages(spark, sf_dir):
         row("Skarżony organ", F.concat(text("Organ<br/>"), key)), text('</table><div class="lista-label">Sentencja</div><span class="info-list-value-uzasadnienie"><p>One '), key, text('<p>Two</span><div class="lista-label">Uzasadnienie</div><span class="info-list-value-uzasadnienie"><p> Why </p></span><a href="/doc/B'),
         key, text('">x</a><p>Znaleziono  '), key, text(" orzeczeń</p></body></html>"),
     )
-    return c.select("c_custkey", F.when(k % 19 != 0, html).alias("html"))
+    return c.select("c_custkey", F.when(k % 19 != 0, html).alias("html"), *more)
 
 
 _HAS = "c_custkey % 19 <> 0"
@@ -140,7 +141,7 @@ def judgment_page_dates(spark, sf_dir):
   SELECT day, max(r)::INT AS n_reported, sum(n)::BIGINT AS n_listed, max(r) = sum(n) AS agrees FROM p GROUP BY day""")
 def search_pages_reconciled(spark, sf_dir):
     """Documents that result pages list against those that they report; unfetched pages list none."""
-    pages = _judgment_pages(spark, sf_dir).join(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("day")), "c_custkey")
+    pages = _judgment_pages(spark, sf_dir, "c_nationkey").withColumnRenamed("c_nationkey", "day")
     listed, reported = files.result_pages(pages, "day", "html")
     return files.reconciled(listed, reported, "day", "ids", "n_reported").select("day", "n_reported", "n_listed", "agrees")
 
