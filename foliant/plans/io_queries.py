@@ -70,14 +70,14 @@ def find_rows(spark, sf_dir):
     return files.find(table(spark, sf_dir, "part"), "p_size > 25", without=["p_brand", "p_type", "p_retailprice"], limit=50, order=[F.desc("p_size"), "p_partkey"])
 
 
-@query("SELECT least(700, n - i * 700)::INT AS n_rows, 1::BIGINT AS dummy FROM (SELECT count(*) AS n FROM part) c, range(100) r(i) WHERE i * 700 < n")
+@query("SELECT least(700, n - i * 700)::INT AS n_rows, 1::BIGINT AS dummy FROM (SELECT count(*) AS n FROM part) c, unnest(range((n + 699) // 700)) r(i)")
 def row_batches(spark, sf_dir):
     """Sizes of consecutive batches of rows, which stay on the executors."""
     batches = files.numbered_chunks(table(spark, sf_dir, "part").select("p_partkey"), 700, "batch")
     return batches.groupBy("batch").agg(F.count(F.lit(1)).cast("int").alias("n_rows")).select("n_rows", F.lit(1).cast("long").alias("dummy"))
 
 
-@query("SELECT i AS place, least(400, n - i * 400)::BIGINT AS n_rows, n AS n_distinct FROM (SELECT count(*) AS n FROM part) c, range(1000) r(i) WHERE i * 400 < n")
+@query("SELECT i AS place, least(400, n - i * 400)::BIGINT AS n_rows, n AS n_distinct FROM (SELECT count(*) AS n FROM part) c, unnest(range((n + 399) // 400)) r(i)")
 def table_chunks(spark, sf_dir):
     """A table as consecutive tables of 400 rows."""
     parts = files.numbered_chunks(table(spark, sf_dir, "part").select("p_partkey"), 400, "place")
