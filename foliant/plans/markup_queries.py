@@ -18,12 +18,13 @@ def pages_links(spark, sf_dir):
     return X.with_links(table(spark, sf_dir, "pages").select("page_id", "html"), "html", pattern="(?s).*").select("page_id", F.explode("links").alias("link"))
 
 
-_ENTITIES = (("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&"))
+#: Named references stand with or without a semicolon in HTML; a number ends where its digits do.
+_ENTITIES = (("&copy;?", "©"), ("&middot;?", "·"), ("&nbsp;?", " "), ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;", "''"), ("&#39([^0-9]|$)", "''\\1"), ("&amp;?", "&"))
 
 
 def _unescaped_sql(sql: str) -> str:
     for entity, sign in _ENTITIES:
-        sql = f"replace({sql}, '{entity}', '{sign}')"
+        sql = f"regexp_replace({sql}, '{entity}', '{sign}', 'g')"
     return sql
 
 

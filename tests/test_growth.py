@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
-from foliant.operators import models
+from foliant.operators import models, parsing
 from foliant.plans import catalog, markup_queries as M
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +55,13 @@ def test_oracles_hold_for_any_number_of_rows(name, size):
     assert len(rows) == -(-1_000_001 // size) and int(rows["n_rows"].sum()) == 1_000_001
     con.execute("CREATE OR REPLACE VIEW part AS SELECT 1 AS p_partkey WHERE false")
     assert not len(con.execute(catalog.oracle_sql()[name]).fetchdf())
+
+
+def test_oracle_of_pages_reads_references_without_semicolon():
+    """As HTML does: a title that is cut inside of a reference."""
+    html = "<html><head><title>a &amp;&amp &lt;b&gt &#39c&#39 &quot</title></head><body><p>x &amp y&nbsp;z &amp;lt &copy</p></body></html>"
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages AS SELECT 1 AS page_id, ? AS html", [html])
+    told = {name: con.execute(catalog.oracle_sql()[name]).fetchone()[-1] for name in ("pages_title", "pages_text")}
+    assert told == {"pages_title": parsing.page_title(html), "pages_text": parsing.visible_text(html)}
+    assert told["pages_title"] == "a && <b> 'c' \""
