@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from foliant.storage import discard, materialize, parts_of
@@ -164,32 +166,34 @@ def community_sizes(communities: DataFrame) -> DataFrame:
     return communities.groupBy("label").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
 
 
-def leiden(edges: DataFrame, left: str, right: str, resolution: float = 1.0, most_levels: int = 5, most_rounds: int = 10) -> DataFrame:
+def leiden(edges: DataFrame, left: str, right: str, resolution: float = 1.0, most_levels: int | None = None, most_rounds: int = 10) -> DataFrame:
     """``node, label``: as ``louvain``, with communities cut into their connected parts before they become nodes of the
     next level, so every community is connected."""
     return louvain(edges, left, right, resolution, most_levels, most_rounds, refined=True)
 
 
-def louvain(edges: DataFrame, left: str, right: str, resolution: float = 1.0, most_levels: int = 5, most_rounds: int = 10, refined: bool = False) -> DataFrame:
+def louvain(edges: DataFrame, left: str, right: str, resolution: float = 1.0, most_levels: int | None = None, most_rounds: int = 10, refined: bool = False) -> DataFrame:
     """``node, label``: communities by greedy gains of modularity, level by level.
 
-    In a round every node looks at the communities of its neighbours, and those whose round it is (half of
-    them by hash) move to the one of largest gain, ties to the smallest label; a move needs a positive
-    gain. When no node moves, communities become the nodes of the next level, their edges summed.
-    Neighbours' weights are summed by (node, community) with map-side combining.
+    In a round every node looks at the communities of its neighbours, and of those that would gain, half (by a hash
+    that is new every round, so that no two nodes change places for ever) move to the one of largest gain, ties to
+    the smallest label; a move needs a positive gain. When no node would gain, or after ``most_rounds``, communities
+    become the nodes of the next level, their edges summed. It ends with a level on which no node would gain from the
+    start, or after ``most_levels`` if that is given. Neighbours' weights are summed by (node, community) with
+    map-side combining.
     """
     parts = parts_of(edges)
     ends = edges.select(F.col(left).cast("long").alias("u"), F.col(right).cast("long").alias("v"))
     weighted = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u", "v").agg(F.count(F.lit(1)).cast("double").alias("w"))
     weighted = materialize(weighted, "louvain-edges", parts=parts)
     whole = None
-    for _ in range(most_levels):
+    for level in count() if most_levels is None else range(most_levels):
         total = weighted.agg(F.sum("w")).first()[0]
         if not total:
             break
         strength = materialize(weighted.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")), "louvain-strength", parts=parts)
         labels = strength.select("node", F.col("node").alias("label"))
-        idle, held = 0, []
+        settled, held = False, []
         for turn in range(most_rounds):
             sums = strength.join(labels, "node").groupBy("label").agg(F.sum("k").alias("s"))
             own = strength.join(labels, "node").join(sums, "label")
@@ -199,23 +203,24 @@ def louvain(edges: DataFrame, left: str, right: str, resolution: float = 1.0, mo
             gains = gains.withColumn("gain", F.col("w") - resolution * F.col("k") * stay / total)
             best = gains.groupBy("node", "mine", "k", "mine_s").agg(F.min(F.struct((-F.round("gain", 9)).alias("g"), "label")).alias("b"), F.max(F.when(F.col("label") == F.col("mine"), F.col("gain"))).alias("here"))
             alone = -resolution * F.col("k") * (F.col("mine_s") - F.col("k")) / total  # staying without a neighbour there
-            moves = (F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2) & (-F.col("b.g") > F.coalesce("here", alone) + 1e-9) & (-F.col("b.g") > 0)
-            step = best.select("node", F.when(moves, F.col("b.label")).otherwise(F.col("mine")).alias("to"))
-            new = labels.join(step, "node", "left").select("node", F.coalesce("to", "label").alias("label"), (F.coalesce("to", "label") != F.col("label")).alias("moved"))
+            gain = (-F.col("b.g") > F.coalesce("here", alone) + 1e-9) & (-F.col("b.g") > 0) & (F.col("b.label") != F.col("mine"))
+            turns = F.pmod(F.xxhash64("node", F.lit(level), F.lit(turn)), F.lit(2)) == 0
+            step = best.select("node", gain.alias("gains"), F.when(gain & turns, F.col("b.label")).otherwise(F.col("mine")).alias("to"))
+            new = labels.join(step, "node", "left").select("node", F.coalesce("to", "label").alias("label"), F.coalesce("gains", F.lit(False)).alias("gains"))
             new = materialize(new, "louvain-labels", *held, parts=parts)
             held = [new]
-            idle = 0 if new.where("moved").limit(1).count() else idle + 1
+            settled = not new.where("gains").limit(1).count()
             labels = new.select("node", "label")
-            if idle == 2:
+            if settled:
                 break
+        if settled and turn == 0 and whole is not None:
+            break
         if refined:
             labels = materialize(connected_parts(weighted, labels, "u", "v"), "louvain-parts", *held, parts=parts)
             held = [labels]
         before = [whole] if whole is not None else []
         whole = labels if whole is None else whole.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label").select("node", F.col("next").alias("label"))
         whole = materialize(whole, "louvain-communities", *before, parts=parts)
-        if not labels.where("node <> label").limit(1).count():
-            break
         names = labels.select(F.col("node").alias("u"), F.col("label").alias("lu"))
         summed = weighted.join(names, "u").join(names.select(F.col("u").alias("v"), F.col("lu").alias("lv")), "v").groupBy(F.col("lu").alias("u"), F.col("lv").alias("v")).agg(F.sum("w").alias("w"))
         weighted = materialize(summed, "louvain-edges", weighted, strength, *held, parts=parts)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
-from foliant.operators import models, parsing
+from foliant.operators import graph, models, parsing
 from foliant.plans import catalog, markup_queries as M
 
 SF = "/root/testdata/sf0.001"
@@ -65,3 +65,10 @@ def test_oracle_of_pages_reads_references_without_semicolon():
     told = {name: con.execute(catalog.oracle_sql()[name]).fetchone()[-1] for name in ("pages_title", "pages_text")}
     assert told == {"pages_title": parsing.page_title(html), "pages_text": parsing.visible_text(html)}
     assert told["pages_title"] == "a && <b> 'c' \""
+
+
+@pytest.mark.parametrize("find", [graph.louvain, graph.leiden])
+def test_no_two_nodes_change_places_for_ever(spark, find):
+    """Pairs apart from each other: whatever their hashes, each becomes one community."""
+    pairs = spark.range(60).select((F.col("id") * 2).alias("u"), (F.col("id") * 2 + 1).alias("v"))
+    assert [tuple(r) for r in graph.community_sizes(find(pairs, "u", "v")).collect()] == [(2, 60)]
