@@ -94,7 +94,9 @@ class _Shelf(services.ServedTable):
             raise OSError("out of reach")
         if key % 4 == 1 and attempt == 1:
             raise TimeoutError("ask again")
-        return self.dataset().to_table(columns=["html"], filter=pc.field(self.key) == key).column(0)[0].as_py()
+        rows = self.column_at(key, self.key, "html")
+        at = pc.index(rows.column(self.key), key).as_py()
+        return rows.column("html")[at].as_py() if at >= 0 else None
 
 
 @query("SELECT page_id, CASE WHEN page_id % 3 <> 0 AND page_id % 11 <> 5 THEN length(html) END::INT AS n, CASE WHEN page_id % 3 <> 0 AND page_id % 11 = 5 THEN 'out of reach' END AS error FROM pages")
@@ -102,7 +104,7 @@ def fetched_content(spark, sf_dir):
     """Items with what a service has for them, asked for with patience; errors are kept, not found gives null."""
     path = scratch(spark, "shelf")
     pages = table(spark, sf_dir, "pages")
-    pages.select("page_id", "html").repartitionByRange(8, "page_id").sortWithinPartitions("page_id").write.parquet(path)
+    pages.select("page_id", "html").repartitionByRange(8, "page_id").sortWithinPartitions("page_id").write.option("parquet.block.size", 1 << 20).parquet(path)  # a look-up reads a row group
     found = services.with_content(pages.select("page_id"), "page_id", _Shelf(path, "page_id", "page_id").content, attempts=2, wait=0.0)
     return found.select("page_id", F.length("content").alias("n"), "error")
 

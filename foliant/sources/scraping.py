@@ -88,6 +88,12 @@ def pages_of(planned: DataFrame, patience: Patience) -> DataFrame:
     return planned.where("n_reported > 0").select("day", F.explode(F.sequence(F.lit(0), last - 1)).alias("page"))
 
 
+def _in_order(wanted: DataFrame) -> DataFrame:
+    """Requests in ranges over all cores, pages of a day one after the other, so a site can keep what it looked up."""
+    parts = 2 * wanted.sparkSession.sparkContext.defaultParallelism
+    return wanted.repartitionByRange(parts, "day", "page").sortWithinPartitions("day", "page")
+
+
 def reconcile(planned: DataFrame, pages: DataFrame) -> DataFrame:
     """Of every planned day what was reported and listed, how many pages are dead, and whether it is settled."""
     seen = pages.groupBy("day").agg(F.sum(F.coalesce(F.size("ids"), F.lit(0))).alias("n_listed"), F.count_if(F.col("error").isNotNull()).alias("n_dead"), F.sum("attempts").alias("n_requests"))
@@ -100,7 +106,7 @@ def scrape(days: DataFrame, site: Site, patience: Patience | None = None) -> tup
     patience = patience or Patience()
     planned = materialize(plan(days, site, patience), "scrape-plan")
     wanted = pages_of(planned, patience)
-    pages = materialize(map_arrow(wanted.repartition("day", "page"), _fetch(site, patience, 0), PAGES), "scrape-pages")
+    pages = materialize(map_arrow(_in_order(wanted), _fetch(site, patience, 0), PAGES), "scrape-pages")
     for round_ in range(1, patience.rounds):
         told = materialize(reconcile(planned, pages), "scrape-days")
         open_ = told.where("not settled").select("day")
@@ -109,13 +115,17 @@ def scrape(days: DataFrame, site: Site, patience: Patience | None = None) -> tup
         again = materialize(plan(open_, site, patience, round_), "scrape-plan")
         done = pages.where("error is null").select("day", "page")
         wanted = pages_of(again, patience).join(done, ["day", "page"], "left_anti")
-        fetched = materialize(map_arrow(wanted.repartition("day", "page"), _fetch(site, patience, round_), PAGES), "scrape-pages")
+        fetched = materialize(map_arrow(_in_order(wanted), _fetch(site, patience, round_), PAGES), "scrape-pages")
         kept = pages.join(fetched.select("day", "page"), ["day", "page"], "left_anti")
         pages = materialize(kept.unionByName(fetched), "scrape-pages", pages, fetched)
         planned = materialize(planned.join(again.select("day"), "day", "left_anti").unionByName(again), "scrape-plan", planned, again, told)
     return pages, reconcile(planned, pages)
 
 
+#: Of a worker process: the documents of the day that was asked for last. Served files do not change.
+_last: dict[str, object] = {}
+
+
 @dataclass(frozen=True)
 class ServedSite:
     """A served table as a site: ``updated`` holds the day as text, ``key`` the document."""
@@ -124,8 +134,12 @@ class ServedSite:
     page_size: int = 10
 
     def _keys(self, day: str) -> list[str]:
-        rows = self.table.dataset().to_table(columns=[self.table.key], filter=pc.field(self.table.updated) == day)
-        return sorted(str(k) for k in rows.column(0).to_pylist())
+        """The day's documents in order; those of the last day stay in memory for its other pages."""
+        known = (self.table.path, self.table.updated, self.table.key, day)
+        if _last.get("of") != known:
+            rows = self.table.dataset().to_table(columns=[self.table.key], filter=pc.field(self.table.updated) == day)
+            _last.update(of=known, keys=sorted(str(k) for k in rows.column(0).to_pylist()))
+        return _last["keys"]
 
     def reported(self, day: str, attempt: int, round_: int) -> int:
         return len(self._keys(day))

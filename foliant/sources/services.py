@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import datetime as dt
 import time
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -34,6 +35,10 @@ from pyspark.sql.types import StructType
 from foliant.shipping import map_arrow, ship_to_driver
 from foliant.storage import materialize
 
+#: Of a worker process: row groups by path and column, and the rows that were read last. Served files do not change.
+_groups: dict[tuple[str, str], list] = {}
+_last: dict[str, Any] = {}
+
 #: A time before all times.
 FIRST = "0001-01-01T00:00:00"
 
@@ -79,6 +84,24 @@ class ServedTable:
                         found.append((told["min"], told["max"]))
         return sorted(found)
 
+    def groups(self, column: str) -> list[tuple[Any, Any, ds.ParquetFileFragment]]:
+        """Least and greatest value of a column, by row group, in order; footers are read once a process."""
+        found = _groups.get((self.path, column))
+        if found is None:
+            parts = [part for f in self.dataset().get_fragments() for part in f.split_by_row_group()]
+            told = [((part.row_groups[0].statistics or {}).get(column), part) for part in parts]
+            found = _groups[self.path, column] = sorted(((t["min"], t["max"], part) for t, part in told if t), key=lambda g: g[:2])
+        return found
+
+    def column_at(self, value: Any, by: str, name: str) -> pa.Table:
+        """``by`` and another column of the row groups that may hold a value of ``by``; the last ones stay in memory."""
+        groups = self.groups(by)
+        at = [i for i in range(bisect_right(groups, value, key=lambda g: g[0])) if groups[i][1] >= value]
+        known = (self.path, by, name, tuple(at))
+        if _last.get("of") != known:
+            _last.update(of=known, rows=pa.concat_tables([groups[i][2].to_table(columns=list(dict.fromkeys((by, name)))) for i in at]) if at else None)
+        return _last["rows"] if at else pa.table({by: [], name: []})
+
     def newest(self) -> str | None:
         newest = max((high for _, high in self._bounds()), default=None)
         return newest and newest.isoformat()
@@ -119,7 +142,8 @@ def with_content(items: DataFrame, key: str, fetch: Callable[[Any, int], str | N
     that nothing is asked for again when the result is read twice. ``parts`` requests run at a time.
     """
     keys = items.where(items[key].isNotNull()).select(items[key].alias("_key")).distinct()
-    keys = keys.repartition(parts, "_key") if parts else keys.repartition("_key")
+    parts = parts or 2 * items.sparkSession.sparkContext.defaultParallelism
+    keys = keys.repartitionByRange(parts, "_key").sortWithinPartitions("_key")  # neighbours are asked for one after the other
     kind = items.schema[key].dataType.simpleString()
     answers = materialize(map_arrow(keys, _fetch(fetch, attempts, wait), f"_key {kind}, content string, error string"), "service-answers")
     return items.join(answers, items[key] == answers["_key"], "left").drop("_key")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 from foliant.operators import graph, models, parsing
 from foliant.plans import catalog, markup_queries as M
+from foliant.sources import scraping, services
 
 SF = "/root/testdata/sf0.001"
 
@@ -72,3 +73,20 @@ def test_no_two_nodes_change_places_for_ever(spark, find):
     """Pairs apart from each other: whatever their hashes, each becomes one community."""
     pairs = spark.range(60).select((F.col("id") * 2).alias("u"), (F.col("id") * 2 + 1).alias("v"))
     assert [tuple(r) for r in graph.community_sizes(find(pairs, "u", "v")).collect()] == [(2, 60)]
+
+
+def test_look_ups_read_a_row_group_once(spark, tmp_path, monkeypatch):
+    """Neighbouring keys and the pages of a day cost one reading, not one each."""
+    table = spark.range(0, 4000, 1, 4).select("id", F.concat(F.lit("day"), F.floor(F.col("id") / 1000)).alias("day"), F.col("id").cast("string").alias("text"))
+    table.write.parquet(str(tmp_path / "t"))
+    read = []
+    whole = services.ServedTable.dataset
+    monkeypatch.setattr(services.ServedTable, "dataset", lambda self: read.append(1) or whole(self))
+    served = services.ServedTable(str(tmp_path / "t"), "day", "id")
+    for key in range(4000):
+        rows = served.column_at(key, "id", "text")
+        assert rows.num_rows == 1000 and rows.column("text")[key % 1000].as_py() == str(key)
+    assert not served.column_at(4000, "id", "text").num_rows and len(read) == 1
+    site = scraping.ServedSite(served)
+    pages = [site.listed(f"day{d}", page, 1, 0) for d in range(4) for page in range(100)]
+    assert sorted(int(k) for p in pages for k in p) == list(range(4000)) and len(read) == 5
