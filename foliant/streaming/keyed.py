@@ -76,15 +76,18 @@ class Documents(StatefulProcessor):
                 reset = True
             elif best is None or rank(row) > rank(best):
                 best = row
-        attempts, success, _, _, at = self.stands.get() or (0, False, 0, None, 0)
+        attempts, success, failed, _, at = self.stands.get() or (0, False, 0, None, 0)
         now = max(now, at)  # a document's rows are in order of time
         if reset and attempts:
-            self._drop_waiting()
+            if failed:
+                self._drop_waiting()
+                failed = 0
             success = False
             self.stands.update((attempts, False, 0, None, now))
             yield self._row(key, None, kind="reset", attempt=attempts, at=now)
         if best is not None and not success:
-            self._drop_waiting()
+            if failed:  # only a document that failed can wait; every look at the state costs a call
+                self._drop_waiting()
             yield from self._attempt(key, best["full_text"], [best[a] for a in self.attributes], attempts, 0, now)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:

@@ -7,11 +7,13 @@ from pathlib import Path
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 sys.path.insert(0, str(Path(__file__).parent))
 from foliant.operators import graph, models, parsing
 from foliant.plans import catalog, markup_queries as M
 from foliant.sources import scraping, services
+from foliant.streaming import keyed
 
 SF = "/root/testdata/sf0.001"
 
@@ -90,3 +92,23 @@ def test_look_ups_read_a_row_group_once(spark, tmp_path, monkeypatch):
     site = scraping.ServedSite(served)
     pages = [site.listed(f"day{d}", page, 1, 0) for d in range(4) for page in range(100)]
     assert sorted(int(k) for p in pages for k in p) == list(range(4000)) and len(read) == 5
+
+
+def test_new_documents_cost_two_calls_of_the_state(spark):
+    """A document that never failed cannot wait, so its text is not looked for."""
+
+    class Value:
+        def __init__(self):
+            self.calls = []
+
+        def get(self):
+            self.calls.append("get")
+
+        def update(self, value):
+            self.calls.append("update")
+
+    machine = keyed.Documents(lambda text, attempt: [text], keyed.Retry(), [], StructType([]), None, 0)
+    machine.stands, machine.waiting = Value(), Value()
+    rows = [{"full_text": "a", "_now": 1, "_reset": False}]
+    assert len(list(machine.handleInputRows(("k",), iter(rows), None))) == 2
+    assert machine.stands.calls == ["get", "update"] and machine.waiting.calls == []
