@@ -43,6 +43,16 @@ def test_toxicity_of_repeated_and_clashing_rows(labelled):
     assert cuts == others and (first.embedding == second.embedding).all() and first.offset == second.offset
 
 
+def test_toxicity_learns_from_every_labelled_document(spark):
+    """However many they are and however long, each as a word of its own."""
+    ids = [i for i in range(7000) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"word{i} " + ("filler " * 6000 if i % 500 == 1 else "text"), "en", int(i % 2 == 0)) for i in ids]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    net, _ = T.fit(df.drop("toxic"), df.select("doc_id", "toxic"))
+    trained = [i for i in ids if zlib.crc32(f"{i}#aside".encode()) % 5]
+    assert len(trained) > 4000 and all(net.embedding[T.word_features(f"word{i}")[0]].any() for i in trained)
+
+
 def test_toxicity_without_labels(docs, labelled, nothing):
     assert T.score_documents(docs, labelled[1].where("false")).agg(F.max("toxicity_score")).first()[0] == 0
     assert T.score_documents(nothing, labelled[1]).count() == 0
