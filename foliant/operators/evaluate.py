@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import IntegerType
 
 from foliant.functions import arrays as A, dates as D, jsonx as J, text as T
-from foliant.shipping import ship
+from foliant.shipping import ship, spread
 
 TOLERANCE = 1e-6
 #: Metrics of each field type.
@@ -135,20 +135,32 @@ def parsed_predictions(predictions: DataFrame, schema: Mapping[str, Mapping]) ->
     })
 
 
-def score_records(predictions: DataFrame, schema: Mapping[str, Mapping]) -> tuple[DataFrame, DataFrame]:
-    """Items (``idx, status, missing_keys, extra_keys``) and scores (``idx, field, metric, value``)."""
+def _scored(predictions: DataFrame, schema: Mapping[str, Mapping]) -> tuple[DataFrame, dict[tuple[str, str], Column]]:
+    """Parsed items, dealt over the cores, and their values by field and metric."""
     ship(predictions.sparkSession)
-    rows = parsed_predictions(predictions, schema)
-    cells = []
+    rows, values = parsed_predictions(spread(predictions), schema), {}
     for at, (field, spec) in enumerate(schema.items()):
         good = (F.col("status") == "success") & F.coalesce(J.has_key(F.col("_p"), field), F.lit(False))
         rows, scores = _with_scores(rows, at, field, spec)
-        for metric in METRICS[spec["type"]]:
-            cells.append(F.struct(F.lit(field).alias("field"), F.lit(metric).alias("metric"), F.when(good, scores[metric]).otherwise(0.0).cast("double").alias("value")))
+        values |= {(field, metric): F.when(good, scores[metric]).otherwise(0.0).cast("double") for metric in METRICS[spec["type"]]}
+    return rows, values
+
+
+def score_records(predictions: DataFrame, schema: Mapping[str, Mapping]) -> tuple[DataFrame, DataFrame]:
+    """Items (``idx, status, missing_keys, extra_keys``) and scores (``idx, field, metric, value``)."""
+    rows, values = _scored(predictions, schema)
+    cells = [F.struct(F.lit(field).alias("field"), F.lit(metric).alias("metric"), value.alias("value")) for (field, metric), value in values.items()]
     scores = rows.select("idx", F.explode(F.array(*cells)).alias("_c")).select("idx", "_c.field", "_c.metric", "_c.value")
     return rows.select("idx", "status", "missing_keys", "extra_keys"), scores
 
 
+def scored_items(predictions: DataFrame, schema: Mapping[str, Mapping], columns: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """One row per prediction: its status and a column for each stated field and metric. What no column needs is not
+    computed, and nothing is grouped or joined."""
+    rows, values = _scored(predictions, schema)
+    return rows.select("idx", "status", *[values[cell].alias(name) for name, cell in columns.items()])
+
+
 def mean_with_error(scores: DataFrame, by: tuple[str, ...] = ("field", "metric"), value: str = "value") -> DataFrame:
     """Mean and standard error of each group; groups of one value are left out, nulls skipped."""
     v = F.col(value)
