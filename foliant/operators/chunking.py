@@ -131,11 +131,21 @@ def with_token_ids(docs: DataFrame, make: Callable[[], Tokenizer], text: str = "
 
 
 def token_counts(docs: DataFrame, make: Callable[[], Tokenizer], text: str = "text", out: str = "n_tokens") -> DataFrame:
-    return with_token_ids(docs, make, text, "_ids").withColumn(out, F.size("_ids")).drop("_ids")
+    """Numbers of tokens; a text's ids are dropped when they are counted."""
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("int")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokenizer = make()
+        for part in parts:
+            yield pd.Series([len(tokenizer.encode(t)) if t else 0 for t in part], dtype="int32")
+
+    return docs.withColumn(out, run(F.col(text)))
 
 
-def truncated_by(docs: DataFrame, make: Callable[[], Tokenizer], budget: int, text: str = "context", strict: bool = False) -> DataFrame:
-    """As ``truncated``, in the tokens of a tokenizer."""
+def truncated_by(docs: DataFrame, make: Callable[[], Tokenizer], budget: int, text: str = "context", strict: bool = False, counts: str | None = None) -> DataFrame:
+    """As ``truncated``, in the tokens of a tokenizer; ``counts`` names a column for the tokens before the cut. Only one
+    text's ids are held."""
     if strict and budget <= 0:
         raise ValueError("no tokens are left for the context")
     ship(docs.sparkSession)
@@ -144,11 +154,16 @@ def truncated_by(docs: DataFrame, make: Callable[[], Tokenizer], budget: int, te
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tokenizer = make()
         for part in parts:
-            ids = [tokenizer.encode(t) if t else [] for t in part]
-            kept = [t if len(i) <= budget and t is not None else tokenizer.decode(i[: max(budget, 0)]) for t, i in zip(part, ids)]
-            yield pd.DataFrame({"kept": kept, "cut": [max(0, len(i) - budget) for i in ids], "n": [len(i) for i in ids]})
+            kept, sizes = [], []
+            for t in part:
+                ids = tokenizer.encode(t) if t else []
+                sizes.append(len(ids))
+                kept.append(t if len(ids) <= budget and t is not None else tokenizer.decode(ids[: max(budget, 0)]))
+            yield pd.DataFrame({"kept": kept, "cut": [max(0, n - budget) for n in sizes], "n": sizes})
 
     cut = docs.withColumn("_c", run(F.col(text)))
+    if counts is not None:
+        cut = cut.withColumn(counts, F.col("_c.n"))
     has = F.lit(budget > 0)
     ratio = F.coalesce(F.try_divide("_c.cut", "_c.n"), F.lit(0.0))
     return cut.withColumns({text: F.when(has, F.col("_c.kept")).otherwise(""), "num_truncated_tokens": F.when(has, F.col("_c.cut")), "truncated_ratio": F.when(has, ratio)}).drop("_c")

@@ -189,7 +189,7 @@ _SPACED = "list_filter(string_split({}, ' '), lambda x: x <> '')"
 def tokenizer_truncation(spark, sf_dir):
     """Counts and truncation in the tokens of a tokenizer that is passed in."""
     turns = table(spark, sf_dir, "conversations").where("text is not null").withColumn("context", F.col("text"))
-    cut = C.truncated_by(C.token_counts(turns, _Words), _Words, 20)
+    cut = C.truncated_by(turns, _Words, 20, counts="n_tokens")
     return cut.select("conv_id", "turn", "role", "n_tokens", "num_truncated_tokens", F.round("truncated_ratio", 6).alias("truncated_ratio"))
 
 
