@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from foliant.functions import text as T, vectors as V
-from foliant.storage import materialize
+from foliant.storage import materialize, parts_of
 
 K1, B = 1.2, 0.75
 
@@ -25,14 +25,19 @@ def postings(docs: DataFrame, key: str, text: str | Sequence[str]) -> DataFrame:
     fields = [text] if isinstance(text, str) else list(text)
     words = F.flatten(F.array(*[T.tokens(F.lower(f)) for f in fields]))
     known = docs.where(F.coalesce(*[F.col(f) for f in fields]).isNotNull())
-    rows = known.select(F.col(key), words.alias("_t"))
-    return rows.select(F.col(key), F.size("_t").alias("length"), F.explode("_t").alias("term")).groupBy(key, "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+    # a document's equal words are neighbours once sorted, so they are counted in its row, without a shuffle
+    begins = lambda w: F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.get(w, i - 1) != F.get(w, i - 2)))
+    runs = lambda w, s: F.transform(s, lambda x, i: F.struct(F.get(w, x - 1).alias("term"), (F.coalesce(F.get(s, i + 1), F.size(w) + 1) - x).cast("long").alias("tf")))
+    counted = F.transform(F.array(F.sort_array(words)), lambda w: F.struct(F.size(w).alias("length"), F.when(F.size(w) > 0, F.transform(F.array(begins(w)), lambda s: runs(w, s))[0]).alias("terms")))[0]
+    rows = known.select(F.col(key), counted.alias("_d")).select(key, "_d.length", F.explode("_d.terms").alias("_r"))
+    return rows.select(key, "_r.term", "length", "_r.tf")
 
 
-def index(docs: DataFrame, path: str, key: str = "doc_id", text: str | Sequence[str] = "text", files: int = 16) -> None:
+def index(docs: DataFrame, path: str, key: str = "doc_id", text: str | Sequence[str] = "text", files: int | None = None) -> None:
     """Write postings, sorted by term so that a query's terms prune row groups, and the statistics of the documents."""
     fields = [text] if isinstance(text, str) else list(text)
-    postings(docs, key, text).repartitionByRange(files, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    files = files or parts_of(docs) or 2 * docs.sparkSession.sparkContext.defaultParallelism
+    postings(docs, key, text).repartitionByRange(files, "term", key).sortWithinPartitions("term", key).write.option("compression", "zstd").mode("overwrite").parquet(f"{path}/postings")
     lengths = docs.where(F.coalesce(*[F.col(f) for f in fields]).isNotNull()).select(F.size(F.flatten(F.array(*[T.tokens(F.lower(f)) for f in fields]))).alias("l"))
     lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("l").alias("mean")).coalesce(1).write.mode("overwrite").parquet(f"{path}/documents")
 
