@@ -6,7 +6,8 @@ for every query, sums of table lookups rank all codes, the ten best for every wa
 and only the candidates' vectors are fetched and compared exactly.
 
 Codes are dealt to blocks by hash and sorted before the queries that pass them; a block keeps no more than its
-codes and gives at most the wanted candidates of a query. Queries, however many, are rows like any others.
+codes and gives at most the wanted candidates of a query. Queries are dealt to groups of bounded size, and every
+group passes every block as a task of its own, so tasks grow in number and not in length.
 
 Defined cases: null and zero vectors, those of another than the most common length and those with null or
 non-finite components are neither found nor asked for; rows without key take no part; repeated keys are found
@@ -28,8 +29,8 @@ from foliant.storage import materialize
 
 #: Components of a part, centres of a codebook, and vectors from which codebooks are learned.
 PART, CENTRES, SAMPLE = 2, 256, 16_384
-#: Codes of a block, and candidates for a wanted result.
-BLOCK, CANDIDATES = 65_536, 10
+#: Codes of a block, queries that pass it in one task, and candidates for a wanted result.
+BLOCK, ASKING, CANDIDATES = 65_536, 8192, 10
 
 
 def learned_codebooks(vectors: np.ndarray, part: int = PART, centres: int = CENTRES, rounds: int = 8, seed: int = 4) -> np.ndarray:
@@ -70,15 +71,19 @@ def encoded(vectors: np.ndarray, books: np.ndarray) -> np.ndarray:
 
 
 def likeness(queries: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
-    """Dot products of queries with coded vectors, from a table of every query's products with all centres."""
-    parts, _, part = books.shape
-    padded = np.zeros((len(queries), parts * part))
+    """Dot products of queries with coded vectors."""
+    return _products(queries, decoded(codes, books))
+
+
+def decoded(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The centres that codes name, put together."""
+    return np.concatenate([books[p].astype(np.float32)[codes[:, p]] for p in range(len(books))], axis=1)
+
+
+def _products(queries: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    padded = np.zeros((len(queries), centres.shape[1]), dtype=np.float32)
     padded[:, : queries.shape[1]] = queries
-    out = np.zeros((len(queries), len(codes)), dtype=np.float32)
-    for p in range(parts):
-        table = (padded[:, p * part : (p + 1) * part] @ books[p].T).astype(np.float32)
-        out += table[:, codes[:, p]]
-    return out
+    return padded @ centres.T
 
 
 @dataclass
@@ -124,7 +129,7 @@ def _candidates(shared, width: int, most: int, kind: pa.DataType):
     """Queries of a block stream past its codes, which come first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books, block, keys, codes = shared.value, None, [], []
+        books, block, keys, codes, centres = shared.value, None, [], [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -140,10 +145,11 @@ def _candidates(shared, width: int, most: int, kind: pa.DataType):
                     continue
                 if not keys:
                     continue
-                keys, codes = [pa.concat_arrays(keys)], [np.concatenate(codes)]
+                if codes:
+                    keys, centres, codes = [pa.concat_arrays(keys)], decoded(np.concatenate(codes), books), []
                 for lo in range(0, b - a, 64):
                     part = here.slice(lo, 64)
-                    found = likeness(_unit(part.column("vector"), width), codes[0], books)
+                    found = _products(_unit(part.column("vector"), width), centres)
                     n = min(most, found.shape[1])
                     best = np.argpartition(-found, n - 1, axis=1)[:, :n]
                     which = np.repeat(np.arange(part.num_rows), n)
@@ -152,17 +158,21 @@ def _candidates(shared, width: int, most: int, kind: pa.DataType):
     return run
 
 
-def search(index: Index | None, embeddings: DataFrame, queries: DataFrame, limit: int, key: str = "vec_id", vector: str = "embedding", candidates: int = CANDIDATES, block: int = BLOCK) -> DataFrame:
+def search(index: Index | None, embeddings: DataFrame, queries: DataFrame, limit: int, key: str = "vec_id", vector: str = "embedding", candidates: int = CANDIDATES, block: int = BLOCK, asking: int = ASKING) -> DataFrame:
     """``query, rank, key, distance``: the nearest of every query (columns ``key`` and ``vector``) by cosine, itself excepted."""
     spark, kind = embeddings.sparkSession, embeddings.schema[key].dataType
     if index is None:
         return spark.createDataFrame([], f"query {kind.simpleString()}, rank int, key {kind.simpleString()}, distance double")
     blocks = max(1, -(-index.codes.count() // block))
     empty = F.lit(None).cast(embeddings.schema[vector].dataType)
-    known = index.codes.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "key", "codes", empty.alias("vector"))
     asked = _usable(queries, key, vector).where(F.size("vector") == index.width).groupBy("key").agg(F.min("vector").alias("vector"))
-    asking = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "key", F.lit(None).cast("binary").alias("codes"), "vector")
-    dealt = known.unionByName(asking).repartition("block").sortWithinPartitions("block", "asks")
+    groups = max(1, -(-asked.count() // asking))
+    place = lambda block, group: (block * groups + group).cast("int").alias("block")
+    hashed = lambda n: F.pmod(F.xxhash64("key"), F.lit(n))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    known = index.codes.select("key", "codes", upto(groups).alias("g")).select(place(hashed(blocks), F.col("g")), F.lit(False).alias("asks"), "key", "codes", empty.alias("vector"))
+    asks = asked.select("key", "vector", upto(blocks).alias("b")).select(place(F.col("b"), hashed(groups)), F.lit(True).alias("asks"), "key", F.lit(None).cast("binary").alias("codes"), "vector")
+    dealt = known.unionByName(asks).repartition(blocks * groups, "block").sortWithinPartitions("block", "asks")
     most = limit * candidates + 1  # with itself
     told = map_arrow(dealt, _candidates(spark.sparkContext.broadcast(index.books), index.width, most, None), f"query {kind.simpleString()}, key {kind.simpleString()}, likeness double")
     best = Window.partitionBy("query").orderBy(F.desc("likeness"), "key")

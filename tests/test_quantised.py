@@ -59,3 +59,11 @@ def test_the_registered_query(spark):
     wanted = exact(table["vec_id"].to_numpy(), np.stack(table["embedding"]).astype(float), 20, 10)
     hits = sum(r.vec_id in dict(wanted[r.query_id]) for r in rows)
     assert {r.query_id for r in rows} == wanted.keys() and hits >= 0.9 * len(rows) and len(rows) == 10 * len(wanted)
+
+
+def test_groups_of_queries_change_nothing(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 8)))], "vec_id long, embedding array<double>")
+    index, asked = Q.build_index(df), df.where("vec_id % 4 = 0")
+    found = [sorted(map(tuple, Q.search(index, df, asked, 5, block=100, **more).collect())) for more in ({}, {"asking": 20})]
+    assert found[0] == found[1] and len(found[0]) == 750
