@@ -11,6 +11,7 @@ from foliant.merge_table import MergeTable
 from foliant.operators import adjacency as A, graph as G, quantised as Q
 from foliant.plans.registering import registrar, scratch
 from foliant.sources import scraping, services, table
+from foliant.storage import parts_of
 from foliant.store_writer import FolderStore, write_objects
 
 QUERIES, query = registrar()
@@ -78,7 +79,8 @@ def paged_service(spark, sf_dir):
     states = (orders, orders.where("id % 3 <> 0").unionByName(updates), None)
     for at, state in enumerate(states):  # the third run finds nothing new
         if state is not None:
-            state.repartitionByRange(8, "updated").sortWithinPartitions("updated", "id").write.mode("overwrite").parquet(f"{path}/served")
+            served = state.repartitionByRange(parts_of(state) or 8, "updated", "id").sortWithinPartitions("updated", "id")
+            served.write.option("parquet.block.size", 1 << 20).mode("overwrite").parquet(f"{path}/served")  # a page reads a row group or two
         stream = services.pull(spark, f"orders_{at}_{path[-32:]}", _Hesitant(f"{path}/served", "updated", "id"), "id long, price double, version string, updated timestamp_ntz", size=5000, wait=0.0)
         stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/out").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/out").select("id", "price", "version")

@@ -38,6 +38,8 @@ from foliant.storage import materialize
 #: Of a worker process: row groups by path and column, and the rows that were read last. Served files do not change.
 _groups: dict[tuple[str, str], list] = {}
 _last: dict[str, Any] = {}
+#: Of a worker process: the row groups of the files that pages are read from, and the one that was read last.
+_pages: dict[str, Any] = {}
 
 #: A time before all times.
 FIRST = "0001-01-01T00:00:00"
@@ -114,11 +116,46 @@ class ServedTable:
 
     def page(self, after: str, last_key: Any, until: str, limit: int, columns: Sequence[str], attempt: int = 1) -> pa.Table:
         """The next records after a time, or after a key of that time, in order."""
-        time_, stop = pc.field(self.updated), pa.scalar(dt.datetime.fromisoformat(until))
-        start = pa.scalar(dt.datetime.fromisoformat(after))
+        first, last = dt.datetime.fromisoformat(after), dt.datetime.fromisoformat(until)
+        time_, stop, start = pc.field(self.updated), pa.scalar(last), pa.scalar(first)
         begun = time_ > start if last_key is None else (time_ > start) | ((time_ == start) & (pc.field(self.key) > last_key))
-        rows = self.dataset().to_table(columns=list(dict.fromkeys([*columns, self.updated, self.key])), filter=begun & (time_ <= stop))
-        return rows.sort_by([(self.updated, "ascending"), (self.key, "ascending")]).slice(0, limit)
+        names = list(dict.fromkeys([*columns, self.updated, self.key]))
+        rows = None
+        for low, high, part in self._ordered():
+            if high[0] < first or high[0] == first and (last_key is None or high[1:] and high[1] <= last_key):
+                continue
+            if low[0] > last:
+                break
+            if rows is not None and rows.num_rows >= limit and low > (rows.column(self.updated)[limit - 1].as_py(), rows.column(self.key)[limit - 1].as_py()):
+                break  # this row group and all later ones begin after the page
+            more = self._read(part, names).filter(begun & (time_ <= stop))
+            rows = more if rows is None else pa.concat_tables([rows, more])
+            rows = rows.sort_by([(self.updated, "ascending"), (self.key, "ascending")]).slice(0, limit)
+        return rows if rows is not None else self.dataset().schema.empty_table().select(names)
+
+    def _ordered(self) -> list[tuple[tuple, tuple, ds.ParquetFileFragment]]:
+        """Row groups with bounds of their times and keys, by the lower ones; footers are read once for a set of files."""
+        whole = self.dataset()
+        known = (self.path, tuple(whole.files))
+        if _pages.get("of") != known:
+            found = []
+            for part in (p for f in whole.get_fragments() for p in f.split_by_row_group()):
+                told = part.row_groups[0].statistics or {}
+                if self.updated not in told:
+                    found.append(((dt.datetime.min,), (dt.datetime.max,), part))
+                    continue
+                keys = {side: (told[self.key][side],) if self.key in told else () for side in ("min", "max")}
+                found.append(((told[self.updated]["min"], *keys["min"]), (told[self.updated]["max"], *keys["max"]), part))
+            _pages.clear()
+            _pages.update(of=known, groups=sorted(found, key=lambda g: g[:2]))
+        return _pages["groups"]
+
+    def _read(self, part: ds.ParquetFileFragment, names: list[str]) -> pa.Table:
+        """A row group; the one that was read last stays in memory, as the next page begins in it."""
+        known = (part.path, part.row_groups[0].id, tuple(names))
+        if _pages.get("read") != known:
+            _pages.update(read=known, rows=part.to_table(columns=names, use_threads=False))
+        return _pages["rows"]
 
 
 def _fetch(fetch: Callable[[Any, int], str | None], attempts: int, wait: float):

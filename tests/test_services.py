@@ -108,3 +108,19 @@ def test_content_is_asked_for_once_a_key(spark, tmp_path):
     assert rows == {"a": (1, None, None), "b": (2, "text 2", None), "c": (2, "text 2", None), "d": (3, None, "later"), "e": (4, "text 4", None), "f": (None, None, None)}
     assert sorted((tmp_path / "asked").read_text().split()) == ["1", "2", "2", "3", "3", "4"]
     assert S.with_content(items.where("false"), "id", service(str(tmp_path))).collect() == []
+
+
+def test_a_page_reads_the_row_groups_it_lies_in(spark, tmp_path, monkeypatch):
+    """Also where one time has more rows than a row group."""
+    path = f"{tmp_path}/served"
+    rows = spark.range(0, 20_000, 1, 1).select("id", F.lit("a").alias("note"), (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=F.floor(F.col("id") / 8000).cast("int"))).alias("ts"))
+    rows.repartitionByRange(4, "ts", "id").sortWithinPartitions("ts", "id").write.option("parquet.block.size", 4096).parquet(path)
+    service, read = S.ServedTable(path, "ts", "id"), []
+    assert len(service._ordered()) >= 4
+    monkeypatch.setattr(S.ServedTable, "_read", lambda self, part, names, whole=S.ServedTable._read: read.append(part) or whole(self, part, names))
+    got, after, last, most = [], S.FIRST, None, 0
+    while (page := service.page(after, last, service.newest(), 500, ["id"])).num_rows:
+        got += page.column("id").to_pylist()
+        after, last, most = page.column("ts")[-1].as_py().isoformat(), page.column("id")[-1].as_py(), max(most, len(read))
+        read.clear()
+    assert got == list(range(20_000)) and most < len(service._ordered()) / 4
