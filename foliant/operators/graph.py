@@ -16,19 +16,20 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     smaller neighbours and itself. Both keep the components and end in stars around the smallest node,
     after a number of rounds that grows with the logarithm of the size. Each round is a grouped minimum
     with map-side combining and a join, written to shared storage, so lineage stays short and a node with
-    very many neighbours can be split by the engine's skew handling.
+    very many neighbours can be split by the engine's skew handling. Rounds keep the partitions of their
+    shuffles, and the rows that stream past the minima are not sorted, so no task holds a node's neighbours.
     """
     pairs = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u <> v")
     pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    parts, before = parts_of(edges), None
-    pairs = materialize(pairs, "components", parts=parts)
+    before = None
+    pairs = materialize(pairs, "components")
     for _ in range(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least.hint("shuffle_hash"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        pairs = materialize(small, "components", pairs, parts=parts)
+        small = large.join(least.hint("shuffle_hash"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        pairs = materialize(small, "components", pairs)
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break

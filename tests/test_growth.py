@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 sys.path.insert(0, str(Path(__file__).parent))
-from foliant.operators import graph, models, parsing
+from foliant.operators import graph, models, parsing, search
 from foliant.plans import catalog, markup_queries as M
 from foliant.sources import scraping, services
 from foliant.streaming import keyed
@@ -112,3 +112,33 @@ def test_new_documents_cost_two_calls_of_the_state(spark):
     rows = [{"full_text": "a", "_now": 1, "_reset": False}]
     assert len(list(machine.handleInputRows(("k",), iter(rows), None))) == 2
     assert machine.stands.calls == ["get", "update"] and machine.waiting.calls == []
+
+
+def test_items_are_scored_without_joins(spark):
+    """Judged items are dealt over the cores; nothing is grouped, joined or computed that no column needs."""
+    df = catalog.queries()["judged_items"](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(step in plan for step in ("Join", "Aggregate", "ArrowEvalPython")) and _tasks(df) >= spark.sparkContext.defaultParallelism
+
+
+def test_postings_are_counted_in_their_rows(spark):
+    """The only shuffle of an index is the one that sorts it."""
+    docs = spark.createDataFrame([(1, "b A b  a c"), (2, ""), (3, None), (4, "x " * 3000 + "y")], "doc_id long, text string")
+    found = search.postings(docs, "doc_id", "text")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.term, r.length, r.tf) for r in found.collect()) == [(1, "a", 5, 2), (1, "b", 5, 2), (1, "c", 5, 1), (4, "x", 3001, 3000), (4, "y", 3001, 1)]
+
+
+def test_tokens_are_counted_where_texts_are_cut(spark):
+    """One process of Python a task, and no lists of ids that come back."""
+    plan = catalog.queries()["tokenizer_truncation"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "array<int>" not in plan
+
+
+def test_components_keep_the_partitions_of_their_shuffles(spark, monkeypatch):
+    """Rounds are not squeezed into a few files."""
+    told = []
+    whole = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda *a, **b: told.append(b.get("parts")) or whole(*a, **b))
+    edges = spark.range(50).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert {r.component for r in graph.connected_components(edges).collect()} == {0} and set(told) == {None}
