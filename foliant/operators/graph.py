@@ -162,6 +162,12 @@ def connected_parts(edges: DataFrame, communities: DataFrame, left: str, right:
     return communities.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("label"))
 
 
+def with_lone_nodes(communities: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
+    """``node, label``: the communities, and every one of ``nodes`` that no edge touches as a community of its own."""
+    lone = nodes.select(F.col(node).cast("long").alias("node")).distinct().join(communities, "node", "left_anti")
+    return communities.unionByName(lone.select("node", F.col("node").alias("label")))
+
+
 def community_sizes(communities: DataFrame) -> DataFrame:
     """``size, n``: how many communities have how many nodes."""
     return communities.groupBy("label").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n"))

@@ -189,8 +189,11 @@ def adjacency_round_trip(spark, sf_dir):
 
 @query("SELECT size, count(*) AS n FROM (SELECT count(*) AS size FROM customer GROUP BY c_custkey // 7) t GROUP BY size")
 def community_sizes(spark, sf_dir):
-    """Sizes of the communities of all customers, planted as groups of seven who know the next three of their group, at resolution 3."""
+    """Sizes of the communities of all customers, planted as groups of seven who know the next three of their group, at resolution 3.
+
+    A customer who knows nobody, as the only one of the last group, is a community too.
+    """
     k = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("u"))
     known = k.select("u", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("i")).select("u", (F.col("u") + F.col("i")).alias("v")).where("floor(u / 7) = floor(v / 7)")
     edges = known.join(k.select(F.col("u").alias("v")), "v", "left_semi").select("u", "v")
-    return G.community_sizes(G.leiden(edges, "u", "v", resolution=3.0))
+    return G.community_sizes(G.with_lone_nodes(G.leiden(edges, "u", "v", resolution=3.0), k, "u"))

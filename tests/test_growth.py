@@ -77,6 +77,16 @@ def test_no_two_nodes_change_places_for_ever(spark, find):
     assert [tuple(r) for r in graph.community_sizes(find(pairs, "u", "v")).collect()] == [(2, 60)]
 
 
+@pytest.mark.parametrize("n", [1, 148])
+def test_customers_who_know_nobody_are_communities(spark, tmp_path, n):
+    """The last group may be a single customer, who has no edge."""
+    spark.range(n).select(F.col("id").alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT i AS c_custkey FROM range({n}) r(i)")
+    told = con.execute(catalog.oracle_sql()["community_sizes"]).fetchall()
+    assert sorted(tuple(r) for r in catalog.queries()["community_sizes"](spark, str(tmp_path)).collect()) == sorted(told)
+
+
 def test_look_ups_read_a_row_group_once(spark, tmp_path, monkeypatch):
     """Neighbouring keys and the pages of a day cost one reading, not one each."""
     table = spark.range(0, 4000, 1, 4).select("id", F.concat(F.lit("day"), F.floor(F.col("id") / 1000)).alias("day"), F.col("id").cast("string").alias("text"))
