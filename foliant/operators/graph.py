@@ -12,31 +12,39 @@ from foliant.storage import discard, materialize, parts_of
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 60) -> DataFrame:
     """``node, component``: the smallest node id reachable from each node that has an edge.
 
-    Alternates the two star steps: every node sends its larger neighbours to its smallest one, then its
-    smaller neighbours and itself. Both keep the components and end in stars around the smallest node,
-    after a number of rounds that grows with the logarithm of the size. Each round is a grouped minimum
-    with map-side combining and a join, written to shared storage, so lineage stays short and a node with
-    very many neighbours can be split by the engine's skew handling. Rounds keep the partitions of their
-    shuffles, and the rows that stream past the minima are not sorted, so no task holds a node's neighbours.
+    Contracts the graph round by round: every node takes the name of the first of its neighbours, if that comes before
+    itself, and edges are renamed, without loops and repeats, until none is left. The first round orders nodes by id,
+    which takes away one whole side of a graph whose sides lie apart; later ones by a hash that is new every round, so
+    that chains shrink too. Then the names are followed from the last round to the first. Every step is an aggregate with
+    map-side combining or a sort-merge join of two written tables: both spill, and the engine can split a node with very
+    many neighbours. Rounds keep the partitions of their shuffles.
     """
     pairs = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u <> v")
-    pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    before = None
-    pairs = materialize(pairs, "components")
-    for _ in range(most_rounds):
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least.hint("shuffle_hash"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least.hint("shuffle_hash"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        pairs = materialize(small, "components", pairs)
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
-            break
-        before = tuple(state)
-    else:
-        raise RuntimeError("components did not settle")
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    pairs = materialize(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "components")
+    names = []
+    while not pairs.isEmpty():
+        if len(names) == most_rounds:
+            raise RuntimeError("components did not settle")
+        at = lambda node: F.xxhash64(node, F.lit(len(names))) if names else F.col(node)  # noqa: B023, E731
+        turned = at("u") < at("v")
+        turned = pairs.select(F.when(turned, F.col("v")).otherwise(F.col("u")).alias("u"), F.when(turned, F.col("u")).otherwise(F.col("v")).alias("v"))
+        first = materialize(turned.groupBy(F.col("u").alias("node")).agg(F.min_by("v", at("v")).alias("name")), "components-names")
+        ends = turned.join(first.select(F.col("node").alias("u"), F.col("name").alias("a")).hint("merge"), "u")
+        ends = ends.join(first.select(F.col("node").alias("v"), F.col("name").alias("b")).hint("merge"), "v", "left").select("a", F.coalesce("b", "v").alias("b"))
+        pairs = materialize(ends.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components", pairs)
+        names.append(first)
+    discard(pairs)
+    if not names:
+        return pairs.sparkSession.createDataFrame([], "node long, component long")
+    last = names.pop()
+    while names:
+        first = names.pop()
+        then = last.select(F.col("node").alias("name"), F.col("name").alias("then")).hint("merge")
+        moved = first.join(then, "name", "left").select("node", F.coalesce("then", "name").alias("name"))
+        last = materialize(moved.unionByName(last.join(first.hint("merge"), "node", "left_anti")), "components-names", first, last)
+    least = materialize(last.groupBy("name").agg(F.least(F.min("node"), F.col("name")).alias("component")), "components-least")
+    moved = last.where("node <> name").join(least.hint("merge"), "name").select("node", "component")
+    return moved.unionByName(least.select(F.col("name").alias("node"), "component"))
 
 
 def bipartite_edges(df: DataFrame, key: str, items: str) -> DataFrame:
@@ -68,6 +76,7 @@ def induced(edges: DataFrame, nodes: DataFrame, left: str, right: str, node: str
 
 def giant_component(edges: DataFrame, left: str, right: str) -> DataFrame:
     """Edges of the largest component (ties: the smallest id); node ids must be numbers of one space."""
+    edges = materialize(edges, "giant-edges")
     parts = materialize(connected_components(edges, left, right), "giant")
     largest = parts.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "component").limit(1)
     nodes = parts.join(F.broadcast(largest), "component", "left_semi").select(F.col("node").alias(left))  # one row

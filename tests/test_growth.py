@@ -152,3 +152,19 @@ def test_components_keep_the_partitions_of_their_shuffles(spark, monkeypatch):
     monkeypatch.setattr(graph, "materialize", lambda *a, **b: told.append(b.get("parts")) or whole(*a, **b))
     edges = spark.range(50).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert {r.component for r in graph.connected_components(edges).collect()} == {0} and set(told) == {None}
+
+
+def test_components_need_no_map_of_nodes_in_memory(spark, monkeypatch):
+    """No round builds a hash table of a partition's nodes, which could not spill, and no round follows a chain node by node."""
+    plans = []
+    whole = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, *a, **b: plans.append(df._jdf.queryExecution().executedPlan().toString()) or whole(df, *a, **b))
+    chain = [(i, i + 1) for i in range(-40, 0)]
+    star = [(100, 100 + i) for i in range(1, 50)] + [(200 + i, 299) for i in range(50)]  # hubs of the smallest and the largest id
+    rest = [(400, 401), (401, 400), (400, 401), (402, 402), (403, None)]
+    edges = spark.createDataFrame(chain + star + rest, "src long, dst long")
+    found = graph.connected_components(edges)
+    told = {-40: 41, 100: 50, 200: 51, 400: 2}
+    assert {r["component"]: r["count"] for r in found.groupBy("component").count().collect()} == told and found.select("node").distinct().count() == sum(told.values())
+    assert plans and not any("HashJoin" in p for p in plans)
+    assert len(plans) < 25 and graph.connected_components(edges.where("src > 401")).count() == 0
