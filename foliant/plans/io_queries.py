@@ -236,6 +236,9 @@ def _failing_split(text: str) -> list[str]:
     return text.split("|")
 
 
+#: Shards of documents: of large tables, some thousand documents with short texts in each.
+_SHARDS = 1 << 12
+
 _taken_up: dict[tuple[str, str], str] = {}
 
 
@@ -252,7 +255,7 @@ def _ingested(spark, sf_dir) -> str:
     halves = (parts.where("id % 2 = 0"), parts.unionByName(parts.where("id % 3 = 0")), parts.limit(0))
     for at, half in enumerate(halves):
         half.coalesce(1).write.mode("append").parquet(f"{path}/in")
-        I.ingest(spark, f"{path}/in", schema, f"{path}/out", f"{path}/checkpoint", settings, key="id", text="text", attributes=["size"], split=_failing_split)
+        I.ingest(spark, f"{path}/in", schema, f"{path}/out", f"{path}/checkpoint", settings, key="id", text="text", attributes=["size"], split=_failing_split, shards=_SHARDS)
     _taken_up[known] = f"{path}/out"
     return _taken_up[known]
 
@@ -313,9 +316,9 @@ def ingestion_retries(spark, sf_dir):
     later = lambda day: spark.range(1).select(F.lit("end").alias("id"), F.lit("1|end").alias("text"), F.lit(f"2030-01-0{day}").cast("timestamp_ntz").alias("arrived"))
     half = F.lit("2024-03-01").cast("timestamp_ntz")
     for part in (sales.where(F.col("arrived") < half), sales.where(F.col("arrived") >= half), later(1), later(2)):
-        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
-        stream = files.stream(spark, f"{path}/in", "id string, text string, arrived timestamp_ntz")
-        keyed.ingest_keyed(stream, f"{path}/out", f"{path}/checkpoint", "id", "text", _unsteady, arrived="arrived", late="1 day", retry=keyed.Retry(3, 60_000))
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = files.stream(spark, f"{path}/in", "id string, text string, arrived timestamp_ntz", files_per_batch=1_000_000)  # a run is a batch
+        keyed.ingest_keyed(stream, f"{path}/out", f"{path}/checkpoint", "id", "text", _unsteady, arrived="arrived", late="1 day", retry=keyed.Retry(3, 60_000), shards=_SHARDS)
     return keyed.keyed_tracker(spark, f"{path}/out").where("document_id <> 'end'").select("document_id", "n_attempts", "success", "dead", "error_message")
 
 

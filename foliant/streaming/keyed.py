@@ -8,6 +8,11 @@ passed the timer, up to a number of attempts, each waiting twice as long. Time i
 column, or of the batches' times where there is none, so it stands still while nothing arrives. Done documents can be forgotten after a while, and a row with the
 reset column set makes the state forget its document at once.
 
+Every call of the state costs a trip to the JVM. Where many documents arrive at once, ``shards`` lets the documents of a
+hash share their state: it is read once and written once a batch for all of them, and has one timer, the next that is due.
+A batch then reads and writes the state of the shards that it touches, and a task holds a shard's texts of one batch and
+its texts that wait, so shards should be many. A checkpoint keeps the number that it began with.
+
 The operator's output, attempts and chunks, goes to a file sink that writes every batch once, whatever is
 replayed. Counters are observed on that output as it is written; a listener writes them down batch by batch.
 
@@ -22,12 +27,14 @@ import json
 import threading
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
+from itertools import chain
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from foliant.functions.text import first_words
 from foliant.shipping import ship_to_driver
@@ -41,6 +48,21 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: The row that counts, whether to reset, and the latest time.
+_NOTHING = (None, False, 0)
+
+
+def _heard(told: tuple, row: Row) -> tuple:
+    """What is told of a document, with one more row."""
+    best, reset, now = told
+    rank = lambda row: (len(row["full_text"] or ""), row["full_text"] or "", row["_now"])
+    if row["_reset"]:
+        reset = True
+    elif best is None or rank(row) > rank(best):
+        best = row
+    return best, reset, max(now, row["_now"])
+
+
 @dataclass(frozen=True)
 class Retry:
     """How often a document is tried when it fails for the moment, and how long it waits at first."""
@@ -68,14 +90,9 @@ class Documents(StatefulProcessor):
         self.waiting = handle.getValueState("waiting", self.held)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        best, reset, now = None, False, 0
-        rank = lambda row: (len(row["full_text"] or ""), row["full_text"] or "", row["_now"])
-        for row in rows:
-            now = max(now, row["_now"])
-            if row["_reset"]:
-                reset = True
-            elif best is None or rank(row) > rank(best):
-                best = row
+        yield from self._take_up(key, *reduce(_heard, rows, _NOTHING))
+
+    def _take_up(self, key: tuple, best: Row | None, reset: bool, now: int) -> Iterator[Row]:
         attempts, success, failed, _, at = self.stands.get() or (0, False, 0, None, 0)
         now = max(now, at)  # a document's rows are in order of time
         if reset and attempts:
@@ -137,6 +154,105 @@ class Documents(StatefulProcessor):
         return self.row(*[told.get(name) for name in self.row])
 
 
+class _Held:
+    """The values of a shard's documents while it is worked on; ``key`` is the document whose turn it is."""
+
+    def __init__(self, values: dict):
+        self.values, self.key, self.changed = values, None, False
+
+    def get(self) -> tuple | None:
+        return self.values.get(self.key)
+
+    def update(self, value: tuple) -> None:
+        self.values[self.key], self.changed = value, True
+
+    def clear(self) -> None:
+        self.values.pop(self.key, None)
+        self.changed = True
+
+
+class _OneTimer:
+    """A shard finds its next timer in what it holds, so its documents register none."""
+
+    def registerTimer(self, due: int) -> None:
+        pass
+
+    def deleteTimer(self, due: int) -> None:
+        pass
+
+
+class Shards(Documents):
+    """State of the documents of a shard: a value for how they stand, and one for the texts of those that wait.
+
+    Rows go out as arrays by column, about ``packed_chars`` characters of text at a time (``unpacked``).
+    """
+
+    packed_chars = 1 << 20
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.shard, self.handle = handle, _OneTimer()
+        self.known = handle.getValueState("known", "timer long, document_ids array<string>, attempts array<int>, success array<boolean>, failed array<int>, until array<long>, at array<long>")
+        self.texts = handle.getValueState("texts", StructType([StructField("rows", ArrayType(StructType([StructField("document_id", StringType()), *self.held])))]))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        told = {}
+        for row in rows:
+            told[row["document_id"]] = _heard(told.get(row["document_id"], _NOTHING), row)
+        timer = self._load()
+        yield from self._packed(self._at(document, self._take_up((document,), *heard)) for document, heard in told.items())
+        self._store(timer)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed, timer = expiredTimerInfo.getExpiryTimeInMs(), self._load()
+        self.stands.changed = True  # Spark drops the timer
+        timer, passed = None if timer == passed else timer, max(passed, timerValues.getCurrentWatermarkInMs())
+        again = super().handleExpiredTimer
+        yield from self._packed(self._at(document, again((document,), timerValues, ExpiredTimerInfo(due))) for due, document in sorted(d for d in self._due() if d[0] <= passed))
+        self._store(timer)
+
+    def _at(self, document: str, rows: Iterator[tuple]) -> Iterator[tuple]:
+        self.stands.key = self.waiting.key = document
+        yield from rows
+
+    def _row(self, key: tuple, attributes: list | None, **values) -> tuple:
+        told = {"document_id": key[0], **values, **dict(zip(self.attributes, attributes or ()))}
+        return tuple(told.get(name) for name in self.row)
+
+    def _packed(self, rows: Iterator[Iterator[tuple]]) -> Iterator[Row]:
+        held, chars, texts = [], 0, [self.row.index(name) for name in ("full_text", "chunk_text")]
+        for row in chain.from_iterable(rows):
+            held.append(row)
+            chars += 100 + sum(len(row[at] or "") for at in texts)
+            if chars > self.packed_chars:
+                yield self.row(*map(list, zip(*held)))
+                held, chars = [], 0
+        if held:
+            yield self.row(*map(list, zip(*held)))
+
+    def _load(self) -> int | None:
+        timer, names, *stands = self.known.get() or (None, (), (), (), (), (), ())
+        self.stands = _Held(dict(zip(names, zip(*stands))))
+        held = self.texts.get() if any(failed and not success for success, failed in zip(stands[1], stands[2])) else None
+        self.waiting = _Held({row[0]: tuple(row[1:]) for row in held[0]} if held else {})
+        return timer
+
+    def _due(self) -> Iterator[tuple[int, str]]:
+        yield from ((held[1], document) for document, held in self.waiting.values.items())
+        yield from ((stands[3], document) for document, stands in self.stands.values.items() if stands[3] is not None)
+
+    def _store(self, timer: int | None) -> None:
+        if self.stands.changed:  # nothing waits for a change without a new stand
+            due = min(self._due(), default=(None,))[0]
+            if due != timer and timer is not None:
+                self.shard.deleteTimer(timer)
+            if due != timer and due is not None:
+                self.shard.registerTimer(due)
+            stands = list(zip(*self.stands.values.values())) or [()] * 5
+            self.known.update((due, list(self.stands.values), *map(list, stands)))
+        if self.waiting.changed:
+            self.texts.update(([(document, *held) for document, held in self.waiting.values.items()],))
+
+
 class ProgressLog(StreamingQueryListener):
     """Writes what was observed of a query, a small file for each batch, so that a replayed batch is told once."""
 
@@ -173,15 +289,27 @@ class ProgressLog(StreamingQueryListener):
             self.ended.set()
 
 
-def attempts_of(stream: DataFrame, key: str, text: str, process: Process, retry: Retry | None = None, attributes: Sequence[str] = (), arrived: str | None = None, late: str = "0 seconds", keep_ms: int | None = None, reset: str | None = None, least_chars: int = 0) -> DataFrame:
-    """Attempts and chunks of a stream of documents (``OUTPUT`` and the attributes), kept apart by ``kind``."""
+def attempts_of(stream: DataFrame, key: str, text: str, process: Process, retry: Retry | None = None, attributes: Sequence[str] = (), arrived: str | None = None, late: str = "0 seconds", keep_ms: int | None = None, reset: str | None = None, least_chars: int = 0, shards: int | None = None) -> DataFrame:
+    """Attempts and chunks of a stream of documents (``OUTPUT`` and the attributes), kept apart by ``kind``.
+
+    Each document has a state of its own, or shares that of its shard.
+    """
     ship_to_driver(stream.sparkSession)
     kinds = StructType([stream.schema[a] for a in attributes])
     rows = stream.where(F.col(key).isNotNull()).withColumn("_arrived", (F.col(arrived) if arrived else F.current_timestamp()).cast("timestamp")).withWatermark("_arrived", late)
     forget = F.coalesce(F.col(reset), F.lit(False)) if reset else F.lit(False)
     rows = rows.select(F.col(key).cast("string").alias("document_id"), F.col(text).alias("full_text"), F.coalesce(F.unix_millis("_arrived"), F.lit(0)).alias("_now"), forget.alias("_reset"), "_arrived", *attributes)
-    machine = Documents(process, retry or Retry(), attributes, kinds, keep_ms, least_chars)
-    return rows.groupBy("document_id").transformWithState(machine, StructType([*StructType.fromDDL(OUTPUT), *kinds]), "Append", "EventTime")
+    told, options = StructType([*StructType.fromDDL(OUTPUT), *kinds]), (process, retry or Retry(), attributes, kinds, keep_ms, least_chars)
+    if not shards:
+        return rows.groupBy("document_id").transformWithState(Documents(*options), told, "Append", "EventTime")
+    rows = rows.withColumn("_shard", F.pmod(F.xxhash64("document_id"), F.lit(shards)))
+    packed = rows.groupBy("_shard").transformWithState(Shards(*options), StructType([StructField(f.name, ArrayType(f.dataType)) for f in told]), "Append", "EventTime")
+    return unpacked(packed)
+
+
+def unpacked(packed: DataFrame) -> DataFrame:
+    """The rows of arrays of one length, by column."""
+    return packed.select(F.inline(F.arrays_zip(*[F.col(f"`{name}`") for name in packed.columns])))
 
 
 def counted(output: DataFrame) -> DataFrame:

@@ -124,6 +124,62 @@ def test_new_documents_cost_two_calls_of_the_state(spark):
     assert machine.stands.calls == ["get", "update"] and machine.waiting.calls == []
 
 
+def test_documents_of_a_shard_share_the_calls_of_the_state(spark):
+    """However many documents arrive, wait or are tried again: a shard is read once, written once and has one timer."""
+    calls, held, timers = [], {}, set()
+
+    class Value:
+        def __init__(self, name):
+            self.name = name
+
+        def get(self):
+            calls.append("get")
+            return held.get(self.name)
+
+        def update(self, value):
+            calls.append("update")
+            held[self.name] = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value(name)
+
+        def registerTimer(self, due):
+            calls.append("timer")
+            timers.add(due)
+
+        def deleteTimer(self, due):
+            calls.append("timer")
+            timers.remove(due)
+
+    class Time:
+        def __init__(self, now):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: now
+
+    def process(text, attempt):
+        if int(text) % 50 == 0 or int(text) % 5 == 0 and attempt == 1:
+            raise TimeoutError("late")
+        return [text, "|"]
+
+    def rows(packed):
+        return [dict(zip(row, values)) for row in (r.asDict() for r in packed) for values in zip(*row.values())]
+
+    machine = keyed.Shards(process, keyed.Retry(3, 1000), [], StructType([]), None, 0)
+    machine.init(Handle())
+    arrived = [{"document_id": str(i), "full_text": str(i), "_now": i, "_reset": False} for i in range(1000)]
+    told = rows(machine.handleInputRows((0,), iter(arrived), Time(0)))
+    assert sum(r["kind"] == "attempt" for r in told) == 1000 and sum(r["kind"] == "chunk" for r in told) == 1600 and timers == {1000}
+    assert len(calls) <= 5
+    for now in (9000, 99_000):
+        timer = timers.pop()
+        calls.clear()
+        told += rows(machine.handleExpiredTimer((0,), Time(max(now, timer)), Time(timer)))
+        assert len(calls) <= 6
+    last = {r["document_id"]: r for r in told if r["kind"] == "attempt"}
+    assert all((r["attempt"], r["success"], r["dead"]) == ((3, False, True) if int(d) % 50 == 0 else (2, True, False) if int(d) % 5 == 0 else (1, True, False)) for d, r in last.items())
+    assert not timers and held["texts"] == ([],) and not rows(machine.handleInputRows((0,), iter(arrived[1:5]), Time(99_000)))
+
+
 def test_items_are_scored_without_joins(spark):
     """Judged items are dealt over the cores; nothing is grouped, joined or computed that no column needs."""
     df = catalog.queries()["judged_items"](spark, SF)

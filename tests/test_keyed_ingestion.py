@@ -79,3 +79,17 @@ def test_clock_time_without_arrivals(spark, tmp_path):
 
 def test_nothing_arrived(spark, tmp_path):
     assert K.keyed_tracker(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_shards_tell_the_same(spark, stream):
+    """Documents that share a state: repeats, retries, dead letters, reset and forgetting as with states of their own."""
+    feed = lambda *rows, minute=0: stream(*rows, minute=minute, shards=2, keep_ms=3_600_000)
+    seen = feed(("a", "x|y"), ("a", "x"), ("once", "once|z"), ("always", "always"), ("bad", "bad"), ("empty", " "), (None, "t"))
+    assert seen == {"a": (1, True, False, 2, None), "once": (1, False, False, 0, "took too long"), "always": (1, False, False, 0, "service is down"), "bad": (1, False, True, 0, "cannot be cut"), "empty": (1, False, True, 0, "no text")}
+    seen = feed(("a", "other"), ("b", "b"), minute=2)
+    assert seen["a"] == (1, True, False, 2, None) and seen["once"] == (2, True, False, 2, None) and seen["always"][:3] == (2, False, False)
+    seen = feed(("bad", "good now"), ("b", None, True), minute=5)
+    assert seen["always"] == (3, False, True, 0, "service is down") and seen["bad"] == (2, True, False, 1, None) and "b" not in seen
+    feed(("c", "c"), minute=100)  # a's hour is over
+    assert feed(("a", "new"), ("c", "more"), minute=101)["a"] == (2, True, False, 1, None)
+    assert chunks(spark, stream.folder) == [("a", 1, 0, "new", "en"), ("a", 1, 0, "x", "en"), ("a", 1, 1, "y", "en"), ("b", 1, 0, "b", "en"), ("bad", 2, 0, "good now", "en"), ("c", 1, 0, "c", "en"), ("once", 2, 0, "once", "en"), ("once", 2, 1, "z", "en")]
